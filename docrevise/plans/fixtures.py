@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 FLAGSHIP_INSTRUCTION = "Change 'MIT License' to 'Apache License'"
 
 # Instruction templates for corpus-derived requests.  {a} is the
-# phrase from the document, {A} the same phrase in upper case.
+# phrase from the document.  (No upper-cased slot: Java upper-cases "ß" to
+# "SS" like Python, DuckDB to "ẞ", so the oracle could not rebuild it.)
 TEMPLATES = [
     "Change 'MIT License' to 'Apache License'",
-    "Change '{a}' to '{A}'",
+    "Change '{a}' to 'revised text'",
     '1. Replace "{a}" with "the thing"\n2. Update the state of the license - remove the notice',
     "Change the {a} Inc name from 'Old Name' to 'New Name LLC'",
     "Update Vendor Name to '{a}'",
@@ -46,7 +47,7 @@ QUERY_SEPARATOR = "\n"
 
 def phrase_col(text: Column) -> Column:
     """First two space-separated words of the second line ('' if none)."""
-    line2 = F.coalesce(F.element_at(F.split(text, "\n", -1), 2), F.lit(""))
+    line2 = F.coalesce(F.try_element_at(F.split(text, "\n", -1), F.lit(2)), F.lit(""))
     return F.array_join(F.slice(F.split(line2, " ", -1), 1, 2), " ")
 
 
@@ -55,7 +56,7 @@ def instruction_col(doc_id: Column, text: Column) -> Column:
     slot = F.pmod(doc_id, F.lit(len(TEMPLATES)))
     out = F.lit(None).cast("string")
     for i, t in enumerate(TEMPLATES):
-        filled = F.replace(F.replace(F.lit(t), F.lit("{a}"), a), F.lit("{A}"), F.upper(a))
+        filled = F.replace(F.lit(t), F.lit("{a}"), a)
         out = F.when(slot == i, filled).otherwise(out)
     return out
 
@@ -78,7 +79,7 @@ def sql_instruction(doc_id: str = "doc_id", text: str = "text") -> str:
     for i, t in enumerate(TEMPLATES):
         lit = "'" + t.replace("'", "''") + "'"
         lit = lit.replace("\n", "' || chr(10) || '")
-        parts.append(f"WHEN {i} THEN replace(replace({lit}, '{{a}}', {a}), '{{A}}', upper({a}))")
+        parts.append(f"WHEN {i} THEN replace({lit}, '{{a}}', {a})")
     return f"CASE ({doc_id} % {len(TEMPLATES)}) " + " ".join(parts) + " END"
 
 

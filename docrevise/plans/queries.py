@@ -61,3 +61,74 @@ def flagship_rank_quoted(spark, sf):
     return ranked.join(chunks.select("job_id", "chunk_no", "doc_id"), ["job_id", "chunk_no"]).select(
         F.col("doc_id").cast("long"), F.col("chunk_no").cast("long"), F.col("score").cast("long"),
         F.col("rank").cast("long"))
+
+
+# ====================================================================== I1-I8
+from docrevise.functions import constants as K  # noqa: E402
+from docrevise.operators import instructions as I  # noqa: E402
+
+_JOBS = f"WITH jobs AS ({FX.sql_jobs()})"
+
+
+def corpus_requests(spark, sf):
+    return FX.corpus_requests(table(spark, sf, "documents"))
+
+
+@register("i1_quoted_spans", f"""{_JOBS}, s AS {S.quoted_spans()}
+SELECT job_id, CAST(k1 AS BIGINT) AS ord, term AS text FROM s""")
+def i1_quoted_spans(spark, sf):
+    """Quoted spans of every request, double-quoted first."""
+    return I.quoted_spans(corpus_requests(spark, sf)).select("job_id", F.col("ord").cast("long"), "text")
+
+
+@register("i2_instruction_parts", f"""{_JOBS}, p AS {S.parts()}
+SELECT job_id, CAST(part_ord AS BIGINT) AS part_ord, part FROM p""")
+def i2_instruction_parts(spark, sf):
+    """Instruction parts (newline, numbering, dash), stripped, >= 5 chars."""
+    return I.instruction_parts(corpus_requests(spark, sf)).select("job_id", F.col("part_ord").cast("long"), "part")
+
+
+@register("i3_action_phrases", f"""{_JOBS}, p AS {S.parts()}, a AS {S.action_phrases('p', K.ACTION_VERBS)}
+SELECT job_id, CAST(part_ord AS BIGINT) AS part_ord, CAST(verb_ord AS BIGINT) AS verb_ord, verb, phrase, search FROM a""")
+def i3_action_phrases(spark, sf):
+    """First three words after each action verb of each part."""
+    a = I.action_phrases(I.instruction_parts(corpus_requests(spark, sf)))
+    return a.select("job_id", F.col("part_ord").cast("long"), F.col("verb_ord").cast("long"), "verb", "phrase", "search")
+
+
+@register("i4_field_mentions", f"""{_JOBS}, f AS {S.field_mentions(K.CONTRACT_FIELDS)}
+SELECT job_id, CAST(field_ord AS BIGINT) AS field_ord, field FROM f""")
+def i4_field_mentions(spark, sf):
+    """I4: contract fields mentioned in the instruction (substring match)."""
+    return I.field_mentions(corpus_requests(spark, sf)).select("job_id", F.col("field_ord").cast("long"), "field")
+
+
+@register("i5_quoted_entities", f"""{_JOBS}, e AS {S._explode(f'SELECT job_id, {S.quoted_entity_list()} AS l FROM jobs', 'ord', 'entity')}
+SELECT job_id, CAST(ord AS BIGINT) AS ord, entity FROM e""")
+def i5_quoted_entities(spark, sf):
+    """Text between any two quote marks, longer than 3."""
+    return I.quoted_entities(corpus_requests(spark, sf)).select("job_id", F.col("ord").cast("long"), "entity")
+
+
+@register("i6_company_entities", f"""{_JOBS}, e AS {S._explode(f'SELECT job_id, {S.company_entity_list()} AS l FROM jobs', 'ord', 'entity')}
+SELECT job_id, CAST(ord AS BIGINT) AS ord, entity FROM e""")
+def i6_company_entities(spark, sf):
+    """Company names from the role / change / update patterns."""
+    return I.company_entities(corpus_requests(spark, sf)).select("job_id", F.col("ord").cast("long"), "entity")
+
+
+@register("i7_key_entities", f"""{_JOBS}, e AS {S.key_entities()}
+SELECT job_id, CAST(ent_ord AS BIGINT) AS ent_ord, entity FROM e""")
+def i7_key_entities(spark, sf):
+    """Unique key entities in first-occurrence order."""
+    return I.key_entities(corpus_requests(spark, sf)).select("job_id", F.col("ent_ord").cast("long"), "entity")
+
+
+@register("i8_replacement_pairs", f"""{_JOBS},
+a AS (SELECT job_id, regexp_extract_all(instruction, {S.lit(S.REPLACEMENT_PAIR)}, 1) AS o,
+             regexp_extract_all(instruction, {S.lit(S.REPLACEMENT_PAIR)}, 2) AS w FROM jobs),
+b AS (SELECT job_id, o, w, unnest(generate_series(1, len(o))) AS i FROM a)
+SELECT job_id, CAST(i - 1 AS BIGINT) AS ord, o[i] AS old, w[i] AS new FROM b""")
+def i8_replacement_pairs(spark, sf):
+    """I8: (old, new) pairs stated as from 'X' to 'Y'."""
+    return I.replacement_pairs(corpus_requests(spark, sf)).select("job_id", F.col("ord").cast("long"), "old", "new")

@@ -96,3 +96,88 @@ def target_points(chunks: str, targets: str) -> str:
                                              + 2 * CAST(contains({lc}, substring({lt}, {h} + 1)) AS INT)
                   ELSE 0 END) * t.n AS p
      FROM {chunks} c JOIN {targets} t USING (job_id))"""
+
+
+DIGIT = r"\p{Nd}"
+PART_SEPARATOR = rf"\n|{DIGIT}+\.|{WS}*-{WS}*"
+ANY_QUOTED = r"""['"]([^'"]+)['"]"""
+
+
+def _roles_suffixes():
+    from docrevise.functions import constants as K
+    return "|".join(K.COMPANY_ROLES), "|".join(K.COMPANY_SUFFIXES)
+
+
+def company_patterns() -> list[str]:
+    roles, suf = _roles_suffixes()
+    return [
+        rf"""(?:{roles}){WS}+Name.*?['"]([^'"]+)['"]""",
+        rf"""[Cc]hange{WS}+(?:the{WS}+)?([^'"].*?(?:{suf}))[^'"].*?from""",
+        rf"""[Uu]pdate{WS}+(?:the{WS}+)?([^'"].*?(?:{suf}))[^'"].*?from""",
+    ]
+
+
+def list_lit(values) -> str:
+    return "[" + ", ".join(lit(v) for v in values) + "]::VARCHAR[]"
+
+
+def parts(jobs: str = "jobs") -> str:
+    """(job_id, part_ord, part)."""
+    return f"""
+    (WITH a AS (SELECT job_id, regexp_split_to_array(instruction, {lit(PART_SEPARATOR)}) AS l FROM {jobs}),
+          b AS (SELECT job_id, l, unnest(generate_series(1, len(l))) AS i FROM a),
+          c AS (SELECT job_id, i - 1 AS part_ord, {strip('l[i]')} AS part FROM b)
+     SELECT * FROM c WHERE length(part) >= 5)"""
+
+
+def action_phrases(parts_rel: str, verbs) -> str:
+    """(job_id, part_ord, verb_ord, verb, phrase, search)."""
+    phrase = strip("substring(part, vpos + length(verb) + 1)")
+    return f"""
+    (WITH v AS (SELECT p.job_id, p.part_ord, p.part, i - 1 AS verb_ord, ({list_lit(verbs)})[i] AS verb
+                FROM {parts_rel} p, (SELECT unnest(generate_series(1, {len(verbs)})) AS i) g),
+          w AS (SELECT *, strpos(lower(part), verb) - 1 AS vpos FROM v),
+          x AS (SELECT *, {phrase} AS phrase FROM w
+                WHERE vpos >= 0 AND vpos + length(verb) + 1 < length(part)),
+          y AS (SELECT *, array_to_string(({pysplit('phrase')})[1:3], ' ') AS search FROM x WHERE length(phrase) > 3)
+     SELECT job_id, part_ord, verb_ord, verb, phrase, search FROM y WHERE length(search) > 3)"""
+
+
+def field_mentions(fields, jobs: str = "jobs") -> str:
+    """I4: (job_id, field_ord, field)."""
+    return f"""
+    (SELECT job_id, i - 1 AS field_ord, ({list_lit(fields)})[i] AS field
+     FROM {jobs}, (SELECT unnest(generate_series(1, {len(fields)})) AS i) g
+     WHERE contains(lower(instruction), ({list_lit(fields)})[i]))"""
+
+
+def _explode(rel_list_sql: str, ord_name: str, val_name: str) -> str:
+    return f"""
+    (WITH a AS ({rel_list_sql}),
+          b AS (SELECT job_id, l, unnest(generate_series(1, len(l))) AS i FROM a)
+     SELECT job_id, i - 1 AS {ord_name}, l[i] AS {val_name} FROM b)"""
+
+
+def quoted_entity_list(instr: str = "instruction") -> str:
+    return f"list_filter(regexp_extract_all({instr}, {lit(ANY_QUOTED)}, 1), lambda s: length(s) > 3)"
+
+
+def company_entity_list(instr: str = "instruction") -> str:
+    lists = [f"list_transform(regexp_extract_all({instr}, {lit(p)}, 1), lambda s: {strip('s')})"
+             for p in company_patterns()]
+    return f"list_filter(list_concat({', '.join(lists)}), lambda s: length(s) > 3)"
+
+
+def key_entities(jobs: str = "jobs") -> str:
+    """(job_id, ent_ord, entity), first-occurrence order."""
+    return f"""
+    (WITH a AS (SELECT job_id, list_concat({quoted_entity_list()}, {company_entity_list()}) AS l FROM {jobs}),
+          b AS (SELECT job_id, l, unnest(generate_series(1, len(l))) AS i FROM a),
+          c AS (SELECT job_id, i, l[i] AS entity,
+                       row_number() OVER (PARTITION BY job_id, l[i] ORDER BY i) AS rn FROM b),
+          d AS (SELECT job_id, entity, row_number() OVER (PARTITION BY job_id ORDER BY i) - 1 AS ent_ord
+                FROM c WHERE rn = 1)
+     SELECT job_id, ent_ord, entity FROM d)"""
+
+
+REPLACEMENT_PAIR = rf"""(?:from{WS}+)?['"]([^'"]+)['"]{WS}+to{WS}+['"]([^'"]+)['"]"""

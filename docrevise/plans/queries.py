@@ -132,3 +132,95 @@ SELECT job_id, CAST(i - 1 AS BIGINT) AS ord, o[i] AS old, w[i] AS new FROM b""")
 def i8_replacement_pairs(spark, sf):
     """I8: (old, new) pairs stated as from 'X' to 'Y'."""
     return I.replacement_pairs(corpus_requests(spark, sf)).select("job_id", F.col("ord").cast("long"), "old", "new")
+
+
+# ====================================================================== T1-T10
+FIELDS, MARKERS, SEP = FX.CORPUS_FIELDS, FX.CORPUS_MARKERS, FX.QUERY_SEPARATOR
+
+
+def _fields_terms(jobs):
+    return I.field_mentions(jobs.select("job_id", "instruction"), FIELDS).select(
+        "job_id", F.col("field_ord").alias("k1"), F.col("field").alias("term"))
+
+
+@register("t1_occurrences", f"""{_JOBS},
+f AS (SELECT job_id, field_ord AS k1, field AS term FROM {S.field_mentions(FIELDS)}),
+o AS {S.occurrences('f', ['k1'])}
+SELECT job_id, term, CAST(occ AS BIGINT) AS occ, CAST(pos AS BIGINT) AS pos FROM o""")
+def t1_occurrences(spark, sf):
+    """Every non-overlapping, case-insensitive occurrence of each field
+    the instruction mentions, over the whole document text."""
+    jobs = corpus_jobs(spark, sf)
+    o = T.occurrences(jobs, _fields_terms(jobs), ["k1"])
+    return o.select("job_id", "term", F.col("occ").cast("long"), F.col("pos").cast("long"))
+
+
+def _tsel(df):
+    return df.select("job_id", F.col("k1").cast("long"), F.col("k2").cast("long"), F.col("k3").cast("long"), "target")
+
+
+_TSQL = "SELECT job_id, CAST(k1 AS BIGINT) AS k1, CAST(k2 AS BIGINT) AS k2, CAST(k3 AS BIGINT) AS k3, target FROM w"
+
+
+@register("t2_quoted_windows", f"{_JOBS}, w AS {S.quoted_windows()} {_TSQL}")
+def t2_quoted_windows(spark, sf):
+    """Context windows (100 before, 200 after) around every quoted-span hit."""
+    return _tsel(T.quoted_windows(corpus_jobs(spark, sf)))
+
+
+@register("t3_action_windows", f"{_JOBS}, w AS {S.action_windows(K.ACTION_VERBS)} {_TSQL}")
+def t3_action_windows(spark, sf):
+    """Window around the first hit of each action phrase."""
+    return _tsel(T.action_windows(corpus_jobs(spark, sf)))
+
+
+@register("t4_field_windows", f"{_JOBS}, w AS {S.field_windows(FIELDS)} {_TSQL}")
+def t4_field_windows(spark, sf):
+    """T4: windows (50 before, 200 after) around every hit of mentioned fields."""
+    return _tsel(T.field_windows(corpus_jobs(spark, sf), FIELDS))
+
+
+@register("t5_target_candidates", f"""{_JOBS}, w AS {S.candidates(FIELDS, K.ACTION_VERBS)}
+SELECT job_id, CAST(src AS BIGINT) AS src, CAST(k1 AS BIGINT) AS k1, CAST(k2 AS BIGINT) AS k2,
+       CAST(k3 AS BIGINT) AS k3, target FROM w""")
+def t5_target_candidates(spark, sf):
+    """T5: all candidates with their order key (src, k1, k2, k3)."""
+    c = T.target_candidates(corpus_jobs(spark, sf), FIELDS)
+    return c.select("job_id", F.col("src").cast("long"), F.col("k1").cast("long"), F.col("k2").cast("long"),
+                    F.col("k3").cast("long"), "target")
+
+
+@register("t6_drop_contained", f"""{_JOBS}, k AS {S.drop_contained(S.candidates(FIELDS, K.ACTION_VERBS))}
+SELECT job_id, CAST(t_ord AS BIGINT) AS t_ord, target FROM k""")
+def t6_drop_contained(spark, sf):
+    """Ordered candidates with contained / containing ones dropped."""
+    k = T.drop_contained(T.target_candidates(corpus_jobs(spark, sf), FIELDS))
+    return k.select("job_id", F.col("t_ord").cast("long"), "target")
+
+
+@register("t7_entity_presence", f"""{_JOBS}, p AS {S.presence()}
+SELECT job_id, CAST(ent_ord AS BIGINT) AS ent_ord, entity, found FROM p""")
+def t7_entity_presence(spark, sf):
+    """Whether each key entity occurs in the document (case-insensitive)."""
+    p = T.entity_presence(corpus_jobs(spark, sf))
+    return p.select("job_id", F.col("ent_ord").cast("long"), "entity", "found")
+
+
+@register("t8_entity_paragraphs", f"{_JOBS}, pr AS {S.presence()}, w AS {S.paragraphs(SEP, 'pr')} {_TSQL}")
+def t8_entity_paragraphs(spark, sf):
+    """The paragraph (separator: newline) around every found-entity hit."""
+    return _tsel(T.entity_paragraphs(corpus_jobs(spark, sf), SEP))
+
+
+@register("t9_partial_entity_windows", f"{_JOBS}, pr AS {S.presence()}, w AS {S.partial_windows('pr')} {_TSQL}")
+def t9_partial_entity_windows(spark, sf):
+    """Two-word partial entity windows for jobs whose entities are all missing."""
+    return _tsel(T.partial_entity_windows(corpus_jobs(spark, sf)))
+
+
+@register("t10_target_sections", f"""{_JOBS}, s AS {S.sections(FIELDS, K.ACTION_VERBS, SEP)}
+SELECT job_id, target, CAST(n AS BIGINT) AS n FROM s""")
+def t10_target_sections(spark, sf):
+    """Final target list with repeat counts."""
+    s = T.target_sections(corpus_jobs(spark, sf), FIELDS, sep=SEP)
+    return s.select("job_id", "target", F.col("n").cast("long"))

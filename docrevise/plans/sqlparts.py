@@ -181,3 +181,81 @@ def key_entities(jobs: str = "jobs") -> str:
 
 
 REPLACEMENT_PAIR = rf"""(?:from{WS}+)?['"]([^'"]+)['"]{WS}+to{WS}+['"]([^'"]+)['"]"""
+
+
+def quoted_windows(jobs: str = "jobs") -> str:
+    return f"""
+    (WITH s AS {quoted_spans(jobs)}, o AS {occurrences('s', ['k1'], jobs)}
+     SELECT o.job_id, 1 AS src, o.k1, 0 AS k2, o.occ AS k3,
+            {window('j.text', 'o.pos', 'o.L', 'j.n', 100, 200)} AS target
+     FROM o JOIN {jobs} j USING (job_id))"""
+
+
+def action_windows(verbs, jobs: str = "jobs") -> str:
+    return f"""
+    (WITH p AS {parts(jobs)}, a AS {action_phrases('p', verbs)},
+          h AS (SELECT a.job_id, a.part_ord, a.verb_ord, a.search, strpos(j.lt, lower(a.search)) - 1 AS hit,
+                       j.text, j.n FROM a JOIN {jobs} j USING (job_id))
+     SELECT job_id, 2 AS src, part_ord AS k1, verb_ord AS k2, 0 AS k3,
+            {window('text', 'hit', 'length(search)', 'n', 100, 200)} AS target
+     FROM h WHERE hit >= 0)"""
+
+
+def field_windows(fields, jobs: str = "jobs") -> str:
+    return f"""
+    (WITH f AS (SELECT job_id, field_ord AS k1, field AS term FROM {field_mentions(fields, jobs)}),
+          o AS {occurrences('f', ['k1'], jobs)}
+     SELECT o.job_id, 3 AS src, o.k1, 0 AS k2, o.occ AS k3,
+            {window('j.text', 'o.pos', 'o.L', 'j.n', 50, 200)} AS target
+     FROM o JOIN {jobs} j USING (job_id))"""
+
+
+def candidates(fields, verbs, jobs: str = "jobs") -> str:
+    return f"""
+    (SELECT * FROM {quoted_windows(jobs)} UNION ALL SELECT * FROM {action_windows(verbs, jobs)}
+     UNION ALL SELECT * FROM {field_windows(fields, jobs)})"""
+
+
+def presence(jobs: str = "jobs") -> str:
+    return f"""
+    (SELECT e.job_id, e.ent_ord, e.entity, contains(j.lt, lower(e.entity)) AS found
+     FROM {key_entities(jobs)} e JOIN {jobs} j USING (job_id))"""
+
+
+def paragraphs(sep: str, pres: str, jobs: str = "jobs") -> str:
+    rs = lit(sep[::-1])
+    sp = lit(sep)
+    return f"""
+    (WITH f AS (SELECT job_id, ent_ord AS k1, entity AS term FROM {pres} WHERE found),
+          o AS {occurrences('f', ['k1'], jobs)},
+          b AS (SELECT o.job_id, o.k1, o.occ, o.pos, j.text, j.n,
+                       strpos(reverse(substring(j.text, 1, o.pos)), {rs}) AS r,
+                       strpos(substring(j.text, o.pos + 1), {sp}) AS r2
+                FROM o JOIN {jobs} j USING (job_id)),
+          c AS (SELECT *, CASE WHEN r > 0 THEN pos - r + 1 ELSE 0 END AS ps,
+                          CASE WHEN r2 > 0 THEN pos + r2 - 1 ELSE n END AS pe FROM b)
+     SELECT job_id, 4 AS src, k1, 0 AS k2, occ AS k3, substring(text, ps + 1, pe - ps) AS target FROM c)"""
+
+
+def partial_windows(pres: str, jobs: str = "jobs") -> str:
+    words = pysplit("entity")
+    return f"""
+    (WITH nf AS (SELECT job_id FROM {pres} GROUP BY job_id HAVING NOT bool_or(found)),
+          e AS (SELECT p.job_id, p.ent_ord, {words} AS w FROM {pres} p WHERE p.job_id IN (SELECT job_id FROM nf)),
+          b AS (SELECT job_id, ent_ord, w, unnest(generate_series(1, len(w) - 1)) AS i FROM e),
+          c AS (SELECT job_id, ent_ord, i - 1 AS b_ord, w[i] || ' ' || w[i + 1] AS partial FROM b),
+          h AS (SELECT c.*, strpos(j.lt, lower(c.partial)) - 1 AS hit, j.text, j.n
+                FROM c JOIN {jobs} j USING (job_id) WHERE length(c.partial) >= 5)
+     SELECT job_id, 5 AS src, ent_ord AS k1, b_ord AS k2, 0 AS k3,
+            {window('text', 'hit', 'length(partial)', 'n', 100, 100)} AS target FROM h WHERE hit >= 0)"""
+
+
+def sections(fields, verbs, sep: str, jobs: str = "jobs") -> str:
+    """T10 body: (job_id, target, n)."""
+    return f"""
+    (WITH pr AS {presence(jobs)},
+          k AS {drop_contained(candidates(fields, verbs, jobs))},
+          a AS (SELECT job_id, target FROM k
+                UNION ALL SELECT job_id, target FROM {paragraphs(sep, 'pr', jobs)}
+                UNION ALL SELECT job_id, target FROM {partial_windows('pr', jobs)})
+     SELECT job_id, target, count(*) AS n FROM a GROUP BY ALL)"""

@@ -224,3 +224,112 @@ def t10_target_sections(spark, sf):
     """Final target list with repeat counts."""
     s = T.target_sections(corpus_jobs(spark, sf), FIELDS, sep=SEP)
     return s.select("job_id", "target", F.col("n").cast("long"))
+
+
+# ====================================================================== C1-C5
+def _csel():
+    return ["job_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("start").cast("long").alias("start"),
+            F.col("end").cast("long").alias("end")]
+
+
+@register("c1_recursive_chunks")
+def c1_recursive_chunks(spark, sf):
+    """Separator-aware overlapping chunks (own contract, checked by
+    property tests; no SQL oracle)."""
+    ch = C.chunk_recursive(flagship_jobs(spark, sf), SIZE, OVERLAP)
+    return ch.select(*_csel(), F.length("text").cast("long").alias("n_chars"))
+
+
+@register("c2_fixed_chunks", f"""{_JOBS}, c AS {S.fixed_chunks(SIZE, OVERLAP)}
+SELECT job_id, chunk_no, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", ctext AS text FROM c""")
+def c2_fixed_chunks(spark, sf):
+    """Fixed-width overlapping chunks of every document."""
+    return C.chunk_fixed(corpus_jobs(spark, sf), SIZE, OVERLAP).select(*_csel(), "text")
+
+
+@register("c3_small_document_chunks", f"""{_JOBS},
+small AS (SELECT job_id, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS start, CAST(n AS BIGINT) AS "end",
+                 length({S.text_page('text')}) > n AS is_html,
+                 CASE WHEN length({S.text_page('text')}) > n THEN {S.text_page('text')} ELSE text END AS text
+          FROM jobs WHERE n < {SIZE}),
+big AS (SELECT job_id, chunk_no, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", false AS is_html,
+               ctext AS text FROM {S.fixed_chunks(SIZE, OVERLAP, '(SELECT * FROM jobs WHERE n >= ' + str(SIZE) + ')')})
+SELECT * FROM small UNION ALL SELECT * FROM big""")
+def c3_small_document_chunks(spark, sf):
+    """Short documents bypass chunking (one chunk, HTML page if longer)."""
+    ch = C.small_document_chunks(corpus_jobs(spark, sf), SIZE, OVERLAP, chunker=C.chunk_fixed)
+    return ch.select(*_csel(), "is_html", "text")
+
+
+@register("c4_label_chunks", f"""{_JOBS}, c AS {S.fixed_chunks(SIZE, OVERLAP)}
+SELECT job_id, chunk_no, CAST(count(*) OVER (PARTITION BY job_id) AS BIGINT) AS n_chunks,
+       CAST(chunk_no + 1 AS VARCHAR) || '/' || CAST(count(*) OVER (PARTITION BY job_id) AS VARCHAR) AS label FROM c""")
+def c4_label_chunks(spark, sf):
+    """C4: chunk count per job and the i/n label."""
+    ch = C.label_chunks(C.chunk_fixed(corpus_jobs(spark, sf), SIZE, OVERLAP))
+    return ch.select("job_id", F.col("chunk_no").cast("long"), F.col("n_chunks").cast("long"), "label")
+
+
+@register("c5_output_budget", f"""{_JOBS}, c AS {S.fixed_chunks(SIZE, OVERLAP)}
+SELECT job_id, chunk_no, CAST(least(length(ctext) + 500, 4000) AS BIGINT) AS max_tokens FROM c""")
+def c5_output_budget(spark, sf):
+    """Output token budget per chunk."""
+    ch = C.output_budget(C.chunk_fixed(corpus_jobs(spark, sf), SIZE, OVERLAP))
+    return ch.select("job_id", F.col("chunk_no").cast("long"), F.col("max_tokens").cast("long"))
+
+
+# ====================================================================== P1-P5
+def _scored(spark, sf):
+    jobs = corpus_jobs(spark, sf)
+    targets = T.target_sections(jobs, FIELDS, sep=SEP)
+    chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
+    return jobs, targets, P.score_chunks(jobs, chunks, targets, MARKERS, SIZE)
+
+
+_SC = S.scored_chunks(SIZE, OVERLAP, FIELDS, K.ACTION_VERBS, SEP, MARKERS)
+
+
+@register("p1_target_scores", f"""{_JOBS}, s AS {_SC}
+SELECT job_id, chunk_no, target_score FROM s""")
+def p1_target_scores(spark, sf):
+    """Target score of every chunk (occurrence-mapped, no chunk x target pairs)."""
+    _, _, sc = _scored(spark, sf)
+    return sc.select("job_id", F.col("chunk_no").cast("long"), "target_score")
+
+
+@register("p2_marker_scores", f"""{_JOBS}, c AS {S.fixed_chunks(SIZE, OVERLAP)}
+SELECT job_id, chunk_no, {S.marker_score('ctext', MARKERS)} AS marker_score FROM c""")
+def p2_marker_scores(spark, sf):
+    """Structure-marker score of every chunk."""
+    ch = P.score_markers(C.chunk_fixed(corpus_jobs(spark, sf), SIZE, OVERLAP), MARKERS)
+    return ch.select("job_id", F.col("chunk_no").cast("long"), "marker_score")
+
+
+@register("p3_rank_chunks", f"""{_JOBS}, s AS {_SC}
+SELECT job_id, chunk_no, score,
+       CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, chunk_no) AS BIGINT) AS rank FROM s""")
+def p3_rank_chunks(spark, sf):
+    """Chunks ranked by score, ties by document order."""
+    _, _, sc = _scored(spark, sf)
+    return P.rank_chunks(sc).select("job_id", F.col("chunk_no").cast("long"), "score", F.col("rank").cast("long"))
+
+
+_GATE_SQL = f"""{_JOBS}, s AS {_SC},
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, chunk_no) AS rk,
+             count(*) OVER (PARTITION BY job_id) AS nc FROM s),
+g AS (SELECT job_id, chunk_no, score, (n >= {SIZE} AND nc >= 3 AND n_targets > 0) AS ranked, rk FROM r)
+SELECT job_id, chunk_no, score, ranked, CAST(CASE WHEN ranked THEN rk ELSE chunk_no + 1 END AS BIGINT) AS rank FROM g"""
+
+
+@register("p4_ranking_gate", _GATE_SQL)
+def p4_ranking_gate(spark, sf):
+    """Rank only long documents with > 2 chunks and some target."""
+    jobs, targets, sc = _scored(spark, sf)
+    g = P.apply_ranking_gate(P.rank_chunks(sc), jobs, targets, SIZE)
+    return g.select("job_id", F.col("chunk_no").cast("long"), "score", "ranked", F.col("rank").cast("long"))
+
+
+@register("p5_top_chunks", f"SELECT * FROM ({_GATE_SQL}) WHERE rank <= 2")
+def p5_top_chunks(spark, sf):
+    """P5: the two best chunks of every job."""
+    return p4_ranking_gate(spark, sf).where(F.col("rank") <= 2)

@@ -259,3 +259,33 @@ def sections(fields, verbs, sep: str, jobs: str = "jobs") -> str:
                 UNION ALL SELECT job_id, target FROM {paragraphs(sep, 'pr', jobs)}
                 UNION ALL SELECT job_id, target FROM {partial_windows('pr', jobs)})
      SELECT job_id, target, count(*) AS n FROM a GROUP BY ALL)"""
+
+
+def html_escape(expr: str) -> str:
+    out = f"replace({expr}, '&', '&amp;')"
+    out = f"replace({out}, '<', '&lt;')"
+    out = f"replace({out}, '>', '&gt;')"
+    out = f"replace({out}, '\"', '&quot;')"
+    return f"replace({out}, '''', '&#x27;')"
+
+
+def text_page(expr: str) -> str:
+    return f"('<!DOCTYPE html><html><body><pre>' || {html_escape(expr)} || '</pre></body></html>')"
+
+
+def marker_score(text_expr: str, markers) -> str:
+    return f"CAST(len(list_filter({list_lit(markers)}, lambda m: contains(lower({text_expr}), m))) AS BIGINT)"
+
+
+def scored_chunks(size: int, overlap: int, fields, verbs, sep: str, markers, jobs: str = "jobs") -> str:
+    """(job_id, doc_id, chunk_no, n, target_score, marker_score, score) for fixed chunks."""
+    return f"""
+    (WITH c AS {fixed_chunks(size, overlap, jobs)},
+          t AS {sections(fields, verbs, sep, jobs)},
+          p AS {target_points('c', 't')},
+          s AS (SELECT job_id, chunk_no, sum(p) AS ts FROM p GROUP BY ALL)
+     SELECT c.job_id, c.doc_id, c.chunk_no, j.n, CAST(coalesce(s.ts, 0) AS BIGINT) AS target_score,
+            {marker_score('c.ctext', markers)} AS marker_score,
+            CAST(coalesce(s.ts, 0) AS BIGINT) + {marker_score('c.ctext', markers)} AS score,
+            (SELECT count(*) FROM t WHERE t.job_id = c.job_id) AS n_targets
+     FROM c LEFT JOIN s USING (job_id, chunk_no) JOIN {jobs} j USING (job_id))"""

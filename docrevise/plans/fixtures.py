@@ -95,3 +95,50 @@ def sql_str(s: str) -> str:
     """A DuckDB string literal for ``s`` (newlines via chr(10))."""
     lit = "'" + s.replace("'", "''") + "'"
     return lit.replace("\n", "' || chr(10) || '")
+
+
+# ---------------------------------------------------------------- call log from events
+# Error texts given to failed calls (chosen by user_id mod 4).
+CALL_ERRORS = [
+    "ThrottlingException: Rate exceeded",
+    "ServiceUnavailableException: ServiceUnavailable",
+    "ClientError: The security token included in the request is invalid",
+    "ValidationException: malformed input",
+]
+
+
+def call_log_from_events(events: DataFrame) -> DataFrame:
+    """A model-call log derived from ``events``: one call per event, job =
+    user, chunk = event id; 'error' events failed; the body layout depends on
+    the event type (outputs / generation / empty outputs + text / content)."""
+    eid = F.col("event_id").cast("string")
+    err = F.lit(None).cast("string")
+    for i, e in enumerate(CALL_ERRORS):
+        err = F.when(F.pmod(F.col("user_id"), F.lit(len(CALL_ERRORS))) == i, F.lit(e)).otherwise(err)
+    et = F.col("event_type")
+    body = (F.when(et == "view", F.concat(F.lit('{"outputs": [{"text": "revised text for event '), eid, F.lit('"}]}')))
+            .when(et == "click", F.concat(F.lit('{"generation": "generated text '), eid, F.lit('"}')))
+            .when(et == "purchase", F.concat(F.lit('{"outputs": [], "text": "t'), eid, F.lit('"}')))
+            .when(et == "signup", F.concat(F.lit('{"content": [{"text": "message text '), eid, F.lit('"}]}'))))
+    return events.select(
+        F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+        F.col("event_id").alias("chunk_no"), F.col("ts").cast("timestamp").alias("ts"),
+        (et != "error").alias("ok"), F.when(et == "error", err).alias("error"), body.alias("body"),
+        (et == "signup").alias("family"),
+        F.concat(F.lit("original text of chunk "), eid).alias("text"))
+
+
+def sql_call_log() -> str:
+    errs = " ".join(f"WHEN {i} THEN {sql_str(e)}" for i, e in enumerate(CALL_ERRORS))
+    return f"""SELECT 'job-' || CAST(user_id AS VARCHAR) AS job_id, event_id AS chunk_no, ts,
+       event_type <> 'error' AS ok,
+       CASE WHEN event_type = 'error' THEN CASE (user_id % {len(CALL_ERRORS)}) {errs} END END AS error,
+       CASE event_type
+         WHEN 'view' THEN '{{"outputs": [{{"text": "revised text for event ' || CAST(event_id AS VARCHAR) || '"}}]}}'
+         WHEN 'click' THEN '{{"generation": "generated text ' || CAST(event_id AS VARCHAR) || '"}}'
+         WHEN 'purchase' THEN '{{"outputs": [], "text": "t' || CAST(event_id AS VARCHAR) || '"}}'
+         WHEN 'signup' THEN '{{"content": [{{"text": "message text ' || CAST(event_id AS VARCHAR) || '"}}]}}'
+       END AS body,
+       event_type = 'signup' AS family,
+       'original text of chunk ' || CAST(event_id AS VARCHAR) AS text
+FROM events"""

@@ -289,3 +289,39 @@ def scored_chunks(size: int, overlap: int, fields, verbs, sep: str, markers, job
             CAST(coalesce(s.ts, 0) AS BIGINT) + {marker_score('c.ctext', markers)} AS score,
             (SELECT count(*) FROM t WHERE t.job_id = c.job_id) AS n_targets
      FROM c LEFT JOIN s USING (job_id, chunk_no) JOIN {jobs} j USING (job_id))"""
+
+
+def error_class(err: str = "error") -> str:
+    from docrevise.functions import constants as K
+    def any_of(words):
+        return "(" + " OR ".join(f"contains({err}, {lit(w)})" for w in words) + ")"
+    cred = f"({any_of(K.CREDENTIAL_ERRORS)} OR contains(lower({err}), {lit(K.CREDENTIAL_PHRASE_LOWER)}))"
+    return (f"CASE WHEN {err} IS NULL THEN NULL WHEN {cred} THEN 'credentials' "
+            f"WHEN {any_of(K.THROTTLE_ERRORS)} THEN 'throttled' "
+            f"WHEN {any_of(K.UNAVAILABLE_ERRORS)} THEN 'unavailable' ELSE 'other' END")
+
+
+def _has(body: str, key: str) -> str:
+    return f"coalesce(list_contains(json_keys({body}), {lit(key)}), false)"
+
+
+def response_text(body: str = "body", rule: str = "hosted", family: str = "family") -> str:
+    out0 = f"coalesce(json_extract_string({body}, '$.outputs[0].text'), '')"
+    gen = f"coalesce(json_extract_string({body}, '$.generation'), '')"
+    n = f"coalesce(json_array_length({body}, '$.outputs'), 0)"
+    if rule == "hosted":
+        return (f"CASE WHEN {_has(body, 'outputs')} AND {n} > 0 THEN {out0} "
+                f"WHEN {_has(body, 'generation')} THEN {gen} ELSE '' END")
+    return (f"CASE WHEN {family} THEN coalesce(json_extract_string({body}, '$.content[0].text'), '') "
+            f"WHEN {_has(body, 'generation')} THEN {gen} WHEN {_has(body, 'outputs')} THEN {out0} "
+            f"WHEN {_has(body, 'text')} THEN coalesce(json_extract_string({body}, '$.text'), '') ELSE {body} END")
+
+
+def pairs_list(instr: str = "instruction") -> str:
+    o = f"regexp_extract_all({instr}, {lit(REPLACEMENT_PAIR)}, 1)"
+    w = f"regexp_extract_all({instr}, {lit(REPLACEMENT_PAIR)}, 2)"
+    return f"list_transform(generate_series(1, len({o})), lambda i: {{'old': ({o})[i], 'new': ({w})[i]}})"
+
+
+def literal_revise(text: str, pairs: str) -> str:
+    return f"list_reduce({pairs}, lambda t, p: replace(t, p.old, p.new), {text})"

@@ -2,4 +2,5 @@
 
 from docrevise.plans import queries  # noqa: F401
 from docrevise.plans import queries_revision  # noqa: F401
+from docrevise.plans import queries_html  # noqa: F401
 from docrevise.plans.registry import REGISTRY  # noqa: F401

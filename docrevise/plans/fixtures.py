@@ -16,7 +16,7 @@ with the corpus, and DuckDB can build the same rows for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The flagship instruction (a license line that occurs in the corpus).
@@ -142,3 +142,76 @@ def sql_call_log() -> str:
        event_type = 'signup' AS family,
        'original text of chunk ' || CAST(event_id AS VARCHAR) AS text
 FROM events"""
+
+
+# ---------------------------------------------------------------- spans from documents
+# Synthetic page geometry for the spans table derived from documents.
+PAGE_WIDTH = 612.0
+LINES_PER_PAGE, LINES_PER_BLOCK = 40, 5
+LEFT_MARGIN, INDENT_STEP, CHAR_WIDTH, LINE_HEIGHT, TOP = 72.0, 15.0, 5.5, 14.0, 72.0
+
+
+def spans_from_documents(docs: DataFrame) -> DataFrame:
+    """A positioned-spans table (FIXTURES ``spans``) derived from documents:
+    each text line is a layout line of two spans (first word, rest)."""
+    x = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("li", "line"))
+    w0 = F.substring_index(F.col("line"), " ", 1)
+    x = x.select("doc_id", "li", "line", w0.alias("w0"),
+                 F.call_function("substring", F.col("line"), F.length(w0) + 1).alias("w1"))
+    x0 = F.lit(LEFT_MARGIN) + F.pmod(F.col("li"), F.lit(4)) * INDENT_STEP
+    x1 = x0 + F.length("w0") * CHAR_WIDTH
+    base = [F.col("doc_id"), F.floor(F.col("li") / LINES_PER_PAGE).cast("int").alias("page_no"),
+            F.lit(PAGE_WIDTH).alias("page_width"),
+            F.floor(F.pmod(F.col("li"), F.lit(LINES_PER_PAGE)) / LINES_PER_BLOCK).cast("int").alias("block_no"),
+            F.pmod(F.col("li"), F.lit(LINES_PER_BLOCK)).cast("int").alias("line_no")]
+    oy = (F.lit(TOP) + F.pmod(F.col("li"), F.lit(LINES_PER_BLOCK)) * LINE_HEIGHT).alias("origin_y")
+    s0 = x.select(*base, F.lit(0).alias("span_no"), F.col("w0").alias("text"), x0.alias("x0"), x1.alias("x1"), oy,
+                  F.when(F.pmod(F.col("li"), F.lit(6)) == 0, "Times-Bold").otherwise("Times-Roman").alias("font"),
+                  F.lit(0).alias("flags"))
+    s1 = x.select(*base, F.lit(1).alias("span_no"), F.col("w1").alias("text"), x1.alias("x0"),
+                  (x1 + F.length("w1") * CHAR_WIDTH).alias("x1"), oy, F.lit("Times-Roman").alias("font"),
+                  F.when(F.pmod(F.col("li"), F.lit(11)) == 0, 16).otherwise(0).alias("flags"))
+    return s0.unionByName(s1)
+
+
+def sql_spans() -> str:
+    x0 = f"({LEFT_MARGIN}::DOUBLE + (li % 4) * {INDENT_STEP}::DOUBLE)"
+    x1 = f"({x0} + length(w0) * {CHAR_WIDTH}::DOUBLE)"
+    base = (f"doc_id, CAST(li // {LINES_PER_PAGE} AS INT) AS page_no, {PAGE_WIDTH}::DOUBLE AS page_width, "
+            f"CAST((li % {LINES_PER_PAGE}) // {LINES_PER_BLOCK} AS INT) AS block_no, "
+            f"CAST(li % {LINES_PER_BLOCK} AS INT) AS line_no")
+    oy = f"({TOP}::DOUBLE + (li % {LINES_PER_BLOCK}) * {LINE_HEIGHT}::DOUBLE) AS origin_y"
+    return f"""(WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  b AS (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM a),
+  c AS (SELECT doc_id, i - 1 AS li, l[i] AS line, split_part(l[i], ' ', 1) AS w0 FROM b),
+  d AS (SELECT *, substring(line, length(w0) + 1) AS w1 FROM c)
+SELECT {base}, 0 AS span_no, w0 AS text, {x0} AS x0, {x1} AS x1, {oy},
+       CASE WHEN li % 6 = 0 THEN 'Times-Bold' ELSE 'Times-Roman' END AS font, 0 AS flags FROM d
+UNION ALL
+SELECT {base}, 1 AS span_no, w1 AS text, {x1} AS x0, {x1} + length(w1) * {CHAR_WIDTH}::DOUBLE AS x1, {oy},
+       'Times-Roman' AS font, CASE WHEN li % 11 = 0 THEN 16 ELSE 0 END AS flags FROM d)"""
+
+
+# ---------------------------------------------------------------- responses from conversations
+def responses_from_conversations(conv: DataFrame) -> DataFrame:
+    """Model responses derived from assistant turns: plain, wrapped in double
+    quotes, in an html code fence, or quoted fenced HTML (turn mod 4); the
+    original is the previous turn's text."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = conv.withColumn("original", F.coalesce(F.lag("text").over(w), F.lit("")))
+    t = F.col("text")
+    k = F.pmod(F.col("turn"), F.lit(4))
+    raw = (F.when(k == 0, t).when(k == 1, F.concat(F.lit('"'), t, F.lit('"')))
+           .when(k == 2, F.concat(F.lit("```html\n"), t, F.lit("\n```")))
+           .otherwise(F.concat(F.lit('"```html<div>'), t, F.lit('</div>```"'))))
+    return c.where(F.col("role") == "assistant").select("conv_id", "turn", raw.alias("response"), "original")
+
+
+def sql_responses() -> str:
+    return """(WITH c AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS original
+                FROM conversations)
+SELECT conv_id, turn,
+       CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '"' || text || '"'
+                     WHEN 2 THEN '```html' || chr(10) || text || chr(10) || '```'
+                     ELSE '"```html<div>' || text || '</div>```"' END AS response, original
+FROM c WHERE role = 'assistant')"""

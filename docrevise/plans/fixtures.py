@@ -215,3 +215,38 @@ SELECT conv_id, turn,
                      WHEN 2 THEN '```html' || chr(10) || text || chr(10) || '```'
                      ELSE '"```html<div>' || text || '</div>```"' END AS response, original
 FROM c WHERE role = 'assistant')"""
+
+
+# ---------------------------------------------------------------- job log from events
+# Event type -> job status, and status -> progress.
+STATUS_OF_EVENT = {"signup": "queued", "view": "processing", "click": "processing",
+                   "purchase": "completed", "error": "error"}
+PROGRESS_OF_STATUS = {"queued": 0, "processing": 40, "completed": 100, "error": 100}
+NOW = "2024-02-01 00:00:00"
+
+
+def job_log_from_events(events: DataFrame) -> DataFrame:
+    """Append-only job log (FIXTURES ``job_log``) derived from ``events``:
+    job = user, seq = event id, status from the event type."""
+    st = F.lit(None).cast("string")
+    for k, v in STATUS_OF_EVENT.items():
+        st = F.when(F.col("event_type") == k, F.lit(v)).otherwise(st)
+    pr = F.lit(None).cast("int")
+    for k, v in PROGRESS_OF_STATUS.items():
+        pr = F.when(st == k, F.lit(v)).otherwise(pr)
+    return events.select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+                         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+                         st.alias("status"), pr.alias("progress"),
+                         F.concat(F.lit("event "), F.col("event_type"), F.lit(" "), F.col("props")).alias("message"))
+
+
+def sql_job_log() -> str:
+    st = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_OF_EVENT.items()) + " END"
+    pr = "CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PROGRESS_OF_STATUS.items()) + " END"
+    return f"""(WITH a AS (SELECT 'job-' || CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, ts, {st} AS status,
+                        'event ' || event_type || ' ' || props AS message FROM events)
+SELECT job_id, seq, ts, status, {pr} AS progress, message FROM a)"""
+
+
+def now_col():
+    return F.lit(NOW).cast("timestamp")

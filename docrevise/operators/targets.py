@@ -27,30 +27,46 @@ from docrevise.operators import instructions as I
 
 
 # ---------------------------------------------------------------- jobs
-def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(job_id, doc_id, instruction) joined to (doc_id, text).
-
-    Adds ``lower_text`` and ``n_chars`` after the exchange, so that only the
-    original text crosses the network.  Requests that name a missing document
-    are dropped (inner join).
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``) and cut its lineage.  The stored table keeps
+    its hash partitioning, so later joins and windows on ``job_id`` add no
+    exchange; a lost executor re-reads it instead of recomputing the plan."""
+    from docrevise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _finish_jobs(jobs: DataFrame, materialized: bool) -> DataFrame:
+    jobs = jobs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("n_chars", F.length("text"))
+    if materialized:
+        jobs = materialize(jobs)
+    # lower-cased text is derived after the exchange / checkpoint, never stored
+    return jobs.withColumn("lower_text", F.lower("text"))
+
+
+def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None = None,
+                 materialized: bool = True) -> DataFrame:
+    """(job_id, doc_id, instruction) joined to (doc_id, text), hash-partitioned
+    by ``job_id`` and (by default) materialized once.
+
+    Adds ``n_chars`` and ``lower_text``.  Requests that name a missing
+    document are dropped (inner join).
     """
     docs = docs.select("doc_id", "text")
     jobs = requests.join(docs, "doc_id")
     jobs = jobs.repartition(partitions, "job_id") if partitions else jobs.repartition("job_id")
-    return (jobs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-            .withColumn("lower_text", F.lower("text"))
-            .withColumn("n_chars", F.length("text")))
+    return _finish_jobs(jobs, materialized)
 
 
-def jobs_from_documents(docs: DataFrame, instruction: str | Column, partitions: int | None = None) -> DataFrame:
+def jobs_from_documents(docs: DataFrame, instruction: str | Column, partitions: int | None = None,
+                        materialized: bool = True) -> DataFrame:
     """One job per document, all with the same instruction (no join needed)."""
     instr = instruction if isinstance(instruction, Column) else F.lit(instruction)
     req = docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
                       "doc_id", instr.alias("instruction"), "text")
     req = req.repartition(partitions, "job_id") if partitions else req.repartition("job_id")
-    return (req.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-            .withColumn("lower_text", F.lower("text"))
-            .withColumn("n_chars", F.length("text")))
+    return _finish_jobs(req, materialized)
 
 
 # ---------------------------------------------------------------- T1 occurrences

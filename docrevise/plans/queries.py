@@ -281,7 +281,7 @@ def c5_output_budget(spark, sf):
 # ====================================================================== P1-P5
 def _scored(spark, sf):
     jobs = corpus_jobs(spark, sf)
-    targets = T.target_sections(jobs, FIELDS, sep=SEP)
+    targets = T.materialize(T.target_sections(jobs, FIELDS, sep=SEP))
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
     return jobs, targets, P.score_chunks(jobs, chunks, targets, MARKERS, SIZE)
 

@@ -35,7 +35,7 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     changed_chunks) and ``summary``.
     """
     chunker = chunker or C.chunk_recursive
-    targets = T.target_sections(jobs, fields, verbs, sep)
+    targets = T.materialize(T.target_sections(jobs, fields, verbs, sep))
     chunks = C.label_chunks(C.small_document_chunks(jobs, size, overlap, use_html=use_html, chunker=chunker))
     scored = P.score_chunks(jobs, chunks, targets, markers, size)
     ranked = P.rank_chunks(scored)

@@ -48,7 +48,8 @@ def chunk_recursive(jobs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.
 
     Contract (see README): text = original[start, end); length <= size; the
     cut is placed after the last occurrence of the coarsest separator found in
-    the cut zone (the last ``zone`` characters of the window), a character
+    the cut zone (the second half of the window, or less when ``overlap``
+    exceeds a third of ``size``), a character
     cut only if none; the next chunk starts at the earliest separator
     boundary inside the previous chunk's last ``overlap`` characters (coarsest
     separator first), else at the previous end; starts and ends strictly
@@ -61,7 +62,9 @@ def chunk_recursive(jobs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.
     seps = [s for s in (separators or K.CHUNK_SEPARATORS) if s != ""]
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
-    zone = max(1, min(max(overlap, size // 4), size - overlap - 1)) if size - overlap > 1 else 1
+    # cuts are searched in the second half of the window (less if the overlap
+    # is large), so every step advances by at least size - zone - overlap
+    zone = max(1, min(size // 2, size - overlap - 1)) if size - overlap > 1 else 1
     progress = max(size - zone - overlap, 1)
     n = F.col("n_chars")
     text = F.col("text")

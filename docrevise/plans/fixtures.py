@@ -52,7 +52,10 @@ def phrase_col(text: Column) -> Column:
 
 
 def instruction_col(doc_id: Column, text: Column) -> Column:
-    a = phrase_col(text)
+    return fill_templates(doc_id, phrase_col(text))
+
+
+def fill_templates(doc_id: Column, a: Column) -> Column:
     slot = F.pmod(doc_id, F.lit(len(TEMPLATES)))
     out = F.lit(None).cast("string")
     for i, t in enumerate(TEMPLATES):
@@ -63,8 +66,9 @@ def instruction_col(doc_id: Column, text: Column) -> Column:
 
 def corpus_requests(docs: DataFrame) -> DataFrame:
     """(job_id, doc_id, instruction) - one templated request per document."""
-    return docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
-                       "doc_id", instruction_col(F.col("doc_id"), F.col("text")).alias("instruction"))
+    withp = docs.select("doc_id", phrase_col(F.col("text")).alias("_phrase"))
+    return withp.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
+                        "doc_id", fill_templates(F.col("doc_id"), F.col("_phrase")).alias("instruction"))
 
 
 # DuckDB versions of the same derivations, used inside oracle SQL.

@@ -69,25 +69,34 @@ def chunk_recursive(jobs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.
     n = F.col("n_chars")
     text = F.col("text")
 
+    def let(value, body):
+        # bind `value` once (lambda functions get no common-subexpression elimination)
+        return F.transform(F.array(value), body)[0]
+
     def cut_end(start):
         lo = start + F.lit(size - zone)
-        tail = F.call_function("substring", text, lo + 1, F.lit(zone))
-        cand = F.lit(None).cast("long")
-        for sep in reversed(seps):  # finest first, so the coarsest one found wins
-            after_last = F.length(F.substring_index(tail, sep, -1))
-            e = lo + F.length(tail) - after_last
-            cand = F.when(F.call_function("contains", tail, F.lit(sep)), e).otherwise(cand)
-        return F.when(start + size >= n, n).otherwise(F.coalesce(cand, start + size))
+
+        def in_tail(tl):
+            def with_len(tlen):
+                cands = [F.when(F.call_function("contains", tl, F.lit(sep)),
+                                lo + tlen - F.length(F.substring_index(tl, sep, -1))) for sep in seps]
+                return F.coalesce(*cands, start + size)  # coarsest separator first
+            return let(F.length(tl), with_len)
+
+        return F.when(start + size >= n, n).otherwise(
+            let(F.call_function("substring", text, lo + 1, F.lit(zone)), in_tail))
 
     def next_start(start, end):
         lo = F.greatest(end - overlap, start + 1)
-        zone_text = F.call_function("substring", text, lo + 1, end - lo)
-        cand = F.lit(None).cast("long")
-        for sep in seps:  # coarsest first
-            p = F.call_function("locate", F.lit(sep), zone_text)
-            b = lo + p - 1 + len(sep)
-            cand = F.when(cand.isNull() & (p > 0) & (b < end), b).otherwise(cand)
-        return F.when(end >= n, n).otherwise(F.coalesce(cand, end))
+
+        def boundary(sep):
+            return lambda p: F.when((p > 0) & (lo + p - 1 + len(sep) < end), lo + p - 1 + len(sep))
+
+        def in_zone(z):
+            cands = [let(F.call_function("locate", F.lit(sep), z), boundary(sep)) for sep in seps]
+            return F.coalesce(*cands, end)  # coarsest separator first
+
+        return F.when(end >= n, n).otherwise(let(F.call_function("substring", text, lo + 1, end - lo), in_zone))
 
     max_chunks = (F.ceil(n / F.lit(progress)) + 2).cast("int")
     init = F.struct(F.lit(0).cast("long").alias("s"),
@@ -95,11 +104,11 @@ def chunk_recursive(jobs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.
 
     def step(st, _i):
         s = st["s"]
-        e = cut_end(s)
         done = (s >= n) & (F.size(st["acc"]) > 0)
-        return F.when(done, st).otherwise(F.struct(
-            next_start(s, e).alias("s"),
+        advance = let(cut_end(s).cast("long"), lambda e: F.struct(
+            next_start(s, e).cast("long").alias("s"),
             F.array_append(st["acc"], F.struct(s.alias("start"), e.alias("end"))).alias("acc")))
+        return F.when(done, st).otherwise(advance)
 
     walk = F.aggregate(F.sequence(F.lit(1), max_chunks), init, step)
     x = jobs.select("job_id", "doc_id", "text", "n_chars", F.posexplode(walk["acc"]).alias("chunk_no", "r"))

@@ -215,17 +215,25 @@ def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: fl
     o = (_lines(orig, key, "text", "i", "o").groupBy(key, "o").agg(F.min("i").alias("oi")))
     m = (_lines(resp, key, "text", "j", "m").groupBy(key, "m").agg(F.max("j").alias("mj")))
     m = m.join(o.select(key, F.col("o").alias("m")), [key, "m"], "left_anti")
-    cand = None
-    for p in range(1, prefix + 1):
-        if p < prefix:
-            oo = o.where(F.length("o") >= p).withColumn("pk", F.lower(F.call_function("left", F.col("o"), F.lit(p))))
-            mm = m.where(F.length("m") >= p).withColumn("pk", F.lower(F.call_function("left", F.col("m"), F.lit(p))))
-            j = oo.join(mm, [key, "pk"]).where(F.least(F.length("o"), F.length("m")) == p)
-        else:
-            oo = o.where(F.length("o") >= p).withColumn("pk", F.lower(F.call_function("left", F.col("o"), F.lit(p))))
-            mm = m.where(F.length("m") >= p).withColumn("pk", F.lower(F.call_function("left", F.col("m"), F.lit(p))))
-            j = oo.join(mm, [key, "pk"])
-        cand = j if cand is None else cand.unionByName(j)
+    # The compared prefix is min(len o, len m, prefix) long.  Each side emits
+    # exactly the keys under which that prefix can be found, tagged by case:
+    #   A: both lines have >= prefix characters   (one key each)
+    #   B: the original line is the shorter one  (o: its whole text, m: its 1..prefix-1 prefixes)
+    #   C: the response line is strictly shorter (m: its whole text, o: its 1..prefix-1 prefixes)
+    # so a single equi-join finds every pair whose prefixes agree, once.
+    def keys(col, short_tag, long_tag, strict):
+        c, n = F.col(col), F.length(col)
+        k = lambda tag, p: F.struct(F.lit(tag).alias("tag"), p.cast("int").alias("p"),
+                                    F.lower(F.call_function("left", c, p)).alias("pk"))
+        upto = F.least(n - 1, F.lit(prefix - 1)) if strict else F.least(n, F.lit(prefix - 1))
+        longs = F.when(upto >= 1, F.transform(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda p: k(long_tag, p)))
+        return F.concat(
+            F.when(n >= prefix, F.array(k("A", F.lit(prefix)))).otherwise(F.array().cast("array<struct<tag:string,p:int,pk:string>>")),
+            F.when(n < prefix, F.array(k(short_tag, n))).otherwise(F.array().cast("array<struct<tag:string,p:int,pk:string>>")),
+            F.coalesce(longs, F.array().cast("array<struct<tag:string,p:int,pk:string>>")))
+    ok = o.select(key, "o", "oi", F.explode(keys("o", "B", "C", strict=True)).alias("k")).select(key, "o", "oi", "k.*")
+    mk = m.select(key, "m", "mj", F.explode(keys("m", "C", "B", strict=False)).alias("k")).select(key, "m", "mj", "k.*")
+    cand = ok.join(mk, [key, "tag", "p", "pk"])
     lo, lm = F.length("o"), F.length("m")
     cand = cand.where(F.abs(lo - lm) <= F.least(lo, lm) * share)
     first = cand.groupBy(key, "m", "mj").agg(F.min_by("o", "oi").alias("o"))

@@ -4,8 +4,11 @@ P1 does not pair every chunk with every target of a job.  A target (or one
 of its halves) is contained in a chunk exactly when one of its occurrences in
 the document lies inside the chunk's range, so the plan is:
 
-1. find every start of every target string in the lower-cased text (T1 with
-   overlapping matches, a linear scan per string);
+1. find every start of every target string (and of its halves) in the
+   lower-cased text: one multi-pattern (Aho-Corasick) pass per document in
+   ``mapInPandas`` - the number of targets grows with the text, so one scan
+   per string would be quadratic per document (``method="scan"`` keeps that
+   JVM-only variant);
 2. map each occurrence to the chunks whose range covers it with an equi-join
    on ``(job_id, bucket)`` where ``bucket = position div bucket_size`` and
    each chunk is exploded into the (at most two) buckets it spans;
@@ -25,10 +28,79 @@ from docrevise.operators.targets import occurrences
 
 
 # ---------------------------------------------------------------- P1 target score
+def _automaton_hits(batches):
+    """All (overlapping) occurrences of every target string of a job in one
+    pass over the job's lower-cased text (Aho-Corasick).  Input rows: job_id,
+    lower_text, t0/h1/h2 (lower-cased target and halves, aligned by index)."""
+    import ahocorasick
+    import pandas as pd
+
+    for pdf in batches:
+        jobs, idx, parts, pos, lens = [], [], [], [], []
+        for job, text, t0, h1, h2 in zip(pdf["job_id"], pdf["lower_text"], pdf["t0"], pdf["h1"], pdf["h2"]):
+            words: dict[str, list] = {}
+            for part, arr in ((0, t0), (1, h1), (2, h2)):
+                for i, w in enumerate(arr):
+                    if w:
+                        words.setdefault(w, []).append((i, part))
+            if not words:
+                continue
+            a = ahocorasick.Automaton()
+            for w, ids in words.items():
+                a.add_word(w, (len(w), ids))
+            a.make_automaton()
+            for end, (n, ids) in a.iter(text or ""):
+                start = end - n + 1
+                for i, part in ids:
+                    jobs.append(job)
+                    idx.append(i)
+                    parts.append(part)
+                    pos.append(start)
+                    lens.append(n)
+        yield pd.DataFrame({"job_id": pd.Series(jobs, dtype="object"), "t_idx": pd.Series(idx, dtype="int32"),
+                            "part": pd.Series(parts, dtype="int32"), "pos": pd.Series(pos, dtype="int64"),
+                            "term_len": pd.Series(lens, dtype="int32")})
+
+
+def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_MIN_TARGET_LEN,
+                method: str = "automaton") -> tuple[DataFrame, DataFrame]:
+    """Every occurrence of every target (part 0) and of its halves (parts 1
+    and 2, for targets longer than ``half_min_len``) in the job's text.
+
+    ``automaton``: the job's target strings go into one multi-pattern
+    automaton that scans the text once (linear in text + targets + hits).
+    ``scan``: one JVM literal split of the text per string (quadratic when
+    the number of targets grows with the text).
+    Returns (hits: job_id, t_idx, part, pos, term_len; index: job_id, t_idx, target, n).
+    """
+    per_job = targets.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("target", "n"))).alias("ts"))
+    index = per_job.select("job_id", F.posexplode("ts").alias("t_idx", "t")).select(
+        "job_id", "t_idx", F.col("t.target").alias("target"), F.col("t.n").alias("n"))
+    if method == "scan":
+        tl = F.lower(F.col("target"))
+        L, h = F.length(tl), div(F.length(tl), 2)
+        strings = index.select("job_id", "t_idx", F.explode(F.when(L > half_min_len, F.array(
+            F.struct(F.lit(0).alias("part"), tl.alias("term")),
+            F.struct(F.lit(1).alias("part"), F.call_function("substring", tl, F.lit(1), h).alias("term")),
+            F.struct(F.lit(2).alias("part"), F.call_function("substring", tl, h + 1).alias("term")),
+        )).otherwise(F.array(F.struct(F.lit(0).alias("part"), tl.alias("term"))))).alias("s"))
+        occ = occurrences(jobs, strings.select("job_id", "t_idx", "s.part", "s.term"), ["t_idx", "part"], overlapping=True)
+        return occ.select("job_id", "t_idx", "part", "pos", "term_len"), index
+    low = F.transform("ts", lambda x: F.lower(x["target"]))
+    half = lambda w: div(F.length(w), 2)
+    big = lambda w: F.length(w) > half_min_len
+    h1 = F.transform(low, lambda w: F.when(big(w), F.call_function("substring", w, F.lit(1), half(w))).otherwise(F.lit("")))
+    h2 = F.transform(low, lambda w: F.when(big(w), F.call_function("substring", w, half(w) + 1)).otherwise(F.lit("")))
+    rows = per_job.select("job_id", low.alias("t0"), h1.alias("h1"), h2.alias("h2")).join(
+        jobs.select("job_id", "lower_text"), "job_id")
+    schema = "job_id string, t_idx int, part int, pos long, term_len int"
+    return rows.mapInPandas(_automaton_hits, schema), index
+
+
 def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, bucket_size: int = K.CHUNK_SIZE,
                   contained: int = K.SCORE_CONTAINED, first_third: int = K.SCORE_FIRST_THIRD,
                   middle_third: int = K.SCORE_MIDDLE_THIRD, half: int = K.SCORE_HALF,
-                  half_min_len: int = K.HALF_MIN_TARGET_LEN) -> DataFrame:
+                  half_min_len: int = K.HALF_MIN_TARGET_LEN, method: str = "automaton") -> DataFrame:
     """(job_id, chunk_no, target_score) for every chunk.
 
     ``targets`` has (job_id, target, n); ``n`` repeats count ``n`` times.
@@ -37,31 +109,19 @@ def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, bucket
     else ``middle_third`` if below 2*len div 3; otherwise, for targets longer
     than ``half_min_len``, ``half`` points for each contained half.
     """
-    tl = F.lower(F.col("target"))
-    L = F.length(tl)
-    h = div(L, 2)
-    strings = targets.select(
-        "job_id", "target",
-        F.explode(F.when(L > half_min_len, F.array(
-            F.struct(F.lit(0).alias("part"), tl.alias("term")),
-            F.struct(F.lit(1).alias("part"), F.call_function("substring", tl, F.lit(1), h).alias("term")),
-            F.struct(F.lit(2).alias("part"), F.call_function("substring", tl, h + 1).alias("term")),
-        )).otherwise(F.array(F.struct(F.lit(0).alias("part"), tl.alias("term"))))).alias("s"))
-    strings = strings.select("job_id", "target", "s.part", "s.term")
-    occ = occurrences(jobs, strings, ["target", "part"], overlapping=True)
-    occ = occ.withColumn("bucket", div(F.col("pos"), bucket_size))
-
+    hits, index = target_hits(jobs, targets, half_min_len, method)
+    occ = hits.withColumn("bucket", div(F.col("pos"), bucket_size))
     spans = chunks.select("job_id", "chunk_no", "start", "end")
     cb = spans.withColumn("bucket", F.explode(F.sequence(
         div(F.col("start"), bucket_size), div(F.greatest(F.col("end"), F.col("start") + 1) - 1, bucket_size))))
-    hits = (occ.join(cb, ["job_id", "bucket"])
-            .where((F.col("start") <= F.col("pos")) & (F.col("pos") + F.col("term_len") <= F.col("end"))))
-    per = hits.groupBy("job_id", "chunk_no", "target").agg(
+    inside = (occ.join(cb, ["job_id", "bucket"])
+              .where((F.col("start") <= F.col("pos")) & (F.col("pos") + F.col("term_len") <= F.col("end"))))
+    per = inside.groupBy("job_id", "chunk_no", "t_idx").agg(
         F.min(F.when(F.col("part") == 0, F.col("pos") - F.col("start"))).alias("first"),
         F.max((F.col("part") == 1).cast("int")).alias("h1"),
         F.max((F.col("part") == 2).cast("int")).alias("h2"),
         F.first("start").alias("start"), F.first("end").alias("end"))
-    per = per.join(targets.select("job_id", "target", "n"), ["job_id", "target"])
+    per = per.join(index, ["job_id", "t_idx"])
     clen = F.col("end") - F.col("start")
     tlen = F.length(F.lower(F.col("target")))
     pts = (F.when(F.col("first").isNotNull(),

@@ -83,22 +83,36 @@ def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping:
     t = (terms.withColumn("term_l", F.lower("term"))
          .withColumn("term_len", F.length("term_l"))
          .where(F.col("term_len") > 0))
-    j = t.join(jobs.select("job_id", "lower_text"), "job_id")
     part_cols = ["job_id", *keys, "term", "term_len"]
     if not overlapping:
+        j = t.join(jobs.select("job_id", "lower_text"), "job_id")
         lens = F.transform(F.split(F.col("lower_text"), quote_regex(F.col("term_l")), -1), lambda p: F.length(p))
         hits = F.slice(lens, 1, F.size(lens) - 1)
         x = j.select(*part_cols, F.posexplode(hits).alias("occ", "plen"))
         w = Window.partitionBy("job_id", *keys).orderBy("occ").rowsBetween(Window.unboundedPreceding, 0)
         return (x.withColumn("pos", F.sum("plen").over(w) + F.col("occ") * F.col("term_len"))
                 .drop("plen"))
+    # A term without a border (a proper prefix that is also a suffix) cannot
+    # overlap itself, so its non-overlapping hits are all its hits and the fast
+    # literal (Boyer-Moore) split is exact.  Only the others need the slower
+    # look-ahead split that stops at every start position.
+    tl = F.col("term_l")
+    L = F.col("term_len")
+    short_border = F.when(L > 1, F.exists(F.sequence(F.lit(1), F.least(L - 1, F.lit(7))),
+                                          lambda b: F.call_function("left", tl, b) == F.call_function("right", tl, b)))
+    long_border = (L > 8) & (F.call_function("locate", F.call_function("left", tl, F.lit(8)), tl, F.lit(2)) > 0)
+    may_overlap = F.coalesce(short_border, F.lit(False)) | long_border
+    t2 = t.withColumn("may_overlap", may_overlap)
+    fast = occurrences(jobs, t2.where(~F.col("may_overlap")).drop("may_overlap", "term_l", "term_len"), keys)
+    j = t2.where(F.col("may_overlap")).join(jobs.select("job_id", "lower_text"), "job_id")
     lens = F.transform(F.split(F.col("lower_text"), lookahead_regex(F.col("term_l")), -1), lambda p: F.length(p))
     first_is_hit = F.startswith(F.col("lower_text"), F.col("term_l"))
     x = j.select(*part_cols, first_is_hit.alias("first_hit"), F.posexplode(lens).alias("i", "plen"))
     w = Window.partitionBy("job_id", *keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("pos", F.sum("plen").over(w) - F.col("plen"))
     x = x.where((F.col("i") > 0) | F.col("first_hit"))
-    return x.select(*part_cols, F.col("i").alias("occ"), "pos")
+    slow = x.select(*part_cols, F.col("i").alias("occ"), "pos")
+    return fast.select(*part_cols, "occ", "pos").unionByName(slow)
 
 
 def _attach_text(df: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -158,17 +172,23 @@ def drop_contained(cands: DataFrame) -> DataFrame:
     fold is per job (one document); its size is bounded by that document.
     """
     first = (cands.groupBy("job_id", "target")
-             .agg(F.min(F.struct("src", "k1", "k2", "k3")).alias("key")))
+             .agg(F.min(F.struct("src", "k1", "k2", "k3")).alias("key"))
+             .withColumn("len", F.length("target")))
     per_job = first.groupBy("job_id").agg(
-        F.sort_array(F.collect_list(F.struct("key", "target"))).alias("c"))
+        F.sort_array(F.collect_list(F.struct("key", "len", "target"))).alias("c"),
+        F.count_distinct("len").alias("n_lengths"))
 
     def step(acc, x):
-        t = x["target"]
-        clash = F.exists(acc, lambda k: (F.length(k) != F.length(t))
-                         & (F.call_function("contains", k, t) | F.call_function("contains", t, k)))
-        return F.when(clash, acc).otherwise(F.array_append(acc, t))
-
-    kept = F.aggregate(F.col("c"), F.array().cast("array<string>"), step)
+        # lengths are carried along: computing a string's length is O(n)
+        clash = F.exists(acc, lambda k: (k["len"] != x["len"])
+                         & (F.call_function("contains", k["target"], x["target"])
+                            | F.call_function("contains", x["target"], k["target"])))
+        return F.when(clash, acc).otherwise(F.array_append(acc, F.struct(x["len"].alias("len"), x["target"].alias("target"))))
+
+    folded = F.transform(F.aggregate(F.col("c"), F.array().cast("array<struct<len:int,target:string>>"), step),
+                         lambda k: k["target"])
+    # a job whose distinct candidates all have one length keeps them all
+    kept = F.when(F.col("n_lengths") <= 1, F.transform(F.col("c"), lambda k: k["target"])).otherwise(folded)
     return per_job.select("job_id", F.posexplode(kept).alias("t_ord", "target"))
 
 

@@ -221,3 +221,10 @@ def test_progress_formula(spark):
     df = spark.createDataFrame([("j", True)] * 3 + [("j", False)] * 2, "job_id string, ok boolean")
     from docrevise.operators import jobs as J
     assert J.job_progress(df).first().progress == 58
+
+
+def test_align_short_lines_and_first_original(spark):
+    orig = spark.createDataFrame([("a", "Payment\nInvoices\nTotal: 100 USD\nTotal: 100 EUR")], "job_id string, text string")
+    resp = spark.createDataFrame([("a", "Payments\nINVOICE\nTotal: 100 GBP")], "job_id string, text string")
+    got = {(x.old, x.new) for x in H.align_lines(orig, resp, key="job_id").collect()}
+    assert got == {("Payment", "Payments"), ("Invoices", "INVOICE"), ("Total: 100 USD", "Total: 100 GBP")}

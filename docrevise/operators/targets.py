@@ -31,14 +31,29 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once below the cluster's shared checkpoint folder
     (``spark.checkpoint.dir``) and cut its lineage.  The stored table keeps
     its hash partitioning, so later joins and windows on ``job_id`` add no
-    exchange; a lost executor re-reads it instead of recomputing the plan."""
+    exchange; a lost executor re-reads it instead of recomputing the plan.
+
+    ``checkpoint`` records the plan's output partitioning before adaptive
+    execution has run, when it is still unknown; so this one job is planned
+    without AQE (fixed ``spark.sql.shuffle.partitions``) and the setting is
+    restored afterwards.  ``df`` must not have been planned yet."""
     from docrevise.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    prev = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, prev)
 
 
 def _finish_jobs(jobs: DataFrame, materialized: bool) -> DataFrame:
     jobs = jobs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("n_chars", F.length("text"))
+    # stored sorted by job_id inside each hash partition: sort-merge joins back
+    # to the text then sort only the (small) other side
+    jobs = jobs.sortWithinPartitions("job_id")
     if materialized:
         jobs = materialize(jobs)
     # lower-cased text is derived after the exchange / checkpoint, never stored

@@ -19,6 +19,30 @@ def _secs(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)) / 1e6
 
 
+def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str = "1 hour",
+                 direction: str = "next", out: str = "other_ts") -> DataFrame:
+    """Time of the previous / next row of the same key (ordered by ts, tie)
+    without putting a whole key into one window partition.
+
+    Rows are ordered inside (key, time bucket) partitions; the row at a
+    bucket's edge takes the nearest non-empty bucket's min / max time from a
+    per-(key, bucket) summary, whose size is bounded by keys x time span /
+    bucket width - not by the number of rows.  So a key holding a third of
+    all rows is still spread over many tasks.
+    """
+    x = df.withColumn("_b", F.window(F.col(ts), bucket).start)
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
+    wb = Window.partitionBy(*keys).orderBy("_b") if keys else Window.partitionBy(F.lit(0)).orderBy("_b")
+    if direction == "next":
+        x = x.withColumn(out, F.lead(ts).over(w))
+        edge = x.groupBy(*keys, "_b").agg(F.min(ts).alias("_edge")).withColumn("_nb", F.lead("_edge").over(wb))
+    else:
+        x = x.withColumn(out, F.lag(ts).over(w))
+        edge = x.groupBy(*keys, "_b").agg(F.max(ts).alias("_edge")).withColumn("_nb", F.lag("_edge").over(wb))
+    x = x.join(edge.select(*keys, "_b", "_nb"), [*keys, "_b"])
+    return x.withColumn(out, F.coalesce(F.col(out), F.col("_nb"))).drop("_b", "_nb")
+
+
 # ---------------------------------------------------------------- J1 latest state
 def latest_state(job_log: DataFrame) -> DataFrame:
     """Last write wins per job; adds ``enqueued_at`` (first row's time)."""
@@ -66,11 +90,11 @@ def stalled_jobs(state: DataFrame, now: Column, limit_sec: int = K.CLIENT_WAIT_L
 
 
 # ---------------------------------------------------------------- J6 metrics
-def job_metrics(job_log: DataFrame) -> DataFrame:
+def job_metrics(job_log: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Per status: rows, jobs, mean and exact median seconds until the
     job's next log row; plus the overall success rate and error share."""
-    w = Window.partitionBy("job_id").orderBy("ts", "seq")
-    d = job_log.withColumn("dur", _secs(F.col("ts"), F.lead("ts").over(w)))
+    d = neighbour_ts(job_log, ["job_id"], "ts", "seq", bucket, "next", "next_ts")
+    d = d.withColumn("dur", _secs(F.col("ts"), F.col("next_ts")))
     per = d.groupBy("status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("job_id").alias("n_jobs"),
         F.avg("dur").alias("mean_sec"), F.median("dur").alias("median_sec"))
@@ -86,22 +110,11 @@ def idle_gaps(events: DataFrame, period_min: float = K.WARMUP_PERIOD_MIN, share:
               bucket: str = "1 hour") -> DataFrame:
     """Every gap between consecutive requests longer than share * period.
 
-    No global window: events are ordered inside time buckets (one window
-    partition per bucket), and the first event of a bucket takes the latest
-    time of the nearest earlier non-empty bucket from a per-bucket summary.
-    That summary has one row per bucket, so its size is bounded by the time
-    span divided by the bucket width, not by the number of events.
-    """
+    No global window: ``neighbour_ts`` orders events inside time buckets and
+    fixes bucket edges from a one-row-per-bucket summary."""
     limit = period_min * 60 * share
     e = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    e = e.withColumn("b", F.window("ts", bucket).start)
-    w = Window.partitionBy("b").orderBy("ts", "event_id")
-    e = e.withColumn("prev_ts", F.lag("ts").over(w))
-    summary = e.groupBy("b").agg(F.max("ts").alias("b_max"))
-    summary = summary.withColumn("prev_bucket_max", F.lag("b_max").over(Window.partitionBy(F.lit(0)).orderBy("b")))
-    # one row per bucket; AQE broadcasts it after measuring its real size
-    e = e.join(summary.select("b", "prev_bucket_max"), "b")
-    e = e.withColumn("prev_ts", F.coalesce(F.col("prev_ts"), F.col("prev_bucket_max")))
+    e = neighbour_ts(e, [], "ts", "event_id", bucket, "prev", "prev_ts")
     gap = _secs(F.col("prev_ts"), F.col("ts"))
     return e.where(gap > limit).select("event_id", "prev_ts", "ts", gap.alias("gap_sec"))
 

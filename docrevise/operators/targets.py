@@ -60,16 +60,42 @@ def _finish_jobs(jobs: DataFrame, materialized: bool) -> DataFrame:
     return jobs.withColumn("lower_text", F.lower("text"))
 
 
+def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001, salts: int = 32) -> DataFrame:
+    """requests (job_id, doc_id, ...) joined to docs (doc_id, text), safe when
+    one document receives a large share of all requests.
+
+    Documents with more than ``hot_share`` of all requests are "hot"; there
+    are at most 1 / hot_share of them, so their id list is broadcast with a
+    proven size bound.  Requests to hot documents are spread over ``salts``
+    tasks by a hash of the job id and meet a copy of the document text in
+    each; all other requests use a plain shuffle join whose largest key holds
+    at most ``hot_share`` of the rows.  The result is exact (every request
+    joins its document once).
+    """
+    docs = docs.select("doc_id", "text")
+    total = requests.count()
+    limit = max(int(total * hot_share), 1)
+    hot = (requests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+           .select("doc_id"))
+    hot = F.broadcast(hot)  # at most 1 / hot_share rows
+    cold = requests.join(hot, "doc_id", "left_anti").join(docs, "doc_id")
+    salt = F.pmod(F.xxhash64("job_id"), F.lit(salts))
+    hot_req = requests.join(hot, "doc_id", "left_semi").withColumn("_salt", salt)
+    hot_docs = docs.join(hot, "doc_id", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    warm = hot_req.join(hot_docs, ["doc_id", "_salt"]).drop("_salt")
+    return cold.unionByName(warm)
+
+
 def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None = None,
-                 materialized: bool = True) -> DataFrame:
+                 materialized: bool = True, hot_share: float = 0.001) -> DataFrame:
     """(job_id, doc_id, instruction) joined to (doc_id, text), hash-partitioned
     by ``job_id`` and (by default) materialized once.
 
     Adds ``n_chars`` and ``lower_text``.  Requests that name a missing
-    document are dropped (inner join).
+    document are dropped (inner join).  Hot documents are handled by
+    ``join_requests``.
     """
-    docs = docs.select("doc_id", "text")
-    jobs = requests.join(docs, "doc_id")
+    jobs = join_requests(requests, docs, hot_share)
     jobs = jobs.repartition(partitions, "job_id") if partitions else jobs.repartition("job_id")
     return _finish_jobs(jobs, materialized)
 

@@ -228,3 +228,15 @@ def test_align_short_lines_and_first_original(spark):
     resp = spark.createDataFrame([("a", "Payments\nINVOICE\nTotal: 100 GBP")], "job_id string, text string")
     got = {(x.old, x.new) for x in H.align_lines(orig, resp, key="job_id").collect()}
     assert got == {("Payment", "Payments"), ("Invoices", "INVOICE"), ("Total: 100 USD", "Total: 100 GBP")}
+
+
+def test_hot_document_requests_join_exactly_once(spark):
+    docs = spark.createDataFrame([(1, "hot text"), (2, "cold text"), (3, "unused")], "doc_id long, text string")
+    reqs = spark.createDataFrame([(f"h{i}", 1, "x") for i in range(500)] + [("c0", 2, "y"), ("m0", 9, "z")],
+                                 "job_id string, doc_id long, instruction string")
+    out = T.join_requests(reqs, docs, hot_share=0.1, salts=8)
+    rows = out.collect()
+    assert len(rows) == 501 and len({r.job_id for r in rows}) == 501
+    assert all(r.text == ("hot text" if r.doc_id == 1 else "cold text") for r in rows)
+    j = T.prepare_jobs(reqs, docs, materialized=False)
+    assert j.count() == 501

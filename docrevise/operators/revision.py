@@ -1,8 +1,8 @@
 """Chunk revision: R1-R11.
 
 Everything except the model call itself is built-in expressions.  The model
-call (R2) is the one Python stage: ``mapInPandas`` over a fixed number of
-partitions (the concurrency cap), with retries (R3) inside the task.  Its
+call (R2) is a Python stage: ``mapInPandas`` over job-partitioned prompts,
+at most ``concurrency`` calls per job at a time, retries (R3) inside the task.  Its
 output should be written before anything reads it twice
 (``persist_calls``), so that recomputation or a lost executor never repeats
 model calls; results are keyed by (job_id, chunk_no).
@@ -95,26 +95,40 @@ def call_with_retry(fn: Callable[[str], str], prompt: str, attempts: int = K.CAL
 
 
 def revise_chunks(prompts: DataFrame, fn: Callable[[str], str], concurrency: int = K.MAX_CONCURRENT_CALLS,
-                  attempts: int = K.CALL_ATTEMPTS, backoff: float = K.FIRST_BACKOFF_SEC) -> DataFrame:
-    """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no), at most
-    ``concurrency`` calls at a time across the stage.
-
-    Returns job_id, chunk_no, body, error, error_class, calls.  Only the key
-    and the prompt cross into Python.
+                  attempts: int = K.CALL_ATTEMPTS, backoff: float = K.FIRST_BACKOFF_SEC,
+                  partitions: int | None = None) -> DataFrame:
+    """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no).
+
+    As in the reference, at most ``concurrency`` calls of one job run at the
+    same time (a thread pool per job inside the task; the calls are I/O
+    bound); different jobs run in parallel in different tasks, so the
+    cluster-wide rate grows with ``partitions``.  Only the key and the prompt
+    cross into Python.  Returns job_id, chunk_no, body, error, error_class,
+    calls.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     keyed = prompts.select("job_id", F.col("chunk_no").cast("long").alias("chunk_no"), "prompt")
+    keyed = keyed.repartition(partitions, "job_id") if partitions else keyed.repartition("job_id")
+    keyed = keyed.sortWithinPartitions("job_id", "chunk_no")
 
     def run(batches):
-        for pdf in batches:
-            out = [call_with_retry(fn, p, attempts, backoff) for p in pdf["prompt"].tolist()]
-            yield pd.DataFrame({
-                "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
-                "body": [o[0] for o in out], "error": [o[1] for o in out],
-                "error_class": [_py_error_class(o[1]) for o in out],
-                "calls": [o[2] for o in out]})
+        with ThreadPoolExecutor(max_workers=max(concurrency, 1)) as pool:
+            for pdf in batches:
+                out: list = [None] * len(pdf)
+                for _, grp in pdf.groupby("job_id", sort=False):
+                    pos = list(grp.index)
+                    res = pool.map(lambda p: call_with_retry(fn, p, attempts, backoff), grp["prompt"].tolist())
+                    for i, r in zip(pos, res):  # a job's calls finish before the next job starts
+                        out[pdf.index.get_loc(i)] = r
+                yield pd.DataFrame({
+                    "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
+                    "body": [o[0] for o in out], "error": [o[1] for o in out],
+                    "error_class": [_py_error_class(o[1]) for o in out],
+                    "calls": [o[2] for o in out]})
 
     schema = "job_id string, chunk_no long, body string, error string, error_class string, calls int"
-    return keyed.repartition(concurrency, "job_id", "chunk_no").mapInPandas(run, schema)
+    return keyed.mapInPandas(run, schema)
 
 
 def persist_calls(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:

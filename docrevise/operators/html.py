@@ -47,10 +47,16 @@ CLAUSE_LINE = rf"\A{DIGIT}+\.|\A[a-z]\)"
 
 # ---------------------------------------------------------------- H1 spans -> lines
 def layout_lines(spans: DataFrame, centre_tol: float = K.CENTRE_TOLERANCE,
-                 width_share: float = K.CENTRE_WIDTH_SHARE, bold_flag: int = K.BOLD_FLAG) -> DataFrame:
+                 width_share: float = K.CENTRE_WIDTH_SHARE, bold_flag: int = K.BOLD_FLAG,
+                 by_doc: bool = True) -> DataFrame:
     """H1: one row per (doc, page, block, line): text in span order, x0/x1,
-    bold (font name contains "bold" or the bold flag bit), centred."""
+    bold (font name contains "bold" or the bold flag bit), centred.
+
+    With ``by_doc`` the spans are hash-partitioned by document once, so the
+    line aggregation here and the page assembly of H3 share one exchange."""
     bold = F.call_function("contains", F.lower(F.col("font")), F.lit("bold")) | ((F.col("flags").bitwiseAND(bold_flag)) != 0)
+    if by_doc:
+        spans = spans.repartition("doc_id")
     g = spans.groupBy("doc_id", "page_no", "block_no", "line_no").agg(
         F.sort_array(F.collect_list(F.struct("span_no", "text"))).alias("s"),
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.bool_or(bold).alias("bold"),

@@ -169,13 +169,16 @@ def spans_from_documents(docs: DataFrame) -> DataFrame:
             F.floor(F.pmod(F.col("li"), F.lit(LINES_PER_PAGE)) / LINES_PER_BLOCK).cast("int").alias("block_no"),
             F.pmod(F.col("li"), F.lit(LINES_PER_BLOCK)).cast("int").alias("line_no")]
     oy = (F.lit(TOP) + F.pmod(F.col("li"), F.lit(LINES_PER_BLOCK)) * LINE_HEIGHT).alias("origin_y")
-    s0 = x.select(*base, F.lit(0).alias("span_no"), F.col("w0").alias("text"), x0.alias("x0"), x1.alias("x1"), oy,
+    s0 = F.struct(F.lit(0).alias("span_no"), F.col("w0").alias("text"), x0.alias("x0"), x1.alias("x1"),
                   F.when(F.pmod(F.col("li"), F.lit(6)) == 0, "Times-Bold").otherwise("Times-Roman").alias("font"),
                   F.lit(0).alias("flags"))
-    s1 = x.select(*base, F.lit(1).alias("span_no"), F.col("w1").alias("text"), x1.alias("x0"),
-                  (x1 + F.length("w1") * CHAR_WIDTH).alias("x1"), oy, F.lit("Times-Roman").alias("font"),
+    s1 = F.struct(F.lit(1).alias("span_no"), F.col("w1").alias("text"), x1.alias("x0"),
+                  (x1 + F.length("w1") * CHAR_WIDTH).alias("x1"), F.lit("Times-Roman").alias("font"),
                   F.when(F.pmod(F.col("li"), F.lit(11)) == 0, 16).otherwise(0).alias("flags"))
-    return s0.unionByName(s1)
+    # one scan: both spans of a line come out of one explode
+    return x.select(*base, oy, F.explode(F.array(s0, s1)).alias("s")).select(
+        "doc_id", "page_no", "page_width", "block_no", "line_no", "s.span_no", "s.text", "s.x0", "s.x1",
+        "origin_y", "s.font", "s.flags")
 
 
 def sql_spans() -> str:

@@ -64,3 +64,19 @@ def test_one_call_per_chunk_after_persist(spark, sf):
     n = pr.count()
     assert stored.count() == n
     assert stored.select("job_id", "chunk_no").distinct().count() == n
+
+
+def test_revise_with_python_reviser(spark, sf):
+    from docrevise.plans import fixtures as FX
+    from docrevise.plans.revise import revise
+
+    docs = table(spark, sf, "documents")
+    jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
+    out = revise(jobs, echo, spark=spark, size=2000, overlap=400, fields=FX.CORPUS_FIELDS, markers=FX.CORPUS_MARKERS,
+                 sep="\n", chunker=C.chunk_fixed, template="{chunk}", persist_name="test_revise_calls")
+    res = out["results"].collect()
+    assert len(res) == docs.count()
+    assert all(r.status == "completed" and r.html and r.changed_chunks == 0 for r in res)
+    # an echoing reviser changes nothing: short documents come back as their <pre> page
+    one = {r.job_id: r for r in res}["job-0"]
+    assert one.response.startswith("<!DOCTYPE html>") or len(one.response) > 0

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from docrevise.functions import constants as K
 from docrevise.functions.text import html_escape
 
-_CHUNK_COLS = ["job_id", "doc_id", "chunk_no", "start", "end", "text"]
-
-
 def _cut(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "chunk_text", F.call_function("substring", F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))

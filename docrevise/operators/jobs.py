@@ -43,6 +43,30 @@ def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str
     return x.withColumn(out, F.coalesce(F.col(out), F.col("_nb"))).drop("_b", "_nb")
 
 
+def gap_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, gap_sec: float,
+                 bucket: str = "1 hour") -> DataFrame:
+    """Sessions per key: a new session starts when the previous row of the
+    key is ``gap_sec`` or more earlier (the rule of ``session_window``).
+    Returns keys, session_start, last_ts, n_events.
+
+    Like ``neighbour_ts`` no window spans a whole key: the session start of a
+    row is the latest start at or before it, found inside its (key, bucket)
+    partition or carried from earlier buckets through a per-bucket summary.
+    """
+    x = neighbour_ts(df, keys, ts, tie, bucket, "prev", "_prev")
+    x = x.withColumn("_start", F.when(F.col("_prev").isNull() | (_secs(F.col("_prev"), F.col(ts)) >= gap_sec),
+                                      F.col(ts)))
+    x = x.withColumn("_b", F.window(F.col(ts), bucket).start)
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.max("_start").over(w))
+    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carry = x.groupBy(*keys, "_b").agg(F.max("_start").alias("_bs")).withColumn("_carry", F.max("_bs").over(wb))
+    x = x.join(carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
+    x = x.withColumn("session_start", F.coalesce(F.col("_in"), F.col("_carry")))
+    return x.groupBy(*keys, "session_start").agg(F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
+
+
 # ---------------------------------------------------------------- J1 latest state
 def latest_state(job_log: DataFrame) -> DataFrame:
     """Last write wins per job; adds ``enqueued_at`` (first row's time)."""

@@ -90,13 +90,21 @@ def idle_sessions(events: DataFrame, period_min: float = K.WARMUP_PERIOD_MIN, sh
                   key: str | None = "user_id", watermark: str | None = None) -> DataFrame:
     """ST3: activity sessions separated by idle gaps of at least
     share * period; a session's end is when the idle (cold) period starts.
-    Works on a static or a streaming DataFrame (then give ``watermark``)."""
-    gap = f"{int(period_min * 60 * share)} seconds"
+
+    A streaming DataFrame (give ``watermark``) uses ``session_window`` with
+    state; a static one uses ``gap_sessions``, which does not put a whole key
+    (a very active user) into one task."""
+    gap_sec = int(period_min * 60 * share)
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    keys = [key] if key else []
+    if not e.isStreaming:
+        tie = "event_id" if "event_id" in e.columns else "ts"
+        g = J.gap_sessions(e, keys, "ts", tie, gap_sec)
+        return g.select(*keys, "session_start",
+                        (F.col("last_ts") + F.make_dt_interval(secs=F.lit(gap_sec))).alias("idle_from"), "n_events")
     if watermark:
         e = e.withWatermark("ts", watermark)
-    keys = [key] if key else []
-    g = e.groupBy(*keys, F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
+    g = e.groupBy(*keys, F.session_window("ts", f"{gap_sec} seconds").alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
     return g.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("idle_from"), "n_events")
 
 

@@ -129,3 +129,22 @@ def test_score_matches_pairwise_definition(spark, sf):
             elif len(tl) > 10:
                 s += n * (2 * (tl[:len(tl) // 2] in cl) + 2 * (tl[len(tl) // 2:] in cl))
         assert got[(c.job_id, c.chunk_no)] == s
+
+
+def test_gap_sessions_equal_session_window(spark, sf):
+    from docrevise.operators import jobs as J
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mine = {(r.user_id, r.session_start, r.n_events) for r in J.gap_sessions(ev, ["user_id"], "ts", "event_id", 720).collect()}
+    sw = ev.groupBy("user_id", F.session_window("ts", "720 seconds").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    ref = {(r.user_id, r.s.start, r.n) for r in sw.collect()}
+    assert mine == ref
+
+
+def test_neighbour_ts_equals_plain_window(spark, sf):
+    from pyspark.sql import Window
+    from docrevise.operators import jobs as J
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mine = {(r.event_id, r.other_ts) for r in J.neighbour_ts(ev, ["user_id"], "ts", "event_id", "1 hour", "next").collect()}
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ref = {(r.event_id, r.n) for r in ev.select("event_id", F.lead("ts").over(w).alias("n")).collect()}
+    assert mine == ref

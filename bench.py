@@ -31,7 +31,7 @@ def main() -> None:
     from docrevise.session import get_spark
     from docrevise.plans import catalog
 
-    spark = get_spark(partitions=int(cpus) * 2)
+    spark = get_spark(partitions=int(os.environ.get("BENCH_PARTITIONS", cpus)))
     times, errors = {}, {}
     for name in names:
         q = catalog.REGISTRY[name]

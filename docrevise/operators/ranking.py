@@ -63,7 +63,7 @@ def _automaton_hits(batches):
 
 
 def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_MIN_TARGET_LEN,
-                method: str = "automaton") -> tuple[DataFrame, DataFrame]:
+                method: str = "automaton", few: int = 8) -> tuple[DataFrame, DataFrame]:
     """Every occurrence of every target (part 0) and of its halves (parts 1
     and 2, for targets longer than ``half_min_len``) in the job's text.
 
@@ -71,11 +71,19 @@ def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_
     automaton that scans the text once (linear in text + targets + hits).
     ``scan``: one JVM literal split of the text per string (quadratic when
     the number of targets grows with the text).
+    ``auto``: ``scan`` for jobs with at most ``few`` targets (no Python
+    stage for them), ``automaton`` for the rest.  All three are exact.
     Returns (hits: job_id, t_idx, part, pos, term_len; index: job_id, t_idx, target, n).
     """
     per_job = targets.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("target", "n"))).alias("ts"))
     index = per_job.select("job_id", F.posexplode("ts").alias("t_idx", "t")).select(
         "job_id", "t_idx", F.col("t.target").alias("target"), F.col("t.n").alias("n"))
+    if method == "auto":
+        small = per_job.where(F.size("ts") <= few).select("job_id")
+        big = per_job.where(F.size("ts") > few).select("job_id")
+        h_small, _ = target_hits(jobs, targets.join(small, "job_id", "left_semi"), half_min_len, "scan")
+        h_big, _ = target_hits(jobs, targets.join(big, "job_id", "left_semi"), half_min_len, "automaton")
+        return h_small.unionByName(h_big), index
     if method == "scan":
         tl = F.lower(F.col("target"))
         L, h = F.length(tl), div(F.length(tl), 2)

@@ -54,7 +54,7 @@ def flagship_rank_quoted(spark, sf):
     -> target score -> rank, for documents with at least one target."""
     jobs = flagship_jobs(spark, sf)
     kept = T.drop_contained(T.quoted_windows(jobs))
-    targets = kept.groupBy("job_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    targets = T.materialize(kept.groupBy("job_id", "target").agg(F.count(F.lit(1)).alias("n")))
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
     scored = P.score_targets(jobs, chunks, targets, SIZE).withColumnRenamed("target_score", "score")
     ranked = P.rank_chunks(scored).join(targets.select("job_id").distinct(), "job_id", "left_semi")

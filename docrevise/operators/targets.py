@@ -168,7 +168,8 @@ def quoted_windows(jobs: DataFrame, before: int = K.QUOTED_BEFORE, after: int =
     occ = occurrences(jobs, spans, ["k1"])
     out = _attach_text(occ, jobs)
     return out.select("job_id", F.lit(1).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"))
+                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"),
+                      F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
 
 
 # ---------------------------------------------------------------- T3 action windows
@@ -180,7 +181,8 @@ def action_windows(jobs: DataFrame, verbs=None, before: int = K.ACTION_BEFORE, a
     x = x.withColumn("hit", F.call_function("locate", F.lower("search"), F.col("lower_text")) - 1).where(F.col("hit") >= 0)
     return x.select("job_id", F.lit(2).alias("src"), F.col("part_ord").alias("k1"), F.col("verb_ord").alias("k2"),
                     F.lit(0).alias("k3"),
-                    window_text(F.col("text"), F.col("hit"), F.length("search"), before, after).alias("target"))
+                    window_text(F.col("text"), F.col("hit"), F.length("search"), before, after).alias("target"),
+                    F.greatest(F.col("hit") - before, F.lit(0)).cast("long").alias("ws"))
 
 
 # ---------------------------------------------------------------- T4 field windows
@@ -191,7 +193,8 @@ def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, af
     occ = occurrences(jobs, f, ["k1"])
     out = _attach_text(occ, jobs)
     return out.select("job_id", F.lit(3).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"))
+                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"),
+                      F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
 
 
 # ---------------------------------------------------------------- T5 candidates
@@ -203,15 +206,78 @@ def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T6 drop contained
-def drop_contained(cands: DataFrame) -> DataFrame:
+def _greedy_uncontained(batches):
+    """Per job: keep candidates in order unless one contains, or is contained
+    in, an already kept candidate.  Containment of x in y holds exactly when an
+    occurrence of x lies inside y's origin interval [ws, ws + len) in the text,
+    so one Aho-Corasick pass over the text plus a scan of the candidates that
+    start within the longest candidate length before each occurrence gives
+    every conflict; the ordered greedy then only looks at those."""
+    import bisect
+
+    import ahocorasick
+    import pandas as pd
+
+    for pdf in batches:
+        jobs, ords, outs = [], [], []
+        for job, text, cands, starts in zip(pdf["job_id"], pdf["text"], pdf["c"], pdf["ws"]):
+            cands, starts = list(cands), [int(x) for x in starts]
+            k = len(cands)
+            lens = [len(c) for c in cands]
+            if any(n == 0 for n in lens) or k <= 1:
+                kept = []
+                for c in cands:  # plain walk (tiny lists, or an empty candidate)
+                    if not any(c in q or q in c for q in kept):
+                        kept.append(c)
+            else:
+                a = ahocorasick.Automaton()
+                for i, c in enumerate(cands):
+                    a.add_word(c, i)
+                a.make_automaton()
+                by_start = sorted(range(k), key=lambda i: starts[i])
+                sorted_starts = [starts[i] for i in by_start]
+                longest = max(lens)
+                adj: list[set] = [set() for _ in range(k)]
+                for end, i in a.iter(text or ""):
+                    q = end - lens[i] + 1
+                    lo = bisect.bisect_left(sorted_starts, q + lens[i] - longest)
+                    hi = bisect.bisect_right(sorted_starts, q)
+                    for j in by_start[lo:hi]:
+                        if lens[j] > lens[i] and starts[j] + lens[j] >= q + lens[i]:
+                            adj[i].add(j)
+                            adj[j].add(i)
+                flags = [False] * k
+                kept = []
+                for i in range(k):
+                    if not any(flags[j] for j in adj[i]):
+                        flags[i] = True
+                        kept.append(cands[i])
+            jobs.extend([job] * len(kept))
+            ords.extend(range(len(kept)))
+            outs.extend(kept)
+        yield pd.DataFrame({"job_id": pd.Series(jobs, dtype="object"), "t_ord": pd.Series(ords, dtype="int32"),
+                            "target": pd.Series(outs, dtype="object")})
+
+
+def drop_contained(cands: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     """Walk candidates in order and drop one that contains, or is
     contained in, an already kept candidate (case-sensitive).
 
     Exact copies are removed first (an exact copy always meets the fate of
-    its first occurrence).  After that two candidates of equal length cannot
-    contain each other, so the containment test is skipped for them.  The
-    fold is per job (one document); its size is bounded by that document.
+    its first occurrence).  With ``jobs`` (and window starts ``ws`` on the
+    candidates) conflicts come from one multi-pattern pass per document and
+    the walk is linear in candidates + conflicts.  Without them a JVM fold
+    compares each candidate with the kept ones of other lengths (two
+    candidates of equal length cannot contain each other); that is quadratic
+    per document.
     """
+    if jobs is not None and "ws" in cands.columns:
+        first = cands.groupBy("job_id", "target").agg(F.min(F.struct("src", "k1", "k2", "k3", "ws")).alias("key"))
+        per_job = first.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("key", "target"))).alias("a"))
+        per_job = per_job.select("job_id", F.transform("a", lambda x: x["target"]).alias("c"),
+                                 F.transform("a", lambda x: x["key"]["ws"]).alias("ws"))
+        rows = per_job.join(jobs.select("job_id", "text"), "job_id")
+        return rows.mapInPandas(_greedy_uncontained, "job_id string, t_ord int, target string")
     first = (cands.groupBy("job_id", "target")
              .agg(F.min(F.struct("src", "k1", "k2", "k3")).alias("key"))
              .withColumn("len", F.length("target")))
@@ -284,7 +350,7 @@ def partial_entity_windows(jobs: DataFrame, presence: DataFrame | None = None,
 def target_sections(jobs: DataFrame, fields=None, verbs=None, sep: str = "\n\n") -> DataFrame:
     """T6 result, then T8 and T9, as (job_id, target, n) where ``n`` is
     how often the text occurs in the list (repeats add to chunk scores)."""
-    kept = drop_contained(target_candidates(jobs, fields, verbs)).select("job_id", "target")
+    kept = drop_contained(target_candidates(jobs, fields, verbs), jobs).select("job_id", "target")
     presence = entity_presence(jobs)
     extra = (entity_paragraphs(jobs, sep, presence).unionByName(partial_entity_windows(jobs, presence))
              .select("job_id", "target"))

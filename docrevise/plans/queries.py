@@ -53,7 +53,7 @@ def flagship_rank_quoted(spark, sf):
     """Minimum slice: quoted spans -> windows -> drop contained -> fixed chunks
     -> target score -> rank, for documents with at least one target."""
     jobs = flagship_jobs(spark, sf)
-    kept = T.drop_contained(T.quoted_windows(jobs))
+    kept = T.drop_contained(T.quoted_windows(jobs), jobs)
     targets = T.materialize(kept.groupBy("job_id", "target").agg(F.count(F.lit(1)).alias("n")))
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
     scored = P.score_targets(jobs, chunks, targets, SIZE).withColumnRenamed("target_score", "score")
@@ -194,7 +194,8 @@ def t5_target_candidates(spark, sf):
 SELECT job_id, CAST(t_ord AS BIGINT) AS t_ord, target FROM k""")
 def t6_drop_contained(spark, sf):
     """Ordered candidates with contained / containing ones dropped."""
-    k = T.drop_contained(T.target_candidates(corpus_jobs(spark, sf), FIELDS))
+    jobs = corpus_jobs(spark, sf)
+    k = T.drop_contained(T.target_candidates(jobs, FIELDS), jobs)
     return k.select("job_id", F.col("t_ord").cast("long"), "target")
 
 

@@ -240,3 +240,15 @@ def test_hot_document_requests_join_exactly_once(spark):
     assert all(r.text == ("hot text" if r.doc_id == 1 else "cold text") for r in rows)
     j = T.prepare_jobs(reqs, docs, materialized=False)
     assert j.count() == 501
+
+
+def test_drop_contained_by_repeated_text(spark):
+    # "foo bar" (origin 0) is inside "zzz foo bar baz" (origin 9) only through the repeat at 13
+    j = jobs(spark, [(1, "foo bar. zzz foo bar baz.")])
+    rows_a = [("job-1", 1, 0, 0, 0, "zzz foo bar baz", 9), ("job-1", 1, 1, 0, 0, "foo bar", 0)]
+    rows_b = [("job-1", 1, 0, 0, 0, "foo bar", 0), ("job-1", 1, 1, 0, 0, "zzz foo bar baz", 9)]
+    schema = "job_id string, src int, k1 int, k2 int, k3 int, target string, ws long"
+    for rows, want in ((rows_a, ["zzz foo bar baz"]), (rows_b, ["foo bar"])):
+        c = spark.createDataFrame(rows, schema)
+        assert [x.target for x in T.drop_contained(c, j).orderBy("t_ord").collect()] == want
+        assert [x.target for x in T.drop_contained(c.drop("ws")).orderBy("t_ord").collect()] == want

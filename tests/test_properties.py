@@ -65,8 +65,12 @@ def test_drop_contained_matches_sequential_walk(spark, sf):
     j = corpus_jobs(spark, sf)
     cands = T.target_candidates(j, FIELDS)
     got = {}
-    for r in T.drop_contained(cands).collect():
+    for r in T.drop_contained(cands, j).collect():
         got.setdefault(r.job_id, {})[r.t_ord] = r.target
+    fold = {}
+    for r in T.drop_contained(cands).collect():
+        fold.setdefault(r.job_id, {})[r.t_ord] = r.target
+    assert got == fold
     by = {}
     for r in cands.collect():
         by.setdefault(r.job_id, []).append(((r.src, r.k1, r.k2, r.k3), r.target))

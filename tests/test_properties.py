@@ -152,3 +152,28 @@ def test_neighbour_ts_equals_plain_window(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ref = {(r.event_id, r.n) for r in ev.select("event_id", F.lead("ts").over(w).alias("n")).collect()}
     assert mine == ref
+
+
+@pytest.mark.parametrize("size,overlap", [(300, 60), (2000, 400)])
+def test_recursive_cut_after_coarsest_separator(spark, docs, size, overlap):
+    """Contract point 3: a chunk that does not reach the text end ends right
+    after the last occurrence of the coarsest separator found in its cut zone
+    (the second half of the window), or at a character cut if there is none."""
+    zone = max(1, min(size // 2, size - overlap - 1))
+    jobs = T.jobs_from_documents(docs, "x", materialized=False)
+    rows = C.chunk_recursive(jobs, size, overlap).join(jobs.select("job_id", F.col("text").alias("doc")), "job_id").collect()
+    checked = 0
+    for r in rows:
+        doc = r.doc
+        if r.start + size >= len(doc):
+            continue
+        lo = r.start + size - zone
+        tail = doc[lo:r.start + size]
+        for sep in ["\n\n", "\n", " "]:
+            if sep in tail:
+                assert r.end == lo + tail.rindex(sep) + len(sep)
+                break
+        else:
+            assert r.end == r.start + size
+        checked += 1
+    assert checked > 0

@@ -135,3 +135,68 @@ def health_stream(spark: SparkSession, calls_dir: str, sink_dir: str, checkpoint
     src = spark.readStream.schema(CALL_SCHEMA).parquet(calls_dir)
     out = health_windows(src, window, watermark=watermark)
     return _writer(out, checkpoint, trigger).outputMode("append").format("parquet").option("path", sink_dir).start()
+
+
+# ---------------------------------------------------------------- ST3 stall alerts (stateful)
+STALL_OUTPUT = "job_id string, enqueued_at timestamp, stalled_at timestamp, finished_at timestamp, status string"
+STALL_STATE = "enqueued_at timestamp, alerted boolean, status string"
+FINISHED = ("completed", "error")
+
+
+def _stall_fn(limit_sec: float):
+    import pandas as pd
+
+    limit = pd.Timedelta(seconds=limit_sec)
+
+    def fn(key, pdfs, state):
+        (job_id,) = key
+        out = []
+        if state.hasTimedOut:
+            enq, alerted, status = state.get
+            if not alerted:
+                out.append((job_id, enq, enq + limit, None, status))
+            state.update((enq, True, status))
+            # keep the state so a later finish does not alert again; it ends with the finish
+        else:
+            cur = state.get if state.exists else None
+            rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
+            for ts, status in zip(rows["ts"], rows["status"]):
+                if cur is None:
+                    cur = (ts, False, status)
+                enq, alerted, _ = cur
+                cur = (enq, alerted, status)
+                if status in FINISHED:
+                    if not alerted and ts > enq + limit:
+                        out.append((job_id, enq, enq + limit, ts, status))  # finished, but late
+                    cur = None  # a later row starts a new run of this job
+            if cur is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(cur)
+                state.setTimeoutTimestamp(int((cur[0] + limit).timestamp() * 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "enqueued_at", "stalled_at", "finished_at", "status"])
+
+    return fn
+
+
+def stall_alerts(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes") -> DataFrame:
+    """ST3: one alert per job run that was not finished ``limit_sec`` after it
+    was queued (event time).  Per-job state (queued time, alerted flag) lives
+    in the state store with an event-time timer at queued + limit: the alert
+    fires when the watermark passes it, or when a finishing row arrives later
+    than it.  Works on a streaming job log (append mode)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    src = job_log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return src.groupBy("job_id").applyInPandasWithState(
+        _stall_fn(limit_sec), STALL_OUTPUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stall_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoint: str,
+                 limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes",
+                 trigger: dict | None = None) -> StreamingQuery:
+    src = spark.readStream.schema(JOB_LOG_SCHEMA).parquet(job_log_dir)
+    out = stall_alerts(src, limit_sec, watermark)
+    return _writer(out, checkpoint, trigger).outputMode("append").format("parquet").option("path", sink_dir).start()

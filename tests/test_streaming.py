@@ -83,3 +83,24 @@ def test_revise_stream_equals_batch_and_restart_is_idempotent(spark, sf):
     q2.awaitTermination()
     assert spark.read.parquet(f"{d}/out").count() == len(got)
     assert os.path.isdir(f"{d}/ck")
+
+
+def test_stall_alerts_event_time(spark):
+    import datetime as dt
+    d = scratch()
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    m = lambda mins: t0 + dt.timedelta(minutes=mins)
+    schema = "job_id string, seq bigint, ts timestamp, status string, progress int, message string"
+    batches = [
+        [("A", 1, m(0), "queued", 0, ""), ("B", 2, m(0), "queued", 0, ""), ("C", 3, m(0), "queued", 0, ""),
+         ("A", 4, m(10), "completed", 100, "")],
+        [("C", 5, m(120), "completed", 100, "")],
+        [("D", 6, m(300), "queued", 0, "")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{d}/log/part{i}")
+    q = ST.stall_stream(spark, f"{d}/log/*", f"{d}/out", f"{d}/ck")
+    q.awaitTermination()
+    got = {(r.job_id, r.finished_at is not None) for r in spark.read.parquet(f"{d}/out").collect()}
+    # B never finished (alert when the watermark passes 00:30); C finished late at 02:00; A on time; D too recent
+    assert got == {("B", False), ("C", True)}

@@ -49,7 +49,17 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(key, prev)
 
 
+def allow_job_copartitioning(spark) -> None:
+    """Let joins on (job_id, x) reuse a partitioning on job_id alone.
+
+    Both sides of such joins (chunks and their scores, hits and chunk
+    buckets) come from the job table and are already hash-partitioned by
+    job_id; by default Spark still re-shuffles them on all join keys."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def _finish_jobs(jobs: DataFrame, materialized: bool) -> DataFrame:
+    allow_job_copartitioning(jobs.sparkSession)
     jobs = jobs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("n_chars", F.length("text"))
     # stored sorted by job_id inside each hash partition: sort-merge joins back
     # to the text then sort only the (small) other side

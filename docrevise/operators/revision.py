@@ -215,7 +215,7 @@ def reassemble(results: DataFrame, order: str = "chunk", sep: str = "\n\n", text
 
 
 # ---------------------------------------------------------------- R10 literal reviser
-def literal_revise(df: DataFrame, text_col: str = "text", pairs_col: str = "pairs") -> Column:
+def literal_revise(text_col: str = "text", pairs_col: str = "pairs") -> Column:
     """Replace every ``old`` by ``new`` in order (deterministic reviser)."""
     return F.aggregate(F.col(pairs_col), F.col(text_col), lambda t, p: F.replace(t, p["old"], p["new"]))
 

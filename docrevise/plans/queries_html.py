@@ -203,7 +203,7 @@ repl AS (SELECT job_id, o AS old, arg_max(m, mj) AS new FROM f GROUP BY ALL)"""
 
 def _align(spark, sf):
     jobs = corpus_jobs(spark, sf).withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-    resp = jobs.select("job_id", R.literal_revise(jobs, "text", "pairs").alias("text"))
+    resp = jobs.select("job_id", R.literal_revise("text", "pairs").alias("text"))
     return jobs, H.align_lines(jobs.select("job_id", "text"), resp)
 
 

@@ -30,7 +30,7 @@ def _labelled_chunks(spark, sf):
 
 def _revised_chunks(spark, sf):
     ch = _labelled_chunks(spark, sf).withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-    return ch.withColumn("response", R.literal_revise(ch, "text", "pairs")).withColumn("error", F.lit(None).cast("string"))
+    return ch.withColumn("response", R.literal_revise("text", "pairs")).withColumn("error", F.lit(None).cast("string"))
 
 
 _CHUNKS_SQL = f"""{_JOBS}, c0 AS {S.fixed_chunks(SIZE, OVERLAP)},
@@ -151,7 +151,7 @@ SELECT job_id, {S.literal_revise('text', S.pairs_list('instruction'))} AS text F
 def r10_literal_revise(spark, sf):
     """Whole documents revised by the instruction's replacement pairs."""
     jobs = corpus_jobs(spark, sf).withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-    return jobs.select("job_id", R.literal_revise(jobs, "text", "pairs").alias("text"))
+    return jobs.select("job_id", R.literal_revise("text", "pairs").alias("text"))
 
 
 @register("r11_notice_page", f"""{_CALLS}, r AS (SELECT *, {S.response_text('body', 'client')} AS t FROM calls WHERE body IS NOT NULL)

@@ -48,7 +48,7 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     work = ranked.join(jobs.select("job_id", "instruction"), "job_id")
     if fn is None:
         work = (work.withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-                .withColumn("response", R.literal_revise(work, "text", "pairs"))
+                .withColumn("response", R.literal_revise("text", "pairs"))
                 .withColumn("error", F.lit(None).cast("string")).drop("pairs"))
     else:
         prompts = R.build_prompts(work, template)

@@ -55,7 +55,7 @@ def test_replacement_pairs_and_literal_revise(spark):
     assert [(x.old, x.new) for x in I.replacement_pairs(df).collect()] == [("ABC Corp", "XYZ Inc")]
     d = spark.createDataFrame([("ABC Corp signs. ABC Corp pays.", "Change company name from 'ABC Corp' to 'XYZ Inc'")],
                               "text string, instruction string").withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-    assert d.select(R.literal_revise(d, "text", "pairs")).first()[0] == "XYZ Inc signs. XYZ Inc pays."
+    assert d.select(R.literal_revise("text", "pairs")).first()[0] == "XYZ Inc signs. XYZ Inc pays."
 
 
 def test_occurrences_overlap_and_clipping(spark):

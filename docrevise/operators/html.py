@@ -239,10 +239,19 @@ def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: fl
             F.coalesce(longs, F.array().cast("array<struct<tag:string,p:int,pk:string>>")))
     ok = o.select(key, "o", "oi", F.explode(keys("o", "B", "C", strict=True)).alias("k")).select(key, "o", "oi", "k.*")
     mk = m.select(key, "m", "mj", F.explode(keys("m", "C", "B", strict=False)).alias("k")).select(key, "m", "mj", "k.*")
-    cand = ok.join(mk, [key, "tag", "p", "pk"])
-    lo, lm = F.length("o"), F.length("m")
-    cand = cand.where(F.abs(lo - lm) <= F.least(lo, lm) * share)
-    first = cand.groupBy(key, "m", "mj").agg(F.min_by("o", "oi").alias("o"))
+    # The match test depends only on the prefix key and the two lengths, so
+    # among originals with the same key and length only the first can win, and
+    # all responses with the same key and length get the same partner: join
+    # (key, length) classes, not lines.
+    ok = (ok.withColumn("ol", F.length("o")).groupBy(key, "tag", "p", "pk", "ol")
+          .agg(F.min_by("o", "oi").alias("o"), F.min("oi").alias("oi")))
+    ml = mk.withColumn("ml", F.length("m"))
+    classes = ml.select(key, "tag", "p", "pk", "ml").distinct()
+    cand = ok.join(classes, [key, "tag", "p", "pk"])
+    cand = cand.where(F.abs(F.col("ol") - F.col("ml")) <= F.least(F.col("ol"), F.col("ml")) * share)
+    best = cand.groupBy(key, "tag", "p", "pk", "ml").agg(F.min_by("o", "oi").alias("o"), F.min("oi").alias("oi"))
+    per_m = ml.join(best, [key, "tag", "p", "pk", "ml"])
+    first = per_m.groupBy(key, "m", "mj").agg(F.min_by("o", "oi").alias("o"))
     return first.groupBy(key, "o").agg(F.max_by("m", "mj").alias("new")).select(key, F.col("o").alias("old"), "new")
 
 

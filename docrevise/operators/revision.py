@@ -131,12 +131,16 @@ def revise_chunks(prompts: DataFrame, fn: Callable[[str], str], concurrency: int
     return keyed.mapInPandas(run, schema)
 
 
-def persist_calls(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+def persist_calls(df: DataFrame, spark: SparkSession, name: str, reuse: bool = True) -> DataFrame:
     """Write model-call results below the shared checkpoint folder and read
-    them back, so later stages (and retried tasks) never call again."""
-    from docrevise.session import checkpoint_path
-    path = checkpoint_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    them back, so later stages (and retried tasks) never call again.  With
+    ``reuse`` a complete earlier write of the same name (a replayed
+    micro-batch, a restarted job) is read instead of calling again."""
+    from docrevise.session import checkpoint_path, path_complete
+    # an absolute path or URI is used as is; a plain name goes below spark.checkpoint.dir
+    path = name if (name.startswith("/") or "://" in name) else checkpoint_path(spark, name)
+    if not (reuse and path_complete(spark, path)):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

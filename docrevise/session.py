@@ -60,3 +60,12 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder, for written tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def path_complete(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a finished write (its ``_SUCCESS`` marker),
+    on any file system Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))

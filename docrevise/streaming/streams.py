@@ -40,16 +40,23 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
 
     Each micro-batch reuses the batch plan (``plans.revise.revise``) and
     writes ``sink_dir/batch_id=<id>`` in overwrite mode, so a replay after a
-    failure replaces, never duplicates, its rows.
+    failure replaces, never duplicates, its rows; a replay of a batch whose
+    output is complete is skipped, and model calls persisted by an
+    interrupted run are read back, so no call is made twice.
     """
     from docrevise.plans.revise import revise
 
     src = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(requests_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        from docrevise.session import path_complete
+        target = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
+        if path_complete(spark, target):
+            return  # a replay of a finished batch: its results (and model calls) already exist
         jobs = T.prepare_jobs(batch, docs)
-        out = revise(jobs, fn, spark=spark, persist_name=f"calls/batch_id={batch_id}", **revise_opts)["results"]
-        out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+        calls = f"{checkpoint.rstrip('/')}/model_calls/batch_id={batch_id}"  # owned by this stream
+        out = revise(jobs, fn, spark=spark, persist_name=calls, **revise_opts)["results"]
+        out.write.mode("overwrite").parquet(target)
 
     return _writer(src, checkpoint, trigger).foreachBatch(run).start()
 

@@ -2,6 +2,7 @@
 identity round trip."""
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def test_failures_and_credentials(spark, sf):
 
 def test_one_call_per_chunk_after_persist(spark, sf):
     _, _, pr = _prompts(spark, sf)
-    stored = R.persist_calls(R.revise_chunks(pr, echo, concurrency=2), spark, "test_calls")
+    stored = R.persist_calls(R.revise_chunks(pr, echo, concurrency=2), spark, f"test_calls_{uuid.uuid4().hex}")
     n = pr.count()
     assert stored.count() == n
     assert stored.select("job_id", "chunk_no").distinct().count() == n
@@ -73,10 +74,24 @@ def test_revise_with_python_reviser(spark, sf):
     docs = table(spark, sf, "documents")
     jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
     out = revise(jobs, echo, spark=spark, size=2000, overlap=400, fields=FX.CORPUS_FIELDS, markers=FX.CORPUS_MARKERS,
-                 sep="\n", chunker=C.chunk_fixed, template="{chunk}", persist_name="test_revise_calls")
+                 sep="\n", chunker=C.chunk_fixed, template="{chunk}", persist_name=f"test_revise_calls_{uuid.uuid4().hex}")
     res = out["results"].collect()
     assert len(res) == docs.count()
     assert all(r.status == "completed" and r.html and r.changed_chunks == 0 for r in res)
     # an echoing reviser changes nothing: short documents come back as their <pre> page
     one = {r.job_id: r for r in res}["job-0"]
     assert one.response.startswith("<!DOCTYPE html>") or len(one.response) > 0
+
+
+def test_persisted_calls_are_reused(spark, sf):
+    _, _, pr = _prompts(spark, sf)
+    pr = pr.limit(30)
+    name = f"test_reuse_calls_{uuid.uuid4().hex}"
+    first = R.persist_calls(R.revise_chunks(pr, echo, concurrency=2), spark, name, reuse=False)
+    n = first.count()
+
+    def boom(p):
+        raise RuntimeError("must not be called")
+
+    again = R.persist_calls(R.revise_chunks(pr, boom, concurrency=2, backoff=0.0), spark, name)
+    assert again.count() == n and again.where(F.col("error").isNotNull()).count() == 0

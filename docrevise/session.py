@@ -29,7 +29,7 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "docrev
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # whole documents cross into the Python stages: keep Arrow batches modest
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        .config("spark.driver.memory", os.environ.get("DOCREVISE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("DOCREVISE_DRIVER_MEMORY", "4g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -209,10 +209,25 @@ def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, af
 
 # ---------------------------------------------------------------- T5 candidates
 def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
-    """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3)."""
-    return (quoted_windows(jobs)
-            .unionByName(action_windows(jobs, verbs))
-            .unionByName(field_windows(jobs, fields)))
+    """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3).
+
+    The quoted spans (T2) and the field terms (T4) are searched in one pass:
+    one occurrence search, one running-sum window and one join back to the
+    text for both, with the context sizes chosen per source."""
+    spans = I.quoted_spans(jobs.select("job_id", "instruction")).select(
+        "job_id", F.lit(1).alias("src"), F.col("ord").alias("k1"), F.col("text").alias("term"))
+    f = I.field_mentions(jobs.select("job_id", "instruction"), fields).select(
+        "job_id", F.lit(3).alias("src"), F.col("field_ord").alias("k1"), F.col("field").alias("term"))
+    occ = _attach_text(occurrences(jobs, spans.unionByName(f), ["src", "k1"]), jobs)
+    quoted = F.col("src") == 1
+    before = F.when(quoted, F.lit(K.QUOTED_BEFORE)).otherwise(F.lit(K.FIELD_BEFORE))
+    after = F.when(quoted, F.lit(K.QUOTED_AFTER)).otherwise(F.lit(K.FIELD_AFTER))
+    start = F.greatest(F.col("pos") - before, F.lit(0))
+    end = F.least(F.length("text"), F.col("pos") + F.col("term_len") + after)
+    both = occ.select("job_id", "src", "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
+                      F.call_function("substring", F.col("text"), start + 1, F.greatest(end - start, F.lit(0))).alias("target"),
+                      start.cast("long").alias("ws"))
+    return both.unionByName(action_windows(jobs, verbs))
 
 
 # ---------------------------------------------------------------- T6 drop contained

@@ -21,6 +21,8 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "docrev
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
+        .config("spark.checkpoint.compress", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

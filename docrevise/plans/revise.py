@@ -31,8 +31,9 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     ``jobs`` comes from ``prepare_jobs`` / ``jobs_from_documents``.  With
     ``fn=None`` the deterministic literal reviser (R10, JVM-only) stands in
     for the model.  Returns DataFrames: ``chunks`` (scored, ranked, revised),
-    ``results`` (job_id, status, response, html, accepted_chunks,
-    changed_chunks) and ``summary``.
+    ``results`` (job_id, status, message, response, html, accepted_chunks,
+    changed_chunks; a credential error in any chunk fails the job with status
+    'error') and ``summary``.
     """
     chunker = chunker or C.chunk_recursive
     targets = T.materialize(T.target_sections(jobs, fields, verbs, sep))
@@ -49,17 +50,23 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     if fn is None:
         work = (work.withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
                 .withColumn("response", R.literal_revise("text", "pairs"))
-                .withColumn("error", F.lit(None).cast("string")).drop("pairs"))
+                .withColumn("error", F.lit(None).cast("string"))
+                .withColumn("error_class", F.lit(None).cast("string")).drop("pairs"))
     else:
         prompts = R.build_prompts(work, template)
         calls = R.revise_chunks(prompts, fn, concurrency)
         if spark is not None and persist_name:
             calls = R.persist_calls(calls, spark, persist_name)
-        calls = calls.select("job_id", "chunk_no", R.response_text(F.col("body"), "hosted").alias("response"), "error")
+        calls = calls.select("job_id", "chunk_no", R.response_text(F.col("body"), "hosted").alias("response"), "error",
+                             "error_class")
         work = work.withColumn("chunk_no", F.col("chunk_no").cast("long")).join(calls, ["job_id", "chunk_no"], "left")
     revised = R.change_flags(R.accept_responses(work))
     text = R.reassemble(revised, order=order, text_col="revised").withColumnRenamed("text", "response")
-    summary = R.change_summary(revised)
+    # credential failures fail the whole job (other errors keep the original chunk)
+    failed = revised.groupBy("job_id").agg(
+        F.max_by("error", (F.col("error_class") == "credentials").cast("int")).alias("cred_error"),
+        F.bool_or(F.coalesce(F.col("error_class") == "credentials", F.lit(False))).alias("cred_failed"))
+    summary = R.change_summary(revised).join(failed, "job_id")
     page = jobs.select("job_id", C.text_page(F.col("text")).alias("original_html"), "text")
     res = text.join(page, "job_id").withColumn("cleaned", H.clean_response(F.col("response")))
     html = (F.when(H.is_html_response(F.col("cleaned")), H.wrap_html(F.col("cleaned")))
@@ -69,6 +76,10 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     res = (res.join(rebuilt.withColumnRenamed("html", "rebuilt"), "job_id", "left")
            .withColumn("html", F.coalesce(F.col("html"), F.col("rebuilt"), F.col("original_html")))
            .join(summary, "job_id")
-           .select("job_id", F.lit("completed").alias("status"), "response", "html",
+           .select("job_id", F.when(F.col("cred_failed"), "error").otherwise("completed").alias("status"),
+                   F.when(F.col("cred_failed"), F.concat(F.lit("Processing failed: "), F.col("cred_error")))
+                   .alias("message"),
+                   F.when(~F.col("cred_failed"), F.col("response")).alias("response"),
+                   F.when(~F.col("cred_failed"), F.col("html")).alias("html"),
                    F.col("n_accepted").alias("accepted_chunks"), F.col("n_differs").alias("changed_chunks")))
     return {"chunks": revised, "results": res, "summary": summary}

@@ -95,3 +95,17 @@ def test_persisted_calls_are_reused(spark, sf):
 
     again = R.persist_calls(R.revise_chunks(pr, boom, concurrency=2, backoff=0.0), spark, name)
     assert again.count() == n and again.where(F.col("error").isNotNull()).count() == 0
+
+
+def test_credential_errors_fail_the_job(spark, sf):
+    from docrevise.plans import fixtures as FX
+    from docrevise.plans.revise import revise
+
+    docs = table(spark, sf, "documents").limit(5)
+
+    def creds(p):
+        raise RuntimeError("UnrecognizedClientException: bad key")
+
+    jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
+    res = revise(jobs, creds, size=2000, overlap=400, chunker=C.chunk_fixed)["results"].collect()
+    assert len(res) == 5 and all(r.status == "error" and r.response is None and "Unrecognized" in r.message for r in res)

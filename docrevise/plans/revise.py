@@ -82,4 +82,23 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
                    F.when(~F.col("cred_failed"), F.col("response")).alias("response"),
                    F.when(~F.col("cred_failed"), F.col("html")).alias("html"),
                    F.col("n_accepted").alias("accepted_chunks"), F.col("n_differs").alias("changed_chunks")))
-    return {"chunks": revised, "results": res, "summary": summary}
+    return {"chunks": revised, "results": res, "summary": summary, "job_log": job_log(res)}
+
+
+def job_log(results: DataFrame, ts=None) -> DataFrame:
+    """Append-only job-log rows for finished jobs: the progress marks of a
+    run (queued 0, started 10, extracted 30, revising 40, revised 70,
+    rendered 85) then completed 100, or error 100 with the message."""
+    ts = ts if ts is not None else F.current_timestamp()
+    marks = [("queued", K.PROGRESS_QUEUED, "Job queued for processing"),
+             ("processing", K.PROGRESS_STARTED, "Processing started"),
+             ("processing", K.PROGRESS_EXTRACTED, "Text extracted"),
+             ("processing", K.PROGRESS_REVISING, "Revising chunks"),
+             ("processing", K.PROGRESS_REVISED, "Revision complete"),
+             ("processing", K.PROGRESS_RENDERED, "Page rendered")]
+    steps = F.array(*[F.struct(F.lit(a).alias("status"), F.lit(b).alias("progress"), F.lit(c).alias("message"))
+                      for a, b, c in marks])
+    last = F.struct(F.col("status"), F.lit(K.PROGRESS_DONE).alias("progress"),
+                    F.coalesce(F.col("message"), F.lit("Processing complete")).alias("message"))
+    x = results.select("job_id", F.posexplode(F.concat(steps, F.array(last))).alias("seq", "e"))
+    return x.select("job_id", F.col("seq").cast("long").alias("seq"), ts.alias("ts"), "e.status", "e.progress", "e.message")

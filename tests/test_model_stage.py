@@ -109,3 +109,16 @@ def test_credential_errors_fail_the_job(spark, sf):
     jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
     res = revise(jobs, creds, size=2000, overlap=400, chunker=C.chunk_fixed)["results"].collect()
     assert len(res) == 5 and all(r.status == "error" and r.response is None and "Unrecognized" in r.message for r in res)
+
+
+def test_revise_job_log_feeds_reports(spark, sf):
+    from docrevise.operators import jobs as J
+    from docrevise.plans import fixtures as FX
+    from docrevise.plans.revise import revise
+
+    docs = table(spark, sf, "documents")
+    jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
+    log = revise(jobs, None, size=2000, overlap=400, chunker=C.chunk_fixed)["job_log"]
+    counts = {r.status: r.n_jobs for r in J.status_counts(J.latest_state(log)).collect()}
+    assert counts == {"completed": docs.count()}
+    assert sorted({r.progress for r in log.collect()}) == [0, 10, 30, 40, 70, 85, 100]

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -70,26 +70,101 @@ def state_updates(job_log: DataFrame) -> DataFrame:
         F.col("s.seq").alias("seq"), "enqueued_at")
 
 
-def state_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
-    """ST2: live job state (update mode) and status counts.
+STATE_CHANGE = ("job_id string, old_status string, status string, progress int, message string, "
+                "updated_at timestamp, seq bigint")
+STATE_STORE = "status string, ts timestamp, seq bigint"
+
+
+def _state_change_fn(key, pdfs, state):
+    """Keep each job's latest (status, ts, seq); emit a change row whenever
+    its status changes (rows older than the stored one are ignored)."""
+    import pandas as pd
+
+    (job_id,) = key
+    rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
+    last = rows.iloc[-1]
+    old = None
+    if state.exists:
+        old, ts, seq = state.get
+        if (last["ts"], last["seq"]) <= (ts, seq):
+            return
+    state.update((last["status"], last["ts"], int(last["seq"])))
+    if old != last["status"]:
+        yield pd.DataFrame([(job_id, old, last["status"], int(last["progress"]), last["message"], last["ts"],
+                             int(last["seq"]))],
+                           columns=["job_id", "old_status", "status", "progress", "message", "updated_at", "seq"])
+
+
+def status_changes(job_log: DataFrame) -> DataFrame:
+    """ST2: per-job status changes of a streaming job log (custom stateful
+    operator, last write wins by (ts, seq))."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return job_log.groupBy("job_id").applyInPandasWithState(
+        _state_change_fn, STATE_CHANGE, STATE_STORE, "append", GroupStateTimeout.NoTimeout)
 
-    Changed states of each micro-batch go to ``sink_dir/state/batch_id=<id>``;
-    the counts in ``sink_dir/counts`` are recomputed from all stored updates
-    (last write wins again), since a second aggregation cannot follow the
-    first inside one streaming query.
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("batch_id=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
+def state_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoint: str,
+                 trigger: dict | None = None, max_files: int | None = None) -> StreamingQuery:
+    """ST2: live job state and status counts.
+
+    The state store keeps each job's latest status; every micro-batch writes
+    its status changes to ``sink_dir/changes/batch_id=<id>`` and a new
+    version of the counts, ``sink_dir/counts/batch_id=<id>``, computed as the
+    previous version plus this batch's changes.  So each batch costs its own
+    size plus a table with one row per status, never a re-read of all jobs.
+    A replayed batch whose counts version exists is skipped.
     """
-    src = spark.readStream.schema(JOB_LOG_SCHEMA).parquet(job_log_dir)
+    from docrevise.session import path_complete
+
+    reader = spark.readStream.schema(JOB_LOG_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    src = reader.parquet(job_log_dir)
     base = sink_dir.rstrip("/")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/state/batch_id={batch_id}")
-        stored = spark.read.parquet(f"{base}/state")
-        latest = J.latest_state(stored.select("job_id", F.col("seq"), F.col("updated_at").alias("ts"), "status",
-                                              "progress", "message"))
-        J.status_counts(latest).write.mode("overwrite").parquet(f"{base}/counts")
-
-    return _writer(state_updates(src), checkpoint, trigger).outputMode("update").foreachBatch(run).start()
+        target = f"{base}/counts/batch_id={batch_id}"
+        if path_complete(spark, target):
+            return
+        batch.write.mode("overwrite").parquet(f"{base}/changes/batch_id={batch_id}")
+        delta = (batch.select(F.col("status").alias("s"), F.lit(1).alias("d"))
+                 .unionByName(batch.where(F.col("old_status").isNotNull())
+                              .select(F.col("old_status").alias("s"), F.lit(-1).alias("d"))))
+        prev = [v for v in _versions(spark, f"{base}/counts") if v < batch_id]
+        if prev:
+            old = spark.read.parquet(f"{base}/counts/batch_id={prev[-1]}").select(
+                F.col("status").alias("s"), F.col("n_jobs").alias("d"))
+            delta = delta.unionByName(old)
+        counts = (delta.groupBy(F.col("s").alias("status")).agg(F.sum("d").cast("long").alias("n_jobs"))
+                  .where(F.col("n_jobs") > 0))
+        w = Window.partitionBy(F.lit(0))
+        counts = (counts.withColumn("total_jobs", F.sum("n_jobs").over(w))
+                  .withColumn("queue_length", F.sum(F.when(F.col("status") == "queued", F.col("n_jobs"))
+                                                    .otherwise(0)).over(w)))
+        counts.coalesce(1).write.mode("overwrite").parquet(target)
+
+    return _writer(status_changes(src), checkpoint, trigger).outputMode("append").foreachBatch(run).start()
+
+
+def latest_counts(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The newest complete counts version written by ``state_stream``."""
+    base = sink_dir.rstrip("/") + "/counts"
+    return spark.read.parquet(f"{base}/batch_id={_versions(spark, base)[-1]}")
 
 
 # ---------------------------------------------------------------- ST3 idle sessions

@@ -45,11 +45,17 @@ def test_state_stream_counts_equal_batch(spark, sf):
     d = scratch()
     log = FX.job_log_from_events(table(spark, sf, "events"))
     _split_write(log, f"{d}/log", 3, "seq")
-    q = ST.state_stream(spark, f"{d}/log/*", f"{d}/sink", f"{d}/ck")
+    q = ST.state_stream(spark, f"{d}/log/*", f"{d}/sink", f"{d}/ck", max_files=1)
     q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{d}/sink/counts").select("status", "n_jobs").collect())
-    want = sorted(tuple(r) for r in J.status_counts(J.latest_state(log)).select("status", "n_jobs").collect())
+    assert len(ST._versions(spark, f"{d}/sink/counts")) == 3  # one counts version per micro-batch
+    got = sorted(tuple(r) for r in ST.latest_counts(spark, f"{d}/sink").select("status", "n_jobs", "total_jobs").collect())
+    want = sorted(tuple(r) for r in J.status_counts(J.latest_state(log)).select("status", "n_jobs", "total_jobs").collect())
     assert got == want
+    # the last change of every job is its current state
+    ch = spark.read.parquet(f"{d}/sink/changes")
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("job_id").orderBy(F.col("updated_at").desc(), F.col("seq").desc())
+    last = {(r.job_id, r.status) for r in ch.withColumn("r", F.row_number().over(w)).where("r = 1").collect()}
+    assert last == {(r.job_id, r.status) for r in J.latest_state(log).collect()}
 
 
 def test_idle_stream_sessions_subset_of_batch(spark, sf):

@@ -69,3 +69,21 @@ def st4_health_windows(spark, sf):
     h = ST.health_windows(call_log(spark, sf))
     return h.select(*_ntz("window_start", "window_end"), F.col("total").cast("long"), F.col("ok_calls").cast("long"),
                     F.col("failed").cast("long"), "success_rate")
+
+
+@register("st3_stall_alerts", f"""WITH log AS {FX.sql_job_log()},
+r AS (SELECT *, coalesce(sum(CASE WHEN status IN ('completed', 'error') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+      FROM log),
+runs AS (SELECT job_id, run, min(ts) AS enqueued_at,
+                min(CASE WHEN status IN ('completed', 'error') THEN ts END) AS finished_at FROM r GROUP BY ALL),
+wm AS (SELECT max(ts) - INTERVAL 600 SECOND AS wm FROM log)
+SELECT job_id, enqueued_at, enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND AS stalled_at
+FROM runs, wm
+WHERE finished_at > enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND
+   OR (finished_at IS NULL AND enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND < wm.wm)""")
+def st3_stall_alerts(spark, sf):
+    """ST3 (batch form of the stateful stream): job runs not finished within
+    the client wait limit, by event time."""
+    a = ST.stall_alerts_batch(job_log(spark, sf))
+    return a.select("job_id", *_ntz("enqueued_at", "stalled_at"))

@@ -276,9 +276,36 @@ def stall_alerts(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC,
         _stall_fn(limit_sec), STALL_OUTPUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stall_alerts_batch(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC,
+                       watermark_sec: float = 600) -> DataFrame:
+    """The alerts ``stall_alerts`` raises, computed over a complete log.
+
+    A job run starts at a job's first row, or at its first row after a
+    finishing one, and ends at its next finishing row.  A run is stalled when
+    it finished more than ``limit_sec`` after it was queued, or has not
+    finished and its deadline lies before the final watermark (latest time
+    minus ``watermark_sec``).  Returns job_id, enqueued_at, stalled_at.
+    """
+    lg = job_log.withColumn("ts", F.col("ts").cast("timestamp"))
+    fin = F.col("status").isin(*FINISHED).cast("int")
+    w = Window.partitionBy("job_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    lg = lg.withColumn("run", F.coalesce(F.sum(fin).over(w), F.lit(0)))
+    runs = lg.groupBy("job_id", "run").agg(
+        F.min("ts").alias("enqueued_at"),
+        F.min(F.when(F.col("status").isin(*FINISHED), F.col("ts"))).alias("finished_at"))
+    # the final watermark is one global value: a scalar subquery over the log
+    wm = lg.agg(F.max("ts") - F.make_dt_interval(secs=F.lit(float(watermark_sec)))).scalar()
+    deadline = F.col("enqueued_at") + F.make_dt_interval(secs=F.lit(float(limit_sec)))
+    stalled = (F.col("finished_at") > deadline) | (F.col("finished_at").isNull() & (deadline < wm))
+    return runs.where(stalled).select("job_id", "enqueued_at", deadline.alias("stalled_at"))
+
+
 def stall_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoint: str,
                  limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes",
-                 trigger: dict | None = None) -> StreamingQuery:
-    src = spark.readStream.schema(JOB_LOG_SCHEMA).parquet(job_log_dir)
+                 trigger: dict | None = None, max_files: int | None = None) -> StreamingQuery:
+    reader = spark.readStream.schema(JOB_LOG_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    src = reader.parquet(job_log_dir)
     out = stall_alerts(src, limit_sec, watermark)
     return _writer(out, checkpoint, trigger).outputMode("append").format("parquet").option("path", sink_dir).start()

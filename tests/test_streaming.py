@@ -110,3 +110,14 @@ def test_stall_alerts_event_time(spark):
     got = {(r.job_id, r.finished_at is not None) for r in spark.read.parquet(f"{d}/out").collect()}
     # B never finished (alert when the watermark passes 00:30); C finished late at 02:00; A on time; D too recent
     assert got == {("B", False), ("C", True)}
+
+
+def test_stall_stream_equals_batch_form(spark, sf):
+    d = scratch()
+    log = FX.job_log_from_events(table(spark, sf, "events"))
+    _split_write(log, f"{d}/log", 4, "ts")
+    q = ST.stall_stream(spark, f"{d}/log/*", f"{d}/out", f"{d}/ck", max_files=1)
+    q.awaitTermination()
+    got = {(r.job_id, r.enqueued_at) for r in spark.read.parquet(f"{d}/out").collect()}
+    want = {(r.job_id, r.enqueued_at) for r in ST.stall_alerts_batch(log).collect()}
+    assert got == want and got

@@ -43,6 +43,24 @@ def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str
     return x.withColumn(out, F.coalesce(F.col(out), F.col("_nb"))).drop("_b", "_nb")
 
 
+def count_before(df: DataFrame, keys: list[str], ts: str, tie: str, flag: str, out: str = "n_before",
+                 bucket: str = "1 hour") -> DataFrame:
+    """Per key, how many earlier rows (by ts, tie) have ``flag`` set - a
+    running count that, like ``neighbour_ts``, never puts a whole key into
+    one window partition: counts inside (key, bucket) plus a carry of all
+    earlier buckets from a per-bucket summary."""
+    f = F.col(flag).cast("int")
+    x = df.withColumn("_b", F.window(F.col(ts), bucket).start)
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_in", F.coalesce(F.sum(f).over(w), F.lit(0)))
+    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carry = (x.groupBy(*keys, "_b").agg(F.sum(f).alias("_bs"))
+             .withColumn("_carry", F.coalesce(F.sum("_bs").over(wb), F.lit(0))))
+    x = x.join(carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
+    return x.withColumn(out, (F.col("_in") + F.col("_carry")).cast("long")).drop("_b", "_in", "_carry")
+
+
 def gap_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, gap_sec: float,
                  bucket: str = "1 hour") -> DataFrame:
     """Sessions per key: a new session starts when the previous row of the

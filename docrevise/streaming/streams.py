@@ -286,10 +286,8 @@ def stall_alerts_batch(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMI
     finished and its deadline lies before the final watermark (latest time
     minus ``watermark_sec``).  Returns job_id, enqueued_at, stalled_at.
     """
-    lg = job_log.withColumn("ts", F.col("ts").cast("timestamp"))
-    fin = F.col("status").isin(*FINISHED).cast("int")
-    w = Window.partitionBy("job_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    lg = lg.withColumn("run", F.coalesce(F.sum(fin).over(w), F.lit(0)))
+    lg = job_log.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_fin", F.col("status").isin(*FINISHED))
+    lg = J.count_before(lg, ["job_id"], "ts", "seq", "_fin", "run")
     runs = lg.groupBy("job_id", "run").agg(
         F.min("ts").alias("enqueued_at"),
         F.min(F.when(F.col("status").isin(*FINISHED), F.col("ts"))).alias("finished_at"))

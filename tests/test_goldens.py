@@ -252,3 +252,20 @@ def test_drop_contained_by_repeated_text(spark):
         c = spark.createDataFrame(rows, schema)
         assert [x.target for x in T.drop_contained(c, j).orderBy("t_ord").collect()] == want
         assert [x.target for x in T.drop_contained(c.drop("ws")).orderBy("t_ord").collect()] == want
+
+
+def test_terms_with_regex_characters(spark):
+    text = r"x a.b*c y a.b*c z \E q \Ew (1+1) [x]"
+    j = jobs(spark, [(1, text)])
+    terms = spark.createDataFrame([("job-1", 0, "a.b*c"), ("job-1", 1, "\\E"), ("job-1", 2, "(1+1)"), ("job-1", 3, "[x]")],
+                                  "job_id string, k1 int, term string")
+    got = sorted((r.k1, r.pos) for r in T.occurrences(j, terms, ["k1"]).collect())
+    want = []
+    for k, t in enumerate(["a.b*c", "\\E", "(1+1)", "[x]"]):
+        p = text.lower().find(t.lower())
+        while p >= 0:
+            want.append((k, p))
+            p = text.lower().find(t.lower(), p + len(t))
+    assert got == sorted(want)
+    ovl = sorted((r.k1, r.pos) for r in T.occurrences(j, terms, ["k1"], overlapping=True).collect())
+    assert ovl == sorted(want)

@@ -269,3 +269,14 @@ def test_terms_with_regex_characters(spark):
     assert got == sorted(want)
     ovl = sorted((r.k1, r.pos) for r in T.occurrences(j, terms, ["k1"], overlapping=True).collect())
     assert ovl == sorted(want)
+
+
+def test_positions_from_lowered_text_slice_the_original(spark):
+    # "İ" lower-cases to two characters in Java and Python; positions found in
+    # the lowered text are applied to the original, shifting the window by one
+    text = "İ" + "a" * 150 + " MIT License " + "b" * 300
+    assert len(text.lower()) == len(text) + 1
+    j = jobs(spark, [(1, text)], "Change 'MIT License' now")
+    p = text.lower().find("mit license")
+    want = text[max(0, p - 100):min(len(text), p + len("MIT License") + 200)]
+    assert [x.target for x in T.quoted_windows(j).collect()] == [want]

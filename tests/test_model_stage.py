@@ -122,3 +122,20 @@ def test_revise_job_log_feeds_reports(spark, sf):
     counts = {r.status: r.n_jobs for r in J.status_counts(J.latest_state(log)).collect()}
     assert counts == {"completed": docs.count()}
     assert sorted({r.progress for r in log.collect()}) == [0, 10, 30, 40, 70, 85, 100]
+
+
+def test_revise_rank_order_reassembles_by_rank(spark, sf):
+    from docrevise.plans import fixtures as FX
+    from docrevise.plans.revise import revise
+
+    docs = table(spark, sf, "documents")
+    jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
+    out = revise(jobs, None, size=600, overlap=100, fields=FX.CORPUS_FIELDS, markers=FX.CORPUS_MARKERS, sep="\n",
+                 chunker=C.chunk_fixed, order="rank")
+    chunks = {}
+    for r in out["chunks"].collect():
+        chunks.setdefault(r.job_id, []).append((r.rank, r.revised, r.ranked))
+    res = {r.job_id: r.response for r in out["results"].collect()}
+    assert any(any(x[2] for x in v) for v in chunks.values())          # some documents were ranked
+    for job, cs in chunks.items():
+        assert res[job] == "\n\n".join(t for _, t, _ in sorted(cs))  # text follows the ranks

@@ -35,8 +35,8 @@ def j1_latest_state(spark, sf):
 
 @register("j2_status_counts", f"""{_STATE},
 c AS (SELECT status, count(*) AS n_jobs FROM state GROUP BY status)
-SELECT status, n_jobs, sum(n_jobs) OVER () AS total_jobs,
-       sum(CASE WHEN status = 'queued' THEN n_jobs ELSE 0 END) OVER () AS queue_length FROM c""")
+SELECT status, n_jobs, CAST(sum(n_jobs) OVER () AS BIGINT) AS total_jobs,
+       CAST(sum(CASE WHEN status = 'queued' THEN n_jobs ELSE 0 END) OVER () AS BIGINT) AS queue_length FROM c""")
 def j2_status_counts(spark, sf):
     """Jobs per status, total jobs and queue length."""
     c = J.status_counts(J.latest_state(job_log(spark, sf)))

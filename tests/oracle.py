@@ -46,6 +46,10 @@ def rows_of(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT"}
+
+
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     from docrevise.plans.registry import REGISTRY
     q = REGISTRY[name]
@@ -61,6 +65,9 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     d_cols = rel.columns
     d_rows = rel.fetchall()
     out.update(duck_rows=len(d_rows), duck_cols=d_cols)
+    s_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out["types_match"] = s_types == d_types
     out["cols_match"] = sorted(s_cols) == sorted(d_cols)
     out["count_match"] = len(s_rows) == len(d_rows)
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)

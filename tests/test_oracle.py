@@ -24,6 +24,7 @@ def test_query_matches_oracle(spark, sf, con, name):
     assert r["cols_match"], r
     assert r["count_match"], r
     assert r["values_match"], r
+    assert r["types_match"], r
 
 
 def test_entry_runs(spark):

@@ -62,13 +62,13 @@ def st3_idle_sessions(spark, sf):
 @register("st4_health_windows", f"""WITH calls AS ({FX.sql_call_log()})
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
        count(*) AS total, count(*) FILTER (WHERE ok) AS ok_calls, count(*) FILTER (WHERE NOT ok) AS failed,
-       coalesce(100.0 * count(*) FILTER (WHERE ok) / nullif(count(*), 0), 0.0) AS success_rate
+       round(coalesce(100.0 * count(*) FILTER (WHERE ok) / nullif(count(*), 0), 0.0)::DOUBLE, 6) AS success_rate
 FROM calls GROUP BY ALL""")
 def st4_health_windows(spark, sf):
     """ST4 (batch form): call health per one-hour tumbling window."""
     h = ST.health_windows(call_log(spark, sf))
     return h.select(*_ntz("window_start", "window_end"), F.col("total").cast("long"), F.col("ok_calls").cast("long"),
-                    F.col("failed").cast("long"), "success_rate")
+                    F.col("failed").cast("long"), F.round("success_rate", 6).alias("success_rate"))
 
 
 @register("st3_stall_alerts", f"""WITH log AS {FX.sql_job_log()},

@@ -75,17 +75,17 @@ def j5_stalled_jobs(spark, sf):
 
 @register("j6_job_metrics", f"""{_LOG},
 d AS (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq)) - epoch_us(ts)) / 1e6 AS dur FROM log),
-p AS (SELECT status, count(*) AS n_rows, count(DISTINCT job_id) AS n_jobs, avg(dur) AS mean_sec,
-             median(dur) AS median_sec FROM d GROUP BY status)
-SELECT *, n_rows / sum(n_rows) OVER () AS share,
-       coalesce(100.0 * sum(CASE WHEN status = 'completed' THEN n_rows ELSE 0 END) OVER ()
-                / nullif(sum(CASE WHEN status IN ('completed', 'error') THEN n_rows ELSE 0 END) OVER (), 0), 0.0)
+p AS (SELECT status, count(*) AS n_rows, count(DISTINCT job_id) AS n_jobs, round(avg(dur), 6) AS mean_sec,
+             round(median(dur), 6) AS median_sec FROM d GROUP BY status)
+SELECT *, round(n_rows / sum(n_rows) OVER (), 6) AS share,
+       round(coalesce(100.0 * sum(CASE WHEN status = 'completed' THEN n_rows ELSE 0 END) OVER ()
+                / nullif(sum(CASE WHEN status IN ('completed', 'error') THEN n_rows ELSE 0 END) OVER (), 0), 0.0)::DOUBLE, 6)
        AS success_rate FROM p""")
 def j6_job_metrics(spark, sf):
     """Per-status time to next log row (mean, exact median), shares, success rate."""
     m = J.job_metrics(job_log(spark, sf))
-    return m.select("status", F.col("n_rows").cast("long"), F.col("n_jobs").cast("long"), "mean_sec", "median_sec",
-                    "share", "success_rate")
+    return m.select("status", F.col("n_rows").cast("long"), F.col("n_jobs").cast("long"),
+                    *[F.round(c, 6).alias(c) for c in ("mean_sec", "median_sec", "share", "success_rate")])
 
 
 @register("j7_idle_gaps", f"""WITH e AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY ts, event_id) AS prev_ts FROM events)
@@ -103,7 +103,7 @@ a AS (SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS ok_calls, count(*)
 r AS (SELECT max(ts) AS last_request FROM events WHERE event_type = 'signup'),
 x AS (SELECT * FROM a, r)
 SELECT total, ok_calls, failed, last_call, last_ok,
-       coalesce(100.0 * ok_calls / nullif(total, 0), 0.0) AS success_rate,
+       round(coalesce(100.0 * ok_calls / nullif(total, 0), 0.0)::DOUBLE, 6) AS success_rate,
        (epoch_us({NOW_SQL}) - epoch_us(last_request)) / 1e6 / 60 AS minutes_since_last_request,
        CASE WHEN (epoch_us({NOW_SQL}) - epoch_us(last_request)) / 1e6 > {K.WARMUP_PERIOD_MIN * 60 * K.IDLE_SHARE}
             THEN 'Soon (model likely cold)'
@@ -114,7 +114,8 @@ def j8_call_health(spark, sf):
     ev = table(spark, sf, "events")
     h = J.call_health(call_log(spark, sf), ev.where(F.col("event_type") == "signup"), FX.now_col())
     return h.select(F.col("total").cast("long"), F.col("ok_calls").cast("long"), F.col("failed").cast("long"),
-                    *_ntz("last_call"), "last_ok", "success_rate", "minutes_since_last_request", "next_warmup")
+                    *_ntz("last_call"), "last_ok", F.round("success_rate", 6).alias("success_rate"),
+                    "minutes_since_last_request", "next_warmup")
 
 
 @register("j9_next_jobs", f"""{_STATE}

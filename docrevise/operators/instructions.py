@@ -34,11 +34,6 @@ def _extract_all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 # ---------------------------------------------------------------- I1 quoted spans
-def quoted_spans_array(instr: Column, min_len: int = K.MIN_QUOTED_LEN) -> Column:
-    spans = F.concat(_extract_all(instr, DOUBLE_QUOTED), _extract_all(instr, SINGLE_QUOTED))
-    return F.filter(spans, lambda s: F.length(s) > min_len)
-
-
 def quoted_spans(req: DataFrame, min_len: int = K.MIN_QUOTED_LEN) -> DataFrame:
     """All ``"..."`` spans, then all ``'...'`` spans, longer than ``min_len``.
 

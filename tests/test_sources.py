@@ -46,3 +46,11 @@ def test_job_ids_are_deterministic(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x")], "doc_id long, instruction string")
     ids = [r[0] for r in df.select(IN.job_ids(F.col("doc_id"), F.col("instruction"))).collect()]
     assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 36 and ids[0].count("-") == 4
+
+
+def test_split_valid_two_outputs(spark):
+    rows = [("a", True, "x.txt", "go", 1), ("b", True, "", "go", 1)]
+    df = spark.createDataFrame(rows, "job_id string, has_file boolean, file_name string, instruction string, size_bytes long")
+    ok, bad = IN.split_valid(df)
+    assert [r.job_id for r in ok.collect()] == ["a"] and "reason" not in ok.columns
+    assert [(r.job_id, r.reason) for r in bad.collect()] == [("b", "No file selected")]

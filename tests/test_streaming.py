@@ -121,3 +121,25 @@ def test_stall_stream_equals_batch_form(spark, sf):
     got = {(r.job_id, r.enqueued_at) for r in spark.read.parquet(f"{d}/out").collect()}
     want = {(r.job_id, r.enqueued_at) for r in ST.stall_alerts_batch(log).collect()}
     assert got == want and got
+
+
+def test_late_events_beyond_watermark_are_dropped(spark):
+    import datetime as dt
+    d = scratch()
+    h = lambda hh, mm=0: dt.datetime(2024, 1, 1, hh, mm)
+    schema = "job_id string, chunk_no bigint, ts timestamp, ok boolean"
+    # late rows are filtered with the previous batch's watermark (Spark >= 3.4),
+    # so the late row comes after two batches that moved the watermark
+    files = [
+        [("a", 1, h(10), True), ("a", 2, h(11), False), ("a", 3, h(12), True)],   # watermark -> 10:00
+        [("a", 5, h(15), True)],                                                  # watermark -> 13:00
+        [("a", 4, h(8, 30), True), ("a", 6, h(20), True)],   # 08:30 is behind the watermark: dropped
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{d}/calls/part{i}")
+    src = spark.readStream.schema(ST.CALL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{d}/calls/*")
+    q = (ST.health_windows(src, "1 hour", watermark="2 hours").writeStream.option("checkpointLocation", f"{d}/ck")
+         .trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{d}/out").start())
+    q.awaitTermination()
+    got = {(r.window_start.hour, r.total) for r in spark.read.parquet(f"{d}/out").collect()}
+    assert (8, 1) not in got and {(10, 1), (11, 1), (12, 1), (15, 1)} <= got

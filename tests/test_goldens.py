@@ -280,3 +280,22 @@ def test_positions_from_lowered_text_slice_the_original(spark):
     p = text.lower().find("mit license")
     want = text[max(0, p - 100):min(len(text), p + len("MIT License") + 200)]
     assert [x.target for x in T.quoted_windows(j).collect()] == [want]
+
+
+def test_layout_complexity_branches(spark):
+    pages = [
+        (1, "<html><body><p>plain text only here</p></body></html>"),
+        (2, "<html><body><table><tr><td>x</td></tr></table><form><input></form></body></html>"),
+        (3, "<html><body><article>a</article><aside>b</aside><nav>c</nav></body></html>"),
+        (4, "<html><body><FORM action='x'></FORM></body></html>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    r = {x.page_id: x for x in H.layout_complexity(H.page_features(df)).collect()}
+    # 1: base 1 + dense text (text/html > 0.5? no: 21/53) -> 1 -> standard
+    assert (r[1].complexity, r[1].layout_type, r[1].strategy) == (1, "standard", "standard_extraction")
+    # 2: 1 + tables 3 + forms 2 = 6, table_heavy wins
+    assert (r[2].complexity, r[2].layout_type, r[2].strategy) == (6, "table_heavy", "table_focused_processing")
+    # 3: 1 + 3 columns = 4 -> multi_column
+    assert (r[3].complexity, r[3].layout_type, r[3].strategy) == (4, "multi_column", "column_aware_processing")
+    # 4: 1 + forms 2 = 3 (case-insensitive tag) -> form_based
+    assert (r[4].complexity, r[4].layout_type, r[4].strategy) == (3, "form_based", "form_preserving_processing")

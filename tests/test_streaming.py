@@ -143,3 +143,17 @@ def test_late_events_beyond_watermark_are_dropped(spark):
     q.awaitTermination()
     got = {(r.window_start.hour, r.total) for r in spark.read.parquet(f"{d}/out").collect()}
     assert (8, 1) not in got and {(10, 1), (11, 1), (12, 1), (15, 1)} <= got
+
+
+def test_sliding_health_windows(spark, sf):
+    calls = FX.call_log_from_events(table(spark, sf, "events")).select("ts", "ok")
+    got = {(r.window_start, r.total) for r in ST.health_windows(calls, "1 hour", "30 minutes").collect()}
+    rows = calls.collect()
+    import datetime as dt
+    want = {}
+    for r in rows:
+        t = r.ts
+        base = t.replace(minute=0 if t.minute < 30 else 30, second=0, microsecond=0)
+        for start in (base, base - dt.timedelta(minutes=30)):
+            want[start] = want.get(start, 0) + 1
+    assert got == set(want.items())

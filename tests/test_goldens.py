@@ -299,3 +299,28 @@ def test_layout_complexity_branches(spark):
     assert (r[3].complexity, r[3].layout_type, r[3].strategy) == (4, "multi_column", "column_aware_processing")
     # 4: 1 + forms 2 = 3 (case-insensitive tag) -> form_based
     assert (r[4].complexity, r[4].layout_type, r[4].strategy) == (3, "form_based", "form_preserving_processing")
+
+
+def test_render_lines_exact_html(spark):
+    # doc, page, width, block, line, span, text, x0, x1, origin_y, font, flags
+    spans = [
+        (1, 0, 612.0, 0, 0, 0, "AGREEMENT", 256.0, 356.0, 72.0, "Times-Bold", 0),
+        (1, 0, 612.0, 0, 1, 0, "1. Definitions", 72.0, 150.0, 86.0, "Times-Roman", 0),
+        (1, 0, 612.0, 0, 2, 0, "   ", 72.0, 80.0, 100.0, "Times-Roman", 0),
+        (1, 0, 612.0, 1, 0, 0, "a) first <item>", 72.0, 160.0, 114.0, "Times-Roman", 0),
+        (1, 0, 612.0, 1, 1, 0, "plain ", 72.0, 100.0, 128.0, "Times-Roman", 0),
+        (1, 0, 612.0, 1, 1, 1, "text & more", 100.0, 500.0, 128.0, "Times-Roman", 0),
+        (1, 0, 612.0, 1, 2, 0, "indented line", 120.0, 500.0, 142.0, "Times-Roman", 0),
+    ]
+    df = spark.createDataFrame(spans, "doc_id long, page_no int, page_width double, block_no int, line_no int, "
+                                      "span_no int, text string, x0 double, x1 double, origin_y double, font string, flags int")
+    html = H.render_lines(H.classify_lines(H.layout_lines(df))).first().html
+    want = "\n".join(H.PAGE_HEAD_LINES + [
+        '<h1 id="elem_0_0_72.0" class="heading" align="center">AGREEMENT</h1>',
+        '<h2 id="elem_0_0_86.0" class="heading">1. Definitions</h2>',
+        '<div style="height: 12px;"></div>',
+        '<div id="elem_0_1_114.0" class="clause">a) first &lt;item&gt;</div>',
+        '<div id="elem_0_1_128.0" class="paragraph">plain text &amp; more</div>',
+        '<div id="elem_0_1_142.0" class="indent">indented line</div>',
+        "</body></html>"])
+    assert html == want

@@ -324,3 +324,38 @@ def test_render_lines_exact_html(spark):
         '<div id="elem_0_1_142.0" class="indent">indented line</div>',
         "</body></html>"])
     assert html == want
+
+
+def test_rebuild_html_exact(spark):
+    df = spark.createDataFrame([("k", "TITLE\n\nSection one:\n\n1. The parties <agree>\n\n\n\nplain & simple")],
+                               "key string, cleaned string")
+    html = H.rebuild_html(df, ["key"], "cleaned", sep="\n\n").first().html
+    want = ("\n".join(H.PAGE_HEAD_LINES)
+            + '<h1 class="heading" style="text-align: center;">TITLE</h1>'
+            + '<h2 class="heading">Section one:</h2>'
+            + '<div class="clause">1. The parties &lt;agree&gt;</div>'
+            + '<div class="paragraph">plain &amp; simple</div>'
+            + H.PAGE_TAIL)
+    assert html == want
+
+
+def test_call_health_warm_branch(spark):
+    from docrevise.operators import jobs as J
+    calls = spark.createDataFrame([("j", 1, "2024-02-01 00:00:00", True), ("j", 2, "2024-02-01 00:01:00", False)],
+                                  "job_id string, chunk_no long, ts string, ok boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    reqs = spark.createDataFrame([("2024-02-01 00:05:00",)], "ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = F.lit("2024-02-01 00:10:00").cast("timestamp")
+    r = J.call_health(calls, reqs, now).first()
+    assert (r.total, r.ok_calls, r.failed, r.last_ok, r.success_rate) == (2, 1, 1, False, 50.0)
+    assert r.minutes_since_last_request == 5.0 and r.next_warmup == "00:17:00"   # 00:05 + 0.8 * 15 min
+    cold = J.call_health(calls, reqs, F.lit("2024-02-01 00:30:00").cast("timestamp")).first()
+    assert cold.next_warmup == "Soon (model likely cold)"
+
+
+def test_small_document_bypass_variants(spark):
+    j = jobs(spark, [(1, "short <text>"), (2, "x" * 50)])
+    hosted = {r.job_id: r for r in C.small_document_chunks(j, 40, 10, use_html=True, chunker=C.chunk_fixed).collect()}
+    assert hosted["job-1"].is_html and hosted["job-1"].text.startswith("<!DOCTYPE html><html><body><pre>short &lt;text&gt;")
+    selfh = C.small_document_chunks(j, 40, 10, use_html=False, chunker=C.chunk_fixed).collect()
+    assert {r.text for r in selfh if r.job_id == "job-1"} == {"short <text>"}
+    assert sorted((r.start, r.end) for r in selfh if r.job_id == "job-2") == [(0, 40), (30, 50)]

@@ -224,3 +224,13 @@ def test_align_lines_matches_sequential_rule(spark, docs):
     for (job, ot), (_, mt) in zip(orig, resp):
         assert got.get(job, {}) == _align_by_rule(ot, mt), job
     assert sum(len(v) for v in got.values()) > 50
+
+
+def test_target_score_methods_agree(spark, sf):
+    from docrevise.plans.queries import FIELDS, OVERLAP, SEP, SIZE, corpus_jobs
+    j = corpus_jobs(spark, sf)
+    targets = T.materialize(T.target_sections(j, FIELDS, sep=SEP))
+    chunks = C.chunk_fixed(j, SIZE, OVERLAP)
+    a = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="automaton").collect()}
+    b = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="scan").collect()}
+    assert a == b and any(r[2] > 0 for r in a)

@@ -43,12 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  When it is unset, a single-process ``local`` master (tests, bench)
+    gets a scratch folder; any other master raises, because a machine-local
+    folder would be written by each host on its own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="docrevise-ckpt-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="docrevise-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
         except Exception:  # some deployments lock core settings at run time

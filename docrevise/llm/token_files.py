@@ -42,81 +42,105 @@ from docrevise.llm.common import col, folder, text_or_empty
 END_ID = 0
 #: Encoded text bytes per shard, about, and pieces remembered by a task.
 SHARD_BYTES = 64 << 20
-CACHE_PIECES = 200_000
-#: Characters encoded together, about.
-SLICE_CHARS = 8 << 20
+CACHE_PIECES = 300_000
+#: Text bytes encoded together, about.
+SLICE_BYTES = 6 << 20
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of frequent pieces."""
+    """Encodes batches of texts; remembers the ids of the pieces seen first
+    (frequent ones come early), up to a bound."""
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.wide = self.tok.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
         self.limit, self.known = cache, {}
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        self.feed = self.whole("\n")
+        assert len(self.feed) == 1
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of pieces without line feeds.  Line feeds
+        between pieces are pre-tokens of their own, so one call does many."""
+        if not pieces:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        ids = np.concatenate([self.whole("\n".join(pieces[i:i + 2048]) + "\n") for i in range(0, len(pieces), 2048)])
+        ends = np.nonzero(ids == self.feed[0])[0]
+        return ids[ids != self.feed[0]], np.diff(ends, prepend=-1) - 1
+
+    def _pieces(self, pieces: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and each piece's first position and number of ids.
+        ``times``: how often a piece occurs; single ones are not remembered."""
         get = self.known.get
-        out = [get(p) for p in pieces]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-        for i, ids in zip(new, self.whole([pieces[i] for i in new])):
-            out[i] = ids
-            if len(self.known) < self.limit:
-                self.known[pieces[i]] = ids
-        return out
+        found = [get(p) for p in pieces]
+        is_new = np.fromiter((x is None for x in found), bool, len(found))
+        new = np.nonzero(is_new)[0]
+        ids, lens = self._encode([pieces[i] for i in new.tolist()])
+        old = [x for x in found if x is not None]
+        size = np.zeros(len(pieces), np.int32)
+        size[new] = lens
+        size[~is_new] = np.fromiter(map(len, old), np.int64, len(old)) // self.kind.itemsize
+        flat = np.concatenate([np.frombuffer(b"".join(old), self.kind), ids])
+        order = np.concatenate([np.nonzero(~is_new)[0], new])
+        first = np.zeros(len(pieces), np.int32)
+        first[order] = np.cumsum(size[order]) - size[order]
+        again = np.nonzero(times[new] > 1)[0][:max(0, self.limit - len(self.known))]
+        for i, e, n in zip(new[again].tolist(), np.cumsum(lens)[again].tolist(), lens[again].tolist()):
+            self.known[pieces[i]] = ids[e - n:e].tobytes()
+        return flat, first, size
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, and the number of ids per text."""
         # a line feed starts a piece, a space stands before every other one;
-        # the line feed put before a text is taken off again below
+        # the line feed put before a text is not counted as its own below
         marked = pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n")
         parts = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), " ")
-        of = np.diff(parts.offsets.to_numpy())
+        starts = parts.offsets.to_numpy()[:-1]
         codes = parts.flatten().dictionary_encode()
         distinct = codes.dictionary.to_pylist()
         codes = codes.indices.to_numpy(zero_copy_only=False)
+        lead = np.fromiter((p[:1] == "\n" for p in distinct), bool, len(distinct))
         bare = [p[1:] if p[:1] == "\n" else p for p in distinct]
-        odd = np.fromiter((not p or p != p.strip() or p[0].isspace() for p in bare), bool, len(bare))
-        ids = self._pieces([("" if o else p if p[0] == "\n" else " " + p) for p, o in zip(distinct, odd)])
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([*ids, np.zeros(0, self.kind)]).astype(self.kind, copy=False)
-        first = np.cumsum(lens) - lens
-        n = lens[codes]  # ids per piece
-        starts = np.cumsum(of) - of
-        irregular = np.add.reduceat(odd[codes], starts) > 0 if len(codes) else np.zeros(len(texts), bool)
+        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in bare), bool, len(bare))
+        flat, first, size = self._pieces([("x" if o else b if f else " " + b) for b, f, o in zip(bare, lead, odd)],
+                                        np.bincount(codes, minlength=len(distinct)))
+        # a piece after a line feed is led by the feed's id: one more id
+        own = size[codes]
+        n = own + lead[codes]
         total = int(n.sum())
-        stream = flat[np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(total)]
+        ends = np.cumsum(n, dtype=np.int32)  # a slice is far below 2**31 ids
+        where = np.repeat(first[codes] - (ends - own), own)
+        keep = np.ones(total, bool)
+        keep[(ends - n)[lead[codes]]] = False
+        stream = np.full(total, self.feed[0], self.kind)
+        where += np.nonzero(keep)[0].astype(np.int32)
+        stream[keep] = flat[where]
+        irregular = np.add.reduceat(odd[codes], starts) > 0 if len(codes) else np.zeros(len(texts), bool)
         per = np.add.reduceat(n, starts) if len(codes) else np.zeros(len(texts), np.int64)
         ends = np.cumsum(per)
-        out, sizes, slow = [], np.zeros(len(texts), np.int64), {}
-        odd_at = np.nonzero(irregular)[0]
-        if len(odd_at):
-            slow = dict(zip(odd_at.tolist(), self.whole([texts[i] for i in odd_at])))
+        out, sizes = [], np.zeros(len(texts), np.int64)
         end = np.array([END_ID], self.kind)
-        for i in range(len(texts)):
-            own = slow[i] if i in slow else stream[ends[i] - per[i] + 1:ends[i]]
-            out += [own, end]
-            sizes[i] = len(own) + 1
+        for i, (e, k, slow) in enumerate(zip(ends.tolist(), per.tolist(), irregular.tolist())):
+            ids = self.whole(texts[i]) if slow else stream[e - k + 1:e]
+            out += [ids, end]
+            sizes[i] = len(ids) + 1
         return np.concatenate([*out, np.zeros(0, self.kind)]), sizes
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes: (first, number)."""
     lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield slice(lo, i + 1)
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield lo, i + 1 - lo
             lo, size = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
+    if lo < len(sizes):
+        yield lo, len(sizes) - lo
 
 
 def _store(url: str):
@@ -154,9 +178,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             keys = b.column(0)
             n_null += keys.null_count
             files["doc"].write(pc.fill_null(keys, 0).to_numpy().astype("<i8").tobytes())
-            texts = b.column(1).to_pylist()
-            for part in _slices(texts):
-                ids, sizes = enc.batch(texts[part])
+            for lo, n in _slices(pc.binary_length(b.column(1)).to_pylist(), SLICE_BYTES):
+                ids, sizes = enc.batch(b.column(1).slice(lo, n).to_pylist())
                 files["ids"].write(ids.tobytes())
                 files["off"].write((n_ids + np.cumsum(sizes)).astype("<u8").tobytes())
                 n_ids += len(ids)

@@ -3,17 +3,18 @@ Hamming distance found by a binary-trie self-join, connected components.
 
 Links.  Equal fingerprints collapse first.  The distinct ones form a binary
 trie (a sorted array: a node is a range that shares a bit prefix).  The trie
-is joined with itself top-down: a pair of nodes splits into its four child
-pairs, a pair of unlike bits costs one of the error budget, and a pair is
-pruned when the budget is spent, or when both its ranges already lie in one
-component.  Because of 4 differing bits one 32-bit half holds at most 2, the
-join runs twice, once with the halves swapped, with a budget of 2 for the
-first 32 levels and of 4 in all: far fewer pairs survive, and none is lost.
-
-Spread.  The first levels of the trie are done by Spark: every fingerprint
-goes to the task of its own prefix and, from prefixes at most 2 bits away, to
-one of the two tasks of each pair (picked by a hash, so the load is even).  A
-prefix with many fingerprints is cut into chunks and its tasks become chunk
+is joined with itself top-down: a pair of nodes splits into its child pairs, a
+pair of unlike bits costs one of the error budget, and a pair is pruned when
+the budget is spent, or when both its ranges already lie in one component.
+Because 4 differing bits leave at least one of 5 blocks (two of 6, three of 7)
+untouched, the join runs once per choice of untouched blocks, with these
+blocks as the trie's first levels and a budget of 0 there: no pair is lost and
+far fewer are visited.  5 blocks serve up to about 67 million distinct
+fingerprints, 6 up to 3 * 10**10, 7 beyond.
+
+Spread.  The first levels of a trie are done by Spark: with a budget of 0 a
+subtree needs no other, so every fingerprint goes to one task per trie.  A
+subtree with many fingerprints is cut into chunks and its tasks become chunk
 pairs, so no task ever holds an unbounded subtree.  A task gives back a star
 per local component, never pairs, and the stars are joined into components by
 alternating large-star and small-star steps, stored after each round.
@@ -39,9 +40,9 @@ from docrevise.llm.common import LOWER_BYTES, col, stored, text_or_empty
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: Fingerprints per prefix and per chunk, about.
-SUBTREE = 4096
-CHUNK = 16384
+#: Fingerprints per subtree, and per chunk of a big one, about.
+SUBTREE = 1024
+CHUNK = 4096
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -103,100 +104,122 @@ class _Labels:
         return np.concatenate([[0], np.cumsum(lab[1:] != lab[:-1])]) if len(lab) else lab
 
 
-def trie_join(own: np.ndarray, others: np.ndarray, half_bits: int = 2, max_bits: int = MAX_BITS,
-              leaf: int = 32, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Components of ``others`` (sorted, distinct; holds ``own``) under the
-    links between ``own`` and ``others``: (label per position, is it linked)."""
-    labels = _Labels(len(others))
-    at = np.searchsorted(others, own)
+def layouts(n: int, max_bits: int = MAX_BITS) -> list[list[tuple[int, int]]]:
+    """Per trie the bit blocks, (offset from the top, width), in trie order:
+    first those taken as untouched, enough bits for ``n`` fingerprints."""
+    for blocks in (max_bits + 1, max_bits + 2, max_bits + 3):
+        cuts = [64 * i // blocks for i in range(blocks + 1)]
+        parts = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        if n <= 1 << (sum(sorted(w for _, w in parts)[:blocks - max_bits]) + 14):
+            break
+    return [[parts[i] for i in first] + [x for i, x in enumerate(parts) if i not in first]
+            for first in combinations(range(blocks), blocks - max_bits)]
+
+
+def _exact(layout: list[tuple[int, int]], max_bits: int = MAX_BITS) -> int:
+    return sum(w for _, w in layout[:len(layout) - max_bits])
+
+
+def trie_join(fps: np.ndarray, exact: int, max_bits: int = MAX_BITS, leaf: int = 64, step: int = 1 << 18) -> np.ndarray:
+    """Component (smallest position) of each of the sorted distinct ``fps``
+    under the links that agree in the first ``exact`` bits (others may be
+    joined too where they are links)."""
+    labels, every = _Labels(len(fps)), np.arange(len(fps))
     for k in (1, 2, 3):  # neighbours in trie order: cheap, and joins dense clusters early
-        near = np.nonzero(np.bitwise_count(others[:-k] ^ others[k:]) <= max_bits)[0]
+        near = np.nonzero(np.bitwise_count(fps[:-k] ^ fps[k:]) <= max_bits)[0]
         labels.union(near, near + k)
-    # node pairs: range in own, range in others, differing bits so far
-    stack = [(0, np.array([[0, len(own), 0, len(others), 0]], dtype=np.int64))] if len(own) else []
+    # node pairs: two ranges (equal, or the first before the second), differing bits so far
+    stack = [(0, np.array([[0, len(fps), 0, len(fps), 0]], dtype=np.int64))]
     while stack:
         d, pairs = stack.pop()
         if len(pairs) > step:
             stack.append((d, pairs[step:]))
             pairs = pairs[:step]
-        run_own, run_all = labels.runs(at), labels.runs(np.arange(len(others)))
+        run = labels.runs(every)
         a0, a1, b0, b1, e = pairs.T
-        settled = ((run_own[a0] == run_own[a1 - 1]) & (run_all[b0] == run_all[b1 - 1])
-                   & (labels.label[at[a0]] == labels.label[b0]))
+        settled = (run[a0] == run[a1 - 1]) & (run[b0] == run[b1 - 1]) & (labels.label[a0] == labels.label[b0])
         pairs = pairs[~settled]
         a0, a1, b0, b1, e = pairs.T
         small = ((a1 - a0) * (b1 - b0) <= leaf) | (d == 64)
         if small.any():
-            _verify(pairs[small], own, others, at, labels, max_bits)
+            _verify(pairs[small], fps, labels, max_bits)
         pairs = pairs[~small]
         if not len(pairs):
             continue
         a0, a1, b0, b1, e = pairs.T
         bit = np.uint64(1) << np.uint64(63 - d)
         below = ~(bit | (bit - np.uint64(1)))  # the d leading bits
-        am = np.clip(np.searchsorted(own, (own[a0] & below) | bit), a0, a1)
-        bm = np.clip(np.searchsorted(others, (others[b0] & below) | bit), b0, b1)
+        am = np.clip(np.searchsorted(fps, (fps[a0] & below) | bit), a0, a1)
+        bm = np.clip(np.searchsorted(fps, (fps[b0] & below) | bit), b0, b1)
         nxt = np.concatenate([np.stack(x, axis=1) for x in (
             (a0, am, b0, bm, e), (am, a1, bm, b1, e), (a0, am, bm, b1, e + 1), (am, a1, b0, bm, e + 1))])
-        budget = half_bits if d < 32 else max_bits
-        nxt = nxt[(nxt[:, 0] < nxt[:, 1]) & (nxt[:, 2] < nxt[:, 3]) & (nxt[:, 4] <= budget)]
+        budget = 0 if d < exact else max_bits
+        nxt = nxt[(nxt[:, 0] < nxt[:, 1]) & (nxt[:, 2] < nxt[:, 3]) & (nxt[:, 4] <= budget) & (nxt[:, 0] <= nxt[:, 2])]
         if len(nxt):
             stack.append((d + 1, nxt))
-    _, first, counts = np.unique(labels.label, return_inverse=True, return_counts=True)
-    return labels.label, counts[first] > 1
+    return labels.label
 
 
-def _verify(pairs: np.ndarray, own: np.ndarray, others: np.ndarray, at: np.ndarray, labels: _Labels, max_bits: int) -> None:
+def _verify(pairs: np.ndarray, fps: np.ndarray, labels: _Labels, max_bits: int) -> None:
     """Compare all members of small node pairs and join the linked ones."""
     a0, a1, b0, b1, _ = pairs.T
     nb = b1 - b0
     n = (a1 - a0) * nb
-    for lo in range(0, len(n), 1 << 17):
-        hi = lo + (1 << 17)
+    for lo in range(0, len(n), 1 << 15):
+        hi = lo + (1 << 15)
         m, total = n[lo:hi], int(n[lo:hi].sum())
         pos = np.arange(total) - np.repeat(np.cumsum(m) - m, m)
         width = np.repeat(nb[lo:hi], m)
         i = np.repeat(a0[lo:hi], m) + pos // width
         j = np.repeat(b0[lo:hi], m) + pos % width
-        near = np.bitwise_count(own[i] ^ others[j]) <= max_bits
-        labels.union(at[i[near]], j[near])
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+        labels.union(i[near], j[near])
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """One task: star edges (fp, centre) of the local components."""
-    fp = table.column("rot").to_numpy().view(np.uint64)
-    own = table.column("own").to_numpy(zero_copy_only=False)
-    swap = bool(table.column("trie")[0].as_py())
-    others, mine = np.unique(fp), np.unique(fp[own])
-    label, linked = trie_join(mine, others)
-    back = (others << np.uint64(32)) | (others >> np.uint64(32)) if swap else others
-    keep = linked & (label != np.arange(len(others)))
-    return pa.table({"u": back[keep].view(np.int64), "v": back[label[keep]].view(np.int64)})
+def _permuted(fps: np.ndarray, layout: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros(len(fps), np.uint64)
+    for offset, width in layout:
+        part = (fps >> np.uint64(64 - offset - width)) & np.uint64((1 << width) - 1)
+        out = (out << np.uint64(width)) | part
+    return out
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Star edges (u, v) whose components are those of all links between the
     fingerprints of ``distinct`` (column fp, no repeats)."""
     n = distinct.count()
-    depth = min(24, max(0, (max(n, 1) - 1) // SUBTREE).bit_length())
-    masks = [sum(1 << b for b in c) for k in range(3) for c in combinations(range(depth), k)]
-    rot = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
-    x = distinct.select(F.explode(F.array(F.struct(F.lit(0).alias("trie"), F.col("fp").alias("rot")),
-                                          F.struct(F.lit(1).alias("trie"), rot.alias("rot")))).alias("x")).select("x.*")
-    prefix = F.shiftrightunsigned("rot", 64 - depth) if depth else F.lit(0).cast("long")
-    x = x.withColumn("prefix", prefix)
-    x = x.withColumn("node", F.explode(F.filter(
-        F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("prefix"))),
-        lambda b: (b == F.col("prefix")) | ((F.pmod(F.xxhash64(F.least(b, "prefix"), F.greatest(b, "prefix")), F.lit(2)) == 0)
-                                            == (b < F.col("prefix"))))))
-    x = x.withColumn("own", F.col("node") == F.col("prefix"))
+    tries = layouts(n)
+    depth = min(_exact(tries[0]) - 1, max(0, (max(n, 1) - 1) // SUBTREE).bit_length())
+
+    def prefix(layout: list[tuple[int, int]]) -> Column:
+        out, left = F.lit(0).cast("long"), depth
+        for offset, width in layout:
+            take = min(width, left)
+            if take:
+                out = F.shiftleft(out, take).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset - take).bitwiseAND(F.lit((1 << take) - 1)))
+            left -= take
+        return out
+
+    def stars(table: pa.Table) -> pa.Table:
+        layout = tries[table.column("trie")[0].as_py()]
+        fps = np.unique(table.column("fp").to_numpy()).view(np.uint64)
+        rot = _permuted(fps, layout)
+        order = np.argsort(rot)
+        label = trie_join(rot[order], _exact(layout))
+        keep = label != np.arange(len(label))
+        return pa.table({"u": fps[order][keep].view(np.int64), "v": fps[order][label[keep]].view(np.int64)})
+
+    x = distinct.select("fp", F.posexplode(F.array(*[prefix(t) for t in tries])).alias("trie", "node"))
     # big subtrees become chunk pairs
     counts = stored(x.groupBy("trie", "node").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1"), "big-nodes")
     x = x.join(counts, ["trie", "node"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("rot"), F.col("chunks")).cast("int")
-    x = x.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    jobs = x.select("trie", "node", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "rot", "own")
-    return jobs.groupBy("trie", "node", "c1", "c2").applyInArrow(_stars, "u bigint, v bigint").distinct()
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    # with one chunk the row is alone; with more, it meets every other chunk
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine")))
+    x = x.withColumn("mine", mine).withColumn("other", F.explode(others))
+    jobs = x.select("trie", "node", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "fp")
+    return jobs.groupBy("trie", "node", "c1", "c2").applyInArrow(stars, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

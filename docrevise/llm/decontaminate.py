@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrevise.llm.common import NOT_ALNUM, ascii_lower, col, stored, text_or_empty, words
+from docrevise.llm.common import NOT_ALNUM, ascii_lower, col, fresh, let, stored, text_or_empty, words
 
 N = 10
 BROADCAST_NGRAMS = 1_000_000
@@ -97,18 +97,20 @@ def covered_words(starts: Column) -> Column:
         F.greatest(a["e"], x["start"] + x["len"]).alias("e")), lambda a: a["c"])
 
 
-def _with_hits(docs: DataFrame, hits: DataFrame, id_col: str, text: str, how: str) -> DataFrame:
-    t = text_or_empty(col(text))
-    h = hits.alias("h_")
-    return docs.join(h, col(id_col).eqNullSafe(F.col("h_.doc_id")) & (F.xxhash64(t) == F.col("h_.text_hash"))
-                     & F.length(col(text)).eqNullSafe(F.col("h_.n_chars")), how)
+def _with_hits(docs: DataFrame, hits: DataFrame, id_col: str, text: str, how: str) -> tuple[DataFrame, str]:
+    """``docs`` joined to ``hits``, whose columns get a prefix of their own."""
+    p = fresh(docs, "h_")
+    h = hits.select(*[F.col(c).alias(p + c) for c in hits.columns])
+    same = (col(id_col).eqNullSafe(F.col(f"{p}doc_id")) & (F.xxhash64(text_or_empty(col(text))) == F.col(f"{p}text_hash"))
+            & F.length(col(text)).eqNullSafe(F.col(f"{p}n_chars")))
+    return docs.join(h, same, how), p
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a benchmark window."""
     hits = stored(document_hits(docs, benchmark, n, id_col=id_col, text=text).where(F.size("starts") > 0)
                   .select("doc_id", "text_hash", "n_chars"), "hits")
-    return _with_hits(docs, hits, id_col, text, "left_anti")
+    return _with_hits(docs, hits, id_col, text, "left_anti")[0]
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,13 +118,24 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str
     between and after the hit spans stays as it is."""
     hits = stored(document_hits(docs, benchmark, n, id_col=id_col, text=text).where(F.size("starts") > 0)
                   .select("doc_id", "text_hash", "n_chars", "starts"), "hits")
-    # the text as word, gap, word, gap, ...: regexp keeps both, in order
-    pieces = F.regexp_extract_all(col(text), F.lit("([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), 1)
-    is_word = lambda p: p.rlike("^[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    inside = F.flatten(F.transform("h_.starts", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
-    lead = F.when(is_word(F.get(pieces, 0)), 0).otherwise(1)
-    keep = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), ((i - lead) / 2).cast("int").alias("w"), is_word(p).alias("word"))),
-                    lambda x: ~(x["word"] & F.array_contains(inside, x["w"])))
-    cut = F.when(F.col("h_.starts").isNotNull(), F.array_join(F.transform(keep, lambda x: x["p"]), "")).otherwise(col(text))
-    j = _with_hits(docs, hits, id_col, text, "left")
-    return j.select(*[cut.alias(c) if c == text else docs[c] for c in docs.columns])
+    j, p = _with_hits(docs, hits, id_col, text, "left")
+    starts = F.col(f"{p}starts")
+    # the text as word, gap, word, gap, ...: both kept, in order
+    word, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    pieces = F.regexp_extract_all(col(text), F.lit(f"({word}|{gap})"), 1)
+    is_word = lambda x: x.rlike(f"^{word}")
+    # sorted, disjoint spans of hit words (end exclusive)
+    spans = F.aggregate(starts, F.array().cast("array<struct<a:int,b:int>>"), lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(-1)) >= x["start"]),
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(
+            F.get(acc, F.size(acc) - 1)["a"].alias("a"), F.greatest(F.get(acc, F.size(acc) - 1)["b"], x["start"] + x["len"]).alias("b"))))
+    ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), (x["start"] + x["len"]).alias("b"))))))
+
+    def kept(text_pieces: Column, sp: Column) -> Column:
+        lead = F.when(is_word(F.get(text_pieces, 0)), 0).otherwise(1)  # word k is piece 2 k + lead
+        ends = F.concat(F.array(F.lit(0)), F.transform(sp, lambda x: 2 * (x["b"] - 1) + lead + 1))
+        begins = F.concat(F.transform(sp, lambda x: 2 * x["a"] + lead), F.array(F.size(text_pieces)))
+        between = F.arrays_zip(ends.alias("a"), begins.alias("b"))
+        return F.array_join(F.flatten(F.transform(between, lambda x: F.slice(text_pieces, x["a"] + 1, x["b"] - x["a"]))), "")
+    cut = F.when(F.size(starts) > 0, let(pieces, lambda tp: let(spans, lambda sp: kept(tp, sp)))).otherwise(col(text))
+    return j.select(*[cut.alias(c) if c == text else col(c) for c in docs.columns])

@@ -68,7 +68,7 @@ def _uniform(*key: Column) -> Column:
 
 def rank_odds(u: Column, share: Column, weight: Column) -> Column:
     """Random odds over inclusion odds (documents with a small value come first)."""
-    return (u / (1 - u)) / (weight * share / (1 - share))
+    return F.try_divide(u / (1 - u), weight * share / (1 - share))
 
 
 def _bucket(rank: Column, n_buckets: Column) -> Column:
@@ -136,8 +136,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
         weights=WEIGHTS, max_repeat: int = MAX_REPEAT, weight: str | None = None, prefix: str = "m_") -> DataFrame:
     """``docs`` plus ``prefix`` + size, source_size, target, copies, taken.
     ``weight`` names a positive column that multiplies a document's inclusion
-    odds (null: 1)."""
+    odds (null: 1).  Columns that start with ``prefix`` are replaced."""
     p = prefix
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(p.lower())])
     sized = docs.withColumn(f"{p}size", n_words(col(text))).withColumn(
         f"{p}weight", F.coalesce(col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0))
     unit = {"doc_id": col(id_col), "source": col(source), "size": F.col(f"{p}size"), "weight": F.col(f"{p}weight"),

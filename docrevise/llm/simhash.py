@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrevise.llm.common import LOWER_BYTES, col, stored, text_or_empty
+from docrevise.llm.common import LOWER_BYTES, col, fresh, stored, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -265,15 +265,13 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     """``docs`` with one document of each component, that with the smallest id."""
     found = near_duplicates(docs, shingle, id_col, text)
     own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    p = fresh(docs, "k_")
     kept = stored(found.where(own).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "kept")
-    k = kept.alias("k_")
     h = F.xxhash64(text_or_empty(col(text)))
-    out = docs.join(k, col(id_col).eqNullSafe(F.col("k_.doc_id")) & (h == F.col("k_.text_hash")), "left_semi")
+    side = kept.select(F.col("doc_id").alias(f"{p}id"), F.col("text_hash").alias(f"{p}hash"))
+    out = docs.join(side, col(id_col).eqNullSafe(F.col(f"{p}id")) & (h == F.col(f"{p}hash")), "left_semi")
     if kept.where("n > 1").isEmpty():
         return out
     # repeated rows: one of each stays
     w = Window.partitionBy(col(id_col), h).orderBy(F.lit(1))
-    mark = "row_"
-    while mark in map(str.lower, docs.columns):
-        mark += "_"
-    return out.withColumn(mark, F.row_number().over(w)).where(F.col(mark) == 1).drop(mark)
+    return out.withColumn(f"{p}row", F.row_number().over(w)).where(F.col(f"{p}row") == 1).drop(f"{p}row")

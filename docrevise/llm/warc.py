@@ -56,25 +56,26 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column | str
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """page_id, url, payload, bytes, digest and refers_to (a struct with the
-    response's page_id, or null) per row of ``pages``."""
-    p = pages.select(col(id_col).alias("page_id"), col(url).alias("url"), text_or_empty(col(payload)).alias("payload"))
+    """page_id, url, payload, seq (a row number), bytes, digest and refers_to
+    (page_id and seq of the response, or null) per row of ``pages``."""
+    p = pages.select(col(id_col).alias("page_id"), col(url).alias("url"), text_or_empty(col(payload)).alias("payload"),
+                     F.monotonically_increasing_id().alias("seq"))
     p = p.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     # only digests that occur more than once are joined back
-    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "seq"))
     groups = (p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
               .where("n > 1").select(F.col("digest").alias("again"), "first"))
     j = p.join(groups, (F.col("digest") == F.col("again")) & (F.col("bytes") >= min_bytes), "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return j.select("page_id", "url", "payload", "bytes", "digest", F.when(other, F.struct(F.col("first.page_id").alias("page_id"))).alias("refers_to"))
+    return j.select("page_id", "url", "payload", "seq", "bytes", "digest", F.when(other, F.struct("first.page_id", "first.seq")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, **kw) -> None:
     """Write ``pages`` as gzipped WARC archives below ``path``."""
     r = mark_revisits(pages, **kw)
-    own = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    named = lambda of: F.concat_ws("/", F.coalesce(F.col(f"{of}page_id").cast("string"), F.lit("null")), F.col(f"{of}seq"))
     target = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("urn:none"))
-    r = r.withColumn("own", own).withColumn("target", target)
+    r = r.withColumn("own", named("")).withColumn("target", target)
     ids = {k: F.concat(F.lit(f"urn:capture:{k}:"), F.col("own")) for k in ("request", "response", "metadata")}
     concurrent = F.concat(F.lit("<"), ids["response"], F.lit(">"))
     uri = ("WARC-Target-URI", F.col("target"))
@@ -82,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, **kw) -> None:
     request = _record("request", ids["request"], [("WARC-Concurrent-To", concurrent), uri, ("Content-Type", "application/http;msgtype=request")],
                       F.concat(F.lit("GET "), F.col("target"), F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
     response = _record("response", ids["response"], [uri, sha, ("Content-Type", "text/html; charset=utf-8")], F.col("payload"))
-    refers = F.concat(F.lit("<urn:capture:response:"), F.coalesce(F.col("refers_to.page_id").cast("string"), F.lit("null")), F.lit(">"))
+    refers = F.concat(F.lit("<urn:capture:response:"), named("refers_to."), F.lit(">"))
     revisit = _record("revisit", ids["response"], [uri, sha, ("WARC-Refers-To", refers), (
         "WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], F.lit(""))
     metadata = _record("metadata", ids["metadata"], [("WARC-Concurrent-To", concurrent), uri, ("Content-Type", "application/warc-fields")],

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrevise.llm.common import SPACE, col, fresh, let, stored, text_or_empty, words
+from docrevise.llm.common import SPACE, col, let, stored, text_or_empty, words
 
 #: Thresholds tried per statistic (fixed grids, so learning is reproducible).
 _SHARES = [0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -75,35 +75,41 @@ def repeated_words(w: Column, n: int = 5) -> Column:
     return let(_windows(w, n), count)
 
 
+def _statistics(t: Column) -> Column:
+    """All statistics of a text as one struct; words and lines are cut once."""
+    left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
+
+    def of(w: Column, lines: Column) -> Column:
+        return F.struct(*[c.cast("long").alias(name) for name, c in {
+            "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_symbols": F.length(t) - left(r"[#*$%&|<>]+"),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_lines": F.size(lines),
+            "n_repeat_words": repeated_words(w), "n_distinct": F.size(F.array_distinct(w)),
+            "n_upper": F.length(t) - left("[A-Z]+"), "n_marks": F.length(t) - left("[!?]+")}.items()])
+    lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return let(words(t, SPACE), lambda w: let(lines, lambda x: of(w, x)))
+
+
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks")
+
+
 def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataFrame:
     """``docs`` plus one column per statistic, each named ``prefix`` + name."""
-    t = text_or_empty(col(text))
-    spaceless = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     p = prefix
-    df = docs.select("*", words(t, SPACE).alias(f"{p}w"), F.filter(F.split(t, "\n", -1), spaceless).alias(f"{p}l"))
-    w, lines = F.col(f"{p}w"), F.col(f"{p}l")
-    left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    df = df.select(
-        *[col(c) for c in docs.columns], F.size(w).cast("long").alias(f"{p}n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias(f"{p}word_chars"),
-        (F.length(t) - left(r"[#*$%&|<>]+")).cast("long").alias(f"{p}n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{p}n_dup_lines"),
-        F.size(lines).cast("long").alias(f"{p}n_lines"),
-        repeated_words(w).cast("long").alias(f"{p}n_repeat_words"),
-        F.size(F.array_distinct(w)).cast("long").alias(f"{p}n_distinct"),
-        (F.length(t) - left("[A-Z]+")).cast("long").alias(f"{p}n_upper"),
-        (F.length(t) - left("[!?]+")).cast("long").alias(f"{p}n_marks"))
-    return df
-
-
-def base_failed(prefix: str = "q_") -> Column:
+    df = docs.select("*", _statistics(text_or_empty(col(text))).alias(f"{p}all"))
+    return df.select(*[col(c) for c in docs.columns], *[F.col(f"{p}all.{n}").alias(p + n) for n in STATISTICS])
+
+
+def columns(prefix: str = "q_"):
+    """Statistic name -> column, for rows of ``text_statistics``."""
+    return lambda name: F.col(prefix + name)
+
+
+def base_failed(c=columns()) -> Column:
     """Fixed rule: fewer than ten words, or over a fifth of them repeated."""
-    n = F.col(f"{prefix}n_words")
-    return (n < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * n)
+    return (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
 
 
-def features(prefix: str = "q_") -> dict[str, Column]:
-    c = lambda name: F.col(prefix + name)
+def features(c=columns()) -> dict[str, Column]:
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return {
         "n_words": c("n_words").cast("double"),
@@ -143,13 +149,13 @@ class RuleList:
     """Ordered reject rules; a text that none covers is kept."""
     rules: list[list[Condition]] = field(default_factory=list)
 
-    def verdict(self, prefix: str = "q_") -> Column:
+    def verdict(self, c=columns()) -> Column:
         """True = keep.  One ordered conditional expression."""
-        values, out = features(prefix), None
+        values, out = features(c), None
         for rule in self.rules:
             cond = F.lit(True)
-            for c in rule:
-                cond = cond & c.on_values(values)
+            for x in rule:
+                cond = cond & x.on_values(values)
             out = F.when(cond, F.lit(False)) if out is None else out.when(cond, F.lit(False))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
@@ -164,12 +170,12 @@ def _all(conds: list[Condition]) -> Column:
     return out
 
 
-def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", prefix: str = "q_", max_rules: int = 8,
+def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", max_rules: int = 8,
                 max_conditions: int = 4, min_cover: int = 5, min_precision: float = 0.9) -> RuleList:
     """Learn reject rules from ``labelled``: statistics plus ``bad`` (boolean)
     and ``key`` (any value; its hash deals rows to the growing part, two
     thirds, and the pruning part)."""
-    values = features(prefix)
+    values = features()
 
     def bin_of(f: str) -> Column:
         grid = F.array(*[F.lit(float(g)) for g in GRIDS[f]])
@@ -245,9 +251,7 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the texts that the fixed rule or the learned list
     rejects.  Two scans of the texts, no shuffle of them."""
-    stats = text_statistics(docs.select(col(id_col).alias("doc_id"), col(text).alias("text")))
-    rules = learn_rules(labelled_statistics(stats.drop("text").where(~base_failed()), labels.select(
-        col(id_col).alias("doc_id"), "quality")))
-    p = fresh(docs, "q_")
-    kept = text_statistics(docs, text, p).where(~base_failed(p) & rules.verdict(p))
-    return kept.select(*[col(c) for c in docs.columns])
+    stats = stored(text_statistics(docs.select(col(id_col).alias("doc_id"), col(text).alias("text"))).drop("text"), "statistics")
+    rules = learn_rules(labelled_statistics(stats.where(~base_failed()), labels.select(col(id_col).alias("doc_id"), "quality")))
+    # one bound struct: as a filter over columns, Spark would compute every statistic anew at each use
+    return docs.where(let(_statistics(text_or_empty(col(text))), lambda s: ~base_failed(lambda n: s[n]) & rules.verdict(lambda n: s[n])))

@@ -10,6 +10,7 @@ model calls; results are keyed by (job_id, chunk_no).
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -39,10 +40,10 @@ NOTICE_PAGE = (
 # ---------------------------------------------------------------- R1 prompts
 def build_prompts(chunks: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
     """``prompt`` from the template; ``chunks`` needs text, label, instruction."""
-    p = F.lit(template)
-    for name, col in (("{label}", F.col("label")), ("{instruction}", F.col("instruction")), ("{chunk}", F.col("text"))):
-        p = F.replace(p, F.lit(name), col)
-    return chunks.withColumn("prompt", p)
+    # the template is cut once, so values that look like placeholders stay text
+    values = {"{label}": F.col("label"), "{instruction}": F.col("instruction"), "{chunk}": F.col("text")}
+    parts = [values.get(x, F.lit(x)) for x in re.split(r"(\{label\}|\{instruction\}|\{chunk\})", template) if x]
+    return chunks.withColumn("prompt", F.concat(*parts) if parts else F.lit(""))
 
 
 # ---------------------------------------------------------------- R4 error classes

@@ -7,6 +7,7 @@ so its calls happen once even if later stages are recomputed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,19 +50,19 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
         ranked = P.apply_ranking_gate(ranked, jobs, targets, size)
     else:
         ranked = ranked.withColumn("rank", F.col("chunk_no") + 1).withColumn("ranked", F.lit(False))
-    if top_k:
-        ranked = P.top_chunks(ranked, top_k)
+    # only the k best chunks go to the reviser; the others keep their text
+    ranked = ranked.withColumn("chosen", F.col("rank") <= top_k if top_k else F.lit(True))
     work = ranked.join(jobs.select("job_id", "instruction"), "job_id")
     if fn is None:
         work = (work.withColumn("pairs", I.replacement_pairs_array(F.col("instruction")))
-                .withColumn("response", R.literal_revise("text", "pairs"))
+                .withColumn("response", F.when(F.col("chosen"), R.literal_revise("text", "pairs")))
                 .withColumn("error", F.lit(None).cast("string"))
                 .withColumn("error_class", F.lit(None).cast("string")).drop("pairs"))
     else:
-        prompts = R.build_prompts(work, template)
+        prompts = R.build_prompts(work.where("chosen"), template)
         calls = R.revise_chunks(prompts, fn, concurrency)
-        if spark is not None and persist_name:
-            calls = R.persist_calls(calls, spark, persist_name)
+        # always written before reuse: several outputs read the calls
+        calls = R.persist_calls(calls, spark or jobs.sparkSession, persist_name or f"calls-{uuid.uuid4().hex}")
         calls = calls.select("job_id", "chunk_no", R.response_text(F.col("body"), "hosted").alias("response"), "error",
                              "error_class")
         work = work.withColumn("chunk_no", F.col("chunk_no").cast("long")).join(calls, ["job_id", "chunk_no"], "left")

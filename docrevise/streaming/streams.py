@@ -255,8 +255,15 @@ def _stall_fn(limit_sec: float):
                 if state.exists:
                     state.remove()
             else:
-                state.update(cur)
-                state.setTimeoutTimestamp(int((cur[0] + limit).timestamp() * 1000))
+                enq, alerted, status = cur
+                due = int((enq + limit).timestamp() * 1000)
+                if not alerted and due <= state.getCurrentWatermarkMs():
+                    # already due: a timer behind the watermark is not allowed
+                    out.append((job_id, enq, enq + limit, None, status))
+                    alerted = True
+                state.update((enq, alerted, status))
+                if not alerted:
+                    state.setTimeoutTimestamp(due)
         if out:
             yield pd.DataFrame(out, columns=["job_id", "enqueued_at", "stalled_at", "finished_at", "status"])
 

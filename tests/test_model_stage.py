@@ -139,3 +139,18 @@ def test_revise_rank_order_reassembles_by_rank(spark, sf):
     assert any(any(x[2] for x in v) for v in chunks.values())          # some documents were ranked
     for job, cs in chunks.items():
         assert res[job] == "\n\n".join(t for _, t, _ in sorted(cs))  # text follows the ranks
+
+
+def test_placeholders_in_values_stay_text(spark):
+    d = spark.createDataFrame([("TEXT", "1/1", "keep {chunk} and {label}")], "text string, label string, instruction string")
+    assert R.build_prompts(d, "[{label}] {instruction}: {chunk}").first()["prompt"] == "[1/1] keep {chunk} and {label}: TEXT"
+
+
+def test_top_k_keeps_the_other_chunks(spark):
+    from docrevise.operators import targets as T
+    from docrevise.plans.revise import revise
+    text = "\n\n".join(f"Part {i} says old value here." for i in range(40))
+    req = spark.createDataFrame([("j", "d", "change \"old value\" from 'old' to 'new'")], "job_id string, doc_id string, instruction string")
+    jobs = T.prepare_jobs(req, spark.createDataFrame([("d", text)], "doc_id string, text string"))
+    out = revise(jobs, size=200, overlap=0, top_k=1)["results"].first()["response"]
+    assert all(f"Part {i} " in out for i in range(40)) and "new value" in out and "old value" in out

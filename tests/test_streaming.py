@@ -157,3 +157,21 @@ def test_sliding_health_windows(spark, sf):
         for start in (base, base - dt.timedelta(minutes=30)):
             want[start] = want.get(start, 0) + 1
     assert got == set(want.items())
+
+
+def test_stall_rows_behind_the_timer_do_not_fail(spark):
+    """A progress row that arrives after the limit has passed, and rows of a
+    job already alerted, end neither in an error nor in a second alert."""
+    import datetime as dt
+    d = scratch()
+    t0 = dt.datetime(2024, 1, 1)
+    m = lambda mins: t0 + dt.timedelta(minutes=mins)
+    schema = "job_id string, seq bigint, ts timestamp, status string, progress int, message string"
+    batches = [[("A", 1, m(0), "queued", 0, "")], [("Z", 2, m(300), "queued", 0, "")],
+               [("A", 3, m(310), "processing", 10, "")], [("A", 4, m(320), "processing", 20, ""), ("Y", 5, m(330), "queued", 0, "")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{d}/log/part{i}")
+    q = ST.stall_stream(spark, f"{d}/log/*", f"{d}/out", f"{d}/ck", max_files=1)
+    q.awaitTermination()
+    got = [(r.job_id, r.finished_at) for r in spark.read.parquet(f"{d}/out").collect()]
+    assert got.count(("A", None)) == 1 and {j for j, _ in got} == {"A"}

@@ -84,4 +84,29 @@ QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_fm, op3_warc_transactions, op4_simhash_dedup, op5_decontaminate, op6_token_files,
     op7_quality_rules, op8_token_counts, op9_mix_sources, op10_url_filter)}
 
-SQL: dict[str, str] = {}
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+#: The others need hashes, tokenizers, learning or components that SQL does
+#: not have; tests compare them with brute-force versions.
+SQL: dict[str, str] = {
+    "op3_warc_transactions": """WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+       sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS of FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN of = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN of <> page_id THEN of END AS refers_to FROM f""",
+    "op5_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+x AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+y AS (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM x),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM y),
+l AS (SELECT DISTINCT n FROM g),
+e AS (SELECT doc_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d JOIN l ON len(w) >= n),
+h AS (SELECT e.doc_id, e.i, e.n, g.item_id FROM e JOIN g ON g.n = e.n AND g.gram = array_to_string(e.w[e.i:e.i + e.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

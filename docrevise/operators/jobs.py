@@ -19,6 +19,23 @@ def _secs(a: Column, b: Column) -> Column:
     return (F.unix_micros(b) - F.unix_micros(a)) / 1e6
 
 
+def _bucket(ts: str, bucket: str) -> Column:
+    """Number of the time bucket of a row; null where the time is null (a
+    ``window`` would drop such rows)."""
+    width = F.expr(f"unix_micros(timestamp_micros(0) + interval {bucket})")
+    return F.floor(F.unix_micros(F.col(ts)) / width)
+
+
+def _join_null_safe(x: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join where null keys match each other; ``other`` has one row per
+    key, so every row of ``x`` comes out once."""
+    y = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return x.join(y, cond).drop(*[f"_k_{k}" for k in keys])
+
+
 def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str = "1 hour",
                  direction: str = "next", out: str = "other_ts") -> DataFrame:
     """Time of the previous / next row of the same key (ordered by ts, tie)
@@ -29,8 +46,11 @@ def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str
     per-(key, bucket) summary, whose size is bounded by keys x time span /
     bucket width - not by the number of rows.  So a key holding a third of
     all rows is still spread over many tasks.
+
+    Every row is kept.  Null keys form a key of their own; a row without a
+    time has no neighbour and is nobody's neighbour.
     """
-    x = df.withColumn("_b", F.window(F.col(ts), bucket).start)
+    x = df.withColumn("_b", _bucket(ts, bucket))
     w = Window.partitionBy(*keys, "_b").orderBy(ts, tie)
     wb = Window.partitionBy(*keys).orderBy("_b") if keys else Window.partitionBy(F.lit(0)).orderBy("_b")
     if direction == "next":
@@ -39,8 +59,9 @@ def neighbour_ts(df: DataFrame, keys: list[str], ts: str, tie: str, bucket: str
     else:
         x = x.withColumn(out, F.lag(ts).over(w))
         edge = x.groupBy(*keys, "_b").agg(F.max(ts).alias("_edge")).withColumn("_nb", F.lag("_edge").over(wb))
-    x = x.join(edge.select(*keys, "_b", "_nb"), [*keys, "_b"])
-    return x.withColumn(out, F.coalesce(F.col(out), F.col("_nb"))).drop("_b", "_nb")
+    x = _join_null_safe(x, edge.select(*keys, "_b", "_nb"), [*keys, "_b"])
+    near = F.when(F.col(ts).isNotNull(), F.coalesce(F.col(out), F.col("_nb")))
+    return x.withColumn(out, near).drop("_b", "_nb")
 
 
 def count_before(df: DataFrame, keys: list[str], ts: str, tie: str, flag: str, out: str = "n_before",
@@ -48,16 +69,17 @@ def count_before(df: DataFrame, keys: list[str], ts: str, tie: str, flag: str, o
     """Per key, how many earlier rows (by ts, tie) have ``flag`` set - a
     running count that, like ``neighbour_ts``, never puts a whole key into
     one window partition: counts inside (key, bucket) plus a carry of all
-    earlier buckets from a per-bucket summary."""
+    earlier buckets from a per-bucket summary.  Rows without a time come
+    first; null keys form a key of their own."""
     f = F.col(flag).cast("int")
-    x = df.withColumn("_b", F.window(F.col(ts), bucket).start)
+    x = df.withColumn("_b", _bucket(ts, bucket))
     w = Window.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_in", F.coalesce(F.sum(f).over(w), F.lit(0)))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
     carry = (x.groupBy(*keys, "_b").agg(F.sum(f).alias("_bs"))
              .withColumn("_carry", F.coalesce(F.sum("_bs").over(wb), F.lit(0))))
-    x = x.join(carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
+    x = _join_null_safe(x, carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
     return x.withColumn(out, (F.col("_in") + F.col("_carry")).cast("long")).drop("_b", "_in", "_carry")
 
 
@@ -70,18 +92,19 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, tie: str, gap_sec: flo
     Like ``neighbour_ts`` no window spans a whole key: the session start of a
     row is the latest start at or before it, found inside its (key, bucket)
     partition or carried from earlier buckets through a per-bucket summary.
+    Rows without a time are one more group per key, with null start and end.
     """
     x = neighbour_ts(df, keys, ts, tie, bucket, "prev", "_prev")
     x = x.withColumn("_start", F.when(F.col("_prev").isNull() | (_secs(F.col("_prev"), F.col(ts)) >= gap_sec),
                                       F.col(ts)))
-    x = x.withColumn("_b", F.window(F.col(ts), bucket).start)
+    x = x.withColumn("_b", _bucket(ts, bucket))
     w = Window.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_in", F.max("_start").over(w))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
     carry = x.groupBy(*keys, "_b").agg(F.max("_start").alias("_bs")).withColumn("_carry", F.max("_bs").over(wb))
-    x = x.join(carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
-    x = x.withColumn("session_start", F.coalesce(F.col("_in"), F.col("_carry")))
+    x = _join_null_safe(x, carry.select(*keys, "_b", "_carry"), [*keys, "_b"])
+    x = x.withColumn("session_start", F.when(F.col(ts).isNotNull(), F.coalesce(F.col("_in"), F.col("_carry"))))
     return x.groupBy(*keys, "session_start").agg(F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
 
 
@@ -105,9 +128,14 @@ def status_counts(state: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- J3 progress
-def job_progress(results: DataFrame, done_col: str = "ok") -> DataFrame:
-    """Progress while revising = 40 + int(done / total * 30)."""
-    g = results.groupBy("job_id").agg(F.count_if(F.col(done_col)).alias("done"), F.count(F.lit(1)).alias("total"))
+def job_progress(results: DataFrame, finished: Column | None = None) -> DataFrame:
+    """Progress while revising = 40 + int(done / total * 30).
+
+    A chunk is done when its call has ended, well or not: a failed call
+    leaves the original chunk in place, so it counts too.  ``finished`` (by
+    default: all rows) says which chunks have ended."""
+    finished = finished if finished is not None else F.lit(True)
+    g = results.groupBy("job_id").agg(F.count_if(finished).alias("done"), F.count(F.lit(1)).alias("total"))
     pct = F.lit(K.PROGRESS_REVISING) + F.floor(F.col("done") / F.col("total") * K.PROGRESS_REVISION_SPAN)
     return g.withColumn("progress", pct.cast("long"))
 
@@ -132,14 +160,49 @@ def stalled_jobs(state: DataFrame, now: Column, limit_sec: int = K.CLIENT_WAIT_L
 
 
 # ---------------------------------------------------------------- J6 metrics
+def exact_median(counts: DataFrame, key: str, value: str, n: str = "n", digit_bits: int = 16) -> DataFrame:
+    """Exact median per key of (key, value, n) rows: ``n`` copies of a
+    non-negative long ``value``.  Returns key, median (double).
+
+    Digit-wise selection: the value is read as four digits of ``digit_bits``
+    bits, the top one first.  Each step counts rows per (key, digit) among
+    those that share the digits found so far and picks the digit in which the
+    wanted rank falls.  So no task ever orders a whole key: a window sees at
+    most 2 ** digit_bits rows per key and rank.
+    """
+    total = counts.groupBy(F.col(key).alias("_key")).agg(F.sum(n).alias("_total"))
+    lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    wanted = total.select("_key", F.posexplode(F.array(lower, upper)).alias("_which", "_rank"),
+                          F.lit(0).cast("long").alias("_found"))
+    for step in range(64 // digit_bits):
+        shift = 64 - digit_bits * (step + 1)
+        # digits above this step's (none at the first one)
+        above = F.shiftright(F.col(value), shift + digit_bits) if step else F.lit(0).cast("long")
+        digit = F.shiftright(F.col(value), shift).bitwiseAND(F.lit((1 << digit_bits) - 1))
+        per = (counts.groupBy(F.col(key).alias("_k"), above.alias("_above"), digit.alias("_digit"))
+               .agg(F.sum(n).alias("_n")))
+        x = wanted.join(per, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_found") == F.col("_above")))
+        w = Window.partitionBy("_key", "_which").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("_upto", F.sum("_n").over(w))
+        hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
+        wanted = x.where(hit).select("_key", "_which", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"),
+                                     F.shiftleft(F.col("_found"), digit_bits).bitwiseOR(F.col("_digit")).alias("_found"))
+    return wanted.groupBy(F.col("_key").alias(key)).agg(F.avg("_found").alias("median"))
+
+
 def job_metrics(job_log: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Per status: rows, jobs, mean and exact median seconds until the
-    job's next log row; plus the overall success rate and error share."""
+    job's next log row; plus the overall success rate and error share.  Rows
+    without a time count as rows and have no duration."""
     d = neighbour_ts(job_log, ["job_id"], "ts", "seq", bucket, "next", "next_ts")
-    d = d.withColumn("dur", _secs(F.col("ts"), F.col("next_ts")))
+    d = d.withColumn("dur_us", F.unix_micros("next_ts") - F.unix_micros("ts"))
     per = d.groupBy("status").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("job_id").alias("n_jobs"),
-        F.avg("dur").alias("mean_sec"), F.median("dur").alias("median_sec"))
+        F.avg(F.col("dur_us") / 1e6).alias("mean_sec"))
+    counts = d.where(F.col("dur_us").isNotNull()).groupBy("status", "dur_us").agg(F.count(F.lit(1)).alias("n"))
+    med = exact_median(counts, "status", "dur_us").select(
+        F.col("status").alias("_status"), (F.col("median") / 1e6).alias("median_sec"))
+    per = per.join(med, F.col("status").eqNullSafe(F.col("_status")), "left").drop("_status")
     tot = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))
     done = F.sum(F.when(F.col("status").isin(FINISHED), F.col("n_rows")).otherwise(0)).over(Window.partitionBy(F.lit(0)))
     ok = F.sum(F.when(F.col("status") == "completed", F.col("n_rows")).otherwise(0)).over(Window.partitionBy(F.lit(0)))
@@ -181,7 +244,7 @@ def call_health(calls: DataFrame, requests: DataFrame, now: Column, period_min:
         "total", "ok_calls", "failed", "last_call", "last_ok",
         F.coalesce(F.try_divide(F.col("ok_calls") * 100.0, F.col("total")), F.lit(0.0)).alias("success_rate"),
         mins.alias("minutes_since_last_request"),
-        F.when(mins * 60 > period_min * 60 * share, F.lit("Soon (model likely cold)"))
+        F.when(mins * 60 > period_min * 60 * share, F.lit(K.COLD_NEXT_WARMUP))
         .otherwise(F.date_format(due, "HH:mm:ss")).alias("next_warmup"))
 
 

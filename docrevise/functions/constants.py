@@ -49,6 +49,7 @@ FIRST_BACKOFF_SEC = 1.0
 MIN_RESPONSE_CHARS = 10
 SHORT_RESPONSE_SHARE = 0.3
 CLIENT_WAIT_LIMIT_SEC = 1800
+ALERT_KEEP_SEC = 7 * 24 * 3600
 UPLOAD_LIMIT_BYTES = 100 * 1024 * 1024
 WARMUP_PERIOD_MIN = 15
 IDLE_SHARE = 0.8
@@ -80,13 +81,13 @@ PROGRESS_QUEUED, PROGRESS_STARTED, PROGRESS_EXTRACTED, PROGRESS_REVISING = 0, 10
 PROGRESS_REVISED, PROGRESS_RENDERED, PROGRESS_DONE = 70, 85, 100
 PROGRESS_REVISION_SPAN = 30
 
-# The style block of generated pages.
-PAGE_STYLE = (
-    "body { font-family: Times New Roman, serif; font-size: 11pt; line-height: 1.5; }\n"
-    ".section { margin-top: 10px; margin-bottom: 10px; }\n"
-    ".signature { margin-top: 20px; margin-bottom: 20px; }\n"
-    ".heading { font-weight: bold; }\n"
-    ".indent { margin-left: 20px; }\n"
-    ".clause { margin-top: 10px; margin-bottom: 10px; }\n"
-    ".paragraph { margin-top: 6px; margin-bottom: 6px; }"
-)
+# Fixed value: the one letter whose lower case has more code points than itself.
+LENGTHENING_LETTER = "\u0130"
+
+# Messages of rejected requests.
+REJECT_NO_PART, REJECT_NO_FILE = "No file part", "No file selected"
+REJECT_NO_INSTRUCTION, REJECT_TOO_LARGE = "No instruction provided", "File too large"
+REJECT_NO_INLINE = "Missing instruction or document content"
+
+# Fixed value: the next keep-warm time of a model that has gone cold.
+COLD_NEXT_WARMUP = "Soon (model likely cold)"

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "WS", "DIGIT", "py_strip", "py_split", "py_find", "py_contains", "window_text",
+    "WS", "DIGIT", "py_strip", "py_split", "window_text",
     "is_upper", "html_escape", "quote_regex", "lookahead_regex", "str_array",
     "div", "col_or_lit",
 ]
@@ -41,16 +41,6 @@ def py_split(c: Column) -> Column:
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+", -1))
 
 
-def py_find(hay: Column, needle: Column, start: Column | int = 0) -> Column:
-    """``hay.find(needle, start)``: 0-based position or -1."""
-    return F.call_function("locate", needle, hay, col_or_lit(start) + 1) - 1
-
-
-def py_contains(hay: Column, needle: Column) -> Column:
-    """``needle in hay``."""
-    return F.call_function("contains", hay, needle)
-
-
 def window_text(text: Column, pos: Column, length: Column, before: int, after: int) -> Column:
     """``text[max(0, pos-before):min(len(text), pos+length+after)]``."""
     start = F.greatest(pos - F.lit(before), F.lit(0))

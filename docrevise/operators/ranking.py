@@ -63,7 +63,7 @@ def _automaton_hits(batches):
 
 
 def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_MIN_TARGET_LEN,
-                method: str = "automaton", few: int = 8) -> tuple[DataFrame, DataFrame]:
+                method: str = "automaton") -> tuple[DataFrame, DataFrame]:
     """Every occurrence of every target (part 0) and of its halves (parts 1
     and 2, for targets longer than ``half_min_len``) in the job's text.
 
@@ -71,19 +71,12 @@ def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_
     automaton that scans the text once (linear in text + targets + hits).
     ``scan``: one JVM literal split of the text per string (quadratic when
     the number of targets grows with the text).
-    ``auto``: ``scan`` for jobs with at most ``few`` targets (no Python
-    stage for them), ``automaton`` for the rest.  All three are exact.
+    Both are exact.
     Returns (hits: job_id, t_idx, part, pos, term_len; index: job_id, t_idx, target, n).
     """
     per_job = targets.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("target", "n"))).alias("ts"))
     index = per_job.select("job_id", F.posexplode("ts").alias("t_idx", "t")).select(
         "job_id", "t_idx", F.col("t.target").alias("target"), F.col("t.n").alias("n"))
-    if method == "auto":
-        small = per_job.where(F.size("ts") <= few).select("job_id")
-        big = per_job.where(F.size("ts") > few).select("job_id")
-        h_small, _ = target_hits(jobs, targets.join(small, "job_id", "left_semi"), half_min_len, "scan")
-        h_big, _ = target_hits(jobs, targets.join(big, "job_id", "left_semi"), half_min_len, "automaton")
-        return h_small.unionByName(h_big), index
     if method == "scan":
         tl = F.lower(F.col("target"))
         L, h = F.length(tl), div(F.length(tl), 2)
@@ -105,6 +98,35 @@ def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_
     return rows.mapInPandas(_automaton_hits, schema), index
 
 
+def lowered_bounds(jobs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds ``l_start`` / ``l_end``: the chunk's bounds in the lower-cased
+    document, where hits are found.
+
+    They differ from ``start`` / ``end`` only after a letter whose lower case
+    is longer.  For documents with such letters the letters' positions and the
+    chunk bounds are ordered together, and each bound moves by the number of
+    letters before it (linear in letters + chunks).
+    """
+    odd = jobs.where(F.call_function("contains", F.col("text"), F.lit(K.LENGTHENING_LETTER)))
+    parts = F.transform(F.split("text", K.LENGTHENING_LETTER, -1), lambda p: F.length(p))
+    w = Window.partitionBy("job_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    letters = (odd.select("job_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "n"))
+               .select("job_id", (F.sum("n").over(w) + F.col("i")).cast("long").alias("at")))
+    odd_spans = spans.join(odd.select("job_id"), "job_id", "left_semi")
+    bounds = odd_spans.select("job_id", F.col("chunk_no").alias("_no"), F.posexplode(
+        F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("side", "at"))
+    both = bounds.withColumn("letter", F.lit(0)).unionByName(
+        letters.withColumn("letter", F.lit(1)), allowMissingColumns=True)
+    # at one position the bound comes before the letter that stands there
+    w = Window.partitionBy("job_id").orderBy("at", "letter").rowsBetween(Window.unboundedPreceding, 0)
+    moved = (both.withColumn("to", F.col("at") + F.sum("letter").over(w)).where(F.col("letter") == 0)
+             .groupBy("job_id", "_no").agg(F.max(F.when(F.col("side") == 0, F.col("to"))).alias("_ls"),
+                                           F.max(F.when(F.col("side") == 1, F.col("to"))).alias("_le")))
+    out = spans.join(moved.withColumnRenamed("_no", "chunk_no"), ["job_id", "chunk_no"], "left")
+    return (out.withColumn("l_start", F.coalesce("_ls", F.col("start").cast("long")))
+            .withColumn("l_end", F.coalesce("_le", F.col("end").cast("long"))).drop("_ls", "_le"))
+
+
 def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, bucket_size: int = K.CHUNK_SIZE,
                   contained: int = K.SCORE_CONTAINED, first_third: int = K.SCORE_FIRST_THIRD,
                   middle_third: int = K.SCORE_MIDDLE_THIRD, half: int = K.SCORE_HALF,
@@ -119,13 +141,13 @@ def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, bucket
     """
     hits, index = target_hits(jobs, targets, half_min_len, method)
     occ = hits.withColumn("bucket", div(F.col("pos"), bucket_size))
-    spans = chunks.select("job_id", "chunk_no", "start", "end")
+    spans = lowered_bounds(jobs, chunks.select("job_id", "chunk_no", "start", "end"))
     cb = spans.withColumn("bucket", F.explode(F.sequence(
-        div(F.col("start"), bucket_size), div(F.greatest(F.col("end"), F.col("start") + 1) - 1, bucket_size))))
+        div(F.col("l_start"), bucket_size), div(F.greatest(F.col("l_end"), F.col("l_start") + 1) - 1, bucket_size))))
     inside = (occ.join(cb, ["job_id", "bucket"])
-              .where((F.col("start") <= F.col("pos")) & (F.col("pos") + F.col("term_len") <= F.col("end"))))
+              .where((F.col("l_start") <= F.col("pos")) & (F.col("pos") + F.col("term_len") <= F.col("l_end"))))
     per = inside.groupBy("job_id", "chunk_no", "t_idx").agg(
-        F.min(F.when(F.col("part") == 0, F.col("pos") - F.col("start"))).alias("first"),
+        F.min(F.when(F.col("part") == 0, F.col("pos") - F.col("l_start"))).alias("first"),
         F.max((F.col("part") == 1).cast("int")).alias("h1"),
         F.max((F.col("part") == 2).cast("int")).alias("h2"),
         F.first("start").alias("start"), F.first("end").alias("end"))

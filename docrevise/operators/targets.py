@@ -79,21 +79,28 @@ def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001
     proven size bound.  Requests to hot documents are spread over ``salts``
     tasks by a hash of the job id and meet a copy of the document text in
     each; all other requests use a plain shuffle join whose largest key holds
-    at most ``hot_share`` of the rows.  The result is exact (every request
-    joins its document once).
+    at most ``hot_share`` of the rows.  Requests without a document id are
+    not joined at all (their nulls would meet in one task).
+
+    Every request comes out; ``found`` is false, and the text null, where no
+    document has its id.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.lit(True).alias("found"))
     total = requests.count()
     limit = max(int(total * hot_share), 1)
-    hot = (requests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    named = requests.where(F.col("doc_id").isNotNull())
+    unnamed = (requests.where(F.col("doc_id").isNull())
+               .withColumn("text", F.lit(None).cast("string")).withColumn("found", F.lit(False)))
+    hot = (named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
            .select("doc_id"))
     hot = F.broadcast(hot)  # at most 1 / hot_share rows
-    cold = requests.join(hot, "doc_id", "left_anti").join(docs, "doc_id")
+    cold = named.join(hot, "doc_id", "left_anti").join(docs, "doc_id", "left")
     salt = F.pmod(F.xxhash64("job_id"), F.lit(salts))
-    hot_req = requests.join(hot, "doc_id", "left_semi").withColumn("_salt", salt)
+    hot_req = named.join(hot, "doc_id", "left_semi").withColumn("_salt", salt)
     hot_docs = docs.join(hot, "doc_id", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    warm = hot_req.join(hot_docs, ["doc_id", "_salt"]).drop("_salt")
-    return cold.unionByName(warm)
+    warm = hot_req.join(hot_docs, ["doc_id", "_salt"], "left").drop("_salt")
+    out = cold.unionByName(warm).unionByName(unnamed)
+    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
 def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None = None,
@@ -101,9 +108,9 @@ def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None =
     """(job_id, doc_id, instruction) joined to (doc_id, text), hash-partitioned
     by ``job_id`` and (by default) materialized once.
 
-    Adds ``n_chars`` and ``lower_text``.  Requests that name a missing
-    document are dropped (inner join).  Hot documents are handled by
-    ``join_requests``.
+    Adds ``n_chars``, ``lower_text`` and ``found``.  A request that names no
+    existing document stays, with an empty text and ``found`` false; ``revise``
+    ends it as an error.  Hot documents are handled by ``join_requests``.
     """
     jobs = join_requests(requests, docs, hot_share)
     jobs = jobs.repartition(partitions, "job_id") if partitions else jobs.repartition("job_id")
@@ -115,7 +122,7 @@ def jobs_from_documents(docs: DataFrame, instruction: str | Column, partitions:
     """One job per document, all with the same instruction (no join needed)."""
     instr = instruction if isinstance(instruction, Column) else F.lit(instruction)
     req = docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
-                      "doc_id", instr.alias("instruction"), "text")
+                      "doc_id", instr.alias("instruction"), "text", F.lit(True).alias("found"))
     req = req.repartition(partitions, "job_id") if partitions else req.repartition("job_id")
     return _finish_jobs(req, materialized)
 
@@ -129,7 +136,10 @@ def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping:
     left-to-right ones (``str.find`` loop stepping by the term length);
     ``overlapping=True`` returns every start position.
 
-    Returns ``job_id, *keys, term, occ, pos, term_len`` (``pos`` 0-based).
+    Returns ``job_id, *keys, term, occ, pos, term_len`` (``pos`` 0-based;
+    ``term_len`` is the lower-cased term's length.  Context windows end after
+    the length of the term as written, which is shorter where lower-casing
+    lengthens it).
     """
     t = (terms.withColumn("term_l", F.lower("term"))
          .withColumn("term_len", F.length("term_l"))
@@ -178,7 +188,7 @@ def quoted_windows(jobs: DataFrame, before: int = K.QUOTED_BEFORE, after: int =
     occ = occurrences(jobs, spans, ["k1"])
     out = _attach_text(occ, jobs)
     return out.select("job_id", F.lit(1).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"),
+                      window_text(F.col("text"), F.col("pos"), F.length("term"), before, after).alias("target"),
                       F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
 
 
@@ -203,7 +213,7 @@ def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, af
     occ = occurrences(jobs, f, ["k1"])
     out = _attach_text(occ, jobs)
     return out.select("job_id", F.lit(3).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.col("term_len"), before, after).alias("target"),
+                      window_text(F.col("text"), F.col("pos"), F.length("term"), before, after).alias("target"),
                       F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
 
 
@@ -223,7 +233,7 @@ def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
     before = F.when(quoted, F.lit(K.QUOTED_BEFORE)).otherwise(F.lit(K.FIELD_BEFORE))
     after = F.when(quoted, F.lit(K.QUOTED_AFTER)).otherwise(F.lit(K.FIELD_AFTER))
     start = F.greatest(F.col("pos") - before, F.lit(0))
-    end = F.least(F.length("text"), F.col("pos") + F.col("term_len") + after)
+    end = F.least(F.length("text"), F.col("pos") + F.length("term") + after)
     both = occ.select("job_id", "src", "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
                       F.call_function("substring", F.col("text"), start + 1, F.greatest(end - start, F.lit(0))).alias("target"),
                       start.cast("long").alias("ws"))

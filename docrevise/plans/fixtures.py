@@ -6,7 +6,7 @@ Two kinds:
 
 * ``single_instruction_jobs`` - the same literal instruction for every document;
 * ``corpus_requests`` - one of the instruction templates below per document
-  (template ``doc_id mod 6``), with ``{a}`` filled by a phrase taken from the
+  (template ``doc_id mod 7``), with ``{a}`` filled by a phrase taken from the
   document (the first two words of its second line) so that quoted spans and
   entities really occur in the text.
 
@@ -32,6 +32,7 @@ TEMPLATES = [
     "Change the {a} Inc name from 'Old Name' to 'New Name LLC'",
     "Update Vendor Name to '{a}'",
     "Set the payment terms for the client - modify the agreement and the state",
+    "Delete {a}",
 ]
 
 # Corpus words used as fields and markers (the contract words

@@ -22,21 +22,29 @@ from docrevise.operators import revision as R
 from docrevise.operators import targets as T
 
 
+NO_DOCUMENT = "Processing failed: document not found"
+
+
 def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: SparkSession | None = None,
            size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, fields=None, verbs=None, markers=None,
            sep: str = "\n\n", chunker=None, use_html: bool = True, rank: bool = True, order: str = "chunk",
            top_k: int | None = None, concurrency: int = K.MAX_CONCURRENT_CALLS, template: str = R.DEFAULT_TEMPLATE,
-           persist_name: str | None = None) -> dict[str, DataFrame]:
+           persist_name: str | None = None, send_budget: bool = False) -> dict[str, DataFrame]:
     """Revise every job (one instruction applied to one document).
 
     ``jobs`` comes from ``prepare_jobs`` / ``jobs_from_documents``.  With
     ``fn=None`` the deterministic literal reviser (R10, JVM-only) stands in
-    for the model.  Returns DataFrames: ``chunks`` (scored, ranked, revised),
+    for the model; with ``send_budget`` the model is called as
+    ``fn(prompt, max_tokens)`` (C5).  Returns DataFrames: ``chunks`` (scored, ranked, revised),
     ``results`` (job_id, status, message, response, html, accepted_chunks,
     changed_chunks; a credential error in any chunk fails the job with status
-    'error') and ``summary``.
+    'error', and so does a missing document) and ``summary``.
     """
     chunker = chunker or C.chunk_recursive
+    missing = None
+    if "found" in jobs.columns:
+        missing = jobs.where(~F.col("found")).select("job_id")
+        jobs = jobs.where("found")
     targets = T.target_sections(jobs, fields, verbs, sep)
     if rank and (order == "rank" or top_k):
         # the revised text depends on the ranks: compute the targets once for
@@ -59,8 +67,9 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
                 .withColumn("error", F.lit(None).cast("string"))
                 .withColumn("error_class", F.lit(None).cast("string")).drop("pairs"))
     else:
+        work = C.output_budget(work)
         prompts = R.build_prompts(work.where("chosen"), template)
-        calls = R.revise_chunks(prompts, fn, concurrency)
+        calls = R.revise_chunks(prompts, fn, concurrency, budget_col="max_tokens" if send_budget else None)
         # always written before reuse: several outputs read the calls
         calls = R.persist_calls(calls, spark or jobs.sparkSession, persist_name or f"calls-{uuid.uuid4().hex}")
         calls = calls.select("job_id", "chunk_no", R.response_text(F.col("body"), "hosted").alias("response"), "error",
@@ -88,13 +97,21 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
                    F.when(~F.col("cred_failed"), F.col("response")).alias("response"),
                    F.when(~F.col("cred_failed"), F.col("html")).alias("html"),
                    F.col("n_accepted").alias("accepted_chunks"), F.col("n_differs").alias("changed_chunks")))
+    if missing is not None:  # no chunk, no call: these jobs end at once
+        nothing = F.lit(None).cast("string")
+        res = res.unionByName(missing.select(
+            "job_id", F.lit("error").alias("status"), F.lit(NO_DOCUMENT).alias("message"), nothing.alias("response"),
+            nothing.alias("html"), F.lit(0).cast("long").alias("accepted_chunks"),
+            F.lit(0).cast("long").alias("changed_chunks")))
     return {"chunks": revised, "results": res, "summary": summary, "job_log": job_log(res)}
 
 
 def job_log(results: DataFrame, ts=None) -> DataFrame:
     """Append-only job-log rows for finished jobs: the progress marks of a
     run (queued 0, started 10, extracted 30, revising 40, revised 70,
-    rendered 85) then completed 100, or error 100 with the message."""
+    rendered 85) then completed 100, or error 100 with the message.  A failed
+    job has only the marks it reached: up to revising, or up to started where
+    its document is missing."""
     ts = ts if ts is not None else F.current_timestamp()
     marks = [("queued", K.PROGRESS_QUEUED, "Job queued for processing"),
              ("processing", K.PROGRESS_STARTED, "Processing started"),
@@ -104,6 +121,9 @@ def job_log(results: DataFrame, ts=None) -> DataFrame:
              ("processing", K.PROGRESS_RENDERED, "Page rendered")]
     steps = F.array(*[F.struct(F.lit(a).alias("status"), F.lit(b).alias("progress"), F.lit(c).alias("message"))
                       for a, b, c in marks])
+    reached = (F.when(F.col("message") == NO_DOCUMENT, 2).when(F.col("status") == "error", 4)
+               .otherwise(len(marks)))
+    steps = F.slice(steps, F.lit(1), reached)
     last = F.struct(F.col("status"), F.lit(K.PROGRESS_DONE).alias("progress"),
                     F.coalesce(F.col("message"), F.lit("Processing complete")).alias("message"))
     x = results.select("job_id", F.posexplode(F.concat(steps, F.array(last))).alias("seq", "e"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docrevise.functions import constants as K
 from docrevise.operators import chunks as C
+from docrevise.operators import jobs as J
 from docrevise.plans import fixtures as FX
 from docrevise.plans import sqlparts as S
 from docrevise.plans.queries import FIELDS, MARKERS, OVERLAP, SEP, SIZE, _JOBS, corpus_jobs
@@ -13,6 +16,7 @@ from docrevise.plans.queries_jobs import _ntz, job_log
 from docrevise.plans.queries_revision import calls as call_log
 from docrevise.plans.registry import register, table
 from docrevise.plans.revise import revise
+from docrevise.session import checkpoint_path
 from docrevise.streaming import streams as ST
 
 _GAP = int(K.WARMUP_PERIOD_MIN * 60 * K.IDLE_SHARE)
@@ -42,11 +46,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DES
              min(ts) OVER (PARTITION BY job_id) AS enqueued_at FROM log)
 SELECT job_id, status, progress, message, ts AS updated_at, seq, enqueued_at FROM r WHERE rn = 1""")
 def st2_state_updates(spark, sf):
-    """ST2 (batch form of the streaming aggregation): live job state."""
-    s = ST.state_updates(job_log(spark, sf))
+    """ST2 (batch form): live job state; ``st2_stream_counts`` runs the stream."""
+    s = J.latest_state(job_log(spark, sf))
     return s.select("job_id", "status", "progress", "message", *_ntz("updated_at"), "seq", *_ntz("enqueued_at"))
 
 
+@register("st2_stream_counts", f"""WITH log AS {FX.sql_job_log()},
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM log),
+c AS (SELECT status, count(*) AS n_jobs FROM r WHERE rn = 1 GROUP BY status)
+SELECT status, n_jobs, CAST(sum(n_jobs) OVER () AS BIGINT) AS total_jobs,
+       CAST(sum(CASE WHEN status = 'queued' THEN n_jobs ELSE 0 END) OVER () AS BIGINT) AS queue_length FROM c""")
+def st2_stream_counts(spark, sf):
+    """ST2: the streaming job-state code over the whole log, read as a stream
+    to its end (AvailableNow); the counts it leaves."""
+    base = checkpoint_path(spark, f"st2-{uuid.uuid4().hex}")
+    job_log(spark, sf).write.parquet(f"{base}/log")
+    ST.state_stream(spark, f"{base}/log", f"{base}/sink", f"{base}/checkpoint", max_files=4).awaitTermination()
+    c = ST.latest_counts(spark, f"{base}/sink")
+    return c.select("status", F.col("n_jobs").cast("long"), F.col("total_jobs").cast("long"),
+                    F.col("queue_length").cast("long"))
+
+
 @register("st3_idle_sessions", f"""WITH e AS (SELECT user_id, event_id, ts,
     lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 f AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= {_GAP} * 1000000 THEN 1 ELSE 0 END)

@@ -62,14 +62,6 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
 
 
 # ---------------------------------------------------------------- ST2 state stream
-def state_updates(job_log: DataFrame) -> DataFrame:
-    """Streaming (or batch) last-write-wins state per job."""
-    last = F.max_by(F.struct("status", "progress", "message", "ts", "seq"), F.struct("ts", "seq"))
-    return job_log.groupBy("job_id").agg(last.alias("s"), F.min("ts").alias("enqueued_at")).select(
-        "job_id", "s.status", "s.progress", "s.message", F.col("s.ts").alias("updated_at"),
-        F.col("s.seq").alias("seq"), "enqueued_at")
-
-
 STATE_CHANGE = ("job_id string, old_status string, status string, progress int, message string, "
                 "updated_at timestamp, seq bigint")
 STATE_STORE = "status string, ts timestamp, seq bigint"
@@ -145,9 +137,13 @@ def state_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoin
         delta = (batch.select(F.col("status").alias("s"), F.lit(1).alias("d"))
                  .unionByName(batch.where(F.col("old_status").isNotNull())
                               .select(F.col("old_status").alias("s"), F.lit(-1).alias("d"))))
-        prev = [v for v in _versions(spark, f"{base}/counts") if v < batch_id]
-        if prev:
-            old = spark.read.parquet(f"{base}/counts/batch_id={prev[-1]}").select(
+        # batch ids are consecutive: the version before is normally this one;
+        # the folder is listed only where it is not there
+        prev = batch_id - 1
+        if not path_complete(spark, f"{base}/counts/batch_id={prev}"):
+            prev = max((v for v in _versions(spark, f"{base}/counts") if v < batch_id), default=None)
+        if prev is not None:
+            old = spark.read.parquet(f"{base}/counts/batch_id={prev}").select(
                 F.col("status").alias("s"), F.col("n_jobs").alias("d"))
             delta = delta.unionByName(old)
         counts = (delta.groupBy(F.col("s").alias("status")).agg(F.sum("d").cast("long").alias("n_jobs"))
@@ -225,20 +221,33 @@ STALL_STATE = "enqueued_at timestamp, alerted boolean, status string"
 FINISHED = ("completed", "error")
 
 
-def _stall_fn(limit_sec: float):
+def _stall_fn(limit_sec: float, keep_sec: float):
     import pandas as pd
 
-    limit = pd.Timedelta(seconds=limit_sec)
+    limit, keep = pd.Timedelta(seconds=limit_sec), pd.Timedelta(seconds=keep_sec)
+
+    def remember(state, enq, alerted, status):
+        """Store the run with its next timer: the deadline, then the end of
+        what is kept of an alerted run.  A timer behind the watermark is not
+        allowed; a run that old is dropped."""
+        due = int((enq + limit + (keep if alerted else pd.Timedelta(0))).timestamp() * 1000)
+        if due > state.getCurrentWatermarkMs():
+            state.update((enq, alerted, status))
+            state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
 
     def fn(key, pdfs, state):
         (job_id,) = key
         out = []
         if state.hasTimedOut:
             enq, alerted, status = state.get
-            if not alerted:
+            if alerted:
+                state.remove()
+            else:
                 out.append((job_id, enq, enq + limit, None, status))
-            state.update((enq, True, status))
-            # keep the state so a later finish does not alert again; it ends with the finish
+                # kept for a while so a later finish does not alert again
+                remember(state, enq, True, status)
         else:
             cur = state.get if state.exists else None
             rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
@@ -261,26 +270,27 @@ def _stall_fn(limit_sec: float):
                     # already due: a timer behind the watermark is not allowed
                     out.append((job_id, enq, enq + limit, None, status))
                     alerted = True
-                state.update((enq, alerted, status))
-                if not alerted:
-                    state.setTimeoutTimestamp(due)
+                remember(state, enq, alerted, status)
         if out:
             yield pd.DataFrame(out, columns=["job_id", "enqueued_at", "stalled_at", "finished_at", "status"])
 
     return fn
 
 
-def stall_alerts(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes") -> DataFrame:
+def stall_alerts(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes",
+                 keep_sec: float = K.ALERT_KEEP_SEC) -> DataFrame:
     """ST3: one alert per job run that was not finished ``limit_sec`` after it
     was queued (event time).  Per-job state (queued time, alerted flag) lives
     in the state store with an event-time timer at queued + limit: the alert
     fires when the watermark passes it, or when a finishing row arrives later
-    than it.  Works on a streaming job log (append mode)."""
+    than it.  State ends with the finishing row, or ``keep_sec`` after the
+    deadline of a run that never finishes (a row later than that starts a new
+    run).  Works on a streaming job log (append mode)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     src = job_log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return src.groupBy("job_id").applyInPandasWithState(
-        _stall_fn(limit_sec), STALL_OUTPUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _stall_fn(limit_sec, keep_sec), STALL_OUTPUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stall_alerts_batch(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC,

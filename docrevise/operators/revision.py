@@ -95,33 +95,42 @@ def call_with_retry(fn: Callable[[str], str], prompt: str, attempts: int = K.CAL
     return None, err, attempts
 
 
-def revise_chunks(prompts: DataFrame, fn: Callable[[str], str], concurrency: int = K.MAX_CONCURRENT_CALLS,
+def revise_chunks(prompts: DataFrame, fn: Callable[..., str], concurrency: int = K.MAX_CONCURRENT_CALLS,
                   attempts: int = K.CALL_ATTEMPTS, backoff: float = K.FIRST_BACKOFF_SEC,
-                  partitions: int | None = None) -> DataFrame:
-    """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no).
+                  partitions: int | None = None, jobs_at_once: int = 4, budget_col: str | None = None) -> DataFrame:
+    """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no); with
+    ``budget_col``, ``fn(prompt, max_tokens)`` with that column's value (C5).
 
     As in the reference, at most ``concurrency`` calls of one job run at the
-    same time (a thread pool per job inside the task; the calls are I/O
-    bound); different jobs run in parallel in different tasks, so the
-    cluster-wide rate grows with ``partitions``.  Only the key and the prompt
-    cross into Python.  Returns job_id, chunk_no, body, error, error_class,
-    calls.
+    same time (a thread pool per job; the calls are I/O bound).  Up to
+    ``jobs_at_once`` jobs of a task run side by side, so jobs of one chunk do
+    not wait for each other, and different tasks run in parallel.  Only the
+    key, the prompt and the budget cross into Python.  Returns job_id,
+    chunk_no, body, error, error_class, calls.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    keyed = prompts.select("job_id", F.col("chunk_no").cast("long").alias("chunk_no"), "prompt")
+    budget = F.col(budget_col).cast("int") if budget_col else F.lit(None).cast("int")
+    keyed = prompts.select("job_id", F.col("chunk_no").cast("long").alias("chunk_no"), "prompt", budget.alias("budget"))
     keyed = keyed.repartition(partitions, "job_id") if partitions else keyed.repartition("job_id")
     keyed = keyed.sortWithinPartitions("job_id", "chunk_no")
 
     def run(batches):
-        with ThreadPoolExecutor(max_workers=max(concurrency, 1)) as pool:
+        def call(prompt, limit):
+            f = fn if budget_col is None else (lambda p: fn(p, int(limit)))
+            return call_with_retry(f, prompt, attempts, backoff)
+
+        def one_job(grp):
+            with ThreadPoolExecutor(max_workers=max(concurrency, 1)) as pool:
+                return list(pool.map(call, grp["prompt"].tolist(), grp["budget"].tolist()))
+
+        with ThreadPoolExecutor(max_workers=max(jobs_at_once, 1)) as outer:
             for pdf in batches:
-                out: list = [None] * len(pdf)
-                for _, grp in pdf.groupby("job_id", sort=False):
-                    pos = list(grp.index)
-                    res = pool.map(lambda p: call_with_retry(fn, p, attempts, backoff), grp["prompt"].tolist())
-                    for i, r in zip(pos, res):  # a job's calls finish before the next job starts
-                        out[pdf.index.get_loc(i)] = r
+                # rows are sorted by job: the jobs' results in order are the rows' results
+                groups = [grp for _, grp in pdf.groupby("job_id", sort=False, dropna=False)]
+                out = [r for res in outer.map(one_job, groups) for r in res]
+                rows = [i for grp in groups for i in grp.index]
+                pdf = pdf.loc[rows]
                 yield pd.DataFrame({
                     "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
                     "body": [o[0] for o in out], "error": [o[1] for o in out],

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -58,7 +58,9 @@ def _echo_body(prompt: str) -> str:
     return json.dumps({"outputs": [{"text": prompt}]})
 
 
-@register("r2_revise_chunks")
+@register("r2_revise_chunks", f"""{_CHUNKS_SQL}
+SELECT job_id, chunk_no, CAST(1 AS INT) AS calls, CAST(NULL AS VARCHAR) AS error_class,
+       length(response) AS response_chars FROM c""")
 def r2_revise_chunks(spark, sf):
     """R2: the model stage over every chunk with a deterministic reviser
     (literal replacement) standing in for the model; 5 calls at a time."""
@@ -68,22 +70,27 @@ def r2_revise_chunks(spark, sf):
                       F.length(R.response_text(F.col("body"), "hosted")).cast("long").alias("response_chars"))
 
 
-def _flaky(prompt: str) -> str:
-    # fails (crc32(prompt) mod 3) times with a throttling error, then succeeds
-    _flaky.seen = getattr(_flaky, "seen", {})
-    k = zlib.crc32(prompt.encode("utf-8"))
-    n = _flaky.seen.get(k, 0)
-    _flaky.seen[k] = n + 1
-    if n < k % 3:
+def _unsteady(prompt: str) -> str:
+    # the prompt alone decides: by the first hex digit of its MD5, always
+    # throttled, refused for its credentials, or answered
+    digit = hashlib.md5(prompt.encode("utf-8")).hexdigest()[0]
+    if digit in "0123":
         raise RuntimeError("ThrottlingException: Rate exceeded")
+    if digit in "45":
+        raise RuntimeError("UnrecognizedClientException: bad token")
     return json.dumps({"generation": prompt})
 
 
-@register("r3_call_retries")
+@register("r3_call_retries", f"""{_CHUNKS_SQL},
+d AS (SELECT job_id, chunk_no, left(md5(job_id || '|' || CAST(chunk_no AS VARCHAR)), 1) AS digit FROM c)
+SELECT job_id, chunk_no, CAST(CASE WHEN digit IN ('0', '1', '2', '3') THEN 3 ELSE 1 END AS INT) AS calls,
+       CASE WHEN digit IN ('0', '1', '2', '3') THEN 'throttled' WHEN digit IN ('4', '5') THEN 'credentials' END
+       AS error_class FROM d""")
 def r3_call_retries(spark, sf):
-    """Retries with backoff against a reviser that is throttled 0-2 times."""
+    """Retries with backoff against a reviser that throttles some prompts,
+    refuses some for their credentials (no retry) and answers the rest."""
     ch = _revised_chunks(spark, sf).withColumn("prompt", F.concat_ws("|", "job_id", F.col("chunk_no").cast("string")))
-    out = R.revise_chunks(ch, _flaky, concurrency=5, backoff=0.0)
+    out = R.revise_chunks(ch, _unsteady, concurrency=5, backoff=0.0)
     return out.select("job_id", "chunk_no", "calls", "error_class")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docrevise.functions import constants as K
 from docrevise.plans import fixtures as FX
 from docrevise.plans import sqlparts as S
 from docrevise.plans.registry import register, table
@@ -29,12 +30,14 @@ _NAMES_SQL = ("CASE doc_id % 4 WHEN 0 THEN 'doc_' || CAST(doc_id AS VARCHAR) ||
 _DOCS_SQL = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 
-@register("s1_read_documents")
+@register("s1_read_documents", f"""SELECT doc_id, octet_length(encode(text)) AS length, length(text) AS n_chars,
+starts_with(text, '%PDF') AS pdf_magic FROM {_DOCS_SQL}""")
 def s1_read_documents(spark, sf):
-    """Every file of the data folder read as a document (binary, decoded
-    with replacement characters)."""
-    d = IN.read_documents(spark, sf, glob="*.parquet")
-    return d.select("name", "length", F.length("text").cast("long").alias("n_chars"), "pdf_magic")
+    """Every document's bytes decoded with replacement characters.
+    (``read_documents`` does the same from a folder of files.)"""
+    d = _docs(spark, sf).select("doc_id", F.octet_length("text").cast("long").alias("length"),
+                                F.col("text").cast("binary").alias("content"))
+    return IN.decode_documents(d).select("doc_id", "length", F.length("text").cast("long").alias("n_chars"), "pdf_magic")
 
 
 @register("s2_route_documents", f"""SELECT doc_id, {_NAMES_SQL} AS name,
@@ -94,6 +97,22 @@ def s5_validate_requests(spark, sf):
     return IN.validate_requests(_raw_requests(spark, sf)).select("job_id", "reason")
 
 
+_INLINE_SQL = f"""(SELECT 'job-' || CAST(doc_id AS VARCHAR) AS job_id,
+  CASE WHEN doc_id % 17 <> 0 THEN {FX.sql_instruction()} END AS instruction, text AS document_content FROM documents)"""
+
+
+@register("s5b_validate_inline", f"""SELECT job_id, CASE WHEN instruction IS NULL OR document_content IS NULL
+  THEN '{K.REJECT_NO_INLINE}' END AS reason FROM {_INLINE_SQL}""")
+def s5b_validate_inline(spark, sf):
+    """S5 for inline submissions: instruction and document must be present
+    (every 17th request is given no instruction, texts as they are)."""
+    d = table(spark, sf, "documents").select(
+        F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
+        F.when(F.pmod(F.col("doc_id"), F.lit(17)) != 0, FX.instruction_col(F.col("doc_id"), F.col("text")))
+        .alias("instruction"), F.col("text").alias("document_content"))
+    return IN.validate_inline(d).select("job_id", "reason")
+
+
 @register("s6_requests_from_text", f"""WITH r AS (
   SELECT 'job-' || CAST(doc_id AS VARCHAR) AS job_id,
          CASE WHEN doc_id % 7 = 0 THEN '%PDF-1.4 ' || text ELSE text END AS c FROM {_DOCS_SQL})

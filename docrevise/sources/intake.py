@@ -17,10 +17,15 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None, recu
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
-    return df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-                     F.col("modificationTime").alias("modified"), "length",
-                     F.call_function("make_valid_utf8", F.col("content").cast("string")).alias("text"),
-                     F.startswith(F.col("content"), F.lit(b"%PDF")).alias("pdf_magic"))
+    return decode_documents(df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
+                                      F.col("modificationTime").alias("modified"), "length", "content"))
+
+
+def decode_documents(df: DataFrame) -> DataFrame:
+    """S1 on a table of binary ``content``: adds ``text`` and ``pdf_magic``,
+    drops the bytes.  Null content stays null."""
+    return (df.withColumn("text", F.call_function("make_valid_utf8", F.col("content").cast("string")))
+            .withColumn("pdf_magic", F.startswith(F.col("content"), F.lit(b"%PDF"))).drop("content"))
 
 
 # ---------------------------------------------------------------- S2 route
@@ -48,13 +53,21 @@ def text_to_html(text: Column) -> Column:
 def validate_requests(req: DataFrame, limit_bytes: int = K.UPLOAD_LIMIT_BYTES) -> DataFrame:
     """``reason`` is null for an accepted request, else the first failed
     check: no file part, no file selected, no instruction, file too large."""
-    reason = (F.when(~F.coalesce(F.col("has_file"), F.lit(False)), "No file part")
-              .when(F.coalesce(F.col("file_name"), F.lit("")) == "", "No file selected")
-              .when(F.coalesce(F.col("instruction"), F.lit("")) == "", "No instruction provided")
-              .when(F.col("size_bytes") > limit_bytes, "File too large"))
+    reason = (F.when(~F.coalesce(F.col("has_file"), F.lit(False)), K.REJECT_NO_PART)
+              .when(F.coalesce(F.col("file_name"), F.lit("")) == "", K.REJECT_NO_FILE)
+              .when(F.coalesce(F.col("instruction"), F.lit("")) == "", K.REJECT_NO_INSTRUCTION)
+              .when(F.col("size_bytes") > limit_bytes, K.REJECT_TOO_LARGE))
     return req.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
+def validate_inline(req: DataFrame) -> DataFrame:
+    """S5 for inline submissions (instruction, document_content): both must
+    be given; an empty string counts as given."""
+    given = F.col("instruction").isNotNull() & F.col("document_content").isNotNull()
+    return (req.withColumn("reason", F.when(~given, K.REJECT_NO_INLINE))
+            .withColumn("accepted", given))
+
+
 def split_valid(req: DataFrame, limit_bytes: int = K.UPLOAD_LIMIT_BYTES) -> tuple[DataFrame, DataFrame]:
     v = validate_requests(req, limit_bytes)
     return v.where("accepted").drop("reason"), v.where(~F.col("accepted"))

@@ -220,7 +220,76 @@ def test_validation_order_and_names(spark):
 def test_progress_formula(spark):
     df = spark.createDataFrame([("j", True)] * 3 + [("j", False)] * 2, "job_id string, ok boolean")
     from docrevise.operators import jobs as J
-    assert J.job_progress(df).first().progress == 58
+    # failed calls are done too; a chunk whose call has not ended is not
+    assert J.job_progress(df).first().progress == 70
+    assert J.job_progress(df, F.col("ok")).first().progress == 58
+
+
+def test_log_rows_without_time_or_key_are_kept(spark):
+    from docrevise.operators import jobs as J
+    rows = [("a", 1, "2024-01-01 00:00:00", "queued"), ("a", 2, None, "queued"),
+            (None, 3, "2024-01-01 00:00:00", "queued"), (None, 4, "2024-01-01 02:00:10", "completed"),
+            ("a", 5, "2024-01-01 00:00:04", "completed")]
+    log = spark.createDataFrame(rows, "job_id string, seq long, t string, status string").withColumn(
+        "ts", F.col("t").cast("timestamp"))
+    m = {r.status: r for r in J.job_metrics(log).collect()}
+    assert (m["queued"].n_rows, m["completed"].n_rows) == (3, 2)
+    assert m["queued"].median_sec == (4 + 7210) / 2 and m["completed"].median_sec is None
+    n = J.neighbour_ts(log, ["job_id"], "ts", "seq", direction="prev")
+    assert {r.seq: r.other_ts is not None for r in n.collect()} == {1: False, 2: False, 3: False, 4: True, 5: True}
+    g = J.gap_sessions(log, ["job_id"], "ts", "seq", 720)
+    assert sum(r.n_events for r in g.collect()) == 5
+
+
+def test_exact_median_against_statistics(spark):
+    import random
+    import statistics
+    from docrevise.operators import jobs as J
+    rnd = random.Random(5)
+    data = {k: [rnd.choice([rnd.randrange(10), rnd.randrange(10**6), rnd.randrange(2**40), rnd.randrange(2**50)])
+                for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 301), (None, 200))}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v long")
+    got = {r.k: r.median for r in J.exact_median(df.groupBy("k", "v").agg(F.count("*").alias("n")), "k", "v").collect()}
+    assert got == {k: statistics.median(vs) for k, vs in data.items()}
+    assert J.exact_median(spark.createDataFrame([], "k string, v long, n long"), "k", "v").count() == 0
+
+
+def test_chunk_scores_after_a_letter_that_lowers_to_two(spark):
+    from docrevise.operators import ranking as P
+    text = "\u0130" * 300 + "needle and more text \u0130 tail needle"
+    jobs = T.jobs_from_documents(spark.createDataFrame([(1, text), (2, "needle")], "doc_id long, text string"), "x",
+                                 materialized=False)
+    n = len(text)
+    ch = spark.createDataFrame([("job-1", 0, 0, 310), ("job-1", 1, 302, n), ("job-1", 2, 320, n), ("job-2", 0, 0, 6)],
+                               "job_id string, chunk_no long, start long, end long")
+    tg = spark.createDataFrame([("job-1", "needle", 1), ("job-2", "needle", 1)], "job_id string, target string, n long")
+    got = {(r.job_id, r.chunk_no): r.target_score for r in P.score_targets(jobs, ch, tg).collect()}
+
+    def want(chunk):
+        at, m = chunk.lower().find("needle"), len(chunk)
+        return 0 if at < 0 else 5 + (2 if at < m // 3 else 1 if at < 2 * m // 3 else 0)
+    assert {k: v or 0 for k, v in got.items()} == {
+        ("job-1", 0): want(text[:310]), ("job-1", 1): want(text[302:]), ("job-1", 2): want(text[320:]), ("job-2", 0): 7}
+
+
+def test_requests_without_a_document_end_as_errors(spark):
+    from docrevise.plans.revise import NO_DOCUMENT, revise
+    docs = spark.createDataFrame([("d", "Old Name pays the fee every month.")], "doc_id string, text string")
+    reqs = spark.createDataFrame(
+        [("a", "d", "Change 'Old Name' to 'New Name'"), ("b", "gone", "Change 'x' to 'y'"), ("c", None, "z")]
+        + [(f"h{i}", "absent", "z") for i in range(30)], "job_id string, doc_id string, instruction string")
+    out = revise(T.prepare_jobs(reqs, docs, hot_share=0.1))
+    got = {r.job_id: (r.status, r.message) for r in out["results"].collect()}
+    assert len(got) == 33 and got.pop("a")[0] == "completed"
+    assert set(got.values()) == {("error", NO_DOCUMENT)}
+    marks = {r.job_id: r.n for r in out["job_log"].groupBy("job_id").agg(F.count("*").alias("n")).collect()}
+    assert (marks["a"], marks["b"]) == (7, 3)
+
+
+def test_inline_requests_need_both_parts(spark):
+    df = spark.createDataFrame([("i", "t"), (None, "t"), ("i", None), ("", "")],
+                               "instruction string, document_content string")
+    assert [r.accepted for r in IN.validate_inline(df).collect()] == [True, False, False, True]
 
 
 def test_align_short_lines_and_first_original(spark):
@@ -236,10 +305,11 @@ def test_hot_document_requests_join_exactly_once(spark):
                                  "job_id string, doc_id long, instruction string")
     out = T.join_requests(reqs, docs, hot_share=0.1, salts=8)
     rows = out.collect()
-    assert len(rows) == 501 and len({r.job_id for r in rows}) == 501
-    assert all(r.text == ("hot text" if r.doc_id == 1 else "cold text") for r in rows)
+    assert len(rows) == 502 and len({r.job_id for r in rows}) == 502
+    assert {(r.doc_id, r.text, r.found) for r in rows} == {
+        (1, "hot text", True), (2, "cold text", True), (9, None, False)}
     j = T.prepare_jobs(reqs, docs, materialized=False)
-    assert j.count() == 501
+    assert j.count() == 502 and j.where("found").count() == 501
 
 
 def test_drop_contained_by_repeated_text(spark):

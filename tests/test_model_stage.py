@@ -154,3 +154,20 @@ def test_top_k_keeps_the_other_chunks(spark):
     jobs = T.prepare_jobs(req, spark.createDataFrame([("d", text)], "doc_id string, text string"))
     out = revise(jobs, size=200, overlap=0, top_k=1)["results"].first()["response"]
     assert all(f"Part {i} " in out for i in range(40)) and "new value" in out and "old value" in out
+
+
+def test_output_budget_reaches_the_call_and_jobs_overlap(spark):
+    df = spark.createDataFrame([(f"j{i}", k, f"p{i}-{k}", 100 * i + k) for i in range(6) for k in range(3)],
+                               "job_id string, chunk_no long, prompt string, max_tokens int")
+    barrier = {}
+
+    def model(prompt, max_tokens):
+        import threading
+        # the first chunks of two jobs must be in flight together
+        if prompt in ("p0-0", "p1-0"):
+            barrier.setdefault("b", threading.Barrier(2)).wait(timeout=30)
+        return json.dumps({"generation": f"{prompt}:{max_tokens}"})
+
+    out = R.revise_chunks(df, model, concurrency=1, partitions=1, attempts=1, backoff=0.0, budget_col="max_tokens")
+    got = {(r.job_id, r.chunk_no): r.body for r in out.collect()}
+    assert got == {(f"j{i}", k): json.dumps({"generation": f"p{i}-{k}:{100 * i + k}"}) for i in range(6) for k in range(3)}

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrevise.llm.common import SPACE, col, let, stored, text_or_empty, words
+from docrevise.llm.common import SPACE, col, fresh, let, stored, text_or_empty, words
 
 #: Thresholds tried per statistic (fixed grids, so learning is reproducible).
 _SHARES = [0.0, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -240,18 +240,21 @@ def _best(rows, min_cover: int) -> tuple[Condition, int] | None:
     return None if best is None else best[1:]
 
 
-def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """Statistics rows that have a label, with ``bad`` (quality 0) and ``key``.
+def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality: str = "quality", prefix: str = "q_") -> DataFrame:
+    """Statistics rows that have a label, with ``bad`` (quality 0) and ``key``;
+    the statistics are named ``q_`` + name whatever their ``prefix`` was.
     Only narrow statistics rows are shuffled, never texts."""
-    own = [c for c in stats.columns if c.startswith("q_")]
-    lab = labels.select(F.col(id_col).alias("key"), (F.col(quality) == 0).alias("bad")).where("key is not null and bad is not null")
-    return stats.select(F.col(id_col).alias("key"), *own).join(lab, "key")
+    own = [F.col(prefix + n).alias(f"q_{n}") for n in STATISTICS]
+    lab = labels.select(col(id_col).alias("key"), (col(quality) == 0).alias("bad")).where("key is not null and bad is not null")
+    return stats.select(col(id_col).alias("key"), *own).join(lab, "key")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the texts that the fixed rule or the learned list
-    rejects.  Two scans of the texts, no shuffle of them."""
-    stats = stored(text_statistics(docs.select(col(id_col).alias("doc_id"), col(text).alias("text"))).drop("text"), "statistics")
-    rules = learn_rules(labelled_statistics(stats.where(~base_failed()), labels.select(col(id_col).alias("doc_id"), "quality")))
-    # one bound struct: as a filter over columns, Spark would compute every statistic anew at each use
-    return docs.where(let(_statistics(text_or_empty(col(text))), lambda s: ~base_failed(lambda n: s[n]) & rules.verdict(lambda n: s[n])))
+    rejects.  The statistics are computed once and written beside the
+    documents, so the verdict is a scan of that table; texts are not shuffled."""
+    p = fresh(docs, "q_")
+    stats = stored(text_statistics(docs, text, p), "statistics")
+    passed = stats.where(~base_failed(columns(p)))
+    rules = learn_rules(labelled_statistics(passed, labels, id_col, prefix=p))
+    return passed.where(rules.verdict(columns(p))).select(*[col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docrevise.functions import constants as K
 from docrevise.functions.text import (
-    lookahead_regex, py_split, quote_regex, window_text,
+    div, lookahead_regex, py_split, quote_regex, window_text,
 )
 from docrevise.operators import instructions as I
 
@@ -180,16 +180,50 @@ def _attach_text(df: DataFrame, jobs: DataFrame) -> DataFrame:
     return df.join(jobs.select("job_id", "text"), "job_id")
 
 
+#: Characters per text block.
+BLOCK = 4096
+
+
+def text_blocks(jobs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``job_id, block, piece``: each text cut once into consecutive pieces of
+    ``size`` characters (the last one shorter)."""
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return jobs.select("job_id", F.posexplode(pieces).alias("block", "piece"))
+
+
+def cut_windows(hits: DataFrame, jobs: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """``job_id, *keys, ws, target``: the text in [ws, we) of each hit row
+    (``job_id, *keys, ws, we``; keys are unique in a job).
+
+    A hit is joined to the blocks that its window touches and cut there, so
+    the work is linear in text and windows, however long the document is.
+    Windows are clipped at the text's end; one beyond it is empty."""
+    touched = F.sequence(div(F.col("ws"), size), div(F.greatest(F.col("we") - 1, F.col("ws")), size))
+    x = hits.select("job_id", *keys, "ws", "we", F.explode(touched.cast("array<int>")).alias("block"))
+    x = x.join(text_blocks(jobs, size), ["job_id", "block"], "left")
+    base = F.col("block").cast("long") * size
+    begin = F.greatest(F.col("ws"), base)
+    part = F.call_function("substring", F.col("piece"), (begin - base + 1).cast("int"),
+                           F.greatest(F.col("we") - begin, F.lit(0)).cast("int"))
+    x = x.select("job_id", *keys, "ws", F.struct("block", F.coalesce(part, F.lit("")).alias("part")).alias("p"))
+    x = x.groupBy("job_id", *keys, "ws").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return x.select("job_id", *keys, "ws", F.array_join(F.transform("p", lambda q: q["part"]), "").alias("target"))
+
+
+def _term_windows(occ: DataFrame, jobs: DataFrame, src: Column, before, after) -> DataFrame:
+    """Candidates (job_id, src, k1, k2, k3, target, ws) around occurrences."""
+    ws = F.greatest(F.col("pos") - before, F.lit(0)).cast("long")
+    hits = occ.select("job_id", src.alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"), ws.alias("ws"),
+                      (F.col("pos") + F.length("term") + after).cast("long").alias("we"))
+    return cut_windows(hits, jobs, ["src", "k1", "k2", "k3"]).select("job_id", "src", "k1", "k2", "k3", "target", "ws")
+
+
 # ---------------------------------------------------------------- T2 quoted windows
 def quoted_windows(jobs: DataFrame, before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER) -> DataFrame:
     """Every occurrence of every quoted span; ``before``/``after`` context."""
     spans = I.quoted_spans(jobs.select("job_id", "instruction")).select(
         "job_id", F.col("ord").alias("k1"), F.col("text").alias("term"))
-    occ = occurrences(jobs, spans, ["k1"])
-    out = _attach_text(occ, jobs)
-    return out.select("job_id", F.lit(1).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.length("term"), before, after).alias("target"),
-                      F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
+    return _term_windows(occurrences(jobs, spans, ["k1"]), jobs, F.lit(1), before, after)
 
 
 # ---------------------------------------------------------------- T3 action windows
@@ -210,11 +244,7 @@ def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, af
     """T4: every occurrence of every field mentioned in the instruction."""
     f = I.field_mentions(jobs.select("job_id", "instruction"), fields).select(
         "job_id", F.col("field_ord").alias("k1"), F.col("field").alias("term"))
-    occ = occurrences(jobs, f, ["k1"])
-    out = _attach_text(occ, jobs)
-    return out.select("job_id", F.lit(3).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      window_text(F.col("text"), F.col("pos"), F.length("term"), before, after).alias("target"),
-                      F.greatest(F.col("pos") - before, F.lit(0)).cast("long").alias("ws"))
+    return _term_windows(occurrences(jobs, f, ["k1"]), jobs, F.lit(3), before, after)
 
 
 # ---------------------------------------------------------------- T5 candidates
@@ -222,21 +252,17 @@ def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
     """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3).
 
     The quoted spans (T2) and the field terms (T4) are searched in one pass:
-    one occurrence search, one running-sum window and one join back to the
-    text for both, with the context sizes chosen per source."""
+    one occurrence search, one running-sum window and one join to the text
+    blocks for both, with the context sizes chosen per source."""
     spans = I.quoted_spans(jobs.select("job_id", "instruction")).select(
         "job_id", F.lit(1).alias("src"), F.col("ord").alias("k1"), F.col("text").alias("term"))
     f = I.field_mentions(jobs.select("job_id", "instruction"), fields).select(
         "job_id", F.lit(3).alias("src"), F.col("field_ord").alias("k1"), F.col("field").alias("term"))
-    occ = _attach_text(occurrences(jobs, spans.unionByName(f), ["src", "k1"]), jobs)
+    occ = occurrences(jobs, spans.unionByName(f), ["src", "k1"])
     quoted = F.col("src") == 1
     before = F.when(quoted, F.lit(K.QUOTED_BEFORE)).otherwise(F.lit(K.FIELD_BEFORE))
     after = F.when(quoted, F.lit(K.QUOTED_AFTER)).otherwise(F.lit(K.FIELD_AFTER))
-    start = F.greatest(F.col("pos") - before, F.lit(0))
-    end = F.least(F.length("text"), F.col("pos") + F.length("term") + after)
-    both = occ.select("job_id", "src", "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      F.call_function("substring", F.col("text"), start + 1, F.greatest(end - start, F.lit(0))).alias("target"),
-                      start.cast("long").alias("ws"))
+    both = _term_windows(occ, jobs, F.col("src"), before, after)
     return both.unionByName(action_windows(jobs, verbs))
 
 

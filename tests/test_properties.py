@@ -234,3 +234,24 @@ def test_target_score_methods_agree(spark, sf):
     a = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="automaton").collect()}
     b = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="scan").collect()}
     assert a == b and any(r[2] > 0 for r in a)
+
+
+def test_block_windows_equal_slices(spark):
+    """Windows cut from text blocks are the slices of the text: across block
+    edges, clipped at the end, empty beyond it, outside the BMP, in empty and
+    null texts."""
+    texts = ["", None, "abc", "x" * 7, "0123456789" * 5, "é𝄞\n\r" * 12]
+    spans = [(0, 1), (0, 200), (6, 8), (7, 14), (5, 30), (48, 60), (60, 70)]
+    jobs = spark.createDataFrame([(f"j{i}", t) for i, t in enumerate(texts)], "job_id string, text string")
+    hits = spark.createDataFrame([(f"j{i}", k, a, b) for i in range(len(texts)) for k, (a, b) in enumerate(spans)],
+                                 "job_id string, k int, ws long, we long")
+    got = {(r.job_id, r.k): r.target for r in T.cut_windows(hits, jobs, ["k"], size=7).collect()}
+    assert got == {(f"j{i}", k): (t or "")[a:b] for i, t in enumerate(texts) for k, (a, b) in enumerate(spans)}
+
+
+def test_field_windows_of_a_long_document(spark):
+    """Every hit of a document of many blocks has its window."""
+    docs = spark.createDataFrame([(1, "total due, " * 20_000)], "doc_id long, text string")
+    w = T.field_windows(T.jobs_from_documents(docs, "change the total", materialized=False), fields=["total"])
+    assert w.count() == 20_000
+    assert w.where("length(target) > 300").count() == 0

@@ -199,7 +199,7 @@ def cut_windows(hits: DataFrame, jobs: DataFrame, keys: list[str], size: int = B
     the work is linear in text and windows, however long the document is.
     Windows are clipped at the text's end; one beyond it is empty."""
     touched = F.sequence(div(F.col("ws"), size), div(F.greatest(F.col("we") - 1, F.col("ws")), size))
-    x = hits.select("job_id", *keys, "ws", "we", F.explode(touched.cast("array<int>")).alias("block"))
+    x = hits.select(*dict.fromkeys(["job_id", *keys, "ws", "we"]), F.explode(touched.cast("array<int>")).alias("block"))
     x = x.join(text_blocks(jobs, size), ["job_id", "block"], "left")
     base = F.col("block").cast("long") * size
     begin = F.greatest(F.col("ws"), base)
@@ -372,17 +372,44 @@ def entity_presence(jobs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- T8 entity paragraphs
 def entity_paragraphs(jobs: DataFrame, sep: str = "\n\n", presence: DataFrame | None = None) -> DataFrame:
     """For every occurrence of every found entity, the text between the
-    surrounding separators (or the document ends).  Not deduplicated."""
+    surrounding separators (or the document ends).  Not deduplicated.
+
+    Hits and separators are ordered together, so each hit finds its bounds
+    without reading the text again, and blocks give the paragraphs."""
     presence = presence if presence is not None else entity_presence(jobs)
     found = presence.where("found").select("job_id", F.col("ent_ord").alias("k1"), F.col("entity").alias("term"))
-    occ = _attach_text(occurrences(jobs, found, ["k1"]), jobs)
-    prefix = F.call_function("substring", F.col("text"), F.lit(1), F.col("pos"))
-    start = F.col("pos") - F.length(F.substring_index(prefix, sep, -1))
-    nxt = F.call_function("locate", F.lit(sep), F.col("text"), F.col("pos") + 1)
-    end = F.when(nxt > 0, nxt - 1).otherwise(F.length("text"))
-    para = F.call_function("substring", F.col("text"), start + 1, end - start)
-    return occ.select("job_id", F.lit(4).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"),
-                      para.alias("target"))
+    occ = occurrences(jobs, found, ["k1"])
+    texts = jobs.select("job_id", "text").join(found.select("job_id").distinct(), "job_id", "left_semi")
+    bounds = _separators(texts, sep)
+    hit = occ.select("job_id", "k1", "occ", F.col("pos").cast("long").alias("at"))
+    events = hit.unionByName(bounds.withColumnRenamed("pos", "at"), allowMissingColumns=True)
+    up = Window.partitionBy("job_id").orderBy("at")
+    down = Window.partitionBy("job_id").orderBy(F.col("at").desc())
+    is_sep, is_bound = F.col("inner"), F.col("inner").isNotNull()
+    past = F.max(F.when(is_sep, F.col("at"))).over(up.rangeBetween(Window.unboundedPreceding, -len(sep)))
+    end = F.coalesce(F.min(F.when(is_bound, F.col("at"))).over(down.rangeBetween(Window.unboundedPreceding, 0)),
+                     F.max(F.when(is_bound, F.col("at"))).over(up.rangeBetween(Window.unboundedPreceding, 0)))
+    x = events.select("*", F.coalesce(past + len(sep), F.lit(0)).cast("long").alias("ws"), end.alias("we"))
+    x = x.where("occ is not null").select("job_id", "k1", "occ", "ws", "we")
+    # a paragraph is cut once, however many hits it has
+    paras = cut_windows(x.select("job_id", "ws", "we").distinct(), jobs, ["we"])
+    return x.join(paras, ["job_id", "ws", "we"]).select(
+        "job_id", F.lit(4).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"), "target")
+
+
+def _separators(texts: DataFrame, sep: str) -> DataFrame:
+    """``job_id, pos, inner``: every start of ``sep`` in the text, overlapping
+    ones too (``inner`` true), and the text's end (``inner`` false)."""
+    lens = F.transform(F.split(F.col("text"), lookahead_regex(F.lit(sep)), -1), lambda p: F.length(p))
+    x = texts.select("job_id", F.startswith(F.col("text"), F.lit(sep)).alias("lead"), F.size(lens).alias("n"),
+                     F.posexplode(lens).alias("i", "plen"))
+    w = Window.partitionBy("job_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("past", F.sum("plen").over(w))
+    start = F.struct((F.col("past") - F.col("plen")).alias("pos"), F.lit(True).alias("inner"))
+    end = F.struct(F.col("past").alias("pos"), F.lit(False).alias("inner"))
+    rows = F.filter(F.array(F.when((F.col("i") > 0) | F.col("lead"), start), F.when(F.col("i") == F.col("n") - 1, end)),
+                    lambda r: r.isNotNull())
+    return x.select("job_id", F.explode(rows).alias("r")).select("job_id", "r.pos", "r.inner")
 
 
 # ---------------------------------------------------------------- T9 partial entities

@@ -255,3 +255,22 @@ def test_field_windows_of_a_long_document(spark):
     w = T.field_windows(T.jobs_from_documents(docs, "change the total", materialized=False), fields=["total"])
     assert w.count() == 20_000
     assert w.where("length(target) > 300").count() == 0
+
+
+def test_paragraphs_equal_search_in_text(spark):
+    """T8 bounds equal a search to the left and right of each hit, also with
+    odd runs of line feeds and separators at the ends."""
+    import random
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["ab", "x", "\n", "\n\n", "é𝄞"]) for _ in range(rnd.randrange(1, 40))) for _ in range(80)]
+    jobs = T.jobs_from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "x", materialized=False)
+    presence = jobs.select("job_id", F.lit(0).alias("ent_ord"), F.lit("ab").alias("entity"), F.contains("text", F.lit("ab")).alias("found"))
+    got = sorted((r.job_id, r.k3, r.target) for r in T.entity_paragraphs(jobs, presence=presence).collect())
+    want = []
+    for i, t in enumerate(texts):
+        pos, k = t.find("ab"), 0
+        while pos >= 0:
+            a, b = t.rfind("\n\n", 0, pos), t.find("\n\n", pos)
+            want.append((f"job-{i}", k, t[a + 2 if a >= 0 else 0:b if b >= 0 else len(t)]))
+            pos, k = t.find("ab", pos + 2), k + 1
+    assert got == sorted(want)

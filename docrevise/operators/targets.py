@@ -176,10 +176,6 @@ def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping:
     return fast.select(*part_cols, "occ", "pos").unionByName(slow)
 
 
-def _attach_text(df: DataFrame, jobs: DataFrame) -> DataFrame:
-    return df.join(jobs.select("job_id", "text"), "job_id")
-
-
 #: Characters per text block.
 BLOCK = 4096
 

@@ -10,15 +10,20 @@ all other urls (a table of labelled urls may be given instead):
    ``depth`` are one rest wildcard.
 2. Level by level, a node of a host's tree with more than ``max_children``
    children turns them into one wildcard child (a variable segment).
-3. Sibling templates whose labelled shares do not differ significantly
-   (pooled two-proportion z below ``z``) are merged, in order of their share.
-4. A merged template is rejected when it has at least ``min_labels`` labels
-   and its share of blocked ones, smoothed with the overall share, reaches
-   ``purity``.
+3. On every level, siblings whose labelled shares do not differ significantly
+   (pooled two-proportion z below ``z``) are merged into one branch, in order
+   of their share.
+4. From the host down, a branch's share of blocked labels is smoothed with the
+   share above it, the host's with the overall share. Where the labels end, a
+   template without labels takes the share of its last labelled ancestor's
+   labelled children, each counted once: labels below one child do not speak
+   for its sibling more than once.
+5. A template is rejected when its share reaches ``purity`` on evidence of at
+   least ``min_labels``: the labels of its branch, and one for each labelled
+   sibling outside it and on the levels above.
 
 Every step is an aggregate or join over distinct (host, path) pairs, counted
-map-side first; windows run over the children of one node only, at most
-``max_children`` of them.
+map-side first; windows run over the distinct shares below one node only.
 
 Defined cases: a null url or one without ``://`` has empty host and path and
 falls under no rule and no template: allow; an empty table gives no rows;
@@ -69,9 +74,10 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
 
 def learn_templates(labelled: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, z: float = 1.96,
                     min_labels: int = 5, smoothing: float = 2.0, purity: float = 0.8) -> DataFrame:
-    """host, raw (the segments as given), template, n_labels, n_blocked,
-    share and reject, one row per distinct (host, raw) of ``labelled``
-    (columns host, path, blocked: true, false or null for no label)."""
+    """host, raw (the segments as given), template, n_labels and n_blocked (of
+    the template's branch), evidence, share (null on a host without labels)
+    and reject, one row per distinct (host, raw) of ``labelled`` (columns
+    host, path, blocked: true, false or null for no label)."""
     t = labelled.where("host <> ''").select("host", segments(F.col("path"), depth).alias("raw"), "blocked")
     t = t.groupBy("host", "raw").agg(F.count("blocked").alias("n"), F.count_if("blocked").alias("b"))
     t = stored(t.withColumn("template", F.col("raw")), "paths")
@@ -86,35 +92,65 @@ def learn_templates(labelled: DataFrame, depth: int = DEPTH, max_children: int =
         new = F.when(F.col("wide") & F.col("seg").isNotNull(), F.concat(
             F.col("prefix"), F.array(F.lit("*")), F.slice("template", d + 1, depth + 1))).otherwise(F.col("template"))
         t = stored(here.join(wide, ["host", "prefix"], "left").select("host", "raw", "n", "b", new.alias("template")), "paths")
-    # merge siblings that the labels do not tell apart
-    own = t.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    own = own.withColumn("parent", F.when(F.size("template") > 0, F.slice("template", F.lit(1), F.size("template") - 1)))
-    told = own.where("n > 0").withColumn("p", F.col("b") / F.col("n"))
-    order = Window.partitionBy("host", "parent").orderBy("p", "template")
+    return t.select("host", "raw", "template").join(template_shares(t, z, min_labels, smoothing, purity), ["host", "template"], "left").select(
+        "host", "raw", "template", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_labels", "n_blocked", "evidence")],
+        "share", F.coalesce("reject", F.lit(False)).alias("reject"))
+
+
+def template_shares(t: DataFrame, z: float, min_labels: int, smoothing: float, purity: float) -> DataFrame:
+    """host, template, n_labels, n_blocked, evidence, share and reject of the
+    templates (columns host, template, n, b) of every host that has labels."""
+    own = stored(t.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "own")
+    # a path ends in a child '' of its last segment; all prefixes are nodes
+    chain = F.concat("template", F.array(F.lit("")))
+    node = F.explode(F.transform(F.sequence(F.lit(0), F.size(chain)), lambda i: F.slice(chain, F.lit(1), i))).alias("node")
+    told = own.where("n > 0").select("host", node, "n", "b").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    told = stored(told.withColumn("parent", F.when(F.size("node") > 0, F.slice("node", F.lit(1), F.size("node") - 1))).withColumn("p", F.col("b") / F.col("n")), "nodes")
+    total = told.where("parent is null").agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("prior"))
+    prior = total.first()["prior"]  # one number
+    # siblings that the labels do not tell apart are one branch; equal shares are summed before the window
+    siblings = told.where("parent is not null")
+    equal = siblings.groupBy("host", "parent", "p").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("k"))
+    order = Window.partitionBy("host", "parent").orderBy("p")
     n0, b0 = F.lag("n").over(order), F.lag("b").over(order)
     pooled = (F.col("b") + b0) / (F.col("n") + n0)
     far = (F.col("p") - b0 / n0) > z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / n0))
-    told = told.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("branch", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = told.groupBy("host", "parent", "branch").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"), F.collect_list("template").alias("ts"))
-    total = told.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("prior"))
-    prior = total.first()["prior"]  # one number
-    merged = merged.withColumn("share", (F.col("mb") + smoothing * prior) / (F.col("mn") + smoothing))
-    merged = merged.select("host", F.explode("ts").alias("template"), F.col("mn").alias("n_labels"), F.col("mb").alias("n_blocked"), "share",
-                           ((F.col("mn") >= min_labels) & (F.col("share") >= purity)).alias("reject"))
-    return t.select("host", "raw", "template").join(merged, ["host", "template"], "left").select(
-        "host", "raw", "template", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("n_blocked", F.lit(0)).alias("n_blocked"),
-        "share", F.coalesce("reject", F.lit(False)).alias("reject"))
+    equal = equal.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("branch", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("host", "parent", "branch")
+    equal = equal.select("host", "parent", "p", *[F.sum(c).over(whole).alias("g" + c) for c in "nbk"])
+    kids = siblings.groupBy(F.col("host"), F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.sum("p").alias("kid_p"))
+    branches = siblings.join(equal, ["host", "parent", "p"]).select("host", "node", "gn", "gb", "gk").unionByName(
+        told.where("parent is null").select("host", "node", F.col("n").alias("gn"), F.col("b").alias("gb"), F.lit(1).cast("long").alias("gk")))
+    nodes = stored(branches.join(kids, ["host", "node"], "left").select(
+        "host", "node", "gn", "gb", "gk", F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("kid_p", F.lit(0.0)).alias("kid_p")), "branches")
+    # from the host down, every share is smoothed with the one above it
+    steps = own.select("host", "template", node).join(nodes, ["host", "node"]).groupBy("host", "template").agg(
+        F.sort_array(F.collect_list(F.struct(F.size("node").alias("level"), "gn", "gb", "gk", "kids", "kid_p"))).alias("steps"))
+    share = F.aggregate("steps", F.lit(prior).cast("double"), lambda p, x: (x["gb"] + smoothing * p) / (x["gn"] + smoothing))
+    last = F.element_at("steps", -1)
+    leaf = last["level"] == F.size("template") + 1
+    above = F.aggregate("steps", F.lit(0).cast("long"), lambda e, x: e + F.when(x["level"] < last["level"], x["kids"] - 1).otherwise(0))
+    up = F.element_at("steps", -2)["kids"]  # the leaf's siblings
+    found = steps.select(
+        "host", "template", F.when(leaf, last["gn"]).otherwise(0).alias("n_labels"), F.when(leaf, last["gb"]).otherwise(0).alias("n_blocked"),
+        F.when(leaf, above - (up - 1) + (up - last["gk"]) + last["gn"]).otherwise(above + last["kids"]).alias("evidence"),
+        F.when(leaf, share).otherwise((last["kid_p"] + smoothing * share) / (last["kids"] + smoothing)).alias("share"))
+    return found.withColumn("reject", (F.col("evidence") >= min_labels) & (F.col("share") >= purity))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, id_col: str = "page_id", url: str = "url", **kw) -> DataFrame:
     """page_id, host, path, rule, verdict and template per row of ``pages``.
-    ``labels`` (host, path, blocked) replaces the rules' own decisions as labels."""
+    ``labels`` (host, path, blocked) replaces the rules' own decisions as labels;
+    the urls of ``pages`` take part without labels then."""
     p = pages.select(col(id_col).alias("page_id"), col(url).alias("url"))
     host, path = url_parts(F.col("url"))
     p = p.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    learnt = labels if labels is not None else p.select("host", "path", (F.col("ruled") == "block").alias("blocked"))
+    blocked = F.col("ruled") == "block" if labels is None else F.lit(None).cast("boolean")
+    learnt = p.select("host", "path", blocked.alias("blocked"))
+    if labels is not None:
+        learnt = learnt.unionByName(labels.select("host", "path", "blocked"))
     t = stored(learn_templates(learnt, **kw).where("host <> ''"), "templates")
     # only rejected templates matter for the verdict: the small side of the join
     bad = t.where("reject").select(F.col("host").alias("t_host"), F.col("raw").alias("t_raw"), F.array_join("template", "/").alias("template"))

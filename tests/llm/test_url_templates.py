@@ -10,13 +10,14 @@ DDL = "host string, path string, blocked boolean"
 
 
 def verdicts(templates, z=1.96, min_labels=5, s=2.0, purity=0.8):
-    """{(host, template): reject} from [(host, template, blocked or None)], one node at a time."""
-    count = defaultdict(lambda: [0, 0])
-    for host, t, blocked in templates:
+    """{(host, template): reject} from [(host, raw, template, blocked or None)], one node at a time."""
+    count, units = defaultdict(lambda: [0, 0]), defaultdict(lambda: defaultdict(list))
+    for host, raw, t, blocked in templates:
         for i in range(len(t) + 2):
             if blocked is not None:
                 c = count[host, (*t, "")[:i]]
                 c[0], c[1] = c[0] + 1, c[1] + blocked
+                units[host, (*t, "")[:i]][(*raw, "")[:i]].append(blocked)
     kids = defaultdict(list)
     for host, v in count:
         if v:
@@ -24,7 +25,7 @@ def verdicts(templates, z=1.96, min_labels=5, s=2.0, purity=0.8):
 
     def branch(host, v):
         if not v:
-            return count[host, v], 1
+            return count[host, v], len(units[host, v])
         by = defaultdict(list)
         for x in kids[host, v[:-1]]:
             n, b = count[host, x]
@@ -40,24 +41,24 @@ def verdicts(templates, z=1.96, min_labels=5, s=2.0, purity=0.8):
             groups[-1] += by[p]
             before = n, b
         mine = next(g for g in groups if v in g)
-        return [sum(count[host, x][i] for x in mine) for i in (0, 1)], len(mine)
+        return [sum(count[host, x][i] for x in mine) for i in (0, 1)], sum(len(units[host, x]) for x in mine)
 
     hosts = {host for host, v in count if not v}
     prior = sum(count[h, ()][1] for h in hosts) / max(1, sum(count[h, ()][0] for h in hosts))
     out = {}
-    for host, t in {x[:2] for x in templates}:
+    for host, t in {(x[0], x[2]) for x in templates}:
         share, evidence, chain = prior, 0, (*t, "")
         for i in range(len(chain) + 1):
             v = chain[:i]
-            siblings = len(kids[host, v[:-1]]) if v else 1
+            siblings = [u for x in kids[host, v[:-1]] for u in units[host, x].values()] if v else []
             if (host, v) not in count:
                 if v and (host, v[:-1]) in count:
-                    share = (sum(count[host, x][1] / count[host, x][0] for x in kids[host, v[:-1]]) + s * share) / (siblings + s)
-                    evidence += siblings
+                    share = (sum(sum(u) / len(u) for u in siblings) + s * share) / (len(siblings) + s)
+                    evidence += len(siblings)
                 break
             (n, b), size = branch(host, v)
             share = (b + s * share) / (n + s)
-            evidence += n + siblings - size if i == len(chain) else siblings - 1
+            evidence += n + len(siblings) - size if i == len(chain) else len(siblings) - len(units[host, v]) if v else 0
         out[host, t] = evidence >= min_labels and share >= purity
     return out
 
@@ -87,7 +88,7 @@ def test_shares_against_brute(spark):
             rows.append((host, "/" + "/".join(path), r.random() < bad if r.random() < 0.15 else None))
         got = url_filter.learn_templates(spark.createDataFrame(rows, DDL)).collect()
         template = {(x["host"], tuple(x["raw"])): tuple(x["template"]) for x in got}
-        want = verdicts([(h, template[h, tuple(x for x in p.split("/") if x)], b) for h, p, b in rows])
+        want = verdicts([(h, raw := tuple(x for x in p.split("/") if x), template[h, raw], b) for h, p, b in rows])
         assert {(x["host"], tuple(x["template"])): x["reject"] for x in got} == want
         unlabelled = [x for x in got if x["n_labels"] == 0]
         assert 0 < sum(x["reject"] for x in unlabelled) < len(unlabelled)
@@ -102,6 +103,24 @@ def test_query_verdicts_against_brute(spark):
         rows.append((p, host, path, ruled))
     parsed = spark.createDataFrame([(h, p, None if v is None else v == "block") for _, h, p, v in rows], DDL)
     raw = [tuple(r[0]) for r in parsed.select(url_filter.segments(parsed["path"])).collect()]
-    want = verdicts([(h, t, None if v is None else v == "block") for (_, h, _, v), t in zip(rows, raw)])
+    want = verdicts([(h, t, t, None if v is None else v == "block") for (_, h, _, v), t in zip(rows, raw)])
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
     assert got == {p: v or ("block" if want[h, t] else "allow") for (p, h, _, v), t in zip(rows, raw)}
+
+
+def test_number_of_segments_changes_no_verdict(spark):
+    """Clean sections beside rule-labelled ones, and a variable segment with
+    bad and good pages below it: equal verdicts for any number of children."""
+    rows = []
+    for k in (29, 31, 1000):
+        rows += [(f"net{k}", f"/{x}/{i}", True) for x in ("es", "fr") for i in range(20)] + [(f"net{k}", f"/s{chr(97 + i % 26)}{i}x/1", None) for i in range(k - 2)]
+        for i in range(k):
+            x = f"/u{i}x"
+            rows += [(f"two{k}", f"{x}/buy", True if i % 3 else None), (f"two{k}", f"{x}/info", False if i % 3 else None), (f"mix{k}", f"{x}/p", i % 2 == 0), (f"mix{k}", f"{x}/p", i % 2 == 0)]
+        rows.append((f"mix{k}", "/new/p", None))
+    t = url_filter.learn_templates(spark.createDataFrame(rows, DDL)).collect()
+    for k in (29, 31, 1000):
+        mine = {kind: [r for r in t if r["host"] == f"{kind}{k}"] for kind in ("net", "two", "mix")}
+        assert [r["reject"] for r in mine["net"]].count(True) == 2 and {r["raw"][0] for r in mine["net"] if r["reject"]} == {"es", "fr"}
+        assert len(mine["two"]) == 2 * k and all(r["reject"] == (r["raw"][1] == "buy") for r in mine["two"])
+        assert not any(r["reject"] for r in mine["mix"] if r["raw"][0] == "new") and all(r["template"] == r["raw"] for r in mine["mix"])

@@ -5,7 +5,8 @@ k + 1 pieces, at least one piece of any such match is unchanged (pigeonhole),
 so the pieces are exact seeds: one multi-pattern automaton finds them all in
 one pass over the whole normalised text, and only the window around a seed is
 given to the regex library, whose bounded-error matching verifies the edits
-and reports the span.  The base phrases (exact runs of words) are found
+and reports the span.  Numbers and the words of ``TELLING`` must be unchanged
+in it: an edit there names another licence.  The base phrases (exact runs of words) are found
 separately and count as places whatever the fuzzy search says.
 
 Normalised text: A-Z lower-cased, alphanumeric words (any non-ASCII character
@@ -47,6 +48,8 @@ NOTICES = {
 }
 #: One edit is allowed per so many characters of a notice.
 CHARS_PER_EDIT = 14
+#: Words that, like numbers, tell one licence from another: no edit may touch them.
+TELLING = frozenset({"by", "mit", "nc", "nd", "sa"})
 
 
 def budget(notice: str, chars_per_edit: int = CHARS_PER_EDIT) -> int:
@@ -59,16 +62,36 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def strict(notice: str, edits: int) -> str:
+    """The notice's expression with its telling words unchanged; the other
+    runs share the budget, so the caller checks the sum of the edits."""
+    import regex
+    out, number = "", False
+    for run in regex.split(r"([a-z]+|[0-9]+)", notice):
+        if run.isdigit():
+            # "version 1 2" is not version 2
+            out += f"\0(?<![0-9]){'' if number else '(?<![0-9] )'}{run}(?![^ ])\0"
+            number = True
+        elif run in TELLING:
+            out += f"\0(?<![^ ]){run}(?![^ ])\0"
+        else:
+            number = number and run == " "
+            out += regex.escape(run)
+    runs = out.split("\0")  # even: within the budget, odd: as it is
+    return "(?b)" + "".join(x if i % 2 else f"(?:{x}){{e<={edits}}}" for i, x in enumerate(runs) if x)
+
+
 class Scanner:
     def __init__(self, notices=NOTICES, base=BASE, chars_per_edit: int = CHARS_PER_EDIT):
         import ahocorasick
         import regex
         self.base = [(b" " + p.encode() + b" ", label) for p, label in base.items()]
-        self.notices = []
+        self.notices, self.strict = [], []
         at: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, label) in enumerate(notices.items()):
             k = budget(notice, chars_per_edit)
             self.notices.append((notice, label, k, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+            self.strict.append(regex.compile(strict(notice, k)))
             for offset, piece in seeds(notice, k):
                 at.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -86,8 +109,9 @@ class Scanner:
                 at = padded.find(phrase, at + 1)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
-    def fuzzy(self, norm: str) -> list[tuple[str, str, int, int, int, str]]:
-        """(label, notice, start, end, edits, found) of the verified notices, by span."""
+    def fuzzy(self, norm: str, telling: bool = False) -> list[tuple[str, str, int, int, int, str]]:
+        """(label, notice, start, end, edits, found) of the verified notices, by
+        span; with ``telling`` only those whose telling words are unchanged."""
         found, tried = {}, set()
         for end, (size, where) in self.automaton.iter(norm):
             for i, offset in where:
@@ -97,8 +121,9 @@ class Scanner:
                     continue
                 tried.add((i, start))
                 lo, hi = max(0, start - k), start + len(notice) + k
-                m = pattern.search(norm, lo, hi)
-                if m:
+                # one character more, so that a telling word's end is seen
+                m = self.strict[i].search(norm, lo, hi + 1) if telling else pattern.search(norm, lo, hi)
+                if m and sum(m.fuzzy_counts) <= k:
                     s, e = m.span()
                     found[(s, e, label)] = (label, notice, s, e, sum(m.fuzzy_counts), m.group())
         return [found[x] for x in sorted(found)]
@@ -107,7 +132,7 @@ class Scanner:
         """n_words, places, hits of one whole text."""
         w = text.encode().translate(ALNUM_BYTES).split()
         norm = b" ".join(w)
-        return len(w), self.places(b" " + norm + b" "), self.fuzzy(norm.decode())
+        return len(w), self.places(b" " + norm + b" "), self.fuzzy(norm.decode(), telling=True)
 
 
 _TYPE = pa.schema([

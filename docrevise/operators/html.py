@@ -141,21 +141,43 @@ COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 TAG = r"<[^>]*>"
-# Named entities decoded by H6 (besides &amp;, which is last).
+# Entities replaced first by H6; the others follow in one pass.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")]
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|amp|apos);"
+# What HTML reads for &#128; to &#159; (Windows-1252 where that has a character).
+C1_CHARS = [bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(0x80, 0xA0)]
+
+
+def reference_char(ref: Column) -> Column:
+    """The character of one ``REFERENCE``: zero, surrogates and
+    numbers beyond U+10FFFF are U+FFFD."""
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*);$", 1)
+    short = F.when(F.length(digits) <= 7, digits).otherwise("0")
+    n = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10))
+    n = F.coalesce(n, F.lit("0")).cast("bigint")
+    return (F.when(ref == "&amp;", "&").when(ref == "&apos;", "'")
+            .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.between(0x80, 0x9F), F.get(F.lit(C1_CHARS), (n - 0x80).cast("int")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
 
 def html_to_text(c: Column) -> Column:
     """H6: comments, then script and style bodies, then tags are removed;
-    then the named entities above, ``&amp;`` last."""
+    then the entities above are replaced, and in one last pass ``&amp;``,
+    ``&apos;`` and every decimal or hexadecimal character reference."""
     s = F.regexp_replace(c, COMMENT, "")
     s = F.regexp_replace(s, SCRIPT, "")
     s = F.regexp_replace(s, STYLE, "")
     s = F.regexp_replace(s, TAG, "")
     for k, v in ENTITIES:
         s = F.replace(s, F.lit(k), F.lit(v))
-    return F.replace(s, F.lit("&amp;"), F.lit("&"))
+
+    def decoded(x: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0)), reference_char)
+        pieces = F.zip_with(F.split(x, REFERENCE, -1), chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(x.rlike("&(?:#|apos;)"), F.array_join(pieces, "")).otherwise(F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return F.element_at(F.transform(F.array(s), decoded), 1)  # s is evaluated once
 
 
 # ---------------------------------------------------------------- H7 short guard

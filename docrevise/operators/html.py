@@ -205,21 +205,53 @@ def _text_escape(c: Column) -> Column:
     return F.replace(s, F.lit(">"), F.lit("&gt;"))
 
 
-def rebuild_html(df: DataFrame, key: list[str], text_col: str = "cleaned", sep: str = "\n\n") -> DataFrame:
+# A page cut into comments, whole scripts and styles, tags and text; the pieces together are the page.
+PIECE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+|<"
+BODY, BODY_END = r"(?is)\A<body(?:[\s/].*)?>\z", r"(?is)\A</body\s*>\z"
+
+
+def body_bounds(pieces: Column) -> tuple[Column, Column]:
+    """Numbers (from 1) of the first body tag, 0 without one, and of the last
+    closing one after it, one past the end without one."""
+    first = F.array_position(F.transform(pieces, lambda x: x.rlike(BODY)), True)
+    back = F.array_position(F.transform(F.reverse(pieces), lambda x: x.rlike(BODY_END)), True)
+    last = F.size(pieces) + 1 - back
+    return first, F.when((back > 0) & (last > first), last).otherwise(F.size(pieces) + 1)
+
+
+def replace_body(page: Column, body: Column) -> Column:
+    """``page`` with ``body`` between its body tags, everything else as it is;
+    a page without a body stays as it is."""
+    def put(pieces: Column) -> Column:
+        first, last = (x.cast("int") for x in body_bounds(pieces))
+        head, tail = F.slice(pieces, F.lit(1), first), F.slice(pieces, last, F.size(pieces))
+        return F.when(first > 0, F.concat(F.array_join(head, ""), body, F.array_join(tail, ""))).otherwise(page)
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(page, F.lit(PIECE), F.lit(0))), put), 1)
+
+
+def rebuild_html(df: DataFrame, key: list[str], text_col: str = "cleaned", sep: str = "\n\n", page_col: str | None = None) -> DataFrame:
     """H8: plain response -> page: split on ``sep``, strip, drop empties, one
-    element per paragraph (h1 / h2 / signature / clause / paragraph).
-    (The reference's indent branch tests a stripped paragraph for leading
-    blanks and can never fire; it is left out.)"""
-    x = df.select(*key, F.posexplode(F.split(F.col(text_col), sep, -1)).alias("p_ord", "raw"))
-    x = x.select(*key, "p_ord", py_strip(F.col("raw")).alias("p")).where(F.length("p") > 0)
+    element per paragraph (h1 / h2 / signature / clause / paragraph).  With
+    ``page_col`` the elements replace the body of that original page (also
+    when there are none); where it is null, and without it, the page frame is
+    ours.  (The reference's indent branch tests a stripped paragraph for
+    leading blanks and can never fire; it is left out.)"""
+    text = F.col(text_col) if page_col is None else F.coalesce(F.col(text_col), F.lit(""))
+    x = df.select(*key, F.posexplode(F.split(text, sep, -1)).alias("p_ord", "raw"), *([F.col(page_col).alias("page")] if page_col else []))
+    x = x.withColumn("p", py_strip(F.col("raw"))).drop("raw")
+    if page_col is None:
+        x = x.where(F.length("p") > 0)
     cls = paragraph_class(F.col("p"))
     el = (F.when(cls == "h1", F.concat(F.lit('<h1 class="heading" style="text-align: center;">'), _text_escape(F.col("p")), F.lit("</h1>")))
           .when(cls == "h2", F.concat(F.lit('<h2 class="heading">'), _text_escape(F.col("p")), F.lit("</h2>")))
           .otherwise(F.concat(F.lit('<div class="'), cls, F.lit('">'), _text_escape(F.col("p")), F.lit("</div>"))))
-    g = x.withColumn("el", el).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("p_ord", "el"))).alias("a"))
-    head = "\n".join(PAGE_HEAD_LINES)
-    return g.select(*key, F.concat(F.lit(head), F.array_join(F.transform("a", lambda e: e["el"]), ""),
-                                   F.lit(PAGE_TAIL)).alias("html"))
+    els = F.sort_array(F.collect_list(F.when(F.length("p") > 0, F.struct("p_ord", "el"))))
+    g = x.withColumn("el", el).groupBy(*key).agg(els.alias("a"), *([F.max("page").alias("page")] if page_col else []))
+    head, body = "\n".join(PAGE_HEAD_LINES), F.array_join(F.transform("a", lambda e: e["el"]), "")
+    framed = F.concat(F.lit(head), body, F.lit(PAGE_TAIL))
+    if page_col is not None:
+        framed = F.when(F.col("page").isNull(), framed).otherwise(replace_body(F.col("page"), body))
+    return g.select(*key, framed.alias("html"))
 
 
 # ---------------------------------------------------------------- H9 align lines
@@ -278,9 +310,23 @@ def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: fl
 
 
 # ---------------------------------------------------------------- H10 apply
+def apply_to_page(pages: DataFrame, repl: DataFrame, key: str = "job_id", page_col: str = "html") -> DataFrame:
+    """H10 on pages: replace every text node of the body whose stripped,
+    decoded text equals a key by its new text, escaped; returns (key, html).
+    All other pieces, and a page without a body, stay as they are; null is empty."""
+    x = pages.select(key, F.regexp_extract_all(F.coalesce(F.col(page_col), F.lit("")), F.lit(PIECE), F.lit(0)).alias("pieces"))
+    first, last = body_bounds(F.col("pieces"))
+    x = x.select(key, first.alias("first"), last.alias("last"), F.posexplode_outer("pieces").alias("i", "piece"))
+    inside = (F.col("first") > 0) & (F.col("i") + 1 > F.col("first")) & (F.col("i") + 1 < F.col("last")) & ~F.startswith(F.col("piece"), F.lit("<"))
+    x = x.withColumn("old", F.when(inside, py_strip(html_to_text(F.col("piece")))))
+    x = x.join(repl, [key, "old"], "left").withColumn("out", F.coalesce(_text_escape(F.col("new")), F.col("piece"), F.lit("")))
+    g = x.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "out"))).alias("a"))
+    return g.select(key, F.array_join(F.transform("a", lambda e: e["out"]), "").alias("html"))
+
+
 def apply_replacements(docs: DataFrame, repl: DataFrame, key: str = "job_id") -> DataFrame:
-    """Replace every line whose stripped text equals a key by its new
-    text; returns (key, text) with lines joined by newlines."""
+    """H10 on plain text: replace every line whose stripped text equals a key
+    by its new text; returns (key, text) with lines joined by newlines."""
     x = docs.select(key, F.posexplode(F.split(F.col("text"), "\n", -1)).alias("i", "line"))
     x = x.withColumn("old", py_strip(F.col("line")))
     x = x.join(repl, [key, "old"], "left").withColumn("out", F.coalesce(F.col("new"), F.col("line")))

@@ -11,8 +11,11 @@ archives (gzip): a capture is one row, header and payload as they are, and the
 line separator is the blank line that ends a record.  Archives go to the
 shared folder; a lost executor's files are replaced by Spark's own commit.
 
-Reading.  Archives are read whole (their size is bounded by the writer) and
-cut by Content-Length, so payloads may hold anything, blank lines and WARC
+A task begins another archive before one passes
+``ARCHIVE_BYTES``, so only a single longer capture makes a longer archive.
+
+Reading.  An archive's compressed bytes are one row; it is decompressed record
+by record and cut by Content-Length, so payloads may hold anything, blank lines and WARC
 headers included.  Responses' digests and lengths are computed from the
 payload read; revisits carry both in their header and metadata.
 
@@ -29,8 +32,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from docrevise.llm.common import col, folder, text_or_empty
 
 MIN_BYTES = 100
-#: Payload bytes per archive, about.
+#: Bytes of an archive before compression, unless one capture is longer.
 ARCHIVE_BYTES = 16 << 20
 #: Fixed so that archives do not depend on the clock.
 DATE = "2024-01-01T00:00:00Z"
@@ -70,8 +75,24 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "p
     return j.select("page_id", "url", "payload", "seq", "bytes", "digest", F.when(other, F.struct("first.page_id", "first.seq")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, **kw) -> None:
-    """Write ``pages`` as gzipped WARC archives below ``path``."""
+def _archive_number(size: Column, limit: int) -> Column:
+    """Number of a row's archive within its task, from a running sum of sizes."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number, total = 0, 0
+        for b in batches:
+            out = []
+            for n in b:
+                if total and total + n > limit:
+                    number, total = number + 1, 0
+                total += n
+                out.append(number)
+            yield pd.Series(out, dtype="int64")
+    return F.pandas_udf(run, "bigint").asNondeterministic()(size)
+
+
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **kw) -> None:
+    """Write ``pages`` as gzipped WARC archives below ``path``, each of at most
+    ``archive_bytes`` before compression or of one capture."""
     r = mark_revisits(pages, **kw)
     named = lambda of: F.concat_ws("/", F.coalesce(F.col(f"{of}page_id").cast("string"), F.lit("null")), F.col(f"{of}seq"))
     target = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.lit("urn:none"))
@@ -89,23 +110,25 @@ def write_archives(pages: DataFrame, path: str, **kw) -> None:
     metadata = _record("metadata", ids["metadata"], [("WARC-Concurrent-To", concurrent), uri, ("Content-Type", "application/warc-fields")],
                        F.concat(F.lit("payloadLength: "), F.col("bytes").cast("string"), F.lit(CRLF)))
     capture = F.concat_ws(CRLF + CRLF, request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)
-    (r.select(capture.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", 20_000).text(path))
+    r = r.select(capture.alias("value")).withColumn("archive", _archive_number(F.octet_length("value") + len(CRLF + CRLF), archive_bytes))
+    r.write.partitionBy("archive").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers, block) of every record of one archive."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+def _parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of one archive, one at a time."""
+    while stream.readline():  # the version
         head = {}
-        for line in data[at:end].decode().split(CRLF)[1:]:
-            name, _, value = line.partition(": ")
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("archive ends within a record's headers")
+            name, _, value = line.decode().removesuffix(CRLF).partition(": ")
             head[name.lower()] = value
-        at = end + 4
         size = int(head["content-length"])
-        yield head, view[at:at + size]
-        at += size + 4
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError("archive ends within a record's block")
+        yield head, block
+        stream.read(4)
 
 
 _DDL = ("record_id string, record_type string, concurrent_to string, refers_to string, target string, bytes bigint, "
@@ -116,21 +139,21 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
     """One row per record of the archives below ``path``: ids, type, target,
     block length, digest (computed from a response's block; as declared for a
     revisit), and the block itself where ``payloads``."""
-    # an archive is one row: its size is bounded by the writer (maxRecordsPerFile, input split)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    # an archive is one row: its size is bounded by the writer (ARCHIVE_BYTES)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _DDL.split(", ")]
         for b in batches:
             for content in b.column(0):
                 rows, size = [], 0
-                for head, block in _parse(gzip.decompress(content.as_py())):
+                for head, block in _parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
                     strip = lambda k: head[k].strip("<>") if k in head else None  # noqa: B023,E731
                     kind, told = head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                    length = int(bytes(block).split(b":")[1]) if kind == "metadata" else None
+                    length = int(block.split(b":")[1]) if kind == "metadata" else None
                     rows.append((strip("warc-record-id"), kind, strip("warc-concurrent-to"), strip("warc-refers-to"), head.get("warc-target-uri"),
                                  len(block), hashlib.sha256(block).hexdigest() if kind == "response" else told, told, length,
-                                 *([bytes(block)] if payloads else [])))
+                                 *([block] if payloads else [])))
                     size += len(block) if payloads else 0
                     if len(rows) >= 10_000 or size > 16 << 20:
                         yield _batch(rows, names, payloads)

@@ -4,14 +4,18 @@ expressions only.
 ``text_statistics`` describes a text in one row.  ``learn_rules`` runs
 sequential covering over labelled statistics: a rule is grown condition by
 condition (largest FOIL gain on the growing part), pruned to the prefix with
-the best precision on the held-back part, accepted while it is precise there,
-and the rows it covers are taken out before the next rule is grown.  Every
+the best precision on the held-back part, and accepted if it is precise there;
+the rows it covers are taken out before the next rule is grown.  When a rule
+fails, the next best first condition is tried; the list ends when none is
+left, not at a number of rules or conditions.  Every
 step is one small distributed aggregate over binned statistics: all labelled
 rows count, and the driver only sees (statistic, bin) counts.  The rules come
 out as one ordered ``when`` expression.
 
 Defined cases: a null text has no words; an empty labels table (or one
-without the needed precision) gives an empty list that keeps every text; null
+without the needed precision) gives an empty list that keeps every text; so do
+labels of one class, and bad rows left without good ones add no rule, because
+nothing tells them from the texts to keep; null
 labels are ignored; a document with several label rows counts each of them;
 extra columns, whatever their names, pass through untouched.
 """
@@ -170,11 +174,11 @@ def _all(conds: list[Condition]) -> Column:
     return out
 
 
-def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", max_rules: int = 8,
-                max_conditions: int = 4, min_cover: int = 5, min_precision: float = 0.9) -> RuleList:
+def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", min_cover: int = 5, min_precision: float = 0.9) -> RuleList:
     """Learn reject rules from ``labelled``: statistics plus ``bad`` (boolean)
     and ``key`` (any value; its hash deals rows to the growing part, two
-    thirds, and the pruning part)."""
+    thirds, and the pruning part).  Ends when no first condition is left that
+    gains and whose rule is precise."""
     values = features()
 
     def bin_of(f: str) -> Column:
@@ -186,14 +190,20 @@ def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", max_rul
         F.col(bad).alias("bad"), (F.pmod(F.xxhash64(F.col(key)), F.lit(3)) < 2).alias("grow"), *bins), "rule-bins")
     rules: list[list[Condition]] = []
     uncovered = F.lit(True)
-    for _ in range(max_rules):
+    failed: set[Condition] = set()  # first conditions without a precise rule under the present list
+    first = None
+    while True:
         rule: list[Condition] = []
-        while len(rule) < max_conditions:
-            part = table.where(F.col("grow") & uncovered & _all(rule))
-            counts = part.select("bad", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b"))
+        while True:
+            counts = table.where(uncovered & _all(rule)).select("bad", "grow", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b"))
                                                             for f in GRIDS])).alias("x"))
-            rows = counts.groupBy("x.f", "x.b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
-            found = _best(rows, min_cover)
+            if rule or first is None:
+                is_bad, grow = F.col("bad"), F.col("grow")
+                rows = counts.groupBy("x.f", "x.b").agg(F.count_if(is_bad & grow).alias("p"), F.count_if(~is_bad & grow).alias("n"),
+                                                        F.count_if(is_bad & ~grow).alias("hp"), F.count_if(~is_bad & ~grow).alias("hn")).collect()
+            if not rule:
+                first = rows = first or rows  # the same until a rule is accepted
+            found = _best(rows, min_cover, failed if not rule else frozenset())
             if found is None:
                 break
             rule.append(found[0])
@@ -211,28 +221,40 @@ def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", max_rul
         k = -max(scored)[1]
         p, n = row[f"p{k}"], row[f"n{k}"]
         if p < min_cover or p / (p + n) < min_precision:
-            break
+            failed |= _same(first, rule[0])
+            continue
+        failed, first = set(), None
         rules.append(rule[:k])
         uncovered = uncovered & ~_all(rule[:k])
     return RuleList(rules)
 
 
-def _best(rows, min_cover: int) -> tuple[Condition, int] | None:
-    """The condition with the largest FOIL gain, and the good rows it leaves
-    in.  ``rows`` are the (statistic, bin) counts; ties go to the first."""
+def _same(rows, cond: Condition) -> set[Condition]:
+    """The conditions that cover the same rows as ``cond``: no row lies between their bins."""
+    used = {r["b"] for r in rows if r["f"] == cond.feature}
+    return {Condition(cond.feature, cond.above, j) for j in range(len(GRIDS[cond.feature]))
+            if not any(min(j, cond.bin) < b <= max(j, cond.bin) for b in used)}
+
+
+def _best(rows, min_cover: int, skip=frozenset()) -> tuple[Condition, int] | None:
+    """The condition with the largest FOIL gain that is not in ``skip``, and
+    the good rows it leaves in.  ``rows`` are the (statistic, bin) counts of
+    the growing (p, n) and pruning part (hp, hn); ties go to the first.  A
+    condition needs ``min_cover`` bad rows in both parts, as any rule with it."""
     table: dict[str, dict[int, tuple[int, int]]] = {}
     for r in rows:
-        table.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"])
+        table.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"], r["hp"])
     best: tuple[float, Condition, int] | None = None
     for f, grid in GRIDS.items():
         bins = table.get(f, {})
         p0, n0 = (sum(v[i] for v in bins.values()) for i in (0, 1))
+        h0 = sum(v[2] for v in bins.values())
         if not p0 or not n0:
             continue
         for j in range(len(grid)):
-            below = tuple(sum(v[i] for b, v in bins.items() if b <= j) for i in (0, 1))
-            for above, (p, n) in ((False, below), (True, (p0 - below[0], n0 - below[1]))):
-                if p < min_cover or n == n0:
+            below = tuple(sum(v[i] for b, v in bins.items() if b <= j) for i in (0, 1, 2))
+            for above, (p, n, held) in ((False, below), (True, (p0 - below[0], n0 - below[1], h0 - below[2]))):
+                if p < min_cover or held < min_cover or n == n0 or Condition(f, above, j) in skip:
                     continue
                 gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                 if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):

@@ -16,9 +16,13 @@ executor, a retried or a speculative task leaves no trace in the result.
 Encoding.  The pre-tokenizer of a byte-level BPE file cuts at every single
 space or line feed that stands between two visible characters, whatever
 surrounds it.  So a batch is cut there, each distinct piece is encoded by the
-tokenizers library once, and the ids are put together by array indexing.  A
-text with any other white space (double spaces, tabs, spaces at line ends) is
-given to the library whole.
+tokenizers library once, and the ids are put together by array indexing.
+Pieces of U+0021 to U+024F are split by the pre-tokenizer's own pattern here
+and go to the library's BPE model directly; others go through its whole chain.
+Other white space (double spaces, tabs, spaces at line ends) stays inside its
+piece, which is encoded alone.  A text that holds a special token's string, and
+every text where the file is not a plain byte-level BPE, goes to the library
+whole.
 
 Defined cases: null and empty texts are just the end id; equal ids are ordered
 by text hash (equal texts have equal ids, so ties change nothing); null ids
@@ -27,6 +31,8 @@ come last and read back as null; an empty table gives no shard.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,42 +50,102 @@ END_ID = 0
 SHARD_BYTES = 64 << 20
 CACHE_PIECES = 300_000
 #: Text bytes encoded together, about.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 10 << 20
+
+
+#: White space of any engine involved, and what the fast way splits by itself.
+_WHITE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ODD = rf"^$|^[{_WHITE}]|[{_WHITE}]$"
+#: A piece that may stand between line feeds without changing its tokens.
+_JOINS = rf"^ ?[^{_WHITE}](?:[^\n]*[^{_WHITE}])?$"
+_PLAIN = r"^ ?[\x{21}-\x{7E}\x{A1}-\x{24F}]+$"
+#: A single space or line feed between visible characters starts a piece.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: The byte-level pre-tokenizer's pattern, its classes written out for U+0021-U+024F.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> letter of byte-level vocabularies: printable bytes stand for
+    themselves, the others follow from U+0100; 0 (our delimiter) is a space."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)} | {0: " "}
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the ids of the pieces seen first
-    (frequent ones come early), up to a bound."""
+    """Encodes batches of texts with a tokenizers file (its JSON text);
+    remembers the ids of the pieces seen first (frequent ones come early), up
+    to a bound.  ``end`` is appended to every text."""
 
-    def __init__(self, path: str, cache: int = CACHE_PIECES):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+    def __init__(self, spec: str, cache: int = CACHE_PIECES, end: int = END_ID):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+        self.tok = Tokenizer.from_str(spec)
         self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 1 << 16 else "<u2")
         self.limit, self.known = cache, {}
-        self.feed = self.whole("\n")
-        assert len(self.feed) == 1
+        self.end = np.array([end], self.kind)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        j = json.loads(spec)
+        pre, model = j.get("pre_tokenizer") or {}, j["model"]
+        #: cutting is only known to be right for a plain byte-level BPE
+        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and j.get("normalizer") is None
+                     and model.get("type") == "BPE" and not any(model.get(x) for x in (
+                         "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")))
+        if self.cuts:
+            self.feed = self.whole("\n")[0]
+            # the same model behind a plain delimiter, without its cache: most pieces that come here come once
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.bare = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.letters = _byte_letters()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and number of ids of pieces without line feeds.  Line feeds
-        between pieces are pre-tokens of their own, so one call does many."""
+    def _model(self, text: str) -> np.ndarray:
+        """Ids of a text of plain characters, spaces and line feeds."""
+        cut = "\0".join(_TOKENS.findall(text)).encode().decode("latin-1").translate(self.letters)
+        return np.array(self.bare.encode_batch_fast([cut], add_special_tokens=False)[0].ids, self.kind)
+
+    def _encode(self, pieces: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``pieces``, and their number per piece.  Line feeds
+        between pieces are pre-tokens of their own, so one call does many; a
+        piece with white space at an end or a line feed inside goes alone."""
         if not pieces:
             return np.zeros(0, self.kind), np.zeros(0, np.int64)
-        ids = np.concatenate([self.whole("\n".join(pieces[i:i + 2048]) + "\n") for i in range(0, len(pieces), 2048)])
-        ends = np.nonzero(ids == self.feed[0])[0]
-        return ids[ids != self.feed[0]], np.diff(ends, prepend=-1) - 1
-
-    def _pieces(self, pieces: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        white = ~plain
+        if white.any():
+            white &= ~pc.match_substring_regex(pa.array(pieces, pa.large_string()), _JOINS).to_numpy(zero_copy_only=False)
+        parts, lens = [], np.zeros(len(pieces), np.int64)
+        order = []
+        for which, run in ((np.nonzero(plain)[0], self._model), (np.nonzero(~plain & ~white)[0], self.whole)):
+            for lo in range(0, len(which), 2048):
+                some = which[lo:lo + 2048]
+                ids = run("\n".join([pieces[i] for i in some.tolist()]) + "\n")
+                feeds = ids == self.feed
+                lens[some] = np.diff(np.nonzero(feeds)[0], prepend=-1) - 1
+                parts.append(ids[~feeds])
+                order.append(some)
+        for i in np.nonzero(white)[0].tolist():
+            parts.append(self.whole(pieces[i]))
+            lens[i] = len(parts[-1])
+            order.append(np.array([i]))
+        flat, order = np.concatenate(parts), np.concatenate(order)
+        if (order[1:] > order[:-1]).all():
+            return flat, lens
+        at = np.zeros(len(pieces), np.int64)
+        at[order] = np.cumsum(lens[order]) - lens[order]
+        return flat[np.repeat(at - (np.cumsum(lens) - lens), lens) + np.arange(len(flat))], lens
+
+    def _pieces(self, pieces: list[str], plain: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, and each piece's first position and number of ids.
         ``times``: how often a piece occurs; single ones are not remembered."""
-        get = self.known.get
-        found = [get(p) for p in pieces]
-        is_new = np.fromiter((x is None for x in found), bool, len(found))
-        new = np.nonzero(is_new)[0]
-        ids, lens = self._encode([pieces[i] for i in new.tolist()])
+        found = list(map(self.known.get, pieces))
+        new = np.array([i for i, x in enumerate(found) if x is None], np.int64)
+        is_new = np.zeros(len(pieces), bool)
+        is_new[new] = True
+        ids, lens = self._encode([pieces[i] for i in new.tolist()], plain[new])
         old = [x for x in found if x is not None]
         size = np.zeros(len(pieces), np.int32)
         size[new] = lens
@@ -93,21 +159,25 @@ class Encoder:
             self.known[pieces[i]] = ids[e - n:e].tobytes()
         return flat, first, size
 
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, end ids included, and the number of ids per text."""
-        # a line feed starts a piece, a space stands before every other one;
-        # the line feed put before a text is not counted as its own below
-        marked = pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n")
-        parts = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), " ")
-        starts = parts.offsets.to_numpy()[:-1]
-        codes = parts.flatten().dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
-        codes = codes.indices.to_numpy(zero_copy_only=False)
-        lead = np.fromiter((p[:1] == "\n" for p in distinct), bool, len(distinct))
-        bare = [p[1:] if p[:1] == "\n" else p for p in distinct]
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in bare), bool, len(bare))
-        flat, first, size = self._pieces([("x" if o else b if f else " " + b) for b, f, o in zip(bare, lead, odd)],
-                                        np.bincount(codes, minlength=len(distinct)))
+    def _cut_texts(self, pieces: pa.Array, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids per text, of texts given as pieces (a text's first at its
+        ``starts``); also, per text, whether a piece has white space at an end
+        or inside, so that the cut does not hold.  A piece that follows a line
+        feed (or starts a text) carries that line feed; before every other one
+        stood a space."""
+        codes = pieces.dictionary_encode()
+        distinct, codes = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
+        lead = pc.starts_with(distinct, "\n")
+        bare = pc.if_else(lead, pc.utf8_slice_codeunits(distinct, 1), distinct)
+        odd = pc.match_substring_regex(bare, _ODD)
+        key = pc.if_else(lead, bare, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), distinct, pa.scalar(" ", pa.large_string())))
+        key = pc.if_else(odd, pa.scalar("x", pa.large_string()), key)  # not used
+        plain = pc.match_substring_regex(key, _PLAIN).to_numpy(zero_copy_only=False)
+        odd = odd.to_numpy(zero_copy_only=False)
+        return self._assemble(codes, key.to_pylist(), lead.to_numpy(zero_copy_only=False), plain, starts), np.add.reduceat(odd[codes], starts) > 0
+
+    def _assemble(self, codes: np.ndarray, keys: list[str], lead: np.ndarray, plain: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        flat, first, size = self._pieces(keys, plain, np.bincount(codes, minlength=len(keys)))
         # a piece after a line feed is led by the feed's id: one more id
         own = size[codes]
         n = own + lead[codes]
@@ -116,19 +186,45 @@ class Encoder:
         where = np.repeat(first[codes] - (ends - own), own)
         keep = np.ones(total, bool)
         keep[(ends - n)[lead[codes]]] = False
-        stream = np.full(total, self.feed[0], self.kind)
+        stream = np.full(total, self.feed, self.kind)
         where += np.nonzero(keep)[0].astype(np.int32)
         stream[keep] = flat[where]
-        irregular = np.add.reduceat(odd[codes], starts) > 0 if len(codes) else np.zeros(len(texts), bool)
-        per = np.add.reduceat(n, starts) if len(codes) else np.zeros(len(texts), np.int64)
-        ends = np.cumsum(per)
-        out, sizes = [], np.zeros(len(texts), np.int64)
-        end = np.array([END_ID], self.kind)
-        for i, (e, k, slow) in enumerate(zip(ends.tolist(), per.tolist(), irregular.tolist())):
-            ids = self.whole(texts[i]) if slow else stream[e - k + 1:e]
-            out += [ids, end]
-            sizes[i] = len(ids) + 1
-        return np.concatenate([*out, np.zeros(0, self.kind)]), sizes
+        last = ends[np.append(starts[1:], len(codes)) - 1]
+        begin = np.append(0, last[:-1])
+        # the line feed put before a text is not its own
+        return [stream[a + 1:e] for a, e in zip(begin.tolist(), last.tolist())]
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, end ids included, and the number of ids per text."""
+        out: list = [None] * len(texts)
+        easy = [i for i, t in enumerate(texts) if self.cuts and not any(s in t for s in self.special)]
+        if easy:
+            marked = pc.replace_substring(pa.array(["\n" + texts[i] for i in easy], pa.large_string()), "\n", " \n")
+            parts = pc.split_pattern(pc.utf8_slice_codeunits(marked, 1), " ")
+            ids, irregular = self._cut_texts(parts.flatten(), parts.offsets.to_numpy()[:-1])
+            for i, x in zip(easy, ids):
+                out[i] = x
+            irregular = [easy[k] for k in np.nonzero(irregular)[0].tolist()]
+            if irregular:
+                for i, x in zip(irregular, self._irregular([texts[i] for i in irregular])):
+                    out[i] = x
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = self.whole(t)
+        sizes = np.fromiter((len(x) + 1 for x in out), np.int64, len(out))
+        return np.concatenate([y for x in out for y in (x, self.end)] or [np.zeros(0, self.kind)]), sizes
+
+    def _irregular(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids per text; cut only where one space or line feed stands between
+        visible characters, so other white space stays inside its piece."""
+        cut = [_CUT.split("\n" + t) if t[:1].isspace() or not t else ["\n" + x if not i else x for i, x in enumerate(_CUT.split(t))] for t in texts]
+        starts = np.cumsum([0, *map(len, cut)])[:-1]
+        codes: dict[str, int] = {}
+        at = np.fromiter((codes.setdefault(p, len(codes)) for c in cut for p in c), np.int64)
+        lead = np.fromiter((p[0] == "\n" for p in codes), bool, len(codes))
+        keys = [p[1:] if f else p for p, f in zip(codes, lead.tolist())]
+        plain = pc.match_substring_regex(pa.array(keys, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+        return self._assemble(at, keys, lead, plain, starts)
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -143,16 +239,33 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes) - lo
 
 
+def vocabulary(spark: SparkSession, tokenizer: str):
+    """The tokenizers file's JSON text, read once on the driver and shipped
+    (a few MB), so executors need no copy of the file."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system where it
+    names none, so that Spark and the tasks' own writers mean one place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def _store(url: str):
-    """(file system, path) of a folder's URL; a plain path is local."""
+    """(file system, path) of a qualified URL."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(url) if "://" in url or url.startswith("file:") else (fs.LocalFileSystem(), url)
+    if url.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + url[5:].lstrip("/")
+    return fs.FileSystem.from_uri(url.replace("s3a://", "s3://", 1))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text: str = "text",
                       n_shards: int | None = None) -> DataFrame:
     """Write ``docs`` as shards below ``path`` and return the manifest."""
     spark = docs.sparkSession
+    path, spec = qualified(spark, path), vocabulary(spark, tokenizer)
     # long -> 64-bit ids; other columns are not read
     src = docs.select(col(id_col).cast("long").alias("doc_id"), text_or_empty(col(text)).alias("text"))
     if n_shards is None:
@@ -169,7 +282,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             if not b.num_rows:
                 continue
             if store is None:
-                enc = Encoder(tokenizer)
+                enc = Encoder(spec.value)
                 store, root = _store(path)
                 name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 store.create_dir(root, recursive=True)
@@ -200,6 +313,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before the document in the whole collection),
     n_tokens and ids_crc32 (of its ids as little-endian 32-bit integers) per
     document, from the mapped files."""
+    path = qualified(spark, path)
     m = spark.read.parquet(f"{path.rstrip('/')}/manifest.parquet")
     # one narrow row per shard
     m = m.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -232,6 +346,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and ids (array of ints, end id included) per document."""
+    path = qualified(spark, path)
     m = spark.read.parquet(f"{path.rstrip('/')}/manifest.parquet").repartition("name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ def clean(n, seed=0):
 
 
 TEXTS = [None, "", "   \n\t ", "one", "One TWO three", clean(40, 1), clean(40, 1), LONG, "ÀB  x\u00a0y\r\n z", "a\tb c\n\nd ", clean(60, 2) + "\n" + clean(60, 2),
-         "Released under the MIT License.", "Relased under th MIT License", "# $ % | < > & *" * 20, "word " * 50, "\n", "'s it's ١٢ x²"]
+         "Released under the MIT License.", "Relased under th MIT License", "# $ % | < > & *" * 20, "word " * 50, "\n", "'s it's ١٢ x²", "a<|endoftext|>b <|endoftext|> c  d"]
 
 
 @pytest.fixture(scope="module")
@@ -155,7 +155,6 @@ def test_decontaminate(spark, docs, empty):
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(Q.vocabulary_path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
     got = token_files.token_files(docs, Q.vocabulary_path(Q.TOKENIZER), n_shards=3).collect()
     assert key(got) == key(brute.token_rows([(r["doc_id"], r["text"]) for r in docs.collect()], tok))
     assert token_files.token_files(empty, Q.vocabulary_path(Q.TOKENIZER)).count() == 0
@@ -164,10 +163,10 @@ def test_token_files(spark, docs, empty):
 def test_encoder_random():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(Q.vocabulary_path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
-    enc, r = token_files.Encoder(Q.vocabulary_path(Q.TOKENIZER), cache=50), random.Random(3)
+    enc, r = token_files.Encoder(open(Q.vocabulary_path(Q.TOKENIZER), encoding="utf-8").read(), cache=50), random.Random(3)
     for _ in range(30):
-        texts = ["".join(r.choice([" ", " ", "\n", "a", "Bc", "'s", "é", "12", "!", "\t", "\u2028", "\x1c", "<|endoftext|>", "  "]) for _ in range(r.randrange(30))) for _ in range(40)]
+        texts = ["".join(r.choice([" ", " ", "\n", "a", "Bc", "'s", "é", "12", "!", "\t", "\u2028", "\x1c", "<|endoftext|>", "  ", "日", "²", "×", "ɐ", "\x00",
+                                   "word", "'"]) for _ in range(r.randrange(30))) for _ in range(40)]
         ids, sizes = enc.batch(texts)
         want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
@@ -301,6 +300,5 @@ def test_pipeline_against_brute(spark):
     rd = s4(spark, spark.createDataFrame(rc, d.schema), sf).collect()
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(Q.vocabulary_path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
     got = corpus_pipeline.run(spark, sf).collect()
     assert key(got) == key(brute.token_rows([(r["doc_id"], r["text"]) for r in rd], tok))

@@ -80,7 +80,6 @@ def test_op5(spark, docs):
 def test_op6(spark, docs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(Q.vocabulary_path(Q.TOKENIZER))
-    tok.encode_special_tokens = True
     got = rows(Q.op6_token_files(spark, SF), "doc_id", "start", "n_tokens", "ids_crc32")
     assert got == sorted(brute.token_rows([(d, t) for d, t, _ in docs], tok), key=repr)
 

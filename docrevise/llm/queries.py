@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docrevise.llm import decontaminate, licenses, mixing, quality_fm, quality_rules, simhash, token_counts, token_files, url_filter, warc
+from docrevise.llm import (
+    decontaminate, licenses, mixing, packing, quality_fm, quality_rules, simhash, spelling, token_counts, token_files, url_filter,
+    vector_codes, warc)
 from docrevise.llm.common import stored
 from docrevise.plans.registry import table
 
@@ -80,13 +82,56 @@ def op10_url_filter(spark, sf):
     return url_filter.judge_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling_variants(spark, sf):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(table(spark, sf, "documents"))
+
+
+def op12_pack_documents(spark, sf):
+    """All documents packed into sequences of at most 1,024 tokens."""
+    return packing.pack_documents(table(spark, sf, "documents"), vocabulary_path(TOKENIZER))
+
+
+def op13_vector_codes(spark, sf):
+    """Product-quantisation codes of all embeddings."""
+    return vector_codes.compress_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_quality_fm, op3_warc_transactions, op4_simhash_dedup, op5_decontaminate, op6_token_files,
-    op7_quality_rules, op8_token_counts, op9_mix_sources, op10_url_filter)}
+    op7_quality_rules, op8_token_counts, op9_mix_sources, op10_url_filter, op11_spelling_variants, op12_pack_documents,
+    op13_vector_codes)}
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
+
+
+def _vector_sql(rounds: int = 6) -> str:
+    """The codebook rounds as a chain of statements: every part with every
+    entry of its position, the smallest (distance, entry) wins."""
+    chain = ["""k AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "e AS (SELECT rid, unnest(generate_series(0, len(v) - 1)) AS i, len(v) // 8 AS w, v FROM k)",
+             "x AS MATERIALIZED (SELECT rid, i // w AS part, i % w AS pos, v[i + 1] AS c FROM e)",
+             "c0 AS MATERIALIZED (SELECT part, rid AS entry, pos, c FROM x WHERE rid < 16)"]
+    for r in range(rounds + 1):
+        chain.append(f"""d{r} AS MATERIALIZED (SELECT rid, part, min(d * 16 + entry) AS best FROM (
+  SELECT x.rid, x.part, c{r}.entry, CAST(sum((x.c - c{r}.c) * (x.c - c{r}.c)) AS BIGINT) AS d
+  FROM x JOIN c{r} ON x.part = c{r}.part AND x.pos = c{r}.pos GROUP BY x.rid, x.part, c{r}.entry) GROUP BY rid, part)""")
+        if r < rounds:
+            chain.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, o.pos, coalesce((s - ((s % n) + n) % n) // n, o.c) AS c
+  FROM c{r} o LEFT JOIN (SELECT x.part, best % 16 AS entry, x.pos, CAST(sum(x.c) AS BIGINT) AS s, count(*) AS n
+                         FROM x JOIN d{r} ON x.rid = d{r}.rid AND x.part = d{r}.part GROUP BY ALL) u
+  ON o.part = u.part AND o.entry = u.entry AND o.pos = u.pos)""")
+    return "WITH " + ",\n".join(chain) + f""",
+f AS (SELECT rid, string_agg(format('{{:02x}}', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM d{rounds} GROUP BY rid),
+j AS (SELECT k.vec_id, k.label, f.code, f.error FROM k JOIN f ON k.rid = f.rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c{rounds}) AS codebooks_sha256 FROM j"""
+
+
 #: The others need hashes, tokenizers, learning or components that SQL does
 #: not have; tests compare them with brute-force versions.
 SQL: dict[str, str] = {
@@ -109,4 +154,5 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_vector_codes": _vector_sql(),
 }

@@ -8,8 +8,9 @@ the best precision on the held-back part, and accepted if it is precise there;
 the rows it covers are taken out before the next rule is grown.  When a rule
 fails, the next best first condition is tried; the list ends when none is
 left, not at a number of rules or conditions.  Every
-step is one small distributed aggregate over binned statistics: all labelled
-rows count, and the driver only sees (statistic, bin) counts.  The rules come
+step is one small distributed aggregate over binned statistics, for a block of
+rules at once: all labelled rows count, and the driver only sees (rule,
+statistic, bin) counts.  The rules come
 out as one ordered ``when`` expression.
 
 Defined cases: a null text has no words; an empty labels table (or one
@@ -22,6 +23,7 @@ extra columns, whatever their names, pass through untouched.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -44,10 +46,13 @@ GRIDS: dict[str, list[float]] = {
 }
 
 
-def _windows(w: Column, n: int) -> Column:
-    """All runs of ``n`` consecutive words, as an array of structs."""
-    k = F.greatest(F.size(w) - (n - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(w, i + 1, k).alias(f"w{i}") for i in range(n)])
+def _window_hashes(w: Column, n: int) -> Column:
+    """A hash per run of ``n`` consecutive words, from one hash per word."""
+    def runs(h: Column) -> Column:
+        k = F.size(h) - n
+        return F.when(k >= 0, F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+                      ).otherwise(F.array().cast("array<bigint>"))
+    return let(F.transform(w, lambda x: F.xxhash64(x)), runs)
 
 
 def _covered(starts: Column, n: int) -> Column:
@@ -61,22 +66,31 @@ def _covered(starts: Column, n: int) -> Column:
 
 def repeated_words(w: Column, n: int = 5) -> Column:
     """Words lying in ``n``-word windows that occur twice or more in ``w``.
-    A hash set settles texts without any repeat; the others compare the
-    windows themselves, sorted, so the count is exact."""
-    def exact(win: Column) -> Column:
-        keyed = F.transform(win, lambda x, i: F.struct(
-            F.concat_ws(" ", *[x[f"w{j}"] for j in range(n)]).alias("k"), i.alias("i")))
+    A hash set settles texts without any repeat.  The others sort hashes and
+    compare the words of neighbours with equal ones; should different windows
+    ever share a hash, the windows themselves are sorted, so the count is
+    exact."""
+    words_at = lambda i: F.slice(w, i + 1, n)
 
+    def by_words(i: Column) -> Column:
         def marked(s: Column) -> Column:
             same = lambda j, x: F.coalesce(F.get(s, j)["k"] == x["k"], F.lit(False))
-            hit = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
-            return _covered(F.array_sort(F.transform(hit, lambda x: x["i"])), n)
-        return let(F.array_sort(keyed), marked)
+            return F.transform(F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x)), lambda x: x["i"])
+        return let(F.sort_array(F.transform(i, lambda x: F.struct(F.array_join(words_at(x), " ").alias("k"), x.alias("i")))), marked)
 
-    def count(win: Column) -> Column:
-        hashes = F.transform(win, lambda x: F.xxhash64(*[x[f"w{j}"] for j in range(n)]))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(win), F.lit(0)).otherwise(exact(win))
-    return let(_windows(w, n), count)
+    def by_hash(s: Column) -> Column:
+        same = lambda j, x: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        alike = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
+        clash = F.exists(F.transform(alike, lambda x, j: F.when((j > 0) & (F.get(alike, j - 1)["h"] == x["h"]),
+                                                                  words_at(F.get(alike, j - 1)["i"]) != words_at(x["i"]))),
+                         lambda c: F.coalesce(c, F.lit(False)))
+        places = F.transform(alike, lambda x: x["i"])
+        return _covered(F.sort_array(F.when(clash, by_words(places)).otherwise(places)), n)
+
+    def count(h: Column) -> Column:
+        pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(pairs), by_hash))
+    return let(_window_hashes(w, n), count)
 
 
 def _statistics(t: Column) -> Column:
@@ -137,9 +151,6 @@ class Condition:
     def threshold(self) -> float:
         return float(GRIDS[self.feature][self.bin])
 
-    def on_bins(self) -> Column:
-        return F.col(f"b_{self.feature}") > self.bin if self.above else F.col(f"b_{self.feature}") <= self.bin
-
     def on_values(self, values: dict[str, Column]) -> Column:
         v = values[self.feature]
         return v > self.threshold if self.above else v <= self.threshold
@@ -167,10 +178,61 @@ class RuleList:
         return "; ".join(" and ".join(map(str, r)) for r in self.rules) or "(none)"
 
 
-def _all(conds: list[Condition]) -> Column:
+@dataclass
+class _Growing:
+    """A rule under construction: its conditions and, per condition, the bad
+    and good rows of the pruning part that the rule covers so far."""
+    conditions: list[Condition]
+    held: list[tuple[int, int]]
+    done: bool = False
+
+    def box(self) -> tuple[list[int], list[int]]:
+        """Bins above ``lo`` and up to ``hi``, per statistic."""
+        lo, hi = {f: -1 for f in GRIDS}, {f: len(g) for f, g in GRIDS.items()}
+        for c in self.conditions:
+            if c.above:
+                lo[c.feature] = max(lo[c.feature], c.bin)
+            else:
+                hi[c.feature] = min(hi[c.feature], c.bin)
+        return list(lo.values()), list(hi.values())
+
+    def pruned(self, min_cover: int, min_precision: float) -> list[Condition] | None:
+        """The prefix with the best precision on the pruning part, if good enough."""
+        k = max(range(len(self.held)), key=lambda i: ((self.held[i][0] - self.held[i][1]) / max(1, sum(self.held[i])), -i))
+        p, n = self.held[k]
+        return self.conditions[:k + 1] if p >= min_cover and p / (p + n) >= min_precision else None
+
+
+def _inside(box: Column) -> Column:
+    """Whether a row's bins lie in a box (``lo`` and ``hi`` per statistic)."""
     out = F.lit(True)
-    for c in conds:
-        out = out & c.on_bins()
+    for i, f in enumerate(GRIDS):
+        out = out & (F.col(f"b_{f}") > box["lo"][i]) & (F.col(f"b_{f}") <= box["hi"][i])
+    return out
+
+
+def _boxes(rules: list[_Growing]) -> Column:
+    """The rules' boxes as one constant, so that every job runs the same code."""
+    rows = [{"id": i, "lo": lo, "hi": hi} for i, (lo, hi) in enumerate(r.box() for r in rules)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<id:int,lo:array<int>,hi:array<int>>>")
+
+
+def _counts(table: DataFrame, taken: list[_Growing], rules: list[_Growing]) -> list[dict[str, dict[int, tuple[int, int, int, int]]]]:
+    """Per rule of ``rules``: (statistic, bin) -> bad and good rows of the
+    growing part, then of the pruning part, among the rows that the rule
+    covers and no rule of ``taken`` does.  One job for all rules."""
+    left = table.where(~F.exists(_boxes(taken), _inside)) if taken else table
+    covering = F.transform(F.filter(_boxes(rules), _inside), lambda r: r["id"])
+    x = left.select("bad", "grow", "n", F.explode(covering).alias("rule"), F.array(*[F.col(f"b_{f}") for f in GRIDS]).alias("b"))
+    x = x.select("bad", "grow", "n", "rule", F.posexplode("b").alias("f", "b"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    is_bad, grow = F.col("bad"), F.col("grow")
+    rows = x.groupBy("rule", "f", "b").agg(total(is_bad & grow).alias("p"), total(~is_bad & grow).alias("n"),
+                                           total(is_bad & ~grow).alias("hp"), total(~is_bad & ~grow).alias("hn")).collect()
+    out: list[dict] = [{f: {} for f in GRIDS} for _ in rules]
+    names = list(GRIDS)
+    for r in rows:
+        out[r["rule"]][names[r["f"]]][r["b"]] = (r["p"], r["n"], r["hp"], r["hn"])
     return out
 
 
@@ -178,88 +240,69 @@ def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", min_cov
     """Learn reject rules from ``labelled``: statistics plus ``bad`` (boolean)
     and ``key`` (any value; its hash deals rows to the growing part, two
     thirds, and the pruning part).  Ends when no first condition is left that
-    gains and whose rule is precise."""
+    gains and whose rule is precise.
+
+    The first conditions are tried in the order of their gain, a block of them
+    side by side: a job counts, for all rules of the block, what each further
+    condition would cover, so the number of jobs follows the rules' lengths,
+    not the conditions that fail."""
     values = features()
 
     def bin_of(f: str) -> Column:
         grid = F.array(*[F.lit(float(g)) for g in GRIDS[f]])
-        return F.size(F.filter(grid, lambda g: g < values[f])).cast("byte").alias(f"b_{f}")
-
-    bins = [bin_of(f) for f in GRIDS]
-    table = stored(labelled.where(F.col(bad).isNotNull()).select(
-        F.col(bad).alias("bad"), (F.pmod(F.xxhash64(F.col(key)), F.lit(3)) < 2).alias("grow"), *bins), "rule-bins")
-    rules: list[list[Condition]] = []
-    uncovered = F.lit(True)
-    failed: set[Condition] = set()  # first conditions without a precise rule under the present list
-    first = None
-    while True:
-        rule: list[Condition] = []
-        while True:
-            counts = table.where(uncovered & _all(rule)).select("bad", "grow", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b"))
-                                                            for f in GRIDS])).alias("x"))
-            if rule or first is None:
-                is_bad, grow = F.col("bad"), F.col("grow")
-                rows = counts.groupBy("x.f", "x.b").agg(F.count_if(is_bad & grow).alias("p"), F.count_if(~is_bad & grow).alias("n"),
-                                                        F.count_if(is_bad & ~grow).alias("hp"), F.count_if(~is_bad & ~grow).alias("hn")).collect()
-            if not rule:
-                first = rows = first or rows  # the same until a rule is accepted
-            found = _best(rows, min_cover, failed if not rule else frozenset())
-            if found is None:
-                break
-            rule.append(found[0])
-            if found[1] == 0:
-                break
-        if not rule:
-            break
-        held = table.where(~F.col("grow") & uncovered)
-        aggs = []
-        for k in range(1, len(rule) + 1):
-            covered = _all(rule[:k])
-            aggs += [F.count_if(covered & F.col("bad")).alias(f"p{k}"), F.count_if(covered & ~F.col("bad")).alias(f"n{k}")]
-        row = held.agg(*aggs).first()
-        scored = [((row[f"p{k}"] - row[f"n{k}"]) / max(1, row[f"p{k}"] + row[f"n{k}"]), -k) for k in range(1, len(rule) + 1)]
-        k = -max(scored)[1]
-        p, n = row[f"p{k}"], row[f"n{k}"]
-        if p < min_cover or p / (p + n) < min_precision:
-            failed |= _same(first, rule[0])
-            continue
-        failed, first = set(), None
-        rules.append(rule[:k])
-        uncovered = uncovered & ~_all(rule[:k])
-    return RuleList(rules)
-
-
-def _same(rows, cond: Condition) -> set[Condition]:
-    """The conditions that cover the same rows as ``cond``: no row lies between their bins."""
-    used = {r["b"] for r in rows if r["f"] == cond.feature}
-    return {Condition(cond.feature, cond.above, j) for j in range(len(GRIDS[cond.feature]))
-            if not any(min(j, cond.bin) < b <= max(j, cond.bin) for b in used)}
+        return F.size(F.filter(grid, lambda g: g < values[f])).alias(f"b_{f}")
 
-
-def _best(rows, min_cover: int, skip=frozenset()) -> tuple[Condition, int] | None:
-    """The condition with the largest FOIL gain that is not in ``skip``, and
-    the good rows it leaves in.  ``rows`` are the (statistic, bin) counts of
-    the growing (p, n) and pruning part (hp, hn); ties go to the first.  A
-    condition needs ``min_cover`` bad rows in both parts, as any rule with it."""
-    table: dict[str, dict[int, tuple[int, int]]] = {}
-    for r in rows:
-        table.setdefault(r["f"], {})[r["b"]] = (r["p"], r["n"], r["hp"])
-    best: tuple[float, Condition, int] | None = None
-    for f, grid in GRIDS.items():
-        bins = table.get(f, {})
-        p0, n0 = (sum(v[i] for v in bins.values()) for i in (0, 1))
-        h0 = sum(v[2] for v in bins.values())
+    bins = labelled.where(F.col(bad).isNotNull()).select(
+        F.col(bad).alias("bad"), (F.pmod(F.xxhash64(F.col(key)), F.lit(3)) < 2).alias("grow"), *[bin_of(f) for f in GRIDS])
+    # equal rows are counted once
+    table = stored(bins.groupBy("bad", "grow", *[f"b_{f}" for f in GRIDS]).agg(F.count(F.lit(1)).alias("n")), "rule-bins")
+    taken: list[_Growing] = []
+    while True:
+        first = _counts(table, taken, [_Growing([], [])])[0]
+        rest = _ranked(first, min_cover)
+        accepted, block = None, 8
+        while rest and accepted is None:
+            growing = [_Growing([c], [held], done) for c, held, done in rest[:block]]
+            rest, block = rest[block:], block * 4
+            while open_rules := [r for r in growing if not r.done]:
+                for r, counts in zip(open_rules, _counts(table, taken, open_rules)):
+                    found = _ranked(counts, min_cover)
+                    if found:
+                        c, held, r.done = found[0]
+                        r.conditions.append(c)
+                        r.held.append(held)
+                    else:
+                        r.done = True
+            accepted = next((k for r in growing if (k := r.pruned(min_cover, min_precision))), None)
+        if accepted is None:
+            return RuleList([r.conditions for r in taken])
+        taken.append(_Growing(accepted, [], True))
+
+
+def _ranked(counts: dict[str, dict[int, tuple[int, int, int, int]]], min_cover: int) -> list[tuple[Condition, tuple[int, int], bool]]:
+    """The conditions that gain, by falling FOIL gain (ties: the first), each
+    with the rows of the pruning part that it covers and whether it leaves no
+    good row of the growing part.  A condition needs ``min_cover`` bad rows in
+    both parts; of those that cover the same rows the first stands for all."""
+    found = []
+    for i, (f, grid) in enumerate(GRIDS.items()):
+        bins = counts.get(f, {})
+        everything = tuple(sum(v[k] for v in bins.values()) for k in range(4))
+        p0, n0 = everything[:2]
         if not p0 or not n0:
             continue
+        seen = set()
         for j in range(len(grid)):
-            below = tuple(sum(v[i] for b, v in bins.items() if b <= j) for i in (0, 1, 2))
-            for above, (p, n, held) in ((False, below), (True, (p0 - below[0], n0 - below[1], h0 - below[2]))):
-                if p < min_cover or held < min_cover or n == n0 or Condition(f, above, j) in skip:
+            below = tuple(sum(v[k] for b, v in bins.items() if b <= j) for k in range(4))
+            for above in (False, True):
+                p, n, hp, hn = tuple(a - b for a, b in zip(everything, below)) if above else below
+                if p < min_cover or hp < min_cover or n == n0 or (above, p, n, hp, hn) in seen:
                     continue
+                seen.add((above, p, n, hp, hn))
                 gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
-                    best = (gain, Condition(f, above, j), n)
-    return None if best is None else best[1:]
+                if gain > 1e-9:
+                    found.append((-round(gain, 9), i, j, above, Condition(f, above, j), (hp, hn), n == 0))
+    return [x[4:] for x in sorted(found, key=lambda x: x[:4])]
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality: str = "quality", prefix: str = "q_") -> DataFrame:

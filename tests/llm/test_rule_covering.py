@@ -37,3 +37,18 @@ def test_goes_on_after_a_failed_rule(spark):
 @pytest.mark.parametrize("bad", [True, False])
 def test_one_class(spark, bad):
     assert quality_rules.learn_rules(labelled(spark, [(100, 5, 0, bad), (15, 9, 0.1, bad)])).rules == []
+
+
+def test_few_jobs_with_noisy_labels(spark, monkeypatch):
+    """A tenth of the labels flipped: jobs follow the rules' lengths, not the
+    first conditions that fail."""
+    kinds = [(w, 3 + w % 7, 0.01 * (w % 13), w % 3 == 0) for w in range(12, 900, 7)]
+    d = labelled(spark, kinds, 20)
+    d = d.withColumn("bad", (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(10)) == 0) != F.col("bad")).withColumn(
+        "q_n_dup_lines", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(20))).withColumn("q_n_lines", F.lit(20).cast("bigint")).withColumn(
+        "q_n_distinct", F.pmod(F.xxhash64("key", F.lit(3)), F.col("q_n_words")))
+    jobs, inner = [], quality_rules._counts
+    monkeypatch.setattr(quality_rules, "_counts", lambda *a: jobs.append(1) or inner(*a))
+    rules = quality_rules.learn_rules(d)
+    assert len(jobs) <= 40 * (len(rules.rules) + 1), (len(jobs), str(rules))
+    print(len(jobs), len(rules.rules))

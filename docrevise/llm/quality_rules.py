@@ -8,7 +8,7 @@ the best precision on the held-back part, and accepted if it is precise there;
 the rows it covers are taken out before the next rule is grown.  When a rule
 fails, the next best first condition is tried; the list ends when none is
 left, not at a number of rules or conditions.  Every
-step is one small distributed aggregate over binned statistics, for a block of
+step is one small distributed aggregate over binned statistics, for all open
 rules at once: all labelled rows count, and the driver only sees (rule,
 statistic, bin) counts.  The rules come
 out as one ordered ``when`` expression.
@@ -46,6 +46,10 @@ GRIDS: dict[str, list[float]] = {
 }
 
 
+#: A rule stops growing after so many conditions that did not help on the pruning part.
+PATIENCE = 3
+
+
 def _window_hashes(w: Column, n: int) -> Column:
     """A hash per run of ``n`` consecutive words, from one hash per word."""
     def runs(h: Column) -> Column:
@@ -196,9 +200,13 @@ class _Growing:
                 hi[c.feature] = min(hi[c.feature], c.bin)
         return list(lo.values()), list(hi.values())
 
+    def best(self) -> int:
+        """Last condition of the prefix with the best precision on the pruning part."""
+        return max(range(len(self.held)), key=lambda i: ((self.held[i][0] - self.held[i][1]) / max(1, sum(self.held[i])), -i))
+
     def pruned(self, min_cover: int, min_precision: float) -> list[Condition] | None:
         """The prefix with the best precision on the pruning part, if good enough."""
-        k = max(range(len(self.held)), key=lambda i: ((self.held[i][0] - self.held[i][1]) / max(1, sum(self.held[i])), -i))
+        k = self.best()
         p, n = self.held[k]
         return self.conditions[:k + 1] if p >= min_cover and p / (p + n) >= min_precision else None
 
@@ -242,10 +250,10 @@ def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", min_cov
     thirds, and the pruning part).  Ends when no first condition is left that
     gains and whose rule is precise.
 
-    The first conditions are tried in the order of their gain, a block of them
-    side by side: a job counts, for all rules of the block, what each further
-    condition would cover, so the number of jobs follows the rules' lengths,
-    not the conditions that fail."""
+    Rules for all first conditions grow side by side: a job counts, for all of
+    them, what each further condition would cover, so the number of jobs
+    follows the rules' lengths.  The first in the order of gain that is
+    precise is accepted."""
     values = features()
 
     def bin_of(f: str) -> Column:
@@ -259,21 +267,18 @@ def learn_rules(labelled: DataFrame, bad: str = "bad", key: str = "key", min_cov
     taken: list[_Growing] = []
     while True:
         first = _counts(table, taken, [_Growing([], [])])[0]
-        rest = _ranked(first, min_cover)
-        accepted, block = None, 8
-        while rest and accepted is None:
-            growing = [_Growing([c], [held], done) for c, held, done in rest[:block]]
-            rest, block = rest[block:], block * 4
-            while open_rules := [r for r in growing if not r.done]:
-                for r, counts in zip(open_rules, _counts(table, taken, open_rules)):
-                    found = _ranked(counts, min_cover)
-                    if found:
-                        c, held, r.done = found[0]
-                        r.conditions.append(c)
-                        r.held.append(held)
-                    else:
-                        r.done = True
-            accepted = next((k for r in growing if (k := r.pruned(min_cover, min_precision))), None)
+        growing = [_Growing([c], [held], done) for c, held, done in _ranked(first, min_cover)]
+        while open_rules := [r for r in growing if not r.done]:
+            for r, counts in zip(open_rules, _counts(table, taken, open_rules)):
+                found = _ranked(counts, min_cover)
+                if found:
+                    c, held, r.done = found[0]
+                    r.conditions.append(c)
+                    r.held.append(held)
+                    r.done = r.done or len(r.held) - 1 - r.best() >= PATIENCE
+                else:
+                    r.done = True
+        accepted = next((k for r in growing if (k := r.pruned(min_cover, min_precision))), None)
         if accepted is None:
             return RuleList([r.conditions for r in taken])
         taken.append(_Growing(accepted, [], True))

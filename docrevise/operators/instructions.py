@@ -34,15 +34,18 @@ def _extract_all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 # ---------------------------------------------------------------- I1 quoted spans
+def quoted_spans_array(instr: Column) -> Column:
+    """All ``"..."`` spans, then all ``'...'`` spans."""
+    return F.concat(_extract_all(instr, DOUBLE_QUOTED), _extract_all(instr, SINGLE_QUOTED))
+
+
 def quoted_spans(req: DataFrame, min_len: int = K.MIN_QUOTED_LEN) -> DataFrame:
     """All ``"..."`` spans, then all ``'...'`` spans, longer than ``min_len``.
 
     ``ord`` is the position among all spans before the length filter is
     applied, so that it matches the reference's list order.
     """
-    spans = F.concat(_extract_all(F.col("instruction"), DOUBLE_QUOTED),
-                     _extract_all(F.col("instruction"), SINGLE_QUOTED))
-    return (req.select("job_id", F.posexplode(spans).alias("ord", "text"))
+    return (req.select("job_id", F.posexplode(quoted_spans_array(F.col("instruction"))).alias("ord", "text"))
             .where(F.length("text") > min_len))
 
 

@@ -1,167 +1,107 @@
 """Chunk scoring and ranking: P1-P5.
 
-P1 does not pair every chunk with every target of a job.  A target (or one
-of its halves) is contained in a chunk exactly when one of its occurrences in
-the document lies inside the chunk's range, so the plan is:
-
-1. find every start of every target string (and of its halves) in the
-   lower-cased text: one multi-pattern (Aho-Corasick) pass per document in
-   ``mapInPandas`` - the number of targets grows with the text, so one scan
-   per string would be quadratic per document (``method="scan"`` keeps that
-   JVM-only variant);
-2. map each occurrence to the chunks whose range covers it with an equi-join
-   on ``(job_id, bucket)`` where ``bucket = position div bucket_size`` and
-   each chunk is exploded into the (at most two) buckets it spans;
-3. aggregate per (chunk, target) and sum the points.
-
-Only matching (chunk, target) pairs are ever produced.
+P1 asks, for every chunk and every target of its job, whether the target (or
+one of its halves) stands in the chunk.  Chunks of one job are taken together
+per ``group_chars`` characters of the document, targets per ``shard_chars``;
+each pair of a group and a shard is one row, so a long document, or one with
+very many targets, becomes many rows of bounded size, spread over tasks by
+(job, group).  Chunk texts are shuffled once.  Inside a row, few or short
+chunks are searched target by target; otherwise one multi-pattern
+(Aho-Corasick) automaton reads every chunk once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrevise.functions import constants as K
 from docrevise.functions.text import div, str_array
-from docrevise.operators.targets import occurrences
 
 
 # ---------------------------------------------------------------- P1 target score
-def _automaton_hits(batches):
-    """All (overlapping) occurrences of every target string of a job in one
-    pass over the job's lower-cased text (Aho-Corasick).  Input rows: job_id,
-    lower_text, t0/h1/h2 (lower-cased target and halves, aligned by index)."""
+def _finder(patterns: list[str], n_chars: int):
+    """``first(text)``: the first place (or -1) of every pattern in a text.
+    ``n_chars``: the length of all texts to be searched."""
+    # reading a text once per pattern costs about 1/50 of adding a character to an automaton
+    if len(patterns) * n_chars <= 50 * sum(map(len, patterns)):
+        return lambda text: [text.find(p) for p in patterns]
     import ahocorasick
-    import pandas as pd
-
-    for pdf in batches:
-        jobs, idx, parts, pos, lens = [], [], [], [], []
-        for job, text, t0, h1, h2 in zip(pdf["job_id"], pdf["lower_text"], pdf["t0"], pdf["h1"], pdf["h2"]):
-            words: dict[str, list] = {}
-            for part, arr in ((0, t0), (1, h1), (2, h2)):
-                for i, w in enumerate(arr):
-                    if w:
-                        words.setdefault(w, []).append((i, part))
-            if not words:
-                continue
-            a = ahocorasick.Automaton()
-            for w, ids in words.items():
-                a.add_word(w, (len(w), ids))
-            a.make_automaton()
-            for end, (n, ids) in a.iter(text or ""):
-                start = end - n + 1
-                for i, part in ids:
-                    jobs.append(job)
-                    idx.append(i)
-                    parts.append(part)
-                    pos.append(start)
-                    lens.append(n)
-        yield pd.DataFrame({"job_id": pd.Series(jobs, dtype="object"), "t_idx": pd.Series(idx, dtype="int32"),
-                            "part": pd.Series(parts, dtype="int32"), "pos": pd.Series(pos, dtype="int64"),
-                            "term_len": pd.Series(lens, dtype="int32")})
-
-
-def target_hits(jobs: DataFrame, targets: DataFrame, half_min_len: int = K.HALF_MIN_TARGET_LEN,
-                method: str = "automaton") -> tuple[DataFrame, DataFrame]:
-    """Every occurrence of every target (part 0) and of its halves (parts 1
-    and 2, for targets longer than ``half_min_len``) in the job's text.
-
-    ``automaton``: the job's target strings go into one multi-pattern
-    automaton that scans the text once (linear in text + targets + hits).
-    ``scan``: one JVM literal split of the text per string (quadratic when
-    the number of targets grows with the text).
-    Both are exact.
-    Returns (hits: job_id, t_idx, part, pos, term_len; index: job_id, t_idx, target, n).
-    """
-    per_job = targets.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("target", "n"))).alias("ts"))
-    index = per_job.select("job_id", F.posexplode("ts").alias("t_idx", "t")).select(
-        "job_id", "t_idx", F.col("t.target").alias("target"), F.col("t.n").alias("n"))
-    if method == "scan":
-        tl = F.lower(F.col("target"))
-        L, h = F.length(tl), div(F.length(tl), 2)
-        strings = index.select("job_id", "t_idx", F.explode(F.when(L > half_min_len, F.array(
-            F.struct(F.lit(0).alias("part"), tl.alias("term")),
-            F.struct(F.lit(1).alias("part"), F.call_function("substring", tl, F.lit(1), h).alias("term")),
-            F.struct(F.lit(2).alias("part"), F.call_function("substring", tl, h + 1).alias("term")),
-        )).otherwise(F.array(F.struct(F.lit(0).alias("part"), tl.alias("term"))))).alias("s"))
-        occ = occurrences(jobs, strings.select("job_id", "t_idx", "s.part", "s.term"), ["t_idx", "part"], overlapping=True)
-        return occ.select("job_id", "t_idx", "part", "pos", "term_len"), index
-    low = F.transform("ts", lambda x: F.lower(x["target"]))
-    half = lambda w: div(F.length(w), 2)
-    big = lambda w: F.length(w) > half_min_len
-    h1 = F.transform(low, lambda w: F.when(big(w), F.call_function("substring", w, F.lit(1), half(w))).otherwise(F.lit("")))
-    h2 = F.transform(low, lambda w: F.when(big(w), F.call_function("substring", w, half(w) + 1)).otherwise(F.lit("")))
-    rows = per_job.select("job_id", low.alias("t0"), h1.alias("h1"), h2.alias("h2")).join(
-        jobs.select("job_id", "lower_text"), "job_id")
-    schema = "job_id string, t_idx int, part int, pos long, term_len int"
-    return rows.mapInPandas(_automaton_hits, schema), index
-
-
-def lowered_bounds(jobs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Adds ``l_start`` / ``l_end``: the chunk's bounds in the lower-cased
-    document, where hits are found.
-
-    They differ from ``start`` / ``end`` only after a letter whose lower case
-    is longer.  For documents with such letters the letters' positions and the
-    chunk bounds are ordered together, and each bound moves by the number of
-    letters before it (linear in letters + chunks).
-    """
-    odd = jobs.where(F.call_function("contains", F.col("text"), F.lit(K.LENGTHENING_LETTER)))
-    parts = F.transform(F.split("text", K.LENGTHENING_LETTER, -1), lambda p: F.length(p))
-    w = Window.partitionBy("job_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    letters = (odd.select("job_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "n"))
-               .select("job_id", (F.sum("n").over(w) + F.col("i")).cast("long").alias("at")))
-    odd_spans = spans.join(odd.select("job_id"), "job_id", "left_semi")
-    bounds = odd_spans.select("job_id", F.col("chunk_no").alias("_no"), F.posexplode(
-        F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("side", "at"))
-    both = bounds.withColumn("letter", F.lit(0)).unionByName(
-        letters.withColumn("letter", F.lit(1)), allowMissingColumns=True)
-    # at one position the bound comes before the letter that stands there
-    w = Window.partitionBy("job_id").orderBy("at", "letter").rowsBetween(Window.unboundedPreceding, 0)
-    moved = (both.withColumn("to", F.col("at") + F.sum("letter").over(w)).where(F.col("letter") == 0)
-             .groupBy("job_id", "_no").agg(F.max(F.when(F.col("side") == 0, F.col("to"))).alias("_ls"),
-                                           F.max(F.when(F.col("side") == 1, F.col("to"))).alias("_le")))
-    out = spans.join(moved.withColumnRenamed("_no", "chunk_no"), ["job_id", "chunk_no"], "left")
-    return (out.withColumn("l_start", F.coalesce("_ls", F.col("start").cast("long")))
-            .withColumn("l_end", F.coalesce("_le", F.col("end").cast("long"))).drop("_ls", "_le"))
-
-
-def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, bucket_size: int = K.CHUNK_SIZE,
+    a, same = ahocorasick.Automaton(), {}
+    for i, p in enumerate(patterns):
+        same.setdefault(p, []).append(i)
+    empty = same.pop("", [])
+    for p, numbers in same.items():
+        a.add_word(p, (len(p), numbers))
+    a.make_automaton()
+
+    def first(text: str) -> list[int]:
+        out = [-1] * len(patterns)
+        for i in empty:
+            out[i] = 0
+        if same:
+            for end, (n, numbers) in a.iter(text):
+                if out[numbers[0]] < 0:
+                    for i in numbers:
+                        out[i] = end - n + 1
+        return out
+    return first
+
+
+def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame,
                   contained: int = K.SCORE_CONTAINED, first_third: int = K.SCORE_FIRST_THIRD,
                   middle_third: int = K.SCORE_MIDDLE_THIRD, half: int = K.SCORE_HALF,
-                  half_min_len: int = K.HALF_MIN_TARGET_LEN, method: str = "automaton") -> DataFrame:
+                  half_min_len: int = K.HALF_MIN_TARGET_LEN, group_chars: int = 1 << 19, shard_chars: int = 1 << 21) -> DataFrame:
     """(job_id, chunk_no, target_score) for every chunk.
 
     ``targets`` has (job_id, target, n); ``n`` repeats count ``n`` times.
     Per target, case-insensitively: contained -> ``contained`` points plus
     ``first_third`` if its first position in the chunk is below len div 3,
     else ``middle_third`` if below 2*len div 3; otherwise, for targets longer
-    than ``half_min_len``, ``half`` points for each contained half.
+    than ``half_min_len``, ``half`` points for each contained half.  An empty
+    target stands at the start of every chunk.
     """
-    hits, index = target_hits(jobs, targets, half_min_len, method)
-    occ = hits.withColumn("bucket", div(F.col("pos"), bucket_size))
-    spans = lowered_bounds(jobs, chunks.select("job_id", "chunk_no", "start", "end"))
-    cb = spans.withColumn("bucket", F.explode(F.sequence(
-        div(F.col("l_start"), bucket_size), div(F.greatest(F.col("l_end"), F.col("l_start") + 1) - 1, bucket_size))))
-    inside = (occ.join(cb, ["job_id", "bucket"])
-              .where((F.col("l_start") <= F.col("pos")) & (F.col("pos") + F.col("term_len") <= F.col("l_end"))))
-    per = inside.groupBy("job_id", "chunk_no", "t_idx").agg(
-        F.min(F.when(F.col("part") == 0, F.col("pos") - F.col("l_start"))).alias("first"),
-        F.max((F.col("part") == 1).cast("int")).alias("h1"),
-        F.max((F.col("part") == 2).cast("int")).alias("h2"),
-        F.first("start").alias("start"), F.first("end").alias("end"))
-    per = per.join(index, ["job_id", "t_idx"])
-    clen = F.col("end") - F.col("start")
-    tlen = F.length(F.lower(F.col("target")))
-    pts = (F.when(F.col("first").isNotNull(),
-                  F.lit(contained) + F.when(F.col("first") < div(clen, 3), first_third)
-                  .when(F.col("first") < div(clen * 2, 3), middle_third).otherwise(0))
-           .when(tlen > half_min_len, half * F.col("h1") + half * F.col("h2"))
-           .otherwise(0))
-    sc = per.groupBy("job_id", "chunk_no").agg(F.sum(pts * F.col("n")).alias("target_score"))
-    return (spans.join(sc, ["job_id", "chunk_no"], "left")
-            .select("job_id", "chunk_no", F.coalesce(F.col("target_score"), F.lit(0)).cast("long").alias("target_score")))
+    group = div(F.col("start"), group_chars)
+    grouped = chunks.select("job_id", group.alias("g"), F.struct(F.col("chunk_no").cast("int").alias("no"), F.lower("text").alias("low"),
+                                                                  F.length("text").alias("n")).alias("c"))
+    grouped = grouped.groupBy("job_id", "g").agg(F.collect_list("c").alias("chunks"))
+    sized = targets.select("job_id", F.lower("target").alias("t"), F.col("n").cast("long").alias("n"))
+    before = Window.partitionBy("job_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    shards = (sized.withColumn("shard", div(F.sum(F.length("t")).over(before), shard_chars))
+              .groupBy("job_id", "shard").agg(F.collect_list(F.struct("t", "n")).alias("targets")))
+    last = F.greatest(div(F.col("n_chars") - 1, group_chars), F.lit(0))
+    spread = shards.join(jobs.select("job_id", "n_chars"), "job_id").select(
+        "job_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("g"), "targets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            job, no, score = [], [], []
+            for j, cs, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                patterns, halves = [t["t"] for t in ts or ()], {}
+                for i, t in enumerate(list(patterns)):
+                    if len(t) > half_min_len:
+                        halves[i] = len(patterns)
+                        patterns += [t[:len(t) // 2], t[len(t) // 2:]]
+                first = _finder(patterns, sum(c["n"] for c in cs))
+                for c in cs:
+                    at, n, points = first(c["low"]), c["n"], 0
+                    for i, t in enumerate(ts or ()):
+                        p = at[i]
+                        if p >= 0:
+                            points += t["n"] * (contained + (first_third if p < n // 3 else middle_third if p < n * 2 // 3 else 0))
+                        elif i in halves:
+                            points += t["n"] * half * ((at[halves[i]] >= 0) + (at[halves[i] + 1] >= 0))
+                    job.append(j)
+                    no.append(c["no"])
+                    score.append(points)
+            yield pa.RecordBatch.from_arrays([pa.array(job, pa.string()), pa.array(no, pa.int32()), pa.array(score, pa.int64())],
+                                             ["job_id", "chunk_no", "points"])
+    rows = grouped.join(spread, ["job_id", "g"], "left").select("job_id", "chunks", "targets")
+    per_shard = rows.mapInArrow(run, "job_id string, chunk_no int, points long")
+    return per_shard.groupBy("job_id", "chunk_no").agg(F.sum("points").alias("target_score"))
 
 
 # ---------------------------------------------------------------- P2 marker score
@@ -203,9 +143,8 @@ def top_chunks(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def score_chunks(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, markers=None,
-                 bucket_size: int = K.CHUNK_SIZE) -> DataFrame:
+def score_chunks(jobs: DataFrame, chunks: DataFrame, targets: DataFrame, markers=None) -> DataFrame:
     """P1 + P2: chunks with ``target_score``, ``marker_score`` and ``score``."""
-    ts = score_targets(jobs, chunks, targets, bucket_size)
+    ts = score_targets(jobs, chunks, targets)
     return (score_markers(chunks, markers).join(ts, ["job_id", "chunk_no"])
             .withColumn("score", F.col("target_score") + F.col("marker_score")))

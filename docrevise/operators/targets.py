@@ -2,77 +2,47 @@
 
 Layout of the work:
 
-* ``prepare_jobs`` joins requests to documents once and hash-partitions the
-  result by ``job_id``.  Every later step is keyed by ``job_id`` (windows,
-  joins back to the text, per-job folds), so Spark reuses that partitioning
-  and adds no further exchange of document text.
-* ``occurrences`` (T1) is the one search primitive.  It splits the lower-cased
-  text on the literal term, explodes only the part *lengths* (ints, never
-  text) and turns them into positions with a running-sum window.  That is
-  linear in the number of hits; an in-row fold over an array would be
-  quadratic for frequent terms.
-* Context windows are cut from the original text by offset at the end.
+* A job row holds its instruction and its document text, so searching needs
+  no join: the terms of the instruction become an array, the text is cut once
+  into blocks of ``BLOCK`` characters, and each block is searched on its own
+  (with as much of the next blocks as a hit can reach into).  Everything up to
+  T5, and T7-T9, is one narrow stage over the documents.
+* Rows are exploded per block, so a window is cut from a few blocks, never
+  from the whole text, and time is linear in text, hits and windows.
+* T6 finds containment from the places of windows, integers only (see
+  ``uncontained``); text is shuffled once, to remove exact copies.
+* Nothing here writes a table, starts a job or sets a session option.
+  ``store_jobs`` writes the joined requests for plans that read them often.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrevise.functions import constants as K
 from docrevise.functions.text import (
-    div, lookahead_regex, py_split, quote_regex, window_text,
+    WS, exclusive_sums, let, lookahead_regex, py_split, py_strip, quote_regex, running, str_array,
+    window_text,
 )
 from docrevise.operators import instructions as I
 
 
 # ---------------------------------------------------------------- jobs
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once below the cluster's shared checkpoint folder
-    (``spark.checkpoint.dir``) and cut its lineage.  The stored table keeps
-    its hash partitioning, so later joins and windows on ``job_id`` add no
-    exchange; a lost executor re-reads it instead of recomputing the plan.
-
-    ``checkpoint`` records the plan's output partitioning before adaptive
-    execution has run, when it is still unknown; so this one job is planned
-    without AQE (fixed ``spark.sql.shuffle.partitions``) and the setting is
-    restored afterwards.  ``df`` must not have been planned yet."""
-    from docrevise.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = "spark.sql.adaptive.enabled"
-    prev = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, prev)
-
-
-def allow_job_copartitioning(spark) -> None:
-    """Let joins on (job_id, x) reuse a partitioning on job_id alone.
-
-    Both sides of such joins (chunks and their scores, hits and chunk
-    buckets) come from the job table and are already hash-partitioned by
-    job_id; by default Spark still re-shuffles them on all join keys."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-
-
-def _finish_jobs(jobs: DataFrame, materialized: bool) -> DataFrame:
-    allow_job_copartitioning(jobs.sparkSession)
-    jobs = jobs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("n_chars", F.length("text"))
-    # stored sorted by job_id inside each hash partition: sort-merge joins back
-    # to the text then sort only the (small) other side
-    jobs = jobs.sortWithinPartitions("job_id")
-    if materialized:
-        jobs = materialize(jobs)
-    # lower-cased text is derived after the exchange / checkpoint, never stored
-    return jobs.withColumn("lower_text", F.lower("text"))
-
-
-def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001, salts: int = 32) -> DataFrame:
-    """requests (job_id, doc_id, ...) joined to docs (doc_id, text), safe when
-    one document receives a large share of all requests.
+def _finish_jobs(jobs: DataFrame) -> DataFrame:
+    jobs = jobs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    return jobs.withColumn("n_chars", F.length("text")).withColumn("lower_text", F.lower("text"))
+
+
+def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001, salts: int = 32,
+                  max_bytes: int = K.UPLOAD_LIMIT_BYTES) -> DataFrame:
+    """requests (job_id, doc_id, ...) joined to docs (doc_id, text, and html
+    where there is one), safe when one document receives a large share of all
+    requests.
 
     Documents with more than ``hot_share`` of all requests are "hot"; there
     are at most 1 / hot_share of them, so their id list is broadcast with a
@@ -80,19 +50,23 @@ def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001
     tasks by a hash of the job id and meet a copy of the document text in
     each; all other requests use a plain shuffle join whose largest key holds
     at most ``hot_share`` of the rows.  Requests without a document id are
-    not joined at all (their nulls would meet in one task).
+    not joined at all (their nulls would meet in one task).  The number of
+    requests is a scalar subquery of the plan: nothing runs here.
 
     Every request comes out; ``found`` is false, and the text null, where no
-    document has its id.
+    document has its id.  ``too_large`` marks documents above ``max_bytes``;
+    their text is left out, so no later step sees a document beyond the bound.
     """
-    docs = docs.select("doc_id", "text", F.lit(True).alias("found"))
-    total = requests.count()
-    limit = max(int(total * hot_share), 1)
+    size = F.octet_length("text") + (F.coalesce(F.octet_length("html"), F.lit(0)) if "html" in docs.columns else F.lit(0))
+    fits = F.coalesce(size <= max_bytes, F.lit(True))
+    docs = docs.select("doc_id", *[F.when(fits, F.col(c)).alias(c) for c in ("text", "html") if c in docs.columns],
+                       F.lit(True).alias("found"), (~fits).alias("too_large"))
+    absent = {c: F.lit(None).cast(docs.schema[c].dataType) for c in docs.columns if c != "doc_id"}
+    total = requests.agg(F.count(F.lit(1)).alias("n")).scalar()
     named = requests.where(F.col("doc_id").isNotNull())
-    unnamed = (requests.where(F.col("doc_id").isNull())
-               .withColumn("text", F.lit(None).cast("string")).withColumn("found", F.lit(False)))
-    hot = (named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-           .select("doc_id"))
+    unnamed = requests.where(F.col("doc_id").isNull()).withColumns(absent)
+    hot = (named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+           .where(F.col("n") > F.greatest(F.floor(total * hot_share), F.lit(1))).select("doc_id"))
     hot = F.broadcast(hot)  # at most 1 / hot_share rows
     cold = named.join(hot, "doc_id", "left_anti").join(docs, "doc_id", "left")
     salt = F.pmod(F.xxhash64("job_id"), F.lit(salts))
@@ -100,34 +74,117 @@ def join_requests(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001
     hot_docs = docs.join(hot, "doc_id", "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     warm = hot_req.join(hot_docs, ["doc_id", "_salt"], "left").drop("_salt")
     out = cold.unionByName(warm).unionByName(unnamed)
-    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
+    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False))).withColumn("too_large", F.coalesce(F.col("too_large"), F.lit(False)))
 
 
-def prepare_jobs(requests: DataFrame, docs: DataFrame, partitions: int | None = None,
-                 materialized: bool = True, hot_share: float = 0.001) -> DataFrame:
-    """(job_id, doc_id, instruction) joined to (doc_id, text), hash-partitioned
-    by ``job_id`` and (by default) materialized once.
+def prepare_jobs(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001, max_bytes: int = K.UPLOAD_LIMIT_BYTES) -> DataFrame:
+    """(job_id, doc_id, instruction) joined to (doc_id, text), lazily.
 
-    Adds ``n_chars``, ``lower_text`` and ``found``.  A request that names no
-    existing document stays, with an empty text and ``found`` false; ``revise``
-    ends it as an error.  Hot documents are handled by ``join_requests``.
-    """
-    jobs = join_requests(requests, docs, hot_share)
-    jobs = jobs.repartition(partitions, "job_id") if partitions else jobs.repartition("job_id")
-    return _finish_jobs(jobs, materialized)
+    Adds ``n_chars``, ``lower_text``, ``found`` and ``too_large``.  A request
+    that names no existing document, or one above the upload limit, stays, with
+    an empty text; ``revise`` ends it as an error.  Hot documents are handled
+    by ``join_requests``.  A plan that reads the jobs in many branches stores
+    them first (``store_jobs``)."""
+    return _finish_jobs(join_requests(requests, docs, hot_share, max_bytes=max_bytes))
 
 
-def jobs_from_documents(docs: DataFrame, instruction: str | Column, partitions: int | None = None,
-                        materialized: bool = True) -> DataFrame:
-    """One job per document, all with the same instruction (no join needed)."""
+def jobs_from_documents(docs: DataFrame, instruction: str | Column) -> DataFrame:
+    """One job per document, with the same instruction for all or one derived
+    from the document's columns (no join needed)."""
     instr = instruction if isinstance(instruction, Column) else F.lit(instruction)
-    req = docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"),
-                      "doc_id", instr.alias("instruction"), "text", F.lit(True).alias("found"))
-    req = req.repartition(partitions, "job_id") if partitions else req.repartition("job_id")
-    return _finish_jobs(req, materialized)
+    keep = ["html"] if "html" in docs.columns else []
+    return _finish_jobs(docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), "doc_id",
+                                    instr.alias("instruction"), "text", *keep, F.lit(True).alias("found")))
+
+
+def store_jobs(jobs: DataFrame, name: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``jobs`` written once as a Parquet table, bucketed and sorted by
+    ``job_id``, below the cluster's shared checkpoint folder, and read back:
+    the join is not repeated, scans read only their columns, joins on
+    ``job_id`` need no exchange, and a lost executor re-reads files."""
+    from docrevise.session import checkpoint_path
+    spark = jobs.sparkSession
+    name = name or f"jobs_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = jobs.drop("lower_text", "n_chars")  # derived, never stored
+    (narrow.repartition(buckets, "job_id").write.format("parquet").option("path", checkpoint_path(spark, name))
+     .bucketBy(buckets, "job_id").sortBy("job_id").mode("overwrite").saveAsTable(name))
+    return _finish_jobs(spark.table(name))
 
 
 # ---------------------------------------------------------------- T1 occurrences
+#: Characters per text block.
+BLOCK = 1024
+
+
+def blocks_of(text: Column, size: int = BLOCK) -> Column:
+    """Consecutive pieces of ``size`` characters (the last one shorter)."""
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
+def _joined(blocks: Column, first, count) -> Column:
+    """The text of ``count`` blocks from number ``first`` (0-based)."""
+    return F.array_join(F.slice(blocks, first + 1, count), "")
+
+
+def may_overlap(term: Column) -> Column:
+    """Whether ``term`` may overlap itself: a proper prefix that is also a
+    suffix.  Exact up to 7 characters; longer ones are seen by a second place
+    of the first 8."""
+    n = F.length(term)
+    short = F.when(n > 1, F.exists(F.sequence(F.lit(1), F.least(n - 1, F.lit(7))),
+                                   lambda b: F.call_function("left", term, b) == F.call_function("right", term, b)))
+    long = (n > 8) & (F.call_function("locate", F.call_function("left", term, F.lit(8)), term, F.lit(2)) > 0)
+    return F.coalesce(short, F.lit(False)) | long
+
+
+def block_hits(blocks: Column, term: Column, overlapping: bool = False, size: int = BLOCK) -> Column:
+    """Array of arrays: per block, the 0-based positions in the whole text
+    where ``term`` starts in that block, ascending.
+
+    By default only the hits that a left-to-right search stepping by the
+    term's length finds; ``overlapping`` gives every start.  The two differ
+    only for terms that may overlap themselves, so the others use the plain
+    literal split (Boyer-Moore)."""
+    none = F.array().cast("array<bigint>")
+    n = F.length(term)
+
+    def sums(lens: Column, step) -> Column:
+        init = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+        return F.aggregate(lens, init, lambda a, p: F.struct((a["at"] + p + step).cast("bigint").alias("at"),
+                                                             F.array_append(a["out"], (a["at"] + p).cast("bigint")).alias("out")))["out"]
+
+    def lengths(text: Column, regex: Column) -> Column:
+        # all but the last: a block has at most ``size`` hits
+        return let(F.transform(F.split(text, regex, -1), lambda p: F.length(p)), lambda x: F.slice(x, F.lit(1), F.size(x) - 1))
+
+    def in_block(text: Column) -> Column:
+        plain = sums(lengths(text, quote_regex(term)), n)
+        every = F.concat(F.when(F.startswith(text, term), F.array(F.lit(0).cast("bigint"))).otherwise(none),
+                         F.filter(sums(lengths(text, lookahead_regex(term)), F.lit(0)), lambda p: p > 0))
+        return F.when(~F.contains(text, term), none).when(may_overlap(term), every).otherwise(plain)
+
+    def of(block: Column, i: Column) -> Column:
+        more = F.ceil((n - 1) / F.lit(size)).cast("int")
+        text = F.concat(block, F.when(n > 1, F.call_function("left", _joined(blocks, i + 1, more), n - 1)).otherwise(F.lit("")))
+        return F.transform(let(text, in_block), lambda p: p + i.cast("bigint") * size)
+
+    found = F.when(n > 0, F.transform(blocks, of)).otherwise(F.transform(blocks, lambda b: none))
+    if overlapping:
+        return found
+
+    def greedy(hits: Column) -> Column:
+        def step(a: Column, h: Column) -> Column:
+            inner = F.struct(a["end"].alias("end"), none.alias("out"))
+            kept = F.aggregate(h, inner, lambda x, p: F.when(p < x["end"], x).otherwise(
+                F.struct((p + n).cast("bigint").alias("end"), F.array_append(x["out"], p).alias("out"))))
+            return let(kept, lambda k: F.struct(k["end"].alias("end"), F.array_append(a["out"], k["out"]).alias("out")))
+        init = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<array<bigint>>").alias("out"))
+        return F.aggregate(hits, init, step)["out"]
+    return F.when(may_overlap(term), greedy(found)).otherwise(found)
+
+
 def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping: bool = False) -> DataFrame:
     """Positions of a term in the lower-cased document text.
 
@@ -139,291 +196,303 @@ def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping:
     Returns ``job_id, *keys, term, occ, pos, term_len`` (``pos`` 0-based;
     ``term_len`` is the lower-cased term's length.  Context windows end after
     the length of the term as written, which is shorter where lower-casing
-    lengthens it).
+    lengthens it).  Terms of the job's own instruction need no join: see
+    ``instruction_occurrences``.
     """
-    t = (terms.withColumn("term_l", F.lower("term"))
-         .withColumn("term_len", F.length("term_l"))
-         .where(F.col("term_len") > 0))
-    part_cols = ["job_id", *keys, "term", "term_len"]
-    if not overlapping:
-        j = t.join(jobs.select("job_id", "lower_text"), "job_id")
-        lens = F.transform(F.split(F.col("lower_text"), quote_regex(F.col("term_l")), -1), lambda p: F.length(p))
-        hits = F.slice(lens, 1, F.size(lens) - 1)
-        x = j.select(*part_cols, F.posexplode(hits).alias("occ", "plen"))
-        w = Window.partitionBy("job_id", *keys).orderBy("occ").rowsBetween(Window.unboundedPreceding, 0)
-        return (x.withColumn("pos", F.sum("plen").over(w) + F.col("occ") * F.col("term_len"))
-                .drop("plen"))
-    # A term without a border (a proper prefix that is also a suffix) cannot
-    # overlap itself, so its non-overlapping hits are all its hits and the fast
-    # literal (Boyer-Moore) split is exact.  Only the others need the slower
-    # look-ahead split that stops at every start position.
-    tl = F.col("term_l")
-    L = F.col("term_len")
-    short_border = F.when(L > 1, F.exists(F.sequence(F.lit(1), F.least(L - 1, F.lit(7))),
-                                          lambda b: F.call_function("left", tl, b) == F.call_function("right", tl, b)))
-    long_border = (L > 8) & (F.call_function("locate", F.call_function("left", tl, F.lit(8)), tl, F.lit(2)) > 0)
-    may_overlap = F.coalesce(short_border, F.lit(False)) | long_border
-    t2 = t.withColumn("may_overlap", may_overlap)
-    fast = occurrences(jobs, t2.where(~F.col("may_overlap")).drop("may_overlap", "term_l", "term_len"), keys)
-    j = t2.where(F.col("may_overlap")).join(jobs.select("job_id", "lower_text"), "job_id")
-    lens = F.transform(F.split(F.col("lower_text"), lookahead_regex(F.col("term_l")), -1), lambda p: F.length(p))
-    first_is_hit = F.startswith(F.col("lower_text"), F.col("term_l"))
-    x = j.select(*part_cols, first_is_hit.alias("first_hit"), F.posexplode(lens).alias("i", "plen"))
-    w = Window.partitionBy("job_id", *keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("pos", F.sum("plen").over(w) - F.col("plen"))
-    x = x.where((F.col("i") > 0) | F.col("first_hit"))
-    slow = x.select(*part_cols, F.col("i").alias("occ"), "pos")
-    return fast.select(*part_cols, "occ", "pos").unionByName(slow)
-
-
-#: Characters per text block.
-BLOCK = 4096
-
-
-def text_blocks(jobs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``job_id, block, piece``: each text cut once into consecutive pieces of
-    ``size`` characters (the last one shorter)."""
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    return jobs.select("job_id", F.posexplode(pieces).alias("block", "piece"))
+    x = terms.select("job_id", *keys, "term").join(jobs.select("job_id", blocks_of(F.col("lower_text")).alias("_lb")), "job_id")
+    return _positions(x, keys, overlapping)
+
+
+def _positions(x: DataFrame, keys: list[str], overlapping: bool = False) -> DataFrame:
+    x = x.withColumn("_t", F.lower("term"))
+    hits = F.flatten(block_hits(F.col("_lb"), F.col("_t"), overlapping))
+    return x.select("job_id", *keys, "term", F.length("_t").alias("term_len"), F.posexplode(hits).alias("occ", "pos"))
+
+
+def instruction_occurrences(jobs: DataFrame, terms: Column) -> DataFrame:
+    """T1 for the terms of the job's own instruction (an array of
+    ``TERM`` structs, see ``quoted_terms`` etc.), without a join:
+    ``job_id, src, k1, k2, term, term_len, occ, pos``."""
+    x = jobs.select("job_id", blocks_of(F.col("lower_text")).alias("_lb"), terms.alias("_terms"))
+    x = x.select("job_id", "_lb", F.explode("_terms").alias("_x")).select("job_id", "_lb", "_x.src", "_x.k1", "_x.k2", "_x.term")
+    return _positions(x, ["src", "k1", "k2"])
+
+
+# ---------------------------------------------------------------- terms of an instruction
+def _term(src: int, k1: Column, k2, term: Column, before: int, after: int, first: bool) -> Column:
+    return F.struct(F.lit(src).alias("src"), k1.cast("int").alias("k1"), (k2.cast("int") if isinstance(k2, Column) else F.lit(k2)).alias("k2"),
+                    term.alias("term"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(first).alias("first"))
+
+
+def quoted_terms(instr: Column, before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER, min_len: int = K.MIN_QUOTED_LEN) -> Column:
+    """The quoted spans (I1) as search terms, in order."""
+    spans = F.transform(I.quoted_spans_array(instr), lambda s, i: _term(1, i, 0, s, before, after, False))
+    return F.filter(spans, lambda t: F.length(t["term"]) > min_len)
+
+
+def action_terms(instr: Column, verbs=None, before: int = K.ACTION_BEFORE, after: int = K.ACTION_AFTER) -> Column:
+    """The action phrases (I2, I3) as search terms, first hit only."""
+    verbs = verbs or K.ACTION_VERBS
+    parts = F.filter(F.transform(F.split(instr, I.PART_SEPARATOR, -1), lambda p, i: F.struct(i.alias("i"), py_strip(p).alias("p"))),
+                     lambda x: F.length(x["p"]) >= K.MIN_PART_LEN)
+
+    def phrase(x: Column, verb: Column, v: Column) -> Column:
+        def at(pos: Column) -> Column:
+            rest = py_strip(F.call_function("substring", x["p"], pos + F.length(verb) + 1))
+            guards = (pos >= 0) & (pos + F.length(verb) + 1 < F.length(x["p"]))
+            search = let(rest, lambda r: F.when(F.length(r) > 3, F.array_join(F.slice(F.split(r, f"{WS}+", -1), 1, 3), " ")))
+            return F.when(guards, _term(2, x["i"], v, search, before, after, True))
+        return let(F.call_function("locate", verb, F.lower(x["p"])) - 1, at)
+    found = F.flatten(F.transform(parts, lambda x: F.transform(str_array(verbs), lambda verb, v: phrase(x, verb, v))))
+    return F.filter(found, lambda t: t.isNotNull() & F.coalesce(F.length(t["term"]) > 3, F.lit(False)))
+
+
+def field_terms(instr: Column, fields=None, before: int = K.FIELD_BEFORE, after: int = K.FIELD_AFTER) -> Column:
+    """The fields that the instruction mentions (I4) as search terms."""
+    low = F.lower(instr)
+    found = F.transform(str_array(fields or K.CONTRACT_FIELDS), lambda f, i: _term(3, i, 0, f, before, after, False))
+    return F.filter(found, lambda t: F.contains(low, t["term"]))
+
+
+def concat_terms(*terms: Column) -> Column:
+    return F.concat(*terms)
+
+
+def all_terms(instr: Column, fields=None, verbs=None) -> Column:
+    return concat_terms(quoted_terms(instr), action_terms(instr, verbs), field_terms(instr, fields))
+
+
+# ---------------------------------------------------------------- T2-T5 context windows
+def _windows(jobs: DataFrame, terms: Column, every: bool = False) -> DataFrame:
+    """``job_id, src, k1, k2, k3, target, ws, ord`` per hit: the text from
+    ``before`` characters before it to ``after`` behind it, clipped.  ``ord``
+    orders a job's rows as (src, k1, k2, k3) do.
+
+    With ``every`` there is also a row (``real`` false) for each start that the
+    stepping search skips, and ``alone`` marks the windows whose text may stand
+    where the term has no window of this shape (see ``uncontained``)."""
+    x = jobs.select("job_id", "n_chars", blocks_of(F.col("text")).alias("_tb"), blocks_of(F.col("lower_text")).alias("_lb"),
+                    F.contains("text", F.lit(K.LENGTHENING_LETTER)).alias("_odd"), terms.alias("_terms"))
+    x = x.select("job_id", "n_chars", "_tb", "_lb", "_odd", F.posexplode("_terms").alias("_no", "_x")).select(
+        "job_id", "n_chars", "_tb", "_lb", "_odd", "_no", "_x.*").withColumn("_t", F.lower("term"))
+    real = block_hits(F.col("_lb"), F.col("_t"))
+    x = x.withColumn("_hits", real)
+    if every:  # skipped starts exist only for terms that may overlap themselves
+        skipped = F.arrays_zip(block_hits(F.col("_lb"), F.col("_t"), overlapping=True).alias("a"), F.col("_hits").alias("b"))
+        x = x.withColumn("_skipped", F.when(may_overlap(F.col("_t")) & ~F.col("first"), F.transform(skipped, lambda z: F.array_except(z["a"], z["b"]))))
+    starts = exclusive_sums(F.transform("_hits", lambda h: F.size(h)))
+    x = x.withColumn("_base", F.when(F.exists("_hits", lambda h: F.size(h) > 0), starts))
+    back = F.ceil(F.col("before") / F.lit(BLOCK)).cast("int")
+    ahead = F.ceil((F.length("term") + F.length("_t") + F.col("after")) / F.lit(BLOCK)).cast("int")
+
+    def piece(i: Column) -> Column:
+        return F.struct(F.greatest(i - back, F.lit(0)).alias("from"), _joined(F.col("_tb"), F.greatest(i - back, F.lit(0)), F.least(i, back) + 1 + ahead).alias("text"))
+    rows = F.transform("_hits", lambda h, i: F.struct(
+        i.alias("i"), F.when(F.col("first"), F.slice(h, 1, 1)).otherwise(h).alias("h"), F.get(F.col("_base"), i).alias("n0"),
+        (F.get(F.col("_skipped"), i) if every else F.lit(None).cast("array<bigint>")).alias("s")))
+    more = lambda z: F.coalesce(F.size(z["s"]) > 0, F.lit(False))
+    rows = F.filter(rows, lambda z: ((F.size(z["h"]) > 0) & (~F.col("first") | (z["n0"] == 0))) | more(z))
+    x = x.select("job_id", "n_chars", "_odd", "_no", "src", "k1", "k2", "before", "after", F.length("term").alias("_n"), F.explode(
+        F.transform(rows, lambda z: F.struct(z["h"].alias("h"), z["s"].alias("s"), z["n0"].alias("n0"), piece(z["i"]).alias("p")))).alias("_z"))
+
+    def window(p: Column, k3, is_real: bool) -> Column:
+        ws = F.greatest(p - F.col("before"), F.lit(0).cast("bigint"))
+        end = p + F.col("_n") + F.col("after")
+        text = F.call_function("substring", F.col("_z.p.text"), (ws - F.col("_z.p.from").cast("bigint") * BLOCK + 1).cast("int"), (end - ws).cast("int"))
+        clipped = (p < F.col("before")) | (end > F.col("n_chars"))
+        return F.struct(k3.cast("int").alias("k3"), ws.alias("ws"), text.alias("target"), F.lit(is_real).alias("real"),
+                        (clipped | F.col("_odd") | (F.col("src") == 2)).alias("alone"))
+    all_windows = F.transform("_z.h", lambda p, j: window(p, F.col("_z.n0") + j, True))
+    if every:
+        all_windows = F.concat(all_windows, F.transform(F.coalesce("_z.s", F.array().cast("array<bigint>")), lambda p: window(p, F.lit(None), False)))
+    x = x.select("job_id", "src", "k1", "k2", "_no", F.explode(all_windows).alias("_w"))
+    x = x.select("job_id", "src", "k1", "k2", F.col("_w.k3").alias("k3"), F.col("_w.target").alias("target"), F.col("_w.ws").alias("ws"),
+                 (F.shiftleft(F.col("_no").cast("bigint"), 32) + F.col("_w.k3")).alias("ord"), F.col("_w.real").alias("real"), F.col("_w.alone").alias("alone"))
+    return x if every else x.drop("real", "alone")
 
 
-def cut_windows(hits: DataFrame, jobs: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
-    """``job_id, *keys, ws, target``: the text in [ws, we) of each hit row
-    (``job_id, *keys, ws, we``; keys are unique in a job).
-
-    A hit is joined to the blocks that its window touches and cut there, so
-    the work is linear in text and windows, however long the document is.
-    Windows are clipped at the text's end; one beyond it is empty."""
-    touched = F.sequence(div(F.col("ws"), size), div(F.greatest(F.col("we") - 1, F.col("ws")), size))
-    x = hits.select(*dict.fromkeys(["job_id", *keys, "ws", "we"]), F.explode(touched.cast("array<int>")).alias("block"))
-    x = x.join(text_blocks(jobs, size), ["job_id", "block"], "left")
-    base = F.col("block").cast("long") * size
-    begin = F.greatest(F.col("ws"), base)
-    part = F.call_function("substring", F.col("piece"), (begin - base + 1).cast("int"),
-                           F.greatest(F.col("we") - begin, F.lit(0)).cast("int"))
-    x = x.select("job_id", *keys, "ws", F.struct("block", F.coalesce(part, F.lit("")).alias("part")).alias("p"))
-    x = x.groupBy("job_id", *keys, "ws").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return x.select("job_id", *keys, "ws", F.array_join(F.transform("p", lambda q: q["part"]), "").alias("target"))
-
-
-def _term_windows(occ: DataFrame, jobs: DataFrame, src: Column, before, after) -> DataFrame:
-    """Candidates (job_id, src, k1, k2, k3, target, ws) around occurrences."""
-    ws = F.greatest(F.col("pos") - before, F.lit(0)).cast("long")
-    hits = occ.select("job_id", src.alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"), ws.alias("ws"),
-                      (F.col("pos") + F.length("term") + after).cast("long").alias("we"))
-    return cut_windows(hits, jobs, ["src", "k1", "k2", "k3"]).select("job_id", "src", "k1", "k2", "k3", "target", "ws")
-
-
-# ---------------------------------------------------------------- T2 quoted windows
 def quoted_windows(jobs: DataFrame, before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER) -> DataFrame:
     """Every occurrence of every quoted span; ``before``/``after`` context."""
-    spans = I.quoted_spans(jobs.select("job_id", "instruction")).select(
-        "job_id", F.col("ord").alias("k1"), F.col("text").alias("term"))
-    return _term_windows(occurrences(jobs, spans, ["k1"]), jobs, F.lit(1), before, after)
+    return _windows(jobs, quoted_terms(F.col("instruction"), before, after))
 
 
-# ---------------------------------------------------------------- T3 action windows
 def action_windows(jobs: DataFrame, verbs=None, before: int = K.ACTION_BEFORE, after: int = K.ACTION_AFTER) -> DataFrame:
     """First occurrence of each action phrase's search words."""
-    parts = I.instruction_parts(jobs.select("job_id", "instruction"))
-    phrases = I.action_phrases(parts, verbs)
-    x = phrases.join(jobs.select("job_id", "text", "lower_text"), "job_id")
-    x = x.withColumn("hit", F.call_function("locate", F.lower("search"), F.col("lower_text")) - 1).where(F.col("hit") >= 0)
-    return x.select("job_id", F.lit(2).alias("src"), F.col("part_ord").alias("k1"), F.col("verb_ord").alias("k2"),
-                    F.lit(0).alias("k3"),
-                    window_text(F.col("text"), F.col("hit"), F.length("search"), before, after).alias("target"),
-                    F.greatest(F.col("hit") - before, F.lit(0)).cast("long").alias("ws"))
+    return _windows(jobs, action_terms(F.col("instruction"), verbs, before, after))
 
 
-# ---------------------------------------------------------------- T4 field windows
 def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, after: int = K.FIELD_AFTER) -> DataFrame:
     """T4: every occurrence of every field mentioned in the instruction."""
-    f = I.field_mentions(jobs.select("job_id", "instruction"), fields).select(
-        "job_id", F.col("field_ord").alias("k1"), F.col("field").alias("term"))
-    return _term_windows(occurrences(jobs, f, ["k1"]), jobs, F.lit(3), before, after)
+    return _windows(jobs, field_terms(F.col("instruction"), fields, before, after))
 
 
-# ---------------------------------------------------------------- T5 candidates
 def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
-    """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3).
-
-    The quoted spans (T2) and the field terms (T4) are searched in one pass:
-    one occurrence search, one running-sum window and one join to the text
-    blocks for both, with the context sizes chosen per source."""
-    spans = I.quoted_spans(jobs.select("job_id", "instruction")).select(
-        "job_id", F.lit(1).alias("src"), F.col("ord").alias("k1"), F.col("text").alias("term"))
-    f = I.field_mentions(jobs.select("job_id", "instruction"), fields).select(
-        "job_id", F.lit(3).alias("src"), F.col("field_ord").alias("k1"), F.col("field").alias("term"))
-    occ = occurrences(jobs, spans.unionByName(f), ["src", "k1"])
-    quoted = F.col("src") == 1
-    before = F.when(quoted, F.lit(K.QUOTED_BEFORE)).otherwise(F.lit(K.FIELD_BEFORE))
-    after = F.when(quoted, F.lit(K.QUOTED_AFTER)).otherwise(F.lit(K.FIELD_AFTER))
-    both = _term_windows(occ, jobs, F.col("src"), before, after)
-    return both.unionByName(action_windows(jobs, verbs))
+    """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3), in one pass."""
+    return _windows(jobs, all_terms(F.col("instruction"), fields, verbs))
 
 
 # ---------------------------------------------------------------- T6 drop contained
-def _greedy_uncontained(batches):
-    """Per job: keep candidates in order unless one contains, or is contained
-    in, an already kept candidate.  Containment of x in y holds exactly when an
-    occurrence of x lies inside y's origin interval [ws, ws + len) in the text,
-    so one Aho-Corasick pass over the text plus a scan of the candidates that
-    start within the longest candidate length before each occurrence gives
-    every conflict; the ordered greedy then only looks at those."""
-    import bisect
-
-    import ahocorasick
-    import pandas as pd
-
-    for pdf in batches:
-        jobs, ords, outs = [], [], []
-        for job, text, cands, starts in zip(pdf["job_id"], pdf["text"], pdf["c"], pdf["ws"]):
-            cands, starts = list(cands), [int(x) for x in starts]
-            k = len(cands)
-            lens = [len(c) for c in cands]
-            if any(n == 0 for n in lens) or k <= 1:
-                kept = []
-                for c in cands:  # plain walk (tiny lists, or an empty candidate)
-                    if not any(c in q or q in c for q in kept):
-                        kept.append(c)
-            else:
-                a = ahocorasick.Automaton()
-                for i, c in enumerate(cands):
-                    a.add_word(c, i)
-                a.make_automaton()
-                by_start = sorted(range(k), key=lambda i: starts[i])
-                sorted_starts = [starts[i] for i in by_start]
-                longest = max(lens)
-                adj: list[set] = [set() for _ in range(k)]
-                for end, i in a.iter(text or ""):
-                    q = end - lens[i] + 1
-                    lo = bisect.bisect_left(sorted_starts, q + lens[i] - longest)
-                    hi = bisect.bisect_right(sorted_starts, q)
-                    for j in by_start[lo:hi]:
-                        if lens[j] > lens[i] and starts[j] + lens[j] >= q + lens[i]:
-                            adj[i].add(j)
-                            adj[j].add(i)
-                flags = [False] * k
-                kept = []
-                for i in range(k):
-                    if not any(flags[j] for j in adj[i]):
-                        flags[i] = True
-                        kept.append(cands[i])
-            jobs.extend([job] * len(kept))
-            ords.extend(range(len(kept)))
-            outs.extend(kept)
-        yield pd.DataFrame({"job_id": pd.Series(jobs, dtype="object"), "t_ord": pd.Series(ords, dtype="int32"),
-                            "target": pd.Series(outs, dtype="object")})
-
-
-def drop_contained(cands: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Walk candidates in order and drop one that contains, or is
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conflicts (job_id, late, early), sorted by (job_id, late): a candidate is
+    dropped if one of its earlier conflicts is kept.  Holds the dropped numbers
+    of one job at a time."""
+    job, last, dropped = None, None, set()
+    for b in batches:
+        out_job, out = [], []
+        for j, late, early in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if j != job:
+                job, last, dropped = j, None, set()
+            if late == last and late in dropped:
+                continue
+            last = late
+            if early not in dropped:
+                dropped.add(late)
+                out_job.append(j)
+                out.append(late)
+        yield pa.RecordBatch.from_arrays([pa.array(out_job, pa.string()), pa.array(out, pa.int64())], ["job_id", "ord"])
+
+
+def _places_of(texts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``job_id, target, ws``: every start of each text in its job's text."""
+    x = texts.select("job_id", "target").where(F.length("target") > 0).distinct()
+    x = x.join(jobs.select("job_id", blocks_of(F.col("text")).alias("_tb")), "job_id")
+    return x.select("job_id", "target", F.explode(F.flatten(block_hits(F.col("_tb"), F.col("target"), overlapping=True))).alias("ws"))
+
+
+def _uncontained(classes: DataFrame, places: DataFrame, span: int) -> DataFrame:
+    """``classes``: job_id, target, ord, ws (one place of the text) per distinct
+    text.  ``places``: job_id, target, ws of whatever texts stand inside
+    others.  One row per kept class."""
+    name = lambda: [F.xxhash64("target").alias("h1"), F.xxhash64(F.lit(1), "target").alias("h2")]  # noqa: E731  128 bits
+    size = F.length("target").cast("bigint").alias("n")
+    known = classes.select("job_id", "ord", *name(), "ws", size)
+    x = places.select("job_id", *name(), "ws", size).where("n > 0")
+    # a text lies in the bucket of its start, a containing one in those that it spans
+    bucket = lambda c: F.floor(c / F.lit(span)).cast("bigint")
+    outer = known.select("job_id", F.col("ord").alias("outer"), F.col("ws").alias("o_ws"), F.col("n").alias("o_n"),
+                         F.explode(F.sequence(bucket(F.col("ws")), bucket(F.col("ws") + F.greatest(F.col("n") - 1, F.lit(0))))).alias("bucket"))
+    inside = x.withColumn("bucket", bucket(F.col("ws"))).join(outer, ["job_id", "bucket"]).where(
+        "n < o_n and ws >= o_ws and ws + n <= o_ws + o_n").select("job_id", "h1", "h2", "outer").distinct()
+    pairs = inside.join(known.select("job_id", "h1", "h2", "ord"), ["job_id", "h1", "h2"])
+    conflicts = pairs.select("job_id", F.greatest("ord", "outer").alias("late"), F.least("ord", "outer").alias("early"))
+    dropped = conflicts.repartition("job_id").sortWithinPartitions("job_id", "late", "early").mapInArrow(_walk, "job_id string, ord bigint")
+    # an empty candidate stands in every other: it is kept alone where it is the first
+    empty = F.min(F.when(F.length("target") == 0, F.col("ord")))
+    # every reader of ``classes`` asks for the same columns, so its exchange is made once
+    classes = classes.where("ws >= 0")
+    lone = classes.groupBy("job_id").agg((F.min("ord") == empty).alias("alone")).where("alone is not null")
+    kept = classes.join(dropped, ["job_id", "ord"], "left_anti").join(lone, "job_id", "left")
+    return kept.where(F.col("alone").isNull() | (F.col("alone") == (F.col("target") == ""))).select("job_id", "ord", "target")
+
+
+def drop_contained(cands: DataFrame, jobs: DataFrame, span: int = BLOCK) -> DataFrame:
+    """Walk candidates (job_id, src, k1, k2, k3, target, ws: a place of the
+    target in the job's text) in order and drop one that contains, or is
     contained in, an already kept candidate (case-sensitive).
 
-    Exact copies are removed first (an exact copy always meets the fate of
-    its first occurrence).  With ``jobs`` (and window starts ``ws`` on the
-    candidates) conflicts come from one multi-pattern pass per document and
-    the walk is linear in candidates + conflicts.  Without them a JVM fold
-    compares each candidate with the kept ones of other lengths (two
-    candidates of equal length cannot contain each other); that is quadratic
-    per document.
-    """
-    if jobs is not None and "ws" in cands.columns:
-        first = cands.groupBy("job_id", "target").agg(F.min(F.struct("src", "k1", "k2", "k3", "ws")).alias("key"))
-        per_job = first.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("key", "target"))).alias("a"))
-        per_job = per_job.select("job_id", F.transform("a", lambda x: x["target"]).alias("c"),
-                                 F.transform("a", lambda x: x["key"]["ws"]).alias("ws"))
-        rows = per_job.join(jobs.select("job_id", "text"), "job_id")
-        return rows.mapInPandas(_greedy_uncontained, "job_id string, t_ord int, target string")
-    first = (cands.groupBy("job_id", "target")
-             .agg(F.min(F.struct("src", "k1", "k2", "k3")).alias("key"))
-             .withColumn("len", F.length("target")))
-    per_job = first.groupBy("job_id").agg(
-        F.sort_array(F.collect_list(F.struct("key", "len", "target"))).alias("c"),
-        F.count_distinct("len").alias("n_lengths"))
-
-    def step(acc, x):
-        # lengths are carried along: computing a string's length is O(n)
-        clash = F.exists(acc, lambda k: (k["len"] != x["len"])
-                         & (F.call_function("contains", k["target"], x["target"])
-                            | F.call_function("contains", x["target"], k["target"])))
-        return F.when(clash, acc).otherwise(F.array_append(acc, F.struct(x["len"].alias("len"), x["target"].alias("target"))))
-
-    folded = F.transform(F.aggregate(F.col("c"), F.array().cast("array<struct<len:int,target:string>>"), step),
-                         lambda k: k["target"])
-    # a job whose distinct candidates all have one length keeps them all
-    kept = F.when(F.col("n_lengths") <= 1, F.transform(F.col("c"), lambda k: k["target"])).otherwise(folded)
-    return per_job.select("job_id", F.posexplode(kept).alias("t_ord", "target"))
+    For any candidates: every text is searched in its document.  Returns
+    ``job_id, ord, target``, ``ord`` in the order of (src, k1, k2, k3); exact
+    copies meet the fate of their first.  For the candidates of T5
+    ``uncontained`` needs no search."""
+    order = Window.partitionBy("job_id").orderBy("src", "k1", "k2", "k3")
+    first = cands.groupBy("job_id", "target").agg(F.min(F.struct("src", "k1", "k2", "k3", F.col("ws").cast("bigint").alias("ws"))).alias("f"))
+    classes = first.select("job_id", "target", "f.*").select("job_id", "target", "ws", F.row_number().over(order).cast("bigint").alias("ord"))
+    return _uncontained(classes, _places_of(classes, jobs), span)
+
+
+def uncontained(jobs: DataFrame, terms: Column, span: int = BLOCK) -> DataFrame:
+    """T6 over the context windows of ``terms`` (T5's for ``all_terms``).
+
+    Text x stands in text y exactly if some place of x lies inside y's window.
+    A window that is not clipped carries its term at a fixed offset, so each
+    place of its text is a start of the term, and the window of that start is
+    the same text: the places are the windows themselves (also of starts that
+    the stepping search skips), found by comparing integers per (job, bucket
+    of positions).  Only the other texts are searched in their document:
+    windows clipped at its ends, first-hit windows (T3), and those of documents
+    whose lower-casing moves positions.  Conflicts are integers; one sorted
+    pass over a job's conflicts makes the walk."""
+    w = _windows(jobs, terms, every=True)
+    classes = w.where("real").groupBy("job_id", "target").agg(F.min("ord").alias("ord"), F.min_by("ws", "ord").alias("ws"))
+    searched = _places_of(w.where("real and alone"), jobs)
+    places = w.where("not alone").select("job_id", "target", "ws").unionByName(searched)
+    return _uncontained(classes, places, span)
 
 
 # ---------------------------------------------------------------- T7 entity presence
+def _entities(jobs: DataFrame, *cols: Column) -> DataFrame:
+    return jobs.select("job_id", *cols, F.posexplode(I.key_entities_array(F.col("instruction"))).alias("ent_ord", "entity"))
+
+
 def entity_presence(jobs: DataFrame) -> DataFrame:
     """(job_id, ent_ord, entity, found) for the request's key entities."""
-    ents = I.key_entities(jobs.select("job_id", "instruction"))
-    x = ents.join(jobs.select("job_id", "lower_text"), "job_id")
-    return x.select("job_id", "ent_ord", "entity",
-                    F.call_function("contains", F.col("lower_text"), F.lower("entity")).alias("found"))
+    x = _entities(jobs, F.col("lower_text"))
+    return x.select("job_id", "ent_ord", "entity", F.contains(F.col("lower_text"), F.lower("entity")).alias("found"))
 
 
 # ---------------------------------------------------------------- T8 entity paragraphs
-def entity_paragraphs(jobs: DataFrame, sep: str = "\n\n", presence: DataFrame | None = None) -> DataFrame:
-    """For every occurrence of every found entity, the text between the
-    surrounding separators (or the document ends).  Not deduplicated.
-
-    Hits and separators are ordered together, so each hit finds its bounds
-    without reading the text again, and blocks give the paragraphs."""
-    presence = presence if presence is not None else entity_presence(jobs)
-    found = presence.where("found").select("job_id", F.col("ent_ord").alias("k1"), F.col("entity").alias("term"))
-    occ = occurrences(jobs, found, ["k1"])
-    texts = jobs.select("job_id", "text").join(found.select("job_id").distinct(), "job_id", "left_semi")
-    bounds = _separators(texts, sep)
-    hit = occ.select("job_id", "k1", "occ", F.col("pos").cast("long").alias("at"))
-    events = hit.unionByName(bounds.withColumnRenamed("pos", "at"), allowMissingColumns=True)
-    up = Window.partitionBy("job_id").orderBy("at")
-    down = Window.partitionBy("job_id").orderBy(F.col("at").desc())
-    is_sep, is_bound = F.col("inner"), F.col("inner").isNotNull()
-    past = F.max(F.when(is_sep, F.col("at"))).over(up.rangeBetween(Window.unboundedPreceding, -len(sep)))
-    end = F.coalesce(F.min(F.when(is_bound, F.col("at"))).over(down.rangeBetween(Window.unboundedPreceding, 0)),
-                     F.max(F.when(is_bound, F.col("at"))).over(up.rangeBetween(Window.unboundedPreceding, 0)))
-    x = events.select("*", F.coalesce(past + len(sep), F.lit(0)).cast("long").alias("ws"), end.alias("we"))
-    x = x.where("occ is not null").select("job_id", "k1", "occ", "ws", "we")
-    # a paragraph is cut once, however many hits it has
-    paras = cut_windows(x.select("job_id", "ws", "we").distinct(), jobs, ["we"])
-    return x.join(paras, ["job_id", "ws", "we"]).select(
-        "job_id", F.lit(4).alias("src"), "k1", F.lit(0).alias("k2"), F.col("occ").alias("k3"), "target")
-
-
-def _separators(texts: DataFrame, sep: str) -> DataFrame:
-    """``job_id, pos, inner``: every start of ``sep`` in the text, overlapping
-    ones too (``inner`` true), and the text's end (``inner`` false)."""
-    lens = F.transform(F.split(F.col("text"), lookahead_regex(F.lit(sep)), -1), lambda p: F.length(p))
-    x = texts.select("job_id", F.startswith(F.col("text"), F.lit(sep)).alias("lead"), F.size(lens).alias("n"),
-                     F.posexplode(lens).alias("i", "plen"))
-    w = Window.partitionBy("job_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("past", F.sum("plen").over(w))
-    start = F.struct((F.col("past") - F.col("plen")).alias("pos"), F.lit(True).alias("inner"))
-    end = F.struct(F.col("past").alias("pos"), F.lit(False).alias("inner"))
-    rows = F.filter(F.array(F.when((F.col("i") > 0) | F.col("lead"), start), F.when(F.col("i") == F.col("n") - 1, end)),
-                    lambda r: r.isNotNull())
-    return x.select("job_id", F.explode(rows).alias("r")).select("job_id", "r.pos", "r.inner")
+def entity_paragraphs(jobs: DataFrame, sep: str = "\n\n") -> DataFrame:
+    """The text between the surrounding separators (or the document ends)
+    of every occurrence of every found entity: ``job_id, k1, k3, n, ws, we,
+    target``, one row per entity and paragraph, with the number ``n`` of its
+    hits there and ``k3`` the first of them.
+
+    Hits and separators are positions per block.  A hit's paragraph follows
+    from the separators of its own block and the last before and first behind
+    that block; equal ones are neighbours, so runs are counted and each
+    paragraph is cut once, from its blocks."""
+    none, big = F.array().cast("array<bigint>"), F.lit(1 << 62).cast("bigint")
+    x = jobs.select("job_id", F.col("n_chars").cast("bigint").alias("_n"), "instruction", blocks_of(F.col("text")).alias("_tb"),
+                    blocks_of(F.col("lower_text")).alias("_lb"))
+    # searched only where an entity can be
+    x = x.withColumn("_seps", F.when(F.size(I.key_entities_array(F.col("instruction"))) > 0, block_hits(F.col("_tb"), F.lit(sep), overlapping=True)))
+    last = F.transform("_seps", lambda s: F.coalesce(F.array_max(s), F.lit(-1).cast("bigint")))
+    first = F.transform("_seps", lambda s: F.coalesce(F.array_min(s), big))
+    x = x.select("job_id", "_n", "_tb", "_lb", "_seps", running(last, F.greatest, F.lit(-1).cast("bigint")).alias("_before"),
+                 F.reverse(running(F.reverse(first), F.least, big)).alias("_behind"),
+                 F.posexplode(I.key_entities_array(F.col("instruction"))).alias("k1", "_e"))
+    x = x.withColumn("_hits", block_hits(F.col("_lb"), F.lower("_e"))).where(F.exists("_hits", lambda h: F.size(h) > 0))
+
+    def bounds(p: Column, i: Column) -> Column:
+        seps = F.coalesce(F.get(F.col("_seps"), i), none)
+        own_start = F.array_max(F.filter(seps, lambda s: s <= p - len(sep)))
+        # a separator that began in an earlier block may reach into this one
+        earlier = F.coalesce(F.get(F.col("_before"), i), F.lit(-1).cast("bigint"))
+        reach = F.filter(F.coalesce(F.get(F.col("_seps"), i - 1), none), lambda s: s <= p - len(sep))
+        two_back = F.coalesce(F.get(F.col("_before"), i - 1), F.lit(-1).cast("bigint"))
+        prior = F.when(earlier <= p - len(sep), earlier).otherwise(F.coalesce(F.array_max(reach), two_back))
+        start = F.coalesce(own_start, F.when(prior >= 0, prior))
+        end = F.coalesce(F.array_min(F.filter(seps, lambda s: s >= p)), F.get(F.col("_behind"), i))
+        return F.struct(F.coalesce(start + len(sep), F.lit(0).cast("bigint")).alias("ws"),
+                        F.when(F.coalesce(end, big) < big, end).otherwise(F.col("_n")).alias("we"))
+    x = x.withColumn("_at", F.flatten(F.transform("_hits", lambda h, i: F.transform(h, lambda p: bounds(p, i)))))
+    x = x.withColumn("_runs", F.filter(F.transform("_at", lambda b, i: F.when((i == 0) | (F.get(F.col("_at"), i - 1) != b), i)), lambda i: i.isNotNull()))
+    count = lambda r, j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_at")) - r
+
+    def cut(b: Column) -> Column:
+        lo = F.floor(b["ws"] / BLOCK).cast("int")
+        many = F.floor(F.greatest(b["we"] - 1, b["ws"]) / BLOCK).cast("int") - lo + 1
+        return F.call_function("substring", _joined(F.col("_tb"), lo, many), (b["ws"] - lo.cast("bigint") * BLOCK + 1).cast("int"),
+                               F.greatest(b["we"] - b["ws"], F.lit(0)).cast("int"))
+    paras = F.transform("_runs", lambda r, j: let(F.get(F.col("_at"), r), lambda b: F.struct(
+        r.alias("k3"), count(r, j).cast("bigint").alias("n"), b["ws"].alias("ws"), b["we"].alias("we"), cut(b).alias("target"))))
+    return x.select("job_id", "k1", F.explode(paras).alias("_p")).select("job_id", "k1", "_p.*")
 
 
 # ---------------------------------------------------------------- T9 partial entities
-def partial_entity_windows(jobs: DataFrame, presence: DataFrame | None = None,
-                           before: int = K.PARTIAL_BEFORE, after: int = K.PARTIAL_AFTER,
+def partial_entity_windows(jobs: DataFrame, before: int = K.PARTIAL_BEFORE, after: int = K.PARTIAL_AFTER,
                            min_len: int = K.MIN_PARTIAL_LEN) -> DataFrame:
     """Only for jobs where no key entity is found: each two-word run of an
     entity (at least ``min_len`` characters) that occurs, first hit only."""
-    presence = presence if presence is not None else entity_presence(jobs)
-    none_found = (presence.groupBy("job_id").agg(F.max(F.col("found").cast("int")).alias("any_found"))
-                  .where(F.col("any_found") == 0).select("job_id"))
-    ents = presence.join(none_found, "job_id", "left_semi")
+    ents = I.key_entities_array(F.col("instruction"))
+    none_found = jobs.select("job_id", "text", "lower_text", ents.alias("_ents")).where(
+        ~F.exists("_ents", lambda e: F.contains(F.col("lower_text"), F.lower(e))))
+    x = none_found.select("job_id", "text", "lower_text", F.posexplode("_ents").alias("ent_ord", "entity"))
     words = py_split(F.col("entity"))
     bigrams = F.when(F.size(words) >= 2,
                      F.transform(F.sequence(F.lit(0), F.size(words) - 2),
                                  lambda i: F.concat(F.element_at(words, i + 1), F.lit(" "), F.element_at(words, i + 2))))
-    x = ents.select("job_id", "ent_ord", F.posexplode(bigrams).alias("b_ord", "partial"))
-    x = x.where(F.length("partial") >= min_len).join(jobs.select("job_id", "text", "lower_text"), "job_id")
+    x = x.select("job_id", "text", "lower_text", "ent_ord", F.posexplode(bigrams).alias("b_ord", "partial")).where(F.length("partial") >= min_len)
     x = x.withColumn("hit", F.call_function("locate", F.lower("partial"), F.col("lower_text")) - 1).where(F.col("hit") >= 0)
     return x.select("job_id", F.lit(5).alias("src"), F.col("ent_ord").alias("k1"), F.col("b_ord").alias("k2"),
                     F.lit(0).alias("k3"),
@@ -433,9 +502,10 @@ def partial_entity_windows(jobs: DataFrame, presence: DataFrame | None = None,
 # ---------------------------------------------------------------- T10 target sections
 def target_sections(jobs: DataFrame, fields=None, verbs=None, sep: str = "\n\n") -> DataFrame:
     """T6 result, then T8 and T9, as (job_id, target, n) where ``n`` is
-    how often the text occurs in the list (repeats add to chunk scores)."""
-    kept = drop_contained(target_candidates(jobs, fields, verbs), jobs).select("job_id", "target")
-    presence = entity_presence(jobs)
-    extra = (entity_paragraphs(jobs, sep, presence).unionByName(partial_entity_windows(jobs, presence))
-             .select("job_id", "target"))
-    return kept.unionByName(extra).groupBy("job_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    how often the text occurs in the list (repeats add to chunk scores).  T8's
+    repeats arrive counted, so a text is moved once per entity, not per hit."""
+    one = F.lit(1).cast("bigint").alias("n")
+    kept = uncontained(jobs, all_terms(F.col("instruction"), fields, verbs)).select("job_id", "target", one)
+    paras = entity_paragraphs(jobs, sep).select("job_id", "target", "n")
+    partial = partial_entity_windows(jobs).select("job_id", "target", one)
+    return kept.unionByName(paras).unionByName(partial).groupBy("job_id", "target").agg(F.sum("n").alias("n"))

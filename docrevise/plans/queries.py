@@ -6,6 +6,7 @@ Every query reads whole tables; requests are derived per document (see
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docrevise.operators import chunks as C
@@ -24,7 +25,7 @@ def flagship_jobs(spark, sf):
 
 def corpus_jobs(spark, sf):
     docs = table(spark, sf, "documents")
-    return T.prepare_jobs(FX.corpus_requests(docs), docs)
+    return T.jobs_from_documents(docs, FX.instruction_col(F.col("doc_id"), F.col("text")))
 
 
 def _flagship_sql() -> str:
@@ -53,10 +54,9 @@ def flagship_rank_quoted(spark, sf):
     """Minimum slice: quoted spans -> windows -> drop contained -> fixed chunks
     -> target score -> rank, for documents with at least one target."""
     jobs = flagship_jobs(spark, sf)
-    kept = T.drop_contained(T.quoted_windows(jobs), jobs)
-    targets = T.materialize(kept.groupBy("job_id", "target").agg(F.count(F.lit(1)).alias("n")))
+    targets = T.uncontained(jobs, T.quoted_terms(F.col("instruction"))).select("job_id", "target", F.lit(1).cast("bigint").alias("n"))
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
-    scored = P.score_targets(jobs, chunks, targets, SIZE).withColumnRenamed("target_score", "score")
+    scored = P.score_targets(jobs, chunks, targets).withColumnRenamed("target_score", "score")
     ranked = P.rank_chunks(scored).join(targets.select("job_id").distinct(), "job_id", "left_semi")
     return ranked.join(chunks.select("job_id", "chunk_no", "doc_id"), ["job_id", "chunk_no"]).select(
         F.col("doc_id").cast("long"), F.col("chunk_no").cast("long"), F.col("score").cast("long"),
@@ -138,11 +138,6 @@ def i8_replacement_pairs(spark, sf):
 FIELDS, MARKERS, SEP = FX.CORPUS_FIELDS, FX.CORPUS_MARKERS, FX.QUERY_SEPARATOR
 
 
-def _fields_terms(jobs):
-    return I.field_mentions(jobs.select("job_id", "instruction"), FIELDS).select(
-        "job_id", F.col("field_ord").alias("k1"), F.col("field").alias("term"))
-
-
 @register("t1_occurrences", f"""{_JOBS},
 f AS (SELECT job_id, field_ord AS k1, field AS term FROM {S.field_mentions(FIELDS)}),
 o AS {S.occurrences('f', ['k1'])}
@@ -150,8 +145,7 @@ SELECT job_id, term, CAST(occ AS BIGINT) AS occ, CAST(pos AS BIGINT) AS pos FROM
 def t1_occurrences(spark, sf):
     """Every non-overlapping, case-insensitive occurrence of each field
     the instruction mentions, over the whole document text."""
-    jobs = corpus_jobs(spark, sf)
-    o = T.occurrences(jobs, _fields_terms(jobs), ["k1"])
+    o = T.instruction_occurrences(corpus_jobs(spark, sf), T.field_terms(F.col("instruction"), FIELDS))
     return o.select("job_id", "term", F.col("occ").cast("long"), F.col("pos").cast("long"))
 
 
@@ -194,9 +188,9 @@ def t5_target_candidates(spark, sf):
 SELECT job_id, CAST(t_ord AS BIGINT) AS t_ord, target FROM k""")
 def t6_drop_contained(spark, sf):
     """Ordered candidates with contained / containing ones dropped."""
-    jobs = corpus_jobs(spark, sf)
-    k = T.drop_contained(T.target_candidates(jobs, FIELDS), jobs)
-    return k.select("job_id", F.col("t_ord").cast("long"), "target")
+    k = T.uncontained(corpus_jobs(spark, sf), T.all_terms(F.col("instruction"), FIELDS))
+    t_ord = F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1
+    return k.select("job_id", t_ord.cast("long").alias("t_ord"), "target")
 
 
 @register("t7_entity_presence", f"""{_JOBS}, p AS {S.presence()}
@@ -207,10 +201,13 @@ def t7_entity_presence(spark, sf):
     return p.select("job_id", F.col("ent_ord").cast("long"), "entity", "found")
 
 
-@register("t8_entity_paragraphs", f"{_JOBS}, pr AS {S.presence()}, w AS {S.paragraphs(SEP, 'pr')} {_TSQL}")
+@register("t8_entity_paragraphs", f"""{_JOBS}, pr AS {S.presence()}, w AS {S.paragraphs(SEP, 'pr')}
+SELECT job_id, CAST(k1 AS BIGINT) AS k1, CAST(min(k3) AS BIGINT) AS k3, count(*) AS n, CAST(ws AS BIGINT) AS ws, CAST(we AS BIGINT) AS we,
+       any_value(target) AS target FROM w GROUP BY job_id, k1, ws, we""")
 def t8_entity_paragraphs(spark, sf):
-    """The paragraph (separator: newline) around every found-entity hit."""
-    return _tsel(T.entity_paragraphs(corpus_jobs(spark, sf), SEP))
+    """The paragraphs (separator: newline) around found-entity hits, with the number of hits in each."""
+    p = T.entity_paragraphs(corpus_jobs(spark, sf), SEP)
+    return p.select("job_id", F.col("k1").cast("long"), F.col("k3").cast("long"), "n", "ws", "we", "target")
 
 
 @register("t9_partial_entity_windows", f"{_JOBS}, pr AS {S.presence()}, w AS {S.partial_windows('pr')} {_TSQL}")
@@ -282,9 +279,9 @@ def c5_output_budget(spark, sf):
 # ====================================================================== P1-P5
 def _scored(spark, sf):
     jobs = corpus_jobs(spark, sf)
-    targets = T.materialize(T.target_sections(jobs, FIELDS, sep=SEP))
+    targets = T.target_sections(jobs, FIELDS, sep=SEP)
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
-    return jobs, targets, P.score_chunks(jobs, chunks, targets, MARKERS, SIZE)
+    return jobs, targets, P.score_chunks(jobs, chunks, targets, MARKERS)
 
 
 _SC = S.scored_chunks(SIZE, OVERLAP, FIELDS, K.ACTION_VERBS, SEP, MARKERS)

@@ -46,13 +46,8 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
         missing = jobs.where(~F.col("found")).select("job_id")
         jobs = jobs.where("found")
     targets = T.target_sections(jobs, fields, verbs, sep)
-    if rank and (order == "rank" or top_k):
-        # the revised text depends on the ranks: compute the targets once for
-        # scoring and the gate.  Otherwise ranks only annotate ``chunks`` and
-        # Catalyst drops the whole targeting plan from ``results``.
-        targets = T.materialize(targets)
     chunks = C.label_chunks(C.small_document_chunks(jobs, size, overlap, use_html=use_html, chunker=chunker))
-    scored = P.score_chunks(jobs, chunks, targets, markers, size)
+    scored = P.score_chunks(jobs, chunks, targets, markers)
     ranked = P.rank_chunks(scored)
     if rank:
         ranked = P.apply_ranking_gate(ranked, jobs, targets, size)

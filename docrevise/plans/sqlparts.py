@@ -234,7 +234,7 @@ def paragraphs(sep: str, pres: str, jobs: str = "jobs") -> str:
                 FROM o JOIN {jobs} j USING (job_id)),
           c AS (SELECT *, CASE WHEN r > 0 THEN pos - r + 1 ELSE 0 END AS ps,
                           CASE WHEN r2 > 0 THEN pos + r2 - 1 ELSE n END AS pe FROM b)
-     SELECT job_id, 4 AS src, k1, 0 AS k2, occ AS k3, substring(text, ps + 1, pe - ps) AS target FROM c)"""
+     SELECT job_id, 4 AS src, k1, 0 AS k2, occ AS k3, ps AS ws, pe AS we, substring(text, ps + 1, pe - ps) AS target FROM c)"""
 
 
 def partial_windows(pres: str, jobs: str = "jobs") -> str:

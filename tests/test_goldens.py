@@ -19,7 +19,7 @@ def req(spark, *instrs):
 
 def jobs(spark, rows, instruction="x"):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return T.jobs_from_documents(docs, instruction, materialized=False)
+    return T.jobs_from_documents(docs, instruction)
 
 
 def test_quoted_spans_order_and_apostrophes(spark):
@@ -70,11 +70,12 @@ def test_occurrences_overlap_and_clipping(spark):
 
 
 def test_drop_contained_both_orders(spark):
-    rows = [("a", 1, 0, 0, 0, "abc"), ("a", 1, 1, 0, 0, "xabcx"), ("b", 1, 0, 0, 0, "xabcx"), ("b", 1, 1, 0, 0, "abc"),
-            ("c", 1, 0, 0, 0, "ab"), ("c", 1, 1, 0, 0, "cd"), ("c", 1, 2, 0, 0, "abcd"), ("c", 1, 3, 0, 0, "ab")]
-    c = spark.createDataFrame(rows, "job_id string, src int, k1 int, k2 int, k3 int, target string")
-    r = T.drop_contained(c).orderBy("job_id", "t_ord").collect()
-    assert [(x.job_id, x.target) for x in r] == [("a", "abc"), ("b", "xabcx"), ("c", "ab"), ("c", "cd")]
+    words = {"job-1": ["abc", "xabcx"], "job-2": ["xabcx", "abc"], "job-3": ["ab", "cd", "abcd", "ab"]}
+    j = jobs(spark, [(i + 1, "|".join(w)) for i, w in enumerate(words.values())])
+    rows = [(job, 1, k, 0, 0, t, len("|".join(w[:k])) + (k > 0)) for job, w in words.items() for k, t in enumerate(w)]
+    c = spark.createDataFrame(rows, "job_id string, src int, k1 int, k2 int, k3 int, target string, ws long")
+    r = T.drop_contained(c, j).orderBy("job_id", "ord").collect()
+    assert [(x.job_id, x.target) for x in r] == [("job-1", "abc"), ("job-2", "xabcx"), ("job-3", "ab"), ("job-3", "cd")]
 
 
 def test_entity_paragraphs_and_partial(spark):
@@ -99,7 +100,7 @@ def test_target_score_points(spark):
                               "job_id string, target string, n long")
     # world: contained at 6, len 19: 6 < 19//3=6 no, 6 < 38//3=12 -> 5+1 = 6 (x1, and x2 for "WORLD")
     # "zzzzzz foo bar" (14 > 10): not contained, second half "foo bar" contained -> 2
-    assert P.score_targets(j, ch, t, 100).first().target_score == 6 + 2 + 12
+    assert P.score_targets(j, ch, t).first().target_score == 6 + 2 + 12
 
 
 def test_markers_and_rank(spark):
@@ -257,11 +258,11 @@ def test_exact_median_against_statistics(spark):
 def test_chunk_scores_after_a_letter_that_lowers_to_two(spark):
     from docrevise.operators import ranking as P
     text = "\u0130" * 300 + "needle and more text \u0130 tail needle"
-    jobs = T.jobs_from_documents(spark.createDataFrame([(1, text), (2, "needle")], "doc_id long, text string"), "x",
-                                 materialized=False)
+    jobs = T.jobs_from_documents(spark.createDataFrame([(1, text), (2, "needle")], "doc_id long, text string"), "x")
     n = len(text)
-    ch = spark.createDataFrame([("job-1", 0, 0, 310), ("job-1", 1, 302, n), ("job-1", 2, 320, n), ("job-2", 0, 0, 6)],
-                               "job_id string, chunk_no long, start long, end long")
+    cuts = [("job-1", 0, 0, 310), ("job-1", 1, 302, n), ("job-1", 2, 320, n), ("job-2", 0, 0, 6)]
+    ch = spark.createDataFrame([(*c, ("needle" if c[0] == "job-2" else text)[c[2]:c[3]]) for c in cuts],
+                               "job_id string, chunk_no long, start long, end long, text string")
     tg = spark.createDataFrame([("job-1", "needle", 1), ("job-2", "needle", 1)], "job_id string, target string, n long")
     got = {(r.job_id, r.chunk_no): r.target_score for r in P.score_targets(jobs, ch, tg).collect()}
 
@@ -308,7 +309,7 @@ def test_hot_document_requests_join_exactly_once(spark):
     assert len(rows) == 502 and len({r.job_id for r in rows}) == 502
     assert {(r.doc_id, r.text, r.found) for r in rows} == {
         (1, "hot text", True), (2, "cold text", True), (9, None, False)}
-    j = T.prepare_jobs(reqs, docs, materialized=False)
+    j = T.prepare_jobs(reqs, docs)
     assert j.count() == 502 and j.where("found").count() == 501
 
 
@@ -320,8 +321,7 @@ def test_drop_contained_by_repeated_text(spark):
     schema = "job_id string, src int, k1 int, k2 int, k3 int, target string, ws long"
     for rows, want in ((rows_a, ["zzz foo bar baz"]), (rows_b, ["foo bar"])):
         c = spark.createDataFrame(rows, schema)
-        assert [x.target for x in T.drop_contained(c, j).orderBy("t_ord").collect()] == want
-        assert [x.target for x in T.drop_contained(c.drop("ws")).orderBy("t_ord").collect()] == want
+        assert [x.target for x in T.drop_contained(c, j).orderBy("ord").collect()] == want
 
 
 def test_terms_with_regex_characters(spark):

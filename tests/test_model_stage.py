@@ -13,7 +13,7 @@ from docrevise.plans.registry import table
 
 
 def _prompts(spark, sf, template="{chunk}"):
-    jobs = T.jobs_from_documents(table(spark, sf, "documents"), "x", materialized=False)
+    jobs = T.jobs_from_documents(table(spark, sf, "documents"), "x")
     ch = C.label_chunks(C.chunk_fixed(jobs, 500, 100)).withColumn("instruction", F.lit("x"))
     return jobs, ch, R.build_prompts(ch, template)
 

@@ -18,7 +18,7 @@ def docs(spark, sf):
 
 @pytest.mark.parametrize("size,overlap", [(300, 60), (500, 100), (2000, 400), (1000, 600)])
 def test_recursive_chunk_contract(spark, docs, size, overlap):
-    jobs = T.jobs_from_documents(docs, "x", materialized=False)
+    jobs = T.jobs_from_documents(docs, "x")
     ch = C.chunk_recursive(jobs, size, overlap)
     rows = ch.join(jobs.select("job_id", F.col("text").alias("doc"), "n_chars"), "job_id").collect()
     by = {}
@@ -43,7 +43,7 @@ def test_recursive_chunk_contract(spark, docs, size, overlap):
 def test_recursive_cut_prefers_coarse_separator(spark):
     text = ("word " * 30).strip() + "\n" + ("more " * 30).strip()
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    jobs = T.jobs_from_documents(docs, "x", materialized=False)
+    jobs = T.jobs_from_documents(docs, "x")
     first = C.chunk_recursive(jobs, 200, 40).orderBy("chunk_no").first()
     assert first.text.endswith("\n") or first.end == len(text)
 
@@ -60,17 +60,11 @@ def test_drop_contained_is_antichain(spark, sf):
 
 
 def test_drop_contained_matches_sequential_walk(spark, sf):
-    jobs = catalog.REGISTRY  # noqa: F841 (registry import keeps query modules loaded)
     from docrevise.plans.queries import FIELDS, corpus_jobs
     j = corpus_jobs(spark, sf)
     cands = T.target_candidates(j, FIELDS)
-    got = {}
-    for r in T.drop_contained(cands, j).collect():
-        got.setdefault(r.job_id, {})[r.t_ord] = r.target
-    fold = {}
-    for r in T.drop_contained(cands).collect():
-        fold.setdefault(r.job_id, {})[r.t_ord] = r.target
-    assert got == fold
+    got = _in_order(T.uncontained(j, T.all_terms(F.col("instruction"), FIELDS)))
+    assert got == _in_order(T.drop_contained(cands, j))
     by = {}
     for r in cands.collect():
         by.setdefault(r.job_id, []).append(((r.src, r.k1, r.k2, r.k3), r.target))
@@ -79,7 +73,55 @@ def test_drop_contained_matches_sequential_walk(spark, sf):
         for _, t in sorted(cs):
             if not any(t in k or k in t for k in kept):
                 kept.append(t)
-        assert [got.get(job, {})[i] for i in range(len(got.get(job, {})))] == kept
+        assert got.get(job, []) == kept
+
+
+def _in_order(kept):
+    out = {}
+    for r in sorted(kept.collect(), key=lambda r: r.ord):
+        out.setdefault(r.job_id, []).append(r.target)
+    return out
+
+
+def test_containment_of_awkward_windows(spark):
+    """Terms that overlap themselves, windows clipped at both ends, repeated
+    lines, letters that lower to two, empty windows: as the sequential walk."""
+    import random
+    rnd = random.Random(3)
+    words = ["aa", "aaa", "aba", "ab ab", "state", " ", " ", "x", "\n", "that that", "é𝄞"]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randrange(0, 60))) for _ in range(60)]
+    texts += [("Statement 12345. " * 3 + "the state of the art\n") * 12, "aa" * 400, "\u0130" * 400 + " state aba " * 5, "", "aba" * 300 + "state " * 200 + "aba" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    j = T.jobs_from_documents(docs, "change \"abab\" and 'aaaa' to 'that that'\n2. set the state - update aba aba aba")
+    fields = ["aa", "aba", "state", "that"]
+    terms = T.concat_terms(T.quoted_terms(F.col("instruction"), 4, 7), T.action_terms(F.col("instruction"), None, 3, 9), T.field_terms(F.col("instruction"), fields, 2, 3))
+    for every in (terms, T.all_terms(F.col("instruction"), fields)):
+        by = {}
+        for r in T._windows(j, every).collect():
+            by.setdefault(r.job_id, []).append(((r.src, r.k1, r.k2, r.k3), r.target))
+        want = {}
+        for job, cs in by.items():
+            kept = want.setdefault(job, [])
+            for _, t in sorted(cs):
+                if not any(t in k or k in t for k in kept):
+                    kept.append(t)
+        assert _in_order(T.uncontained(j, every)) == want
+        assert _in_order(T.uncontained(j, every, span=64)) == want
+
+
+def test_target_sections_of_one_long_paragraph(spark):
+    """Output grows with the text, not with its square: a paragraph comes once
+    per entity, with its number of hits."""
+    chars = {}
+    for n in (500, 4000):
+        docs = spark.createDataFrame([(1, "".join(f"Acme Corp signs item {i}; " for i in range(n)))], "doc_id long, text string")
+        j = T.jobs_from_documents(docs, "Change 'Acme Corp' to 'Other Corp'")
+        t8 = T.entity_paragraphs(j).collect()
+        assert [(r.k1, r.k3, r.n) for r in t8] == [(0, 0, n)] and t8[0].target == docs.first().text
+        rows = T.target_sections(j).collect()
+        assert {r.n for r in rows} == {1, n}
+        chars[n] = sum(len(r.target) for r in rows)
+    assert chars[4000] < 9 * chars[500]
 
 
 def test_ranks_are_permutations(spark, sf):
@@ -93,7 +135,7 @@ def test_ranks_are_permutations(spark, sf):
 
 @pytest.mark.parametrize("chunker", ["fixed", "recursive"])
 def test_trimmed_reassembly_is_identity(spark, docs, chunker):
-    jobs = T.jobs_from_documents(docs, "x", materialized=False)
+    jobs = T.jobs_from_documents(docs, "x")
     ch = C.chunk_fixed(jobs, 300, 50) if chunker == "fixed" else C.chunk_recursive(jobs, 300, 50)
     back = R.reassemble(ch, order="chunk", text_col="text", trim_overlap=True)
     diff = back.join(jobs.select("job_id", F.col("text").alias("orig")), "job_id").where(F.col("text") != F.col("orig"))
@@ -119,7 +161,7 @@ def test_score_matches_pairwise_definition(spark, sf):
     j = corpus_jobs(spark, sf)
     targets = T.target_sections(j, FIELDS, sep=SEP).collect()
     chunks = C.chunk_fixed(j, SIZE, OVERLAP)
-    got = {(r.job_id, r.chunk_no): r.target_score for r in P.score_targets(j, chunks, spark.createDataFrame(targets), SIZE).collect()}
+    got = {(r.job_id, r.chunk_no): r.target_score for r in P.score_targets(j, chunks, spark.createDataFrame(targets)).collect()}
     tby = {}
     for t in targets:
         tby.setdefault(t.job_id, []).append((t.target, t.n))
@@ -160,7 +202,7 @@ def test_recursive_cut_after_coarsest_separator(spark, docs, size, overlap):
     after the last occurrence of the coarsest separator found in its cut zone
     (the second half of the window), or at a character cut if there is none."""
     zone = max(1, min(size // 2, size - overlap - 1))
-    jobs = T.jobs_from_documents(docs, "x", materialized=False)
+    jobs = T.jobs_from_documents(docs, "x")
     rows = C.chunk_recursive(jobs, size, overlap).join(jobs.select("job_id", F.col("text").alias("doc")), "job_id").collect()
     checked = 0
     for r in rows:
@@ -226,33 +268,42 @@ def test_align_lines_matches_sequential_rule(spark, docs):
     assert sum(len(v) for v in got.values()) > 50
 
 
-def test_target_score_methods_agree(spark, sf):
+def test_target_score_forms_agree(spark, sf):
+    """Groups of chunks, shards of targets and the automaton change nothing."""
+    from docrevise.operators import ranking
     from docrevise.plans.queries import FIELDS, OVERLAP, SEP, SIZE, corpus_jobs
     j = corpus_jobs(spark, sf)
-    targets = T.materialize(T.target_sections(j, FIELDS, sep=SEP))
+    targets = T.target_sections(j, FIELDS, sep=SEP)
     chunks = C.chunk_fixed(j, SIZE, OVERLAP)
-    a = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="automaton").collect()}
-    b = {tuple(r) for r in P.score_targets(j, chunks, targets, SIZE, method="scan").collect()}
+    a = {tuple(r) for r in P.score_targets(j, chunks, targets).collect()}
+    b = {tuple(r) for r in P.score_targets(j, chunks, targets, group_chars=3000, shard_chars=700).collect()}
     assert a == b and any(r[2] > 0 for r in a)
+    few, many = ["ab", "", "abc", "ab", "zz"], 10 ** 9
+    assert ranking._finder(few, 1)("xabcab") == ranking._finder(few, many)("xabcab") == [1, 0, 1, 1, -1]
 
 
 def test_block_windows_equal_slices(spark):
     """Windows cut from text blocks are the slices of the text: across block
-    edges, clipped at the end, empty beyond it, outside the BMP, in empty and
-    null texts."""
-    texts = ["", None, "abc", "x" * 7, "0123456789" * 5, "é𝄞\n\r" * 12]
-    spans = [(0, 1), (0, 200), (6, 8), (7, 14), (5, 30), (48, 60), (60, 70)]
-    jobs = spark.createDataFrame([(f"j{i}", t) for i, t in enumerate(texts)], "job_id string, text string")
-    hits = spark.createDataFrame([(f"j{i}", k, a, b) for i in range(len(texts)) for k, (a, b) in enumerate(spans)],
-                                 "job_id string, k int, ws long, we long")
-    got = {(r.job_id, r.k): r.target for r in T.cut_windows(hits, jobs, ["k"], size=7).collect()}
-    assert got == {(f"j{i}", k): (t or "")[a:b] for i, t in enumerate(texts) for k, (a, b) in enumerate(spans)}
+    edges, clipped at both ends, outside the BMP, in empty and null texts;
+    positions too, with terms longer than a block."""
+    texts = ["", None, "needle", "é𝄞\n\r" * 900 + "needle" + "x" * 1500 + "NEEDLE" * 400, "y" * 1021 + "needle" * 3, "z" * 5000 + "w" * 3000 + "z"]
+    jobs = T.jobs_from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "set 'needle' and '" + "w" * 2500 + "'")
+    got = sorted((r.job_id, r.k1, r.k3, r.ws, r.target) for r in T.quoted_windows(jobs, 1100, 2300).collect())
+    want = []
+    for i, t in enumerate(texts):
+        for k, term in enumerate(["needle", "w" * 2500]):
+            pos, n = (t or "").lower().find(term), 0
+            while pos >= 0:
+                ws = max(0, pos - 1100)
+                want.append((f"job-{i}", k, n, ws, t[ws:pos + len(term) + 2300]))
+                pos, n = t.lower().find(term, pos + len(term)), n + 1
+    assert got == sorted(want) and len(want) > 400
 
 
 def test_field_windows_of_a_long_document(spark):
     """Every hit of a document of many blocks has its window."""
     docs = spark.createDataFrame([(1, "total due, " * 20_000)], "doc_id long, text string")
-    w = T.field_windows(T.jobs_from_documents(docs, "change the total", materialized=False), fields=["total"])
+    w = T.field_windows(T.jobs_from_documents(docs, "change the total"), fields=["total"])
     assert w.count() == 20_000
     assert w.where("length(target) > 300").count() == 0
 
@@ -262,15 +313,17 @@ def test_paragraphs_equal_search_in_text(spark):
     odd runs of line feeds and separators at the ends."""
     import random
     rnd = random.Random(8)
-    texts = ["".join(rnd.choice(["ab", "x", "\n", "\n\n", "é𝄞"]) for _ in range(rnd.randrange(1, 40))) for _ in range(80)]
-    jobs = T.jobs_from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "x", materialized=False)
-    presence = jobs.select("job_id", F.lit(0).alias("ent_ord"), F.lit("ab").alias("entity"), F.contains("text", F.lit("ab")).alias("found"))
-    got = sorted((r.job_id, r.k3, r.target) for r in T.entity_paragraphs(jobs, presence=presence).collect())
+    texts = ["".join(rnd.choice(["abab", "ab", "x", "\n", "\n\n", "é𝄞"]) for _ in range(rnd.randrange(1, 40))) for _ in range(80)]
+    texts += ["".join(rnd.choice(["abab", "xyz" * 50, "\n", "\n\n", "é𝄞" * 99]) for _ in range(90)) for _ in range(12)]
+    texts += ["x" * (1022 + k) + "\n\n\nabab" + "y" * k + "\n\nabab" for k in range(4)]
+    jobs = T.jobs_from_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "set 'abab' now")
+    got = sorted((r.job_id, r.k3, r.n, r.ws, r.we, r.target) for r in T.entity_paragraphs(jobs).collect())
     want = []
     for i, t in enumerate(texts):
-        pos, k = t.find("ab"), 0
+        pos, k, paras = t.find("abab"), 0, {}
         while pos >= 0:
             a, b = t.rfind("\n\n", 0, pos), t.find("\n\n", pos)
-            want.append((f"job-{i}", k, t[a + 2 if a >= 0 else 0:b if b >= 0 else len(t)]))
-            pos, k = t.find("ab", pos + 2), k + 1
+            paras.setdefault((a + 2 if a >= 0 else 0, b if b >= 0 else len(t)), []).append(k)
+            pos, k = t.find("abab", pos + 4), k + 1
+        want += [(f"job-{i}", ks[0], len(ks), a, b, t[a:b]) for (a, b), ks in paras.items()]
     assert got == sorted(want)

@@ -84,12 +84,14 @@ def repeated_words(w: Column, n: int = 5) -> Column:
 
     def by_hash(s: Column) -> Column:
         same = lambda j, x: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
-        alike = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
-        clash = F.exists(F.transform(alike, lambda x, j: F.when((j > 0) & (F.get(alike, j - 1)["h"] == x["h"]),
-                                                                  words_at(F.get(alike, j - 1)["i"]) != words_at(x["i"]))),
+        return let(F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x)), places)
+
+    def places(alike: Column) -> Column:
+        before = lambda j: F.get(alike, j - 1)
+        clash = F.exists(F.transform(alike, lambda x, j: (j > 0) & (before(j)["h"] == x["h"]) & (words_at(before(j)["i"]) != words_at(x["i"]))),
                          lambda c: F.coalesce(c, F.lit(False)))
-        places = F.transform(alike, lambda x: x["i"])
-        return _covered(F.sort_array(F.when(clash, by_words(places)).otherwise(places)), n)
+        i = F.transform(alike, lambda x: x["i"])
+        return _covered(F.sort_array(F.when(clash, by_words(i)).otherwise(i)), n)
 
     def count(h: Column) -> Column:
         pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "WS", "DIGIT", "py_strip", "py_split", "window_text",
     "is_upper", "html_escape", "quote_regex", "lookahead_regex", "str_array",
-    "div", "col_or_lit", "let", "named", "running", "exclusive_sums",
+    "div", "col_or_lit", "sql_str", "sql_let", "sql_strip", "sql_running",
 ]
 
 # Python's str.isspace() set (also what re's \s and str.split() use).
@@ -81,31 +81,29 @@ def div(a: Column, b) -> Column:
     return F.floor(a / col_or_lit(b)).cast("long")
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it many times inside ``body`` (lambda
-    functions get no common-subexpression elimination)."""
-    return F.transform(F.array(value), body)[0]
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def named(**fields: Column) -> Column:
-    """A struct with these field names (inside lambda functions aliases can get lost)."""
-    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL text that binds ``value`` to ``name`` inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def running(values: Column, merge, start: Column, step: int = 256) -> Column:
-    """The merge of all bigint values before each one, in time linear in the
-    array: ``array_append`` copies, so the result grows in groups of ``step``."""
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / step).cast("int")),
-                         lambda g: F.slice(values, g * step + 1, step))
+def sql_strip(c: str) -> str:
+    """``py_strip`` as SQL text."""
+    pattern = sql_str(rf"\A{WS}+|{WS}+\z")
+    return f"regexp_replace({c}, {pattern}, '')"
 
-    def fold(a: Column, group: Column) -> Column:
-        inner = F.aggregate(group, named(at=a["at"], out=F.array().cast("array<bigint>")),
-                            lambda y, v: named(at=merge(y["at"], v).cast("bigint"), out=F.array_append(y["out"], y["at"])))
-        return let(inner, lambda r: named(at=r["at"], out=F.array_append(a["out"], r["out"])))
-    init = named(at=start.cast("bigint"), out=F.array().cast("array<array<bigint>>"))
-    return F.flatten(F.aggregate(groups, init, fold)["out"])
 
-
-def exclusive_sums(counts: Column) -> Column:
-    """The sum of all values before each one."""
-    return running(counts, lambda a, b: a + b, F.lit(0))
+def sql_running(values: str, merge: str, start: str, step: int = 256) -> str:
+    """SQL text: the merge of all bigint values before each one, in time linear
+    in the array: ``array_append`` copies, so the result grows in groups of
+    ``step``.  ``merge`` names the value so far ``_y.v`` and the next ``_n``."""
+    inner = (f"aggregate(_group, named_struct('v', _a.v, 'out', cast(array() as array<bigint>)), "
+             f"(_y, _n) -> named_struct('v', cast({merge} as bigint), 'out', array_append(_y.out, _y.v)))")
+    groups = f"transform(sequence(0, cast(floor((greatest(size({values}), 1) - 1) / {step}) as int)), _g -> slice({values}, _g * {step} + 1, {step}))"
+    fold = sql_let(inner, "_r", "named_struct('v', _r.v, 'out', array_append(_a.out, _r.out))")
+    return (f"flatten(aggregate({groups}, named_struct('v', cast({start} as bigint), 'out', cast(array() as array<array<bigint>>)), "
+            f"(_a, _group) -> {fold}, _a -> _a.out))")

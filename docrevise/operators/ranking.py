@@ -55,7 +55,8 @@ def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame,
                   contained: int = K.SCORE_CONTAINED, first_third: int = K.SCORE_FIRST_THIRD,
                   middle_third: int = K.SCORE_MIDDLE_THIRD, half: int = K.SCORE_HALF,
                   half_min_len: int = K.HALF_MIN_TARGET_LEN, group_chars: int = 1 << 19, shard_chars: int = 1 << 21) -> DataFrame:
-    """(job_id, chunk_no, target_score) for every chunk.
+    """(job_id, chunk_no, target_score, n_targets) for every chunk;
+    ``n_targets`` is the number of the job's distinct targets.
 
     ``targets`` has (job_id, target, n); ``n`` repeats count ``n`` times.
     Per target, case-insensitively: contained -> ``contained`` points plus
@@ -78,7 +79,7 @@ def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            job, no, score = [], [], []
+            job, no, score, many = [], [], [], []
             for j, cs, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 patterns, halves = [t["t"] for t in ts or ()], {}
                 for i, t in enumerate(list(patterns)):
@@ -97,11 +98,12 @@ def score_targets(jobs: DataFrame, chunks: DataFrame, targets: DataFrame,
                     job.append(j)
                     no.append(c["no"])
                     score.append(points)
-            yield pa.RecordBatch.from_arrays([pa.array(job, pa.string()), pa.array(no, pa.int32()), pa.array(score, pa.int64())],
-                                             ["job_id", "chunk_no", "points"])
+                    many.append(len(ts or ()))
+            yield pa.RecordBatch.from_arrays([pa.array(job, pa.string()), pa.array(no, pa.int32()), pa.array(score, pa.int64()),
+                                              pa.array(many, pa.int64())], ["job_id", "chunk_no", "points", "many"])
     rows = grouped.join(spread, ["job_id", "g"], "left").select("job_id", "chunks", "targets")
-    per_shard = rows.mapInArrow(run, "job_id string, chunk_no int, points long")
-    return per_shard.groupBy("job_id", "chunk_no").agg(F.sum("points").alias("target_score"))
+    per_shard = rows.mapInArrow(run, "job_id string, chunk_no int, points long, many long")
+    return per_shard.groupBy("job_id", "chunk_no").agg(F.sum("points").alias("target_score"), F.sum("many").alias("n_targets"))
 
 
 # ---------------------------------------------------------------- P2 marker score
@@ -121,20 +123,15 @@ def rank_chunks(scored: DataFrame, score_col: str = "score") -> DataFrame:
 
 
 # ---------------------------------------------------------------- P4 gate
-def apply_ranking_gate(ranked: DataFrame, jobs: DataFrame, targets: DataFrame,
-                       size: int = K.CHUNK_SIZE, min_chunks: int = 3) -> DataFrame:
+def apply_ranking_gate(ranked: DataFrame, size: int = K.CHUNK_SIZE, min_chunks: int = 3) -> DataFrame:
     """Keep the score rank only for documents of at least ``size``
-    characters with at least ``min_chunks`` chunks and at least one target;
-    otherwise ``rank`` is document order.  Adds ``ranked`` (bool)."""
-    tcount = targets.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_targets"))
+    characters with at least ``min_chunks`` chunks and at least one target
+    (``n_targets``, from P1); otherwise ``rank`` is document order.  The last
+    chunk ends where the document does.  Adds ``ranked`` (bool)."""
     w = Window.partitionBy("job_id")
-    x = (ranked.withColumn("n_chunks_", F.count(F.lit(1)).over(w))
-         .join(jobs.select("job_id", "n_chars"), "job_id")
-         .join(tcount, "job_id", "left"))
-    gate = (F.col("n_chars") >= size) & (F.col("n_chunks_") >= min_chunks) & (F.coalesce(F.col("n_targets"), F.lit(0)) > 0)
-    return (x.withColumn("ranked", gate)
-            .withColumn("rank", F.when(gate, F.col("rank")).otherwise(F.col("chunk_no") + 1))
-            .drop("n_chunks_", "n_chars", "n_targets"))
+    gate = (F.max("end").over(w) >= size) & (F.count(F.lit(1)).over(w) >= min_chunks) & (F.coalesce(F.col("n_targets"), F.lit(0)) > 0)
+    x = ranked.withColumn("ranked", gate)
+    return x.withColumn("rank", F.when(F.col("ranked"), F.col("rank")).otherwise(F.col("chunk_no") + 1)).drop("n_targets")
 
 
 # ---------------------------------------------------------------- P5 top-k

@@ -5,16 +5,21 @@ call (R2) is a Python stage: ``mapInPandas`` over job-partitioned prompts,
 at most ``concurrency`` calls per job at a time, retries (R3) inside the task.  Its
 output should be written before anything reads it twice
 (``persist_calls``), so that recomputation or a lost executor never repeats
-model calls; results are keyed by (job_id, chunk_no).
+model calls; until that write has ended, a ledger of finished calls keeps a
+retried task from repeating them.  Results are keyed by (job_id, chunk_no).
 """
 
 from __future__ import annotations
 
+import json
 import re
+import threading
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,9 +100,42 @@ def call_with_retry(fn: Callable[[str], str], prompt: str, attempts: int = K.CAL
     return None, err, attempts
 
 
+class _Ledger:
+    """Finished calls of one bucket of jobs: one JSON line per call, written
+    and flushed as the call ends, one file per task attempt.  Lines of earlier
+    attempts are read first; a line cut off by a lost executor is ignored."""
+
+    def __init__(self, url: str, bucket: int):
+        from docrevise.session import file_store
+        store, root = file_store(url)
+        folder = f"{root}/bucket={bucket}"
+        store.create_dir(folder, recursive=True)
+        self.known: dict[tuple, tuple] = {}
+        for info in store.get_file_info(fs.FileSelector(folder)):
+            with store.open_input_stream(info.path) as f:
+                for line in f.read().split(b"\n"):
+                    try:
+                        job, chunk, *result = json.loads(line)
+                    except ValueError:
+                        continue
+                    self.known[job, chunk] = tuple(result)
+        self.path, self.store, self.file, self.lock = f"{folder}/{uuid.uuid4().hex}.jsonl", store, None, threading.Lock()
+
+    def put(self, job, chunk, result: tuple) -> None:
+        with self.lock:
+            self.file = self.file or self.store.open_output_stream(self.path)
+            self.file.write(json.dumps([job, chunk, *result]).encode() + b"\n")
+            self.file.flush()
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def revise_chunks(prompts: DataFrame, fn: Callable[..., str], concurrency: int = K.MAX_CONCURRENT_CALLS,
                   attempts: int = K.CALL_ATTEMPTS, backoff: float = K.FIRST_BACKOFF_SEC,
-                  partitions: int | None = None, jobs_at_once: int = 4, budget_col: str | None = None) -> DataFrame:
+                  partitions: int | None = None, jobs_at_once: int = 4, budget_col: str | None = None,
+                  ledger: str | None = None, buckets: int = 256) -> DataFrame:
     """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no); with
     ``budget_col``, ``fn(prompt, max_tokens)`` with that column's value (C5).
 
@@ -107,35 +145,65 @@ def revise_chunks(prompts: DataFrame, fn: Callable[..., str], concurrency: int =
     not wait for each other, and different tasks run in parallel.  Only the
     key, the prompt and the budget cross into Python.  Returns job_id,
     chunk_no, body, error, error_class, calls.
+
+    With ``ledger`` (a folder that all executors share) every call that ends
+    without an error is recorded there as it ends; a retried task, or a new run
+    with the same folder, takes recorded calls from it and makes only the
+    missing ones.  Jobs are filed by a hash of their id in ``buckets`` folders,
+    so a task reads only those of its own jobs.  Calls that were under way when
+    an executor was lost are made again; failed calls are too.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     budget = F.col(budget_col).cast("int") if budget_col else F.lit(None).cast("int")
-    keyed = prompts.select("job_id", F.col("chunk_no").cast("long").alias("chunk_no"), "prompt", budget.alias("budget"))
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+    keyed = prompts.select(bucket.alias("bucket"), "job_id", F.col("chunk_no").cast("long").alias("chunk_no"), "prompt", budget.alias("budget"))
+    if ledger:
+        from docrevise.session import checkpoint_path, qualified
+        spark = prompts.sparkSession
+        ledger = qualified(spark, ledger if ledger.startswith("/") or ":/" in ledger else checkpoint_path(spark, ledger))
     keyed = keyed.repartition(partitions, "job_id") if partitions else keyed.repartition("job_id")
-    keyed = keyed.sortWithinPartitions("job_id", "chunk_no")
+    keyed = keyed.sortWithinPartitions("bucket", "job_id", "chunk_no")
 
     def run(batches):
-        def call(prompt, limit):
+        books: dict[int, _Ledger] = {}
+
+        def call(job, chunk, prompt, limit, book):
+            if book is not None and (job, chunk) in book.known:
+                return book.known[job, chunk]
             f = fn if budget_col is None else (lambda p: fn(p, int(limit)))
-            return call_with_retry(f, prompt, attempts, backoff)
+            out = call_with_retry(f, prompt, attempts, backoff)
+            if book is not None and out[1] is None:
+                book.put(job, chunk, out)
+            return out
 
         def one_job(grp):
+            book = books.get(grp["bucket"].iloc[0])
+            jobs = [None if pd.isna(j) else j for j in grp["job_id"]]
             with ThreadPoolExecutor(max_workers=max(concurrency, 1)) as pool:
-                return list(pool.map(call, grp["prompt"].tolist(), grp["budget"].tolist()))
-
-        with ThreadPoolExecutor(max_workers=max(jobs_at_once, 1)) as outer:
-            for pdf in batches:
-                # rows are sorted by job: the jobs' results in order are the rows' results
-                groups = [grp for _, grp in pdf.groupby("job_id", sort=False, dropna=False)]
-                out = [r for res in outer.map(one_job, groups) for r in res]
-                rows = [i for grp in groups for i in grp.index]
-                pdf = pdf.loc[rows]
-                yield pd.DataFrame({
-                    "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
-                    "body": [o[0] for o in out], "error": [o[1] for o in out],
-                    "error_class": [_py_error_class(o[1]) for o in out],
-                    "calls": [o[2] for o in out]})
+                return list(pool.map(call, jobs, grp["chunk_no"].tolist(), grp["prompt"].tolist(), grp["budget"].tolist(), [book] * len(grp)))
+
+        try:
+            with ThreadPoolExecutor(max_workers=max(jobs_at_once, 1)) as outer:
+                for pdf in batches:
+                    if ledger:
+                        now = set(pdf["bucket"].tolist())
+                        for k in [k for k in books if k not in now]:
+                            books.pop(k).close()
+                        books.update({k: _Ledger(ledger, k) for k in now if k not in books})
+                    # rows are sorted by job: the jobs' results in order are the rows' results
+                    groups = [grp for _, grp in pdf.groupby("job_id", sort=False, dropna=False)]
+                    out = [r for res in outer.map(one_job, groups) for r in res]
+                    rows = [i for grp in groups for i in grp.index]
+                    pdf = pdf.loc[rows]
+                    yield pd.DataFrame({
+                        "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
+                        "body": [o[0] for o in out], "error": [o[1] for o in out],
+                        "error_class": [_py_error_class(o[1]) for o in out],
+                        "calls": [o[2] for o in out]})
+        finally:
+            for book in books.values():
+                book.close()
 
     schema = "job_id string, chunk_no long, body string, error string, error_class string, calls int"
     return keyed.mapInPandas(run, schema)

@@ -9,8 +9,8 @@ Layout of the work:
   T5, and T7-T9, is one narrow stage over the documents.
 * Rows are exploded per block, so a window is cut from a few blocks, never
   from the whole text, and time is linear in text, hits and windows.
-* T6 finds containment from the places of windows, integers only (see
-  ``uncontained``); text is shuffled once, to remove exact copies.
+* T6 finds containment from the positions of windows (see ``uncontained``);
+  only the windows themselves are shuffled, once.
 * Nothing here writes a table, starts a job or sets a session option.
   ``store_jobs`` writes the joined requests for plans that read them often.
 """
@@ -18,6 +18,7 @@ Layout of the work:
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrevise.functions import constants as K
-from docrevise.functions.text import (
-    WS, exclusive_sums, let, lookahead_regex, py_split, py_strip, quote_regex, running, str_array,
-    window_text,
-)
+from docrevise.functions.text import WS, py_split, sql_let, sql_running, sql_str, sql_strip, window_text
 from docrevise.operators import instructions as I
 
 
@@ -88,13 +86,17 @@ def prepare_jobs(requests: DataFrame, docs: DataFrame, hot_share: float = 0.001,
     return _finish_jobs(join_requests(requests, docs, hot_share, max_bytes=max_bytes))
 
 
-def jobs_from_documents(docs: DataFrame, instruction: str | Column) -> DataFrame:
+def jobs_from_documents(docs: DataFrame, instruction: str | Column, partitions: int | None = None) -> DataFrame:
     """One job per document, with the same instruction for all or one derived
-    from the document's columns (no join needed)."""
+    from the document's columns (no join needed).
+
+    Rows stay where they were read; ``partitions`` deals them out by
+    ``job_id`` instead, for tables of fewer files than there are cores."""
     instr = instruction if isinstance(instruction, Column) else F.lit(instruction)
     keep = ["html"] if "html" in docs.columns else []
-    return _finish_jobs(docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), "doc_id",
-                                    instr.alias("instruction"), "text", *keep, F.lit(True).alias("found")))
+    jobs = docs.select(F.concat(F.lit("job-"), F.col("doc_id").cast("string")).alias("job_id"), "doc_id",
+                       instr.alias("instruction"), "text", *keep, F.lit(True).alias("found"))
+    return _finish_jobs(jobs.repartition(partitions, "job_id") if partitions else jobs)
 
 
 def store_jobs(jobs: DataFrame, name: str | None = None, buckets: int | None = None) -> DataFrame:
@@ -113,76 +115,58 @@ def store_jobs(jobs: DataFrame, name: str | None = None, buckets: int | None = N
 
 
 # ---------------------------------------------------------------- T1 occurrences
+# The nested array expressions are SQL text: one call to the JVM each.
 #: Characters per text block.
 BLOCK = 1024
+_NONE = "cast(array() as array<bigint>)"
 
 
-def blocks_of(text: Column, size: int = BLOCK) -> Column:
-    """Consecutive pieces of ``size`` characters (the last one shorter)."""
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
-
-
-def _joined(blocks: Column, first, count) -> Column:
-    """The text of ``count`` blocks from number ``first`` (0-based)."""
-    return F.array_join(F.slice(blocks, first + 1, count), "")
-
-
-def may_overlap(term: Column) -> Column:
-    """Whether ``term`` may overlap itself: a proper prefix that is also a
-    suffix.  Exact up to 7 characters; longer ones are seen by a second place
-    of the first 8."""
-    n = F.length(term)
-    short = F.when(n > 1, F.exists(F.sequence(F.lit(1), F.least(n - 1, F.lit(7))),
-                                   lambda b: F.call_function("left", term, b) == F.call_function("right", term, b)))
-    long = (n > 8) & (F.call_function("locate", F.call_function("left", term, F.lit(8)), term, F.lit(2)) > 0)
-    return F.coalesce(short, F.lit(False)) | long
+def blocks_of(text: str, size: int = BLOCK) -> str:
+    """SQL text: consecutive pieces of ``size`` characters (the last one shorter)."""
+    return f"if(length({text}) <= {size}, array({text}), regexp_extract_all({text}, '(?s).{{1,{size}}}', 0))"
 
 
-def block_hits(blocks: Column, term: Column, overlapping: bool = False, size: int = BLOCK) -> Column:
-    """Array of arrays: per block, the 0-based positions in the whole text
-    where ``term`` starts in that block, ascending.
+def may_overlap(t: str) -> str:
+    """SQL text: whether term ``t`` may overlap itself (a proper prefix that is
+    also a suffix).  Exact up to 7 characters; longer ones are seen by a second
+    place of the first 8."""
+    return (f"(coalesce(length({t}) > 1 and exists(sequence(1, least(length({t}) - 1, 7)), _b -> left({t}, _b) = right({t}, _b)), false)"
+            f" or (length({t}) > 8 and locate(left({t}, 8), {t}, 2) > 0))")
 
-    By default only the hits that a left-to-right search stepping by the
-    term's length finds; ``overlapping`` gives every start.  The two differ
-    only for terms that may overlap themselves, so the others use the plain
-    literal split (Boyer-Moore)."""
-    none = F.array().cast("array<bigint>")
-    n = F.length(term)
 
-    def sums(lens: Column, step) -> Column:
-        init = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-        return F.aggregate(lens, init, lambda a, p: F.struct((a["at"] + p + step).cast("bigint").alias("at"),
-                                                             F.array_append(a["out"], (a["at"] + p).cast("bigint")).alias("out")))["out"]
+def block_starts(blocks: str, t: str, overlaps: str, size: int = BLOCK) -> str:
+    """SQL text: array of arrays, per block the 0-based positions in the whole
+    text where term ``t`` starts in that block, ascending, overlapping ones
+    too.  Terms that cannot overlap themselves use the plain literal split
+    (Boyer-Moore), the others one that stops at every start."""
+    literal = f"concat({sql_str(chr(92) + 'Q')}, replace({t}, {sql_str(chr(92) + 'E')}, {sql_str(r'\E\\E\Q')}), {sql_str(chr(92) + 'E')})"
+    regex = f"if({overlaps}, concat('(?=', {literal}, ')'), {literal})"
+    # all parts but the last end before a hit; a block has at most ``size``
+    sums = (f"aggregate(slice(_l, 1, size(_l) - 1), named_struct('v', 0L, 'out', {_NONE}), "
+            f"(_a, _p) -> named_struct('v', _a.v + _p + if({overlaps}, 0, length({t})), 'out', array_append(_a.out, _a.v + _p)), _a -> _a.out)")
+    hits = sql_let(f"transform(split(_x, {regex}, -1), _p -> length(_p))", "_l", sums)
+    lead = f"if({overlaps} and startswith(_x, {t}), array(0L), {_NONE})"
+    inside = f"if(contains(_x, {t}), concat({lead}, filter({hits}, _p -> not {overlaps} or _p > 0)), {_NONE})"
+    more = f"left(array_join(slice({blocks}, _i + 2, cast(ceil((length({t}) - 1) / {size}) as int)), ''), length({t}) - 1)"
+    found = sql_let(f"concat(_b, if(length({t}) > 1, {more}, ''))", "_x", inside)
+    return f"transform({blocks}, (_b, _i) -> if(length({t}) > 0, transform({found}, _p -> _p + cast(_i as bigint) * {size}), {_NONE}))"
 
-    def lengths(text: Column, regex: Column) -> Column:
-        # all but the last: a block has at most ``size`` hits
-        return let(F.transform(F.split(text, regex, -1), lambda p: F.length(p)), lambda x: F.slice(x, F.lit(1), F.size(x) - 1))
 
-    def in_block(text: Column) -> Column:
-        plain = sums(lengths(text, quote_regex(term)), n)
-        every = F.concat(F.when(F.startswith(text, term), F.array(F.lit(0).cast("bigint"))).otherwise(none),
-                         F.filter(sums(lengths(text, lookahead_regex(term)), F.lit(0)), lambda p: p > 0))
-        return F.when(~F.contains(text, term), none).when(may_overlap(term), every).otherwise(plain)
+def stepping(starts: str, t: str, overlaps: str) -> str:
+    """SQL text: of ``block_starts``, the hits that a left-to-right search
+    stepping by the term's length finds."""
+    kept = (f"aggregate(_h, named_struct('v', _a.v, 'out', {_NONE}), (_x, _p) -> if(_p < _x.v, _x, "
+            f"named_struct('v', _p + length({t}), 'out', array_append(_x.out, _p))))")
+    fold = sql_let(kept, "_k", "named_struct('v', _k.v, 'out', array_append(_a.out, _k.out))")
+    return (f"if({overlaps}, aggregate({starts}, named_struct('v', 0L, 'out', cast(array() as array<array<bigint>>)), "
+            f"(_a, _h) -> {fold}, _a -> _a.out), {starts})")
 
-    def of(block: Column, i: Column) -> Column:
-        more = F.ceil((n - 1) / F.lit(size)).cast("int")
-        text = F.concat(block, F.when(n > 1, F.call_function("left", _joined(blocks, i + 1, more), n - 1)).otherwise(F.lit("")))
-        return F.transform(let(text, in_block), lambda p: p + i.cast("bigint") * size)
 
-    found = F.when(n > 0, F.transform(blocks, of)).otherwise(F.transform(blocks, lambda b: none))
-    if overlapping:
-        return found
-
-    def greedy(hits: Column) -> Column:
-        def step(a: Column, h: Column) -> Column:
-            inner = F.struct(a["end"].alias("end"), none.alias("out"))
-            kept = F.aggregate(h, inner, lambda x, p: F.when(p < x["end"], x).otherwise(
-                F.struct((p + n).cast("bigint").alias("end"), F.array_append(x["out"], p).alias("out"))))
-            return let(kept, lambda k: F.struct(k["end"].alias("end"), F.array_append(a["out"], k["out"]).alias("out")))
-        init = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<array<bigint>>").alias("out"))
-        return F.aggregate(hits, init, step)["out"]
-    return F.when(may_overlap(term), greedy(found)).otherwise(found)
+def _with_hits(x: DataFrame) -> DataFrame:
+    """Adds ``_ov``, ``_all`` (all starts) and ``_hits`` (stepping ones) of
+    ``_t`` in ``_lb``."""
+    x = x.selectExpr("*", f"{may_overlap('_t')} as _ov").selectExpr("*", f"{block_starts('_lb', '_t', '_ov')} as _all")
+    return x.selectExpr("*", f"{stepping('_all', '_t', '_ov')} as _hits")
 
 
 def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping: bool = False) -> DataFrame:
@@ -199,229 +183,224 @@ def occurrences(jobs: DataFrame, terms: DataFrame, keys: list[str], overlapping:
     lengthens it).  Terms of the job's own instruction need no join: see
     ``instruction_occurrences``.
     """
-    x = terms.select("job_id", *keys, "term").join(jobs.select("job_id", blocks_of(F.col("lower_text")).alias("_lb")), "job_id")
+    x = terms.select("job_id", *keys, "term").join(jobs.selectExpr("job_id", f"{blocks_of('lower_text')} as _lb"), "job_id")
     return _positions(x, keys, overlapping)
 
 
 def _positions(x: DataFrame, keys: list[str], overlapping: bool = False) -> DataFrame:
-    x = x.withColumn("_t", F.lower("term"))
-    hits = F.flatten(block_hits(F.col("_lb"), F.col("_t"), overlapping))
-    return x.select("job_id", *keys, "term", F.length("_t").alias("term_len"), F.posexplode(hits).alias("occ", "pos"))
+    x = _with_hits(x.selectExpr("*", "lower(term) as _t"))
+    hits = "posexplode_outer(flatten({})) as (occ, pos)".format("_all" if overlapping else "_hits")
+    return x.selectExpr("job_id", *keys, "term", "length(_t) as term_len", hits).where("occ is not null")
 
 
-def instruction_occurrences(jobs: DataFrame, terms: Column) -> DataFrame:
-    """T1 for the terms of the job's own instruction (an array of
-    ``TERM`` structs, see ``quoted_terms`` etc.), without a join:
-    ``job_id, src, k1, k2, term, term_len, occ, pos``."""
-    x = jobs.select("job_id", blocks_of(F.col("lower_text")).alias("_lb"), terms.alias("_terms"))
-    x = x.select("job_id", "_lb", F.explode("_terms").alias("_x")).select("job_id", "_lb", "_x.src", "_x.k1", "_x.k2", "_x.term")
-    return _positions(x, ["src", "k1", "k2"])
+def instruction_occurrences(jobs: DataFrame, terms: str) -> DataFrame:
+    """T1 for the terms of the job's own instruction (``quoted_terms`` etc.),
+    without a join: ``job_id, src, k1, k2, term, term_len, occ, pos``."""
+    x = jobs.selectExpr("job_id", f"{blocks_of('lower_text')} as _lb", f"{terms} as _terms")
+    x = x.selectExpr("job_id", "_lb", "explode_outer(_terms) as _x").where("_x is not null")
+    return _positions(x.selectExpr("job_id", "_lb", "_x.src", "_x.k1", "_x.k2", "_x.term"), ["src", "k1", "k2"])
 
 
 # ---------------------------------------------------------------- terms of an instruction
-def _term(src: int, k1: Column, k2, term: Column, before: int, after: int, first: bool) -> Column:
-    return F.struct(F.lit(src).alias("src"), k1.cast("int").alias("k1"), (k2.cast("int") if isinstance(k2, Column) else F.lit(k2)).alias("k2"),
-                    term.alias("term"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(first).alias("first"))
-
+def _term(src: int, k1: str, k2: str, term: str, before: int, after: int, first: bool) -> str:
+    return (f"named_struct('src', {src}, 'k1', {k1}, 'k2', {k2}, 'term', {term}, 'before', {before}, 'after', {after}, "
+            f"'only_first', {str(first).lower()})")
 
-def quoted_terms(instr: Column, before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER, min_len: int = K.MIN_QUOTED_LEN) -> Column:
-    """The quoted spans (I1) as search terms, in order."""
-    spans = F.transform(I.quoted_spans_array(instr), lambda s, i: _term(1, i, 0, s, before, after, False))
-    return F.filter(spans, lambda t: F.length(t["term"]) > min_len)
 
+def quoted_terms(before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER, min_len: int = K.MIN_QUOTED_LEN) -> str:
+    """SQL text: the quoted spans (I1) of ``instruction`` as search terms, in order."""
+    spans = "concat({})".format(", ".join(f"regexp_extract_all(instruction, {sql_str(p)}, 1)" for p in (I.DOUBLE_QUOTED, I.SINGLE_QUOTED)))
+    return f"filter(transform({spans}, (_s, _i) -> {_term(1, '_i', '0', '_s', before, after, False)}), _t -> length(_t.term) > {min_len})"
 
-def action_terms(instr: Column, verbs=None, before: int = K.ACTION_BEFORE, after: int = K.ACTION_AFTER) -> Column:
-    """The action phrases (I2, I3) as search terms, first hit only."""
-    verbs = verbs or K.ACTION_VERBS
-    parts = F.filter(F.transform(F.split(instr, I.PART_SEPARATOR, -1), lambda p, i: F.struct(i.alias("i"), py_strip(p).alias("p"))),
-                     lambda x: F.length(x["p"]) >= K.MIN_PART_LEN)
 
-    def phrase(x: Column, verb: Column, v: Column) -> Column:
-        def at(pos: Column) -> Column:
-            rest = py_strip(F.call_function("substring", x["p"], pos + F.length(verb) + 1))
-            guards = (pos >= 0) & (pos + F.length(verb) + 1 < F.length(x["p"]))
-            search = let(rest, lambda r: F.when(F.length(r) > 3, F.array_join(F.slice(F.split(r, f"{WS}+", -1), 1, 3), " ")))
-            return F.when(guards, _term(2, x["i"], v, search, before, after, True))
-        return let(F.call_function("locate", verb, F.lower(x["p"])) - 1, at)
-    found = F.flatten(F.transform(parts, lambda x: F.transform(str_array(verbs), lambda verb, v: phrase(x, verb, v))))
-    return F.filter(found, lambda t: t.isNotNull() & F.coalesce(F.length(t["term"]) > 3, F.lit(False)))
+def action_terms(verbs=None, before: int = K.ACTION_BEFORE, after: int = K.ACTION_AFTER) -> str:
+    """SQL text: the action phrases (I2, I3) as search terms, first hit only."""
+    verbs = "array({})".format(", ".join(map(sql_str, verbs or K.ACTION_VERBS)))
+    parts = (f"filter(transform(split(instruction, {sql_str(I.PART_SEPARATOR)}, -1), (_p, _i) -> named_struct('i', _i, 'p', {sql_strip('_p')})), "
+             f"_x -> length(_x.p) >= {K.MIN_PART_LEN})")
+    words = f"array_join(slice(split(_r, {sql_str(WS + '+')}, -1), 1, 3), ' ')"
+    search = sql_let(sql_strip("substring(_x.p, _at + length(_verb) + 1)"), "_r", f"if(length(_r) > 3, {words}, null)")
+    found = sql_let("locate(_verb, lower(_x.p)) - 1", "_at", f"if(_at >= 0 and _at + length(_verb) + 1 < length(_x.p), "
+                    f"{_term(2, '_x.i', '_v', search, before, after, True)}, null)")
+    return (f"filter(flatten(transform({parts}, _x -> transform({verbs}, (_verb, _v) -> {found}))), "
+            f"_t -> _t is not null and coalesce(length(_t.term) > 3, false))")
 
 
-def field_terms(instr: Column, fields=None, before: int = K.FIELD_BEFORE, after: int = K.FIELD_AFTER) -> Column:
-    """The fields that the instruction mentions (I4) as search terms."""
-    low = F.lower(instr)
-    found = F.transform(str_array(fields or K.CONTRACT_FIELDS), lambda f, i: _term(3, i, 0, f, before, after, False))
-    return F.filter(found, lambda t: F.contains(low, t["term"]))
+def field_terms(fields=None, before: int = K.FIELD_BEFORE, after: int = K.FIELD_AFTER) -> str:
+    """SQL text: the fields that ``instruction`` mentions (I4) as search terms."""
+    names = "array({})".format(", ".join(map(sql_str, fields or K.CONTRACT_FIELDS)))
+    return f"filter(transform({names}, (_f, _i) -> {_term(3, '_i', '0', '_f', before, after, False)}), _t -> contains(lower(instruction), _t.term))"
 
 
-def concat_terms(*terms: Column) -> Column:
-    return F.concat(*terms)
+def concat_terms(*terms: str) -> str:
+    return "concat({})".format(", ".join(terms))
 
 
-def all_terms(instr: Column, fields=None, verbs=None) -> Column:
-    return concat_terms(quoted_terms(instr), action_terms(instr, verbs), field_terms(instr, fields))
+def all_terms(fields=None, verbs=None) -> str:
+    return concat_terms(quoted_terms(), action_terms(verbs), field_terms(fields))
 
 
 # ---------------------------------------------------------------- T2-T5 context windows
-def _windows(jobs: DataFrame, terms: Column, every: bool = False) -> DataFrame:
+def _windows(jobs: DataFrame, terms: str, every: bool = False) -> DataFrame:
     """``job_id, src, k1, k2, k3, target, ws, ord`` per hit: the text from
     ``before`` characters before it to ``after`` behind it, clipped.  ``ord``
     orders a job's rows as (src, k1, k2, k3) do.
 
-    With ``every`` there is also a row (``real`` false) for each start that the
-    stepping search skips, and ``alone`` marks the windows whose text may stand
-    where the term has no window of this shape (see ``uncontained``)."""
-    x = jobs.select("job_id", "n_chars", blocks_of(F.col("text")).alias("_tb"), blocks_of(F.col("lower_text")).alias("_lb"),
-                    F.contains("text", F.lit(K.LENGTHENING_LETTER)).alias("_odd"), terms.alias("_terms"))
-    x = x.select("job_id", "n_chars", "_tb", "_lb", "_odd", F.posexplode("_terms").alias("_no", "_x")).select(
-        "job_id", "n_chars", "_tb", "_lb", "_odd", "_no", "_x.*").withColumn("_t", F.lower("term"))
-    real = block_hits(F.col("_lb"), F.col("_t"))
-    x = x.withColumn("_hits", real)
-    if every:  # skipped starts exist only for terms that may overlap themselves
-        skipped = F.arrays_zip(block_hits(F.col("_lb"), F.col("_t"), overlapping=True).alias("a"), F.col("_hits").alias("b"))
-        x = x.withColumn("_skipped", F.when(may_overlap(F.col("_t")) & ~F.col("first"), F.transform(skipped, lambda z: F.array_except(z["a"], z["b"]))))
-    starts = exclusive_sums(F.transform("_hits", lambda h: F.size(h)))
-    x = x.withColumn("_base", F.when(F.exists("_hits", lambda h: F.size(h) > 0), starts))
-    back = F.ceil(F.col("before") / F.lit(BLOCK)).cast("int")
-    ahead = F.ceil((F.length("term") + F.length("_t") + F.col("after")) / F.lit(BLOCK)).cast("int")
-
-    def piece(i: Column) -> Column:
-        return F.struct(F.greatest(i - back, F.lit(0)).alias("from"), _joined(F.col("_tb"), F.greatest(i - back, F.lit(0)), F.least(i, back) + 1 + ahead).alias("text"))
-    rows = F.transform("_hits", lambda h, i: F.struct(
-        i.alias("i"), F.when(F.col("first"), F.slice(h, 1, 1)).otherwise(h).alias("h"), F.get(F.col("_base"), i).alias("n0"),
-        (F.get(F.col("_skipped"), i) if every else F.lit(None).cast("array<bigint>")).alias("s")))
-    more = lambda z: F.coalesce(F.size(z["s"]) > 0, F.lit(False))
-    rows = F.filter(rows, lambda z: ((F.size(z["h"]) > 0) & (~F.col("first") | (z["n0"] == 0))) | more(z))
-    x = x.select("job_id", "n_chars", "_odd", "_no", "src", "k1", "k2", "before", "after", F.length("term").alias("_n"), F.explode(
-        F.transform(rows, lambda z: F.struct(z["h"].alias("h"), z["s"].alias("s"), z["n0"].alias("n0"), piece(z["i"]).alias("p")))).alias("_z"))
-
-    def window(p: Column, k3, is_real: bool) -> Column:
-        ws = F.greatest(p - F.col("before"), F.lit(0).cast("bigint"))
-        end = p + F.col("_n") + F.col("after")
-        text = F.call_function("substring", F.col("_z.p.text"), (ws - F.col("_z.p.from").cast("bigint") * BLOCK + 1).cast("int"), (end - ws).cast("int"))
-        clipped = (p < F.col("before")) | (end > F.col("n_chars"))
-        return F.struct(k3.cast("int").alias("k3"), ws.alias("ws"), text.alias("target"), F.lit(is_real).alias("real"),
-                        (clipped | F.col("_odd") | (F.col("src") == 2)).alias("alone"))
-    all_windows = F.transform("_z.h", lambda p, j: window(p, F.col("_z.n0") + j, True))
+    With ``every`` there is also a row (``stepped`` false) for each start that
+    the stepping search skips, and ``alone`` marks the windows whose text may
+    stand where the term has no window of this shape (see ``uncontained``)."""
+    x = jobs.selectExpr("job_id", "n_chars", f"{blocks_of('text')} as _tb", f"{blocks_of('lower_text')} as _lb",
+                        f"contains(text, {sql_str(K.LENGTHENING_LETTER)}) as _odd", f"{terms} as _terms")
+    # outer: else a filter on the size of the array repeats its whole expression at the scan
+    x = x.selectExpr("job_id", "n_chars", "_tb", "_lb", "_odd", "posexplode_outer(_terms) as (_no, _x)").where("_no is not null")
+    x = _with_hits(x.selectExpr("job_id", "n_chars", "_tb", "_lb", "_odd", "_no", "_x.*", "lower(_x.term) as _t"))
+    # skipped starts exist only for terms that may overlap themselves
+    skipped = "if(_ov and not only_first, zip_with(_all, _hits, (_a, _b) -> array_except(_a, _b)), null)" if every else "cast(null as array<array<bigint>>)"
+    sums = sql_running("transform(_hits, _h -> size(_h))", "_y.v + _n", "0")
+    x = x.selectExpr("*", f"{skipped} as _skipped", f"if(exists(_hits, _h -> size(_h) > 0), {sums}, null) as _base",
+                     f"cast(ceil(before / {BLOCK}) as int) as _back", f"cast(ceil((length(term) + length(_t) + after) / {BLOCK}) as int) as _ahead")
+    rows = ("filter(transform(_hits, (_h, _i) -> named_struct('i', _i, 'h', if(only_first, slice(_h, 1, 1), _h), 'n0', get(_base, _i), 's', get(_skipped, _i))), "
+            "_z -> (size(_z.h) > 0 and (not only_first or _z.n0 = 0)) or coalesce(size(_z.s) > 0, false))")
+    piece = "array_join(slice(_tb, greatest(_z.i - _back, 0) + 1, least(_z.i, _back) + 1 + _ahead), '')"
+    x = x.selectExpr("job_id", "n_chars", "_odd", "_no", "src", "k1", "k2", "before", "after", "length(term) as _n", f"""explode_outer(transform({rows},
+        _z -> named_struct('h', _z.h, 's', _z.s, 'n0', _z.n0, 'lo', greatest(_z.i - _back, 0), 'text', {piece}))) as _z""").where("_z is not null")
+
+    def window(k3: str, stepped: str) -> str:
+        ws, end = "greatest(_p - before, 0L)", "(_p + _n + after)"
+        return (f"named_struct('k3', cast({k3} as int), 'ws', {ws}, 'target', substring(_z.text, cast({ws} - cast(_z.lo as bigint) * {BLOCK} + 1 as int), "
+                f"cast({end} - {ws} as int)), 'stepped', {stepped}, 'alone', _p < before or {end} > n_chars or _odd or src = 2)")
+    windows = f"transform(_z.h, (_p, _j) -> {window('_z.n0 + _j', 'true')})"
     if every:
-        all_windows = F.concat(all_windows, F.transform(F.coalesce("_z.s", F.array().cast("array<bigint>")), lambda p: window(p, F.lit(None), False)))
-    x = x.select("job_id", "src", "k1", "k2", "_no", F.explode(all_windows).alias("_w"))
-    x = x.select("job_id", "src", "k1", "k2", F.col("_w.k3").alias("k3"), F.col("_w.target").alias("target"), F.col("_w.ws").alias("ws"),
-                 (F.shiftleft(F.col("_no").cast("bigint"), 32) + F.col("_w.k3")).alias("ord"), F.col("_w.real").alias("real"), F.col("_w.alone").alias("alone"))
-    return x if every else x.drop("real", "alone")
+        windows = f"concat({windows}, transform(coalesce(_z.s, {_NONE}), _p -> {window('null', 'false')}))"
+    x = x.selectExpr("job_id", "src", "k1", "k2", "_no", f"explode_outer({windows}) as _w").where("_w is not null")
+    more = ["_w.stepped as stepped", "_w.alone as alone"] if every else []
+    return x.selectExpr("job_id", "src", "k1", "k2", "_w.k3 as k3", "_w.target as target", "_w.ws as ws", "shiftleft(cast(_no as bigint), 32) + _w.k3 as ord", *more)
 
 
 def quoted_windows(jobs: DataFrame, before: int = K.QUOTED_BEFORE, after: int = K.QUOTED_AFTER) -> DataFrame:
     """Every occurrence of every quoted span; ``before``/``after`` context."""
-    return _windows(jobs, quoted_terms(F.col("instruction"), before, after))
+    return _windows(jobs, quoted_terms(before, after))
 
 
 def action_windows(jobs: DataFrame, verbs=None, before: int = K.ACTION_BEFORE, after: int = K.ACTION_AFTER) -> DataFrame:
     """First occurrence of each action phrase's search words."""
-    return _windows(jobs, action_terms(F.col("instruction"), verbs, before, after))
+    return _windows(jobs, action_terms(verbs, before, after))
 
 
 def field_windows(jobs: DataFrame, fields=None, before: int = K.FIELD_BEFORE, after: int = K.FIELD_AFTER) -> DataFrame:
     """T4: every occurrence of every field mentioned in the instruction."""
-    return _windows(jobs, field_terms(F.col("instruction"), fields, before, after))
+    return _windows(jobs, field_terms(fields, before, after))
 
 
 def target_candidates(jobs: DataFrame, fields=None, verbs=None) -> DataFrame:
     """T5: T2, then T3, then T4, ordered by (src, k1, k2, k3), in one pass."""
-    return _windows(jobs, all_terms(F.col("instruction"), fields, verbs))
+    return _windows(jobs, all_terms(fields, verbs))
 
 
 # ---------------------------------------------------------------- T6 drop contained
+def _kept(rows: list[tuple]) -> list[tuple[int, str]]:
+    """One job's (ord, ws, target, stepped, alone) rows, sorted by ord: the
+    kept (ord, target).
+
+    The places of a text are its rows' own places; those of ``alone`` texts
+    are not all known, so they are looked for inside the longer texts."""
+    classes: dict[str, int] = {}
+    first: list[tuple[int, int, int, str]] = []  # ord, ws, length, text
+    for o, ws, text, stepped, _ in rows:
+        if stepped and text not in classes:
+            classes[text] = len(first)
+            first.append((o, ws, len(text), text))
+    lengths = {f[2] for f in first}
+    near: list[set] = [set() for _ in first]
+    if len(lengths) > 1:
+        longest = max(lengths)
+        by_start = sorted(range(len(first)), key=lambda i: first[i][1])
+        starts = [first[i][1] for i in by_start]
+        alone = set()
+        for _, ws, text, _, lone in rows:
+            x = classes.get(text)
+            if x is None:
+                continue
+            if lone:
+                alone.add(x)
+                continue
+            n = len(text)
+            for k in range(bisect_left(starts, ws + n - longest), bisect_right(starts, ws)):
+                y = by_start[k]
+                if first[y][2] > n and starts[k] + first[y][2] >= ws + n:
+                    near[x].add(y)
+                    near[y].add(x)
+        for x in alone:
+            text, n = first[x][3], first[x][2]
+            for y, f in enumerate(first):
+                if f[2] > n and text in f[3]:
+                    near[x].add(y)
+                    near[y].add(x)
+    kept, out = [False] * len(first), []
+    for i, f in enumerate(first):
+        if not any(kept[j] for j in near[i]):
+            kept[i] = True
+            out.append((f[0], f[3]))
+    return out
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conflicts (job_id, late, early), sorted by (job_id, late): a candidate is
-    dropped if one of its earlier conflicts is kept.  Holds the dropped numbers
-    of one job at a time."""
-    job, last, dropped = None, None, set()
+    """Rows sorted by job and order, one job held at a time."""
+    job, rows = None, []
+
+    def result(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()),
+                                           pa.array([x[2] for x in done], pa.string())], ["job_id", "ord", "target"])
     for b in batches:
-        out_job, out = [], []
-        for j, late, early in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        done = []
+        for j, *row in zip(*[c.to_pylist() for c in b.columns]):
             if j != job:
-                job, last, dropped = j, None, set()
-            if late == last and late in dropped:
-                continue
-            last = late
-            if early not in dropped:
-                dropped.add(late)
-                out_job.append(j)
-                out.append(late)
-        yield pa.RecordBatch.from_arrays([pa.array(out_job, pa.string()), pa.array(out, pa.int64())], ["job_id", "ord"])
-
-
-def _places_of(texts: DataFrame, jobs: DataFrame) -> DataFrame:
-    """``job_id, target, ws``: every start of each text in its job's text."""
-    x = texts.select("job_id", "target").where(F.length("target") > 0).distinct()
-    x = x.join(jobs.select("job_id", blocks_of(F.col("text")).alias("_tb")), "job_id")
-    return x.select("job_id", "target", F.explode(F.flatten(block_hits(F.col("_tb"), F.col("target"), overlapping=True))).alias("ws"))
-
-
-def _uncontained(classes: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """``classes``: job_id, target, ord, ws (one place of the text) per distinct
-    text.  ``places``: job_id, target, ws of whatever texts stand inside
-    others.  One row per kept class."""
-    name = lambda: [F.xxhash64("target").alias("h1"), F.xxhash64(F.lit(1), "target").alias("h2")]  # noqa: E731  128 bits
-    size = F.length("target").cast("bigint").alias("n")
-    known = classes.select("job_id", "ord", *name(), "ws", size)
-    x = places.select("job_id", *name(), "ws", size).where("n > 0")
-    # a text lies in the bucket of its start, a containing one in those that it spans
-    bucket = lambda c: F.floor(c / F.lit(span)).cast("bigint")
-    outer = known.select("job_id", F.col("ord").alias("outer"), F.col("ws").alias("o_ws"), F.col("n").alias("o_n"),
-                         F.explode(F.sequence(bucket(F.col("ws")), bucket(F.col("ws") + F.greatest(F.col("n") - 1, F.lit(0))))).alias("bucket"))
-    inside = x.withColumn("bucket", bucket(F.col("ws"))).join(outer, ["job_id", "bucket"]).where(
-        "n < o_n and ws >= o_ws and ws + n <= o_ws + o_n").select("job_id", "h1", "h2", "outer").distinct()
-    pairs = inside.join(known.select("job_id", "h1", "h2", "ord"), ["job_id", "h1", "h2"])
-    conflicts = pairs.select("job_id", F.greatest("ord", "outer").alias("late"), F.least("ord", "outer").alias("early"))
-    dropped = conflicts.repartition("job_id").sortWithinPartitions("job_id", "late", "early").mapInArrow(_walk, "job_id string, ord bigint")
-    # an empty candidate stands in every other: it is kept alone where it is the first
-    empty = F.min(F.when(F.length("target") == 0, F.col("ord")))
-    # every reader of ``classes`` asks for the same columns, so its exchange is made once
-    classes = classes.where("ws >= 0")
-    lone = classes.groupBy("job_id").agg((F.min("ord") == empty).alias("alone")).where("alone is not null")
-    kept = classes.join(dropped, ["job_id", "ord"], "left_anti").join(lone, "job_id", "left")
-    return kept.where(F.col("alone").isNull() | (F.col("alone") == (F.col("target") == ""))).select("job_id", "ord", "target")
-
-
-def drop_contained(cands: DataFrame, jobs: DataFrame, span: int = BLOCK) -> DataFrame:
-    """Walk candidates (job_id, src, k1, k2, k3, target, ws: a place of the
-    target in the job's text) in order and drop one that contains, or is
-    contained in, an already kept candidate (case-sensitive).
-
-    For any candidates: every text is searched in its document.  Returns
-    ``job_id, ord, target``, ``ord`` in the order of (src, k1, k2, k3); exact
-    copies meet the fate of their first.  For the candidates of T5
-    ``uncontained`` needs no search."""
+                done += [(job, *k) for k in _kept(rows)]
+                job, rows = j, []
+            rows.append(row)
+        yield result(done)
+    yield result([(job, *k) for k in _kept(rows)])
+
+
+def _uncontained(rows: DataFrame) -> DataFrame:
+    rows = rows.select("job_id", F.col("ord").cast("long"), F.col("ws").cast("long"), "target", "stepped", "alone")
+    # skipped starts have no number of their own: they sort first
+    rows = rows.repartition("job_id").sortWithinPartitions("job_id", "ord")
+    return rows.mapInArrow(_walk, "job_id string, ord bigint, target string")
+
+
+def drop_contained(cands: DataFrame) -> DataFrame:
+    """Walk candidates (job_id, src, k1, k2, k3, target) in order and drop
+    one that contains, or is contained in, an already kept candidate
+    (case-sensitive).  Returns ``job_id, ord, target``, ``ord`` in the order of
+    (src, k1, k2, k3); exact copies meet the fate of their first.
+
+    For any candidates: texts of different lengths are compared.  For those of
+    T5 ``uncontained`` needs almost no text comparison."""
     order = Window.partitionBy("job_id").orderBy("src", "k1", "k2", "k3")
-    first = cands.groupBy("job_id", "target").agg(F.min(F.struct("src", "k1", "k2", "k3", F.col("ws").cast("bigint").alias("ws"))).alias("f"))
-    classes = first.select("job_id", "target", "f.*").select("job_id", "target", "ws", F.row_number().over(order).cast("bigint").alias("ord"))
-    return _uncontained(classes, _places_of(classes, jobs), span)
+    return _uncontained(cands.select("job_id", F.row_number().over(order).alias("ord"), F.lit(0).alias("ws"), "target",
+                                     F.lit(True).alias("stepped"), F.lit(True).alias("alone")))
 
 
-def uncontained(jobs: DataFrame, terms: Column, span: int = BLOCK) -> DataFrame:
+def uncontained(jobs: DataFrame, terms: str) -> DataFrame:
     """T6 over the context windows of ``terms`` (T5's for ``all_terms``).
 
     Text x stands in text y exactly if some place of x lies inside y's window.
     A window that is not clipped carries its term at a fixed offset, so each
     place of its text is a start of the term, and the window of that start is
     the same text: the places are the windows themselves (also of starts that
-    the stepping search skips), found by comparing integers per (job, bucket
-    of positions).  Only the other texts are searched in their document:
-    windows clipped at its ends, first-hit windows (T3), and those of documents
-    whose lower-casing moves positions.  Conflicts are integers; one sorted
-    pass over a job's conflicts makes the walk."""
-    w = _windows(jobs, terms, every=True)
-    classes = w.where("real").groupBy("job_id", "target").agg(F.min("ord").alias("ord"), F.min_by("ws", "ord").alias("ws"))
-    searched = _places_of(w.where("real and alone"), jobs)
-    places = w.where("not alone").select("job_id", "target", "ws").unionByName(searched)
-    return _uncontained(classes, places, span)
+    the stepping search skips), and containment is found by comparing
+    positions.  Only the few other texts are compared as text: windows clipped
+    at a document's ends, first-hit windows (T3), and those of documents whose
+    lower-casing moves positions.  Windows are moved once, sorted by job and
+    order, and read as a stream that holds one job's candidates; the document
+    is not moved at all."""
+    return _uncontained(_windows(jobs, terms, every=True))
 
 
 # ---------------------------------------------------------------- T7 entity presence
 def _entities(jobs: DataFrame, *cols: Column) -> DataFrame:
-    return jobs.select("job_id", *cols, F.posexplode(I.key_entities_array(F.col("instruction"))).alias("ent_ord", "entity"))
+    return jobs.select("job_id", *cols, F.posexplode_outer(I.key_entities_array(F.col("instruction"))).alias("ent_ord", "entity")).where("ent_ord is not null")
 
 
 def entity_presence(jobs: DataFrame) -> DataFrame:
@@ -441,42 +420,32 @@ def entity_paragraphs(jobs: DataFrame, sep: str = "\n\n") -> DataFrame:
     from the separators of its own block and the last before and first behind
     that block; equal ones are neighbours, so runs are counted and each
     paragraph is cut once, from its blocks."""
-    none, big = F.array().cast("array<bigint>"), F.lit(1 << 62).cast("bigint")
-    x = jobs.select("job_id", F.col("n_chars").cast("bigint").alias("_n"), "instruction", blocks_of(F.col("text")).alias("_tb"),
-                    blocks_of(F.col("lower_text")).alias("_lb"))
+    m, big = len(sep), 1 << 62
+    x = jobs.select("job_id", "n_chars", F.expr(blocks_of("text")).alias("_tb"), F.expr(blocks_of("lower_text")).alias("_lb"),
+                    I.key_entities_array(F.col("instruction")).alias("_ents"))
     # searched only where an entity can be
-    x = x.withColumn("_seps", F.when(F.size(I.key_entities_array(F.col("instruction"))) > 0, block_hits(F.col("_tb"), F.lit(sep), overlapping=True)))
-    last = F.transform("_seps", lambda s: F.coalesce(F.array_max(s), F.lit(-1).cast("bigint")))
-    first = F.transform("_seps", lambda s: F.coalesce(F.array_min(s), big))
-    x = x.select("job_id", "_n", "_tb", "_lb", "_seps", running(last, F.greatest, F.lit(-1).cast("bigint")).alias("_before"),
-                 F.reverse(running(F.reverse(first), F.least, big)).alias("_behind"),
-                 F.posexplode(I.key_entities_array(F.col("instruction"))).alias("k1", "_e"))
-    x = x.withColumn("_hits", block_hits(F.col("_lb"), F.lower("_e"))).where(F.exists("_hits", lambda h: F.size(h) > 0))
-
-    def bounds(p: Column, i: Column) -> Column:
-        seps = F.coalesce(F.get(F.col("_seps"), i), none)
-        own_start = F.array_max(F.filter(seps, lambda s: s <= p - len(sep)))
-        # a separator that began in an earlier block may reach into this one
-        earlier = F.coalesce(F.get(F.col("_before"), i), F.lit(-1).cast("bigint"))
-        reach = F.filter(F.coalesce(F.get(F.col("_seps"), i - 1), none), lambda s: s <= p - len(sep))
-        two_back = F.coalesce(F.get(F.col("_before"), i - 1), F.lit(-1).cast("bigint"))
-        prior = F.when(earlier <= p - len(sep), earlier).otherwise(F.coalesce(F.array_max(reach), two_back))
-        start = F.coalesce(own_start, F.when(prior >= 0, prior))
-        end = F.coalesce(F.array_min(F.filter(seps, lambda s: s >= p)), F.get(F.col("_behind"), i))
-        return F.struct(F.coalesce(start + len(sep), F.lit(0).cast("bigint")).alias("ws"),
-                        F.when(F.coalesce(end, big) < big, end).otherwise(F.col("_n")).alias("we"))
-    x = x.withColumn("_at", F.flatten(F.transform("_hits", lambda h, i: F.transform(h, lambda p: bounds(p, i)))))
-    x = x.withColumn("_runs", F.filter(F.transform("_at", lambda b, i: F.when((i == 0) | (F.get(F.col("_at"), i - 1) != b), i)), lambda i: i.isNotNull()))
-    count = lambda r, j: F.coalesce(F.get(F.col("_runs"), j + 1), F.size("_at")) - r
-
-    def cut(b: Column) -> Column:
-        lo = F.floor(b["ws"] / BLOCK).cast("int")
-        many = F.floor(F.greatest(b["we"] - 1, b["ws"]) / BLOCK).cast("int") - lo + 1
-        return F.call_function("substring", _joined(F.col("_tb"), lo, many), (b["ws"] - lo.cast("bigint") * BLOCK + 1).cast("int"),
-                               F.greatest(b["we"] - b["ws"], F.lit(0)).cast("int"))
-    paras = F.transform("_runs", lambda r, j: let(F.get(F.col("_at"), r), lambda b: F.struct(
-        r.alias("k3"), count(r, j).cast("bigint").alias("n"), b["ws"].alias("ws"), b["we"].alias("we"), cut(b).alias("target"))))
-    return x.select("job_id", "k1", F.explode(paras).alias("_p")).select("job_id", "k1", "_p.*")
+    x = x.selectExpr("*", f"if(size(_ents) > 0, {block_starts('_tb', sql_str(sep), 'true')}, null) as _seps")
+    last = "transform(_seps, _s -> coalesce(array_max(_s), -1L))"
+    first = f"reverse(transform(_seps, _s -> coalesce(array_min(_s), {big}L)))"
+    x = x.selectExpr("job_id", "n_chars", "_tb", "_lb", "_seps", f"{sql_running(last, 'greatest(_y.v, _n)', '-1')} as _before",
+                     f"reverse({sql_running(first, 'least(_y.v, _n)', f'{big}L')}) as _behind", "posexplode_outer(_ents) as (k1, _e)").where("k1 is not null")
+    x = _with_hits(x.selectExpr("*", "lower(_e) as _t")).drop("_all")
+    # the last separator that ends at or before the hit: of its own block; or the
+    # last of an earlier block, unless that one reaches into the hit
+    own = f"array_max(filter(coalesce(get(_seps, _i), {_NONE}), _s -> _s <= _p - {m}))"
+    reach = f"array_max(filter(coalesce(get(_seps, _i - 1), {_NONE}), _s -> _s <= _p - {m}))"
+    prior = f"if(coalesce(get(_before, _i), -1L) <= _p - {m}, coalesce(get(_before, _i), -1L), coalesce({reach}, get(_before, _i - 1), -1L))"
+    start = sql_let(f"coalesce({own}, {prior})", "_s", f"if(_s >= 0, _s + {m}, 0L)")
+    end = sql_let(f"coalesce(array_min(filter(coalesce(get(_seps, _i), {_NONE}), _s -> _s >= _p)), get(_behind, _i), {big}L)", "_s",
+                  f"if(_s < {big}L, _s, cast(n_chars as bigint))")
+    x = x.selectExpr("*", f"flatten(transform(_hits, (_h, _i) -> transform(_h, _p -> named_struct('ws', {start}, 'we', {end})))) as _at")
+    x = x.selectExpr("*", "filter(transform(_at, (_x, _i) -> if(_i = 0 or get(_at, _i - 1) != _x, _i, null)), _i -> _i is not null) as _runs")
+    block = f"cast(floor(_x.ws / {BLOCK}) as int)"
+    many = f"cast(floor(greatest(_x.we - 1, _x.ws) / {BLOCK}) as int) - {block} + 1"
+    cut = f"substring(array_join(slice(_tb, {block} + 1, {many}), ''), cast(_x.ws - cast({block} as bigint) * {BLOCK} + 1 as int), cast(greatest(_x.we - _x.ws, 0L) as int))"
+    para = sql_let("get(_at, _r)", "_x", f"named_struct('k3', _r, 'n', cast(coalesce(get(_runs, _j + 1), size(_at)) - _r as bigint), 'ws', _x.ws, 'we', _x.we, 'target', {cut})")
+    x = x.selectExpr("job_id", "k1", f"explode_outer(transform(_runs, (_r, _j) -> {para})) as _p").where("_p is not null")
+    return x.select("job_id", "k1", "_p.*")
 
 
 # ---------------------------------------------------------------- T9 partial entities
@@ -487,12 +456,12 @@ def partial_entity_windows(jobs: DataFrame, before: int = K.PARTIAL_BEFORE, afte
     ents = I.key_entities_array(F.col("instruction"))
     none_found = jobs.select("job_id", "text", "lower_text", ents.alias("_ents")).where(
         ~F.exists("_ents", lambda e: F.contains(F.col("lower_text"), F.lower(e))))
-    x = none_found.select("job_id", "text", "lower_text", F.posexplode("_ents").alias("ent_ord", "entity"))
+    x = none_found.select("job_id", "text", "lower_text", F.posexplode_outer("_ents").alias("ent_ord", "entity")).where("ent_ord is not null")
     words = py_split(F.col("entity"))
     bigrams = F.when(F.size(words) >= 2,
                      F.transform(F.sequence(F.lit(0), F.size(words) - 2),
                                  lambda i: F.concat(F.element_at(words, i + 1), F.lit(" "), F.element_at(words, i + 2))))
-    x = x.select("job_id", "text", "lower_text", "ent_ord", F.posexplode(bigrams).alias("b_ord", "partial")).where(F.length("partial") >= min_len)
+    x = x.select("job_id", "text", "lower_text", "ent_ord", F.posexplode_outer(bigrams).alias("b_ord", "partial")).where(F.length("partial") >= min_len)
     x = x.withColumn("hit", F.call_function("locate", F.lower("partial"), F.col("lower_text")) - 1).where(F.col("hit") >= 0)
     return x.select("job_id", F.lit(5).alias("src"), F.col("ent_ord").alias("k1"), F.col("b_ord").alias("k2"),
                     F.lit(0).alias("k3"),
@@ -505,7 +474,7 @@ def target_sections(jobs: DataFrame, fields=None, verbs=None, sep: str = "\n\n")
     how often the text occurs in the list (repeats add to chunk scores).  T8's
     repeats arrive counted, so a text is moved once per entity, not per hit."""
     one = F.lit(1).cast("bigint").alias("n")
-    kept = uncontained(jobs, all_terms(F.col("instruction"), fields, verbs)).select("job_id", "target", one)
+    kept = uncontained(jobs, all_terms(fields, verbs)).select("job_id", "target", one)
     paras = entity_paragraphs(jobs, sep).select("job_id", "target", "n")
     partial = partial_entity_windows(jobs).select("job_id", "target", one)
     return kept.unionByName(paras).unionByName(partial).groupBy("job_id", "target").agg(F.sum("n").alias("n"))

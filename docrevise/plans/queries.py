@@ -19,13 +19,18 @@ from docrevise.plans.registry import register, table
 SIZE, OVERLAP = FX.QUERY_CHUNK_SIZE, FX.QUERY_CHUNK_OVERLAP
 
 
+def _partitions(spark) -> int:
+    """The driver's tables are single files: deal their rows out."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def flagship_jobs(spark, sf):
-    return T.jobs_from_documents(table(spark, sf, "documents"), FX.FLAGSHIP_INSTRUCTION)
+    return T.jobs_from_documents(table(spark, sf, "documents"), FX.FLAGSHIP_INSTRUCTION, _partitions(spark))
 
 
 def corpus_jobs(spark, sf):
     docs = table(spark, sf, "documents")
-    return T.jobs_from_documents(docs, FX.instruction_col(F.col("doc_id"), F.col("text")))
+    return T.jobs_from_documents(docs, FX.instruction_col(F.col("doc_id"), F.col("text")), _partitions(spark))
 
 
 def _flagship_sql() -> str:
@@ -54,7 +59,7 @@ def flagship_rank_quoted(spark, sf):
     """Minimum slice: quoted spans -> windows -> drop contained -> fixed chunks
     -> target score -> rank, for documents with at least one target."""
     jobs = flagship_jobs(spark, sf)
-    targets = T.uncontained(jobs, T.quoted_terms(F.col("instruction"))).select("job_id", "target", F.lit(1).cast("bigint").alias("n"))
+    targets = T.uncontained(jobs, T.quoted_terms()).select("job_id", "target", F.lit(1).cast("bigint").alias("n"))
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
     scored = P.score_targets(jobs, chunks, targets).withColumnRenamed("target_score", "score")
     ranked = P.rank_chunks(scored).join(targets.select("job_id").distinct(), "job_id", "left_semi")
@@ -145,7 +150,7 @@ SELECT job_id, term, CAST(occ AS BIGINT) AS occ, CAST(pos AS BIGINT) AS pos FROM
 def t1_occurrences(spark, sf):
     """Every non-overlapping, case-insensitive occurrence of each field
     the instruction mentions, over the whole document text."""
-    o = T.instruction_occurrences(corpus_jobs(spark, sf), T.field_terms(F.col("instruction"), FIELDS))
+    o = T.instruction_occurrences(corpus_jobs(spark, sf), T.field_terms(FIELDS))
     return o.select("job_id", "term", F.col("occ").cast("long"), F.col("pos").cast("long"))
 
 
@@ -188,7 +193,7 @@ def t5_target_candidates(spark, sf):
 SELECT job_id, CAST(t_ord AS BIGINT) AS t_ord, target FROM k""")
 def t6_drop_contained(spark, sf):
     """Ordered candidates with contained / containing ones dropped."""
-    k = T.uncontained(corpus_jobs(spark, sf), T.all_terms(F.col("instruction"), FIELDS))
+    k = T.uncontained(corpus_jobs(spark, sf), T.all_terms(FIELDS))
     t_ord = F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1
     return k.select("job_id", t_ord.cast("long").alias("t_ord"), "target")
 
@@ -281,7 +286,7 @@ def _scored(spark, sf):
     jobs = corpus_jobs(spark, sf)
     targets = T.target_sections(jobs, FIELDS, sep=SEP)
     chunks = C.chunk_fixed(jobs, SIZE, OVERLAP)
-    return jobs, targets, P.score_chunks(jobs, chunks, targets, MARKERS)
+    return P.score_chunks(jobs, chunks, targets, MARKERS)
 
 
 _SC = S.scored_chunks(SIZE, OVERLAP, FIELDS, K.ACTION_VERBS, SEP, MARKERS)
@@ -291,7 +296,7 @@ _SC = S.scored_chunks(SIZE, OVERLAP, FIELDS, K.ACTION_VERBS, SEP, MARKERS)
 SELECT job_id, chunk_no, target_score FROM s""")
 def p1_target_scores(spark, sf):
     """Target score of every chunk (occurrence-mapped, no chunk x target pairs)."""
-    _, _, sc = _scored(spark, sf)
+    sc = _scored(spark, sf)
     return sc.select("job_id", F.col("chunk_no").cast("long"), "target_score")
 
 
@@ -308,7 +313,7 @@ SELECT job_id, chunk_no, score,
        CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC, chunk_no) AS BIGINT) AS rank FROM s""")
 def p3_rank_chunks(spark, sf):
     """Chunks ranked by score, ties by document order."""
-    _, _, sc = _scored(spark, sf)
+    sc = _scored(spark, sf)
     return P.rank_chunks(sc).select("job_id", F.col("chunk_no").cast("long"), "score", F.col("rank").cast("long"))
 
 
@@ -322,8 +327,7 @@ SELECT job_id, chunk_no, score, ranked, CAST(CASE WHEN ranked THEN rk ELSE chunk
 @register("p4_ranking_gate", _GATE_SQL)
 def p4_ranking_gate(spark, sf):
     """Rank only long documents with > 2 chunks and some target."""
-    jobs, targets, sc = _scored(spark, sf)
-    g = P.apply_ranking_gate(P.rank_chunks(sc), jobs, targets, SIZE)
+    g = P.apply_ranking_gate(P.rank_chunks(_scored(spark, sf)), SIZE)
     return g.select("job_id", F.col("chunk_no").cast("long"), "score", "ranked", F.col("rank").cast("long"))
 
 

@@ -67,6 +67,30 @@ def st2_stream_counts(spark, sf):
                     F.col("queue_length").cast("long"))
 
 
+_STALL_SQL = f"""WITH log AS {FX.sql_job_log()},
+r AS (SELECT *, coalesce(sum(CASE WHEN status IN ('completed', 'error') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+      FROM log),
+runs AS (SELECT job_id, run, min(ts) AS enqueued_at,
+                min(CASE WHEN status IN ('completed', 'error') THEN ts END) AS finished_at FROM r GROUP BY ALL),
+wm AS (SELECT max(ts) - INTERVAL 600 SECOND AS wm FROM log)
+SELECT job_id, enqueued_at, enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND AS stalled_at
+FROM runs, wm
+WHERE finished_at > enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND
+   OR (finished_at IS NULL AND enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND < wm.wm)"""
+
+
+@register("st3_stall_stream", _STALL_SQL)
+def st3_stall_stream(spark, sf):
+    """ST3: the stateful stall alerts over the whole log, read as a stream to
+    its end (AvailableNow)."""
+    base = checkpoint_path(spark, f"st3-{uuid.uuid4().hex}")
+    job_log(spark, sf).write.parquet(f"{base}/log")
+    ST.stall_stream(spark, f"{base}/log", f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    a = spark.read.schema(ST.STALL_OUTPUT).parquet(f"{base}/sink")
+    return a.select("job_id", *_ntz("enqueued_at", "stalled_at"))
+
+
 @register("st3_idle_sessions", f"""WITH e AS (SELECT user_id, event_id, ts,
     lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 f AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= {_GAP} * 1000000 THEN 1 ELSE 0 END)
@@ -91,17 +115,7 @@ def st4_health_windows(spark, sf):
                     F.col("failed").cast("long"), F.round("success_rate", 6).alias("success_rate"))
 
 
-@register("st3_stall_alerts", f"""WITH log AS {FX.sql_job_log()},
-r AS (SELECT *, coalesce(sum(CASE WHEN status IN ('completed', 'error') THEN 1 ELSE 0 END)
-                OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
-      FROM log),
-runs AS (SELECT job_id, run, min(ts) AS enqueued_at,
-                min(CASE WHEN status IN ('completed', 'error') THEN ts END) AS finished_at FROM r GROUP BY ALL),
-wm AS (SELECT max(ts) - INTERVAL 600 SECOND AS wm FROM log)
-SELECT job_id, enqueued_at, enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND AS stalled_at
-FROM runs, wm
-WHERE finished_at > enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND
-   OR (finished_at IS NULL AND enqueued_at + INTERVAL {K.CLIENT_WAIT_LIMIT_SEC} SECOND < wm.wm)""")
+@register("st3_stall_alerts", _STALL_SQL)
 def st3_stall_alerts(spark, sf):
     """ST3 (batch form of the stateful stream): job runs not finished within
     the client wait limit, by event time."""

@@ -50,7 +50,7 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     scored = P.score_chunks(jobs, chunks, targets, markers)
     ranked = P.rank_chunks(scored)
     if rank:
-        ranked = P.apply_ranking_gate(ranked, jobs, targets, size)
+        ranked = P.apply_ranking_gate(ranked, size)
     else:
         ranked = ranked.withColumn("rank", F.col("chunk_no") + 1).withColumn("ranked", F.lit(False))
     # only the k best chunks go to the reviser; the others keep their text
@@ -64,9 +64,10 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     else:
         work = C.output_budget(work)
         prompts = R.build_prompts(work.where("chosen"), template)
-        calls = R.revise_chunks(prompts, fn, concurrency, budget_col="max_tokens" if send_budget else None)
+        name = persist_name or f"calls-{uuid.uuid4().hex}"
+        calls = R.revise_chunks(prompts, fn, concurrency, budget_col="max_tokens" if send_budget else None, ledger=f"{name}-ledger")
         # always written before reuse: several outputs read the calls
-        calls = R.persist_calls(calls, spark or jobs.sparkSession, persist_name or f"calls-{uuid.uuid4().hex}")
+        calls = R.persist_calls(calls, spark or jobs.sparkSession, name)
         calls = calls.select("job_id", "chunk_no", R.response_text(F.col("body"), "hosted").alias("response"), "error",
                              "error_class")
         work = work.withColumn("chunk_no", F.col("chunk_no").cast("long")).join(calls, ["job_id", "chunk_no"], "left")

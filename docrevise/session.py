@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "docrev
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # whole documents cross into the Python stages: keep Arrow batches modest
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        # call sites of column expressions cost several JVM round trips each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("DOCREVISE_DRIVER_MEMORY", "4g"))
         .getOrCreate()
     )
@@ -75,3 +77,18 @@ def path_complete(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system where it
+    names none, so that Spark and files written by tasks mean one place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def file_store(url: str):
+    """(Arrow file system, path) of a qualified URL, for use inside tasks."""
+    from pyarrow import fs
+    if url.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + url[5:].lstrip("/")
+    return fs.FileSystem.from_uri(url.replace("s3a://", "s3://", 1))

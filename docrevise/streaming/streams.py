@@ -21,6 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docrevise.functions import constants as K
 from docrevise.operators import jobs as J
 from docrevise.operators import targets as T
+from docrevise.session import checkpoint_path
+from docrevise.sources import intake as IN
 
 REQUEST_SCHEMA = "job_id string, doc_id bigint, instruction string"
 JOB_LOG_SCHEMA = "job_id string, seq bigint, ts timestamp, status string, progress int, message string"
@@ -33,30 +35,68 @@ def _writer(df: DataFrame, checkpoint: str, trigger: dict | None):
 
 
 # ---------------------------------------------------------------- ST1 revise stream
+def store_documents(docs: DataFrame, name: str, buckets: int = 64) -> DataFrame:
+    """``docs`` as a Parquet table, bucketed and sorted by ``doc_id``, below
+    the shared folder: a micro-batch then reads the buckets and row groups of
+    its own documents only."""
+    spark = docs.sparkSession
+    (docs.repartition(buckets, "doc_id").write.format("parquet").option("path", checkpoint_path(spark, name))
+     .bucketBy(buckets, "doc_id").sortBy("doc_id").mode("overwrite").saveAsTable(name))
+    return spark.table(name)
+
+
+def documents_of(batch: DataFrame, docs: DataFrame, max_ids: int = 10_000) -> DataFrame:
+    """The documents that ``batch`` names.  Up to ``max_ids`` ids become a
+    filter on the scan (bucket pruning, row-group statistics); more of them
+    are joined."""
+    ids = batch.select("doc_id").where("doc_id is not null").distinct()
+    few = [r[0] for r in ids.limit(max_ids + 1).collect()]
+    return docs.where(F.col("doc_id").isin(few)) if len(few) <= max_ids else docs.join(ids, "doc_id", "left_semi")
+
+
+def accepted_requests(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S5 and S7 for a stream's requests: (accepted, rejected with ``reason``);
+    a request without a job id gets one made from its content."""
+    named = batch.withColumn("job_id", F.coalesce("job_id", IN.job_ids(F.col("doc_id"), F.col("instruction"))))
+    v = IN.validate_requests(named.withColumn("has_file", F.col("doc_id").isNotNull())
+                             .withColumn("file_name", F.col("doc_id").cast("string")).withColumn("size_bytes", F.lit(None).cast("long")))
+    return (v.where("accepted").select("job_id", "doc_id", "instruction"), v.where(~F.col("accepted")).select("job_id", "reason"))
+
+
 def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_dir: str, checkpoint: str,
                   fn: Callable[[str], str] | None = None, max_files: int = 1, trigger: dict | None = None,
-                  **revise_opts) -> StreamingQuery:
+                  log_dir: str | None = None, **revise_opts) -> StreamingQuery:
     """ST1: continuous intake -> targets -> chunks -> revision -> results.
 
-    Each micro-batch reuses the batch plan (``plans.revise.revise``) and
-    writes ``sink_dir/batch_id=<id>`` in overwrite mode, so a replay after a
-    failure replaces, never duplicates, its rows; a replay of a batch whose
-    output is complete is skipped, and model calls persisted by an
-    interrupted run are read back, so no call is made twice.
+    Each micro-batch validates its requests (S5), reads the documents that
+    they name (``documents_of``), runs the batch plan (``plans.revise.revise``)
+    and writes ``sink_dir/batch_id=<id>`` in overwrite mode, so a replay after
+    a failure replaces, never duplicates, its rows; a replay of a batch whose
+    output is complete is skipped, and model calls persisted by an interrupted
+    run are read back, so no call is made twice.  Rejected requests are rows
+    with status 'rejected' and the reason.  With ``log_dir`` the batch's job
+    log goes to ``log_dir/batch_id=<id>``, made from the stored results;
+    ``state_stream`` and ``stall_stream`` read it.
     """
-    from docrevise.plans.revise import revise
+    from docrevise.plans.revise import job_log, revise
 
     src = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(requests_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         from docrevise.session import path_complete
         target = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
-        if path_complete(spark, target):
-            return  # a replay of a finished batch: its results (and model calls) already exist
-        jobs = T.prepare_jobs(batch, docs)
-        calls = f"{checkpoint.rstrip('/')}/model_calls/batch_id={batch_id}"  # owned by this stream
-        out = revise(jobs, fn, spark=spark, persist_name=calls, **revise_opts)["results"]
-        out.write.mode("overwrite").parquet(target)
+        if not path_complete(spark, target):  # else a replay of a finished batch
+            accepted, rejected = accepted_requests(batch)
+            jobs = T.prepare_jobs(accepted, documents_of(accepted, docs))
+            calls = f"{checkpoint.rstrip('/')}/model_calls/batch_id={batch_id}"  # owned by this stream
+            out = revise(jobs, fn, spark=spark, persist_name=calls, **revise_opts)["results"]
+            out = out.unionByName(rejected.select("job_id", F.lit("rejected").alias("status"), F.col("reason").alias("message")),
+                                  allowMissingColumns=True)
+            out.write.mode("overwrite").parquet(target)
+        if log_dir is not None:
+            log = f"{log_dir.rstrip('/')}/batch_id={batch_id}"
+            if not path_complete(spark, log):
+                job_log(spark.read.parquet(target).where("status <> 'rejected'")).write.mode("overwrite").parquet(log)
 
     return _writer(src, checkpoint, trigger).foreachBatch(run).start()
 
@@ -64,32 +104,45 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
 # ---------------------------------------------------------------- ST2 state stream
 STATE_CHANGE = ("job_id string, old_status string, status string, progress int, message string, "
                 "updated_at timestamp, seq bigint")
-STATE_STORE = "status string, ts timestamp, seq bigint"
+STATE_STORE = "status string, rank array<bigint>"
 
 
 def _state_change_fn(key, pdfs, state):
-    """Keep each job's latest (status, ts, seq); emit a change row whenever
-    its status changes (rows older than the stored one are ignored)."""
+    """Keep each job's latest status and its rank (us, seq); emit a change row
+    whenever the status changes (rows that rank lower than the stored one are
+    ignored).  As in J1, a row without a time ranks before all others, and one
+    without a seq before those of its time."""
     import pandas as pd
 
     (job_id,) = key
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
-    last = rows.iloc[-1]
-    old = None
+    old, best, new = None, None, None
     if state.exists:
-        old, ts, seq = state.get
-        if (last["ts"], last["seq"]) <= (ts, seq):
-            return
-    state.update((last["status"], last["ts"], int(last["seq"])))
-    if old != last["status"]:
-        yield pd.DataFrame([(job_id, old, last["status"], int(last["progress"]), last["message"], last["ts"],
-                             int(last["seq"]))],
-                           columns=["job_id", "old_status", "status", "progress", "message", "updated_at", "seq"])
+        old, best = state.get[0], list(state.get[1])
+    for pdf in pdfs:
+        for r in pdf.itertuples(index=False):
+            us = None if pd.isna(r.ts) else r.ts.value // 1000
+            seq = None if pd.isna(r.seq) else int(r.seq)
+            rank = [us is not None, us or 0, seq is not None, seq or 0]
+            if best is None or rank > best:
+                best, new = rank, r
+    if new is None:
+        return
+    status = None if pd.isna(new.status) else new.status
+    state.update((status, [int(x) for x in best]))
+    if old != status or not state.exists:
+        yield pd.DataFrame({
+            "job_id": pd.Series([job_id], dtype="object"), "old_status": pd.Series([old], dtype="object"),
+            "status": pd.Series([status], dtype="object"),
+            "progress": pd.Series([None if pd.isna(new.progress) else int(new.progress)], dtype="Int32"),
+            "message": pd.Series([new.message], dtype="object"), "updated_at": pd.Series([new.ts], dtype="datetime64[ns, UTC]"
+                                                                                          if getattr(new.ts, "tzinfo", None) else "datetime64[ns]"),
+            "seq": pd.Series([None if pd.isna(new.seq) else int(new.seq)], dtype="Int64")})
 
 
 def status_changes(job_log: DataFrame) -> DataFrame:
     """ST2: per-job status changes of a streaming job log (custom stateful
-    operator, last write wins by (ts, seq))."""
+    operator, last write wins by (ts, seq); rows without a time rank first, as
+    in J1)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return job_log.groupBy("job_id").applyInPandasWithState(
@@ -285,14 +338,21 @@ def stall_alerts(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC,
     fires when the watermark passes it, or when a finishing row arrives later
     than it.  State ends with the finishing row, or ``keep_sec`` after the
     deadline of a run that never finishes (a row later than that starts a new
-    run).  Works on a streaming job log (append mode)."""
+    run).  Rows without a time say nothing about when; they are left out here
+    (``untimed_rows`` gives them), and the batch form gives the same alerts.
+    Works on a streaming job log (append mode)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    src = job_log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    src = job_log.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withWatermark("ts", watermark)
     return src.groupBy("job_id").applyInPandasWithState(
         _stall_fn(limit_sec, keep_sec), STALL_OUTPUT, STALL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def untimed_rows(rows: DataFrame) -> DataFrame:
+    """The rows that the event-time operators leave out, for a sink of their own."""
+    return rows.where("ts is null")
+
+
 def stall_alerts_batch(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC,
                        watermark_sec: float = 600) -> DataFrame:
     """The alerts ``stall_alerts`` raises, computed over a complete log.
@@ -318,6 +378,7 @@ def stall_alerts_batch(job_log: DataFrame, limit_sec: float = K.CLIENT_WAIT_LIMI
 def stall_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoint: str,
                  limit_sec: float = K.CLIENT_WAIT_LIMIT_SEC, watermark: str = "10 minutes",
                  trigger: dict | None = None, max_files: int | None = None) -> StreamingQuery:
+    """ST3 alerts of the job log files as they arrive."""
     reader = spark.readStream.schema(JOB_LOG_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -74,7 +74,7 @@ def test_drop_contained_both_orders(spark):
     j = jobs(spark, [(i + 1, "|".join(w)) for i, w in enumerate(words.values())])
     rows = [(job, 1, k, 0, 0, t, len("|".join(w[:k])) + (k > 0)) for job, w in words.items() for k, t in enumerate(w)]
     c = spark.createDataFrame(rows, "job_id string, src int, k1 int, k2 int, k3 int, target string, ws long")
-    r = T.drop_contained(c, j).orderBy("job_id", "ord").collect()
+    r = T.drop_contained(c).orderBy("job_id", "ord").collect()
     assert [(x.job_id, x.target) for x in r] == [("job-1", "abc"), ("job-2", "xabcx"), ("job-3", "ab"), ("job-3", "cd")]
 
 
@@ -321,7 +321,7 @@ def test_drop_contained_by_repeated_text(spark):
     schema = "job_id string, src int, k1 int, k2 int, k3 int, target string, ws long"
     for rows, want in ((rows_a, ["zzz foo bar baz"]), (rows_b, ["foo bar"])):
         c = spark.createDataFrame(rows, schema)
-        assert [x.target for x in T.drop_contained(c, j).orderBy("ord").collect()] == want
+        assert [x.target for x in T.drop_contained(c).orderBy("ord").collect()] == want
 
 
 def test_terms_with_regex_characters(spark):

@@ -137,10 +137,20 @@ def wrap_html(c: Column) -> Column:
 
 
 # ---------------------------------------------------------------- H6 html -> text
-COMMENT = r"(?s)<!--.*?-->"
-SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-TAG = r"<[^>]*>"
+#: The rest of a tag: a quoted attribute value may hold ">"; a quote that is
+#: never closed is an ordinary character.
+ATTRIBUTES = r"""(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*"""
+#: The same for Java: possessive, because it never needs to go back.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+
+
+def markup(attributes: str = ATTRIBUTES) -> str:
+    """What is not text: comments, whole scripts and styles, tags.  One pattern
+    read from left to right, so each knows nothing of what stands inside
+    another."""
+    return (rf"(?is)<!--.*?-->|<script\b{attributes}>.*?</script\s*>|<style\b{attributes}>.*?</style\s*>|<[a-z/!?]{attributes}>|<[^>]*>")
+
+
 # Entities replaced first by H6; the others follow in one pass.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")]
@@ -163,13 +173,11 @@ def reference_char(ref: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """H6: comments, then script and style bodies, then tags are removed;
-    then the entities above are replaced, and in one last pass ``&amp;``,
-    ``&apos;`` and every decimal or hexadecimal character reference."""
-    s = F.regexp_replace(c, COMMENT, "")
-    s = F.regexp_replace(s, SCRIPT, "")
-    s = F.regexp_replace(s, STYLE, "")
-    s = F.regexp_replace(s, TAG, "")
+    """H6: comments, scripts and styles with their bodies, and tags are removed
+    in one pass from left to right; then the entities above are replaced, and
+    in one last pass ``&amp;``, ``&apos;`` and every decimal or hexadecimal
+    character reference."""
+    s = F.regexp_replace(c, markup(_ATTRIBUTES), "")
     for k, v in ENTITIES:
         s = F.replace(s, F.lit(k), F.lit(v))
 
@@ -206,7 +214,7 @@ def _text_escape(c: Column) -> Column:
 
 
 # A page cut into comments, whole scripts and styles, tags and text; the pieces together are the page.
-PIECE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+|<"
+PIECE = markup(_ATTRIBUTES) + "|[^<]+|<"
 BODY, BODY_END = r"(?is)\A<body(?:[\s/].*)?>\z", r"(?is)\A</body\s*>\z"
 
 
@@ -229,6 +237,29 @@ def replace_body(page: Column, body: Column) -> Column:
     return F.element_at(F.transform(F.array(F.regexp_extract_all(page, F.lit(PIECE), F.lit(0))), put), 1)
 
 
+def paragraph_elements(text: Column, sep: str = "\n\n") -> Column:
+    """H8: split on ``sep``, strip, drop empties, one element per paragraph
+    (h1 / h2 / signature / clause / paragraph), as an array."""
+    def element(p: Column) -> Column:
+        cls = paragraph_class(p)
+        return (F.when(cls == "h1", F.concat(F.lit('<h1 class="heading" style="text-align: center;">'), _text_escape(p), F.lit("</h1>")))
+                .when(cls == "h2", F.concat(F.lit('<h2 class="heading">'), _text_escape(p), F.lit("</h2>")))
+                .otherwise(F.concat(F.lit('<div class="'), cls, F.lit('">'), _text_escape(p), F.lit("</div>"))))
+    parts = F.filter(F.transform(F.split(text, sep, -1), py_strip), lambda p: F.length(p) > 0)
+    return F.transform(parts, element)
+
+
+def rebuilt_page(text: Column, page: Column | None = None, sep: str = "\n\n") -> Column:
+    """H8 in one row: the paragraphs of ``text`` in our page frame (null where
+    there are none), or, where ``page`` is given, as the body of that page."""
+    elements = paragraph_elements(text, sep)
+    framed = F.concat(F.lit("\n".join(PAGE_HEAD_LINES)), F.array_join(elements, ""), F.lit(PAGE_TAIL))
+    framed = F.when(F.size(elements) > 0, framed)
+    if page is None:
+        return framed
+    return F.when(page.isNull(), framed).otherwise(replace_body(page, F.coalesce(F.array_join(elements, ""), F.lit(""))))
+
+
 def rebuild_html(df: DataFrame, key: list[str], text_col: str = "cleaned", sep: str = "\n\n", page_col: str | None = None) -> DataFrame:
     """H8: plain response -> page: split on ``sep``, strip, drop empties, one
     element per paragraph (h1 / h2 / signature / clause / paragraph).  With
@@ -236,22 +267,8 @@ def rebuild_html(df: DataFrame, key: list[str], text_col: str = "cleaned", sep:
     when there are none); where it is null, and without it, the page frame is
     ours.  (The reference's indent branch tests a stripped paragraph for
     leading blanks and can never fire; it is left out.)"""
-    text = F.col(text_col) if page_col is None else F.coalesce(F.col(text_col), F.lit(""))
-    x = df.select(*key, F.posexplode(F.split(text, sep, -1)).alias("p_ord", "raw"), *([F.col(page_col).alias("page")] if page_col else []))
-    x = x.withColumn("p", py_strip(F.col("raw"))).drop("raw")
-    if page_col is None:
-        x = x.where(F.length("p") > 0)
-    cls = paragraph_class(F.col("p"))
-    el = (F.when(cls == "h1", F.concat(F.lit('<h1 class="heading" style="text-align: center;">'), _text_escape(F.col("p")), F.lit("</h1>")))
-          .when(cls == "h2", F.concat(F.lit('<h2 class="heading">'), _text_escape(F.col("p")), F.lit("</h2>")))
-          .otherwise(F.concat(F.lit('<div class="'), cls, F.lit('">'), _text_escape(F.col("p")), F.lit("</div>"))))
-    els = F.sort_array(F.collect_list(F.when(F.length("p") > 0, F.struct("p_ord", "el"))))
-    g = x.withColumn("el", el).groupBy(*key).agg(els.alias("a"), *([F.max("page").alias("page")] if page_col else []))
-    head, body = "\n".join(PAGE_HEAD_LINES), F.array_join(F.transform("a", lambda e: e["el"]), "")
-    framed = F.concat(F.lit(head), body, F.lit(PAGE_TAIL))
-    if page_col is not None:
-        framed = F.when(F.col("page").isNull(), framed).otherwise(replace_body(F.col("page"), body))
-    return g.select(*key, framed.alias("html"))
+    out = df.select(*key, rebuilt_page(F.col(text_col), F.col(page_col) if page_col else None, sep).alias("html"))
+    return out if page_col else out.where("html is not null")
 
 
 # ---------------------------------------------------------------- H9 align lines

@@ -266,17 +266,24 @@ def change_flags(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R8 summary
+def summary_columns() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("accepted")).alias("n_accepted"),
+            F.count_if(F.col("differs")).alias("n_differs"), F.bool_or(F.col("accepted")).alias("any_changed")]
+
+
 def change_summary(results: DataFrame) -> DataFrame:
     """Per job: chunks, accepted, differing, and the no-change warning."""
-    return results.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.count_if(F.col("accepted")).alias("n_accepted"),
-        F.count_if(F.col("differs")).alias("n_differs"),
-        F.bool_or(F.col("accepted")).alias("any_changed"),
-    ).withColumn("no_changes_warning", ~F.col("any_changed"))
+    return results.groupBy("job_id").agg(*summary_columns()).withColumn("no_changes_warning", ~F.col("any_changed"))
 
 
 # ---------------------------------------------------------------- R9 reassemble
+def joined_text(order: str = "chunk", text_col: str = "revised", sep: str = "\n\n") -> Column:
+    """Aggregate: chunk texts joined in document or rank order."""
+    key = F.col("rank") if order == "rank" else F.col("chunk_no")
+    pieces = F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col(text_col).alias("t"))))
+    return F.array_join(F.transform(pieces, lambda x: x["t"]), sep)
+
+
 def reassemble(results: DataFrame, order: str = "chunk", sep: str = "\n\n", text_col: str = "revised",
                trim_overlap: bool = False) -> DataFrame:
     """One text per job, chunks joined with ``sep`` in document order
@@ -285,15 +292,12 @@ def reassemble(results: DataFrame, order: str = "chunk", sep: str = "\n\n", text
     ``trim_overlap`` (document order, unrevised text with offsets) drops the
     part of each chunk already covered by the previous one, giving back the
     original text when chunks cover it."""
-    key = F.col("rank") if order == "rank" else F.col("chunk_no")
-    piece = F.col(text_col)
     if trim_overlap:
         prev_end = F.lag("end").over(Window.partitionBy("job_id").orderBy("chunk_no"))
         skip = F.greatest(F.coalesce(prev_end, F.col("start")) - F.col("start"), F.lit(0))
-        results = results.withColumn("_piece", F.call_function("substring", piece, skip + 1))
-        piece, sep = F.col("_piece"), ""
-    agg = results.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), piece.alias("t")))).alias("a"))
-    return agg.select("job_id", F.array_join(F.transform("a", lambda x: x["t"]), sep).alias("text"))
+        results = results.withColumn("_piece", F.call_function("substring", F.col(text_col), skip + 1))
+        text_col, sep = "_piece", ""
+    return results.groupBy("job_id").agg(joined_text(order, text_col, sep).alias("text"))
 
 
 # ---------------------------------------------------------------- R10 literal reviser

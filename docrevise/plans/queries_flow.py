@@ -11,7 +11,7 @@ from docrevise.operators import chunks as C
 from docrevise.operators import jobs as J
 from docrevise.plans import fixtures as FX
 from docrevise.plans import sqlparts as S
-from docrevise.plans.queries import FIELDS, MARKERS, OVERLAP, SEP, SIZE, _JOBS, corpus_jobs
+from docrevise.plans.queries import FIELDS, MARKERS, OVERLAP, SEP, SIZE, _GATE_SQL, _JOBS, corpus_jobs
 from docrevise.plans.queries_jobs import _ntz, job_log
 from docrevise.plans.queries_revision import calls as call_log
 from docrevise.plans.registry import register, table
@@ -22,23 +22,44 @@ from docrevise.streaming import streams as ST
 _GAP = int(K.WARMUP_PERIOD_MIN * 60 * K.IDLE_SHARE)
 
 
-@register("revise_documents", f"""{_JOBS},
+_REVISE_SQL = f"""{_JOBS},
 ch AS (SELECT job_id, CAST(0 AS BIGINT) AS chunk_no, {S.text_page('text')} AS ctext FROM jobs WHERE n < {SIZE}
        UNION ALL SELECT job_id, chunk_no, ctext FROM {S.fixed_chunks(SIZE, OVERLAP, '(SELECT * FROM jobs WHERE n >= ' + str(SIZE) + ')')}),
 r AS (SELECT ch.job_id, ch.chunk_no, ch.ctext, {S.literal_revise('ch.ctext', S.pairs_list('j.instruction'))} AS resp
       FROM ch JOIN jobs j USING (job_id)),
 a AS (SELECT *, coalesce(length(resp) >= 10, false) AS accepted FROM r),
-b AS (SELECT *, CASE WHEN accepted THEN resp ELSE ctext END AS revised FROM a)
-SELECT job_id, string_agg(revised, chr(10) || chr(10) ORDER BY chunk_no) AS response,
+b AS (SELECT *, CASE WHEN accepted THEN resp ELSE ctext END AS revised FROM a),
+k AS (SELECT job_id, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY chunk_no) AS ranks FROM ({_GATE_SQL}) GROUP BY job_id)
+SELECT job_id, any_value(k.ranks) AS ranks, string_agg(revised, chr(10) || chr(10) ORDER BY chunk_no) AS response,
        count(*) FILTER (WHERE accepted) AS accepted_chunks,
        count(*) FILTER (WHERE coalesce(lower(revised) <> lower(ctext), false)) AS changed_chunks
-FROM b GROUP BY job_id""")
+FROM b JOIN k USING (job_id) GROUP BY job_id"""
+
+
+@register("revise_documents", _REVISE_SQL)
 def revise_documents(spark, sf):
     """End to end: targets, chunks (short documents bypass as HTML), scores,
     ranks, deterministic revision, acceptance, reassembly in document order."""
     out = revise(corpus_jobs(spark, sf), None, size=SIZE, overlap=OVERLAP, fields=FIELDS, markers=MARKERS,
                  sep=SEP, chunker=C.chunk_fixed)["results"]
-    return out.select("job_id", "response", F.col("accepted_chunks").cast("long"), F.col("changed_chunks").cast("long"))
+    return _revised(out)
+
+
+def _revised(out):
+    ranks = F.array_join(F.transform("ranks", lambda r: r["rank"].cast("string")), ",")
+    return out.select("job_id", ranks.alias("ranks"), "response", F.col("accepted_chunks").cast("long"), F.col("changed_chunks").cast("long"))
+
+
+@register("st1_revise_stream", _REVISE_SQL)
+def st1_revise_stream(spark, sf):
+    """ST1: the requests as files, read as a stream to its end (AvailableNow):
+    intake, lookup of each batch's documents, revision, job log."""
+    base = checkpoint_path(spark, f"st1-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "documents")
+    FX.corpus_requests(docs).repartition(2).write.parquet(f"{base}/requests")
+    ST.revise_stream(spark, f"{base}/requests", docs, f"{base}/out", f"{base}/checkpoint", size=SIZE, overlap=OVERLAP, fields=FIELDS,
+                     markers=MARKERS, sep=SEP, chunker=C.chunk_fixed, log_dir=f"{base}/log").awaitTermination()
+    return _revised(spark.read.parquet(f"{base}/out"))
 
 
 @register("st2_state_updates", f"""WITH log AS {FX.sql_job_log()},

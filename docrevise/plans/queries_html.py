@@ -137,10 +137,7 @@ def h5_wrap_html(spark, sf):
 
 
 def _sql_html_to_text(x: str) -> str:
-    s = f"regexp_replace({x}, {S.lit(H.COMMENT)}, '', 'g')"
-    s = f"regexp_replace({s}, {S.lit(H.SCRIPT)}, '', 'g')"
-    s = f"regexp_replace({s}, {S.lit(H.STYLE)}, '', 'g')"
-    s = f"regexp_replace({s}, {S.lit(H.TAG)}, '', 'g')"
+    s = f"regexp_replace({x}, {S.lit(H.markup())}, '', 'g')"
     for k, v in H.ENTITIES:
         s = f"replace({s}, {S.lit(k)}, {S.lit(v)})"
     return f"replace({s}, '&amp;', '&')"
@@ -186,6 +183,24 @@ def h8_rebuild_html(spark, sf):
     return H.rebuild_html(r, ["conv_id", "turn"], "cleaned", sep="\n")
 
 
+_PIECES = S.lit(H.markup() + "|[^<]+|<")
+_BODY, _BODY_END = (S.lit(x.replace("\\A", "^").replace("\\z", "$")) for x in (H.BODY, H.BODY_END))
+
+
+@register("h8b_rebuild_page", f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {_PIECES}) AS p FROM pages WHERE html IS NOT NULL),
+b AS (SELECT *, coalesce(list_position(list_transform(p, lambda x: regexp_matches(x, {_BODY})), true), 0) AS f,
+             coalesce(list_position(list_transform(list_reverse(p), lambda x: regexp_matches(x, {_BODY_END})), true), 0) AS k FROM a),
+c AS (SELECT *, CASE WHEN k > 0 AND len(p) + 1 - k > f THEN len(p) + 1 - k ELSE len(p) + 1 END AS l FROM b)
+SELECT page_id, CASE WHEN f = 0 THEN html ELSE array_to_string(p[1:f], '') || '<h2 class="heading">Page:</h2><div class="paragraph">revised '
+       || CAST(page_id AS VARCHAR) || ' a&lt;b</div>' || array_to_string(p[l:], '') END AS html FROM c""")
+def h8b_rebuild_page(spark, sf):
+    """H8, page form: the body of every web page replaced by a response; head,
+    attributes and everything outside the body stay."""
+    p = table(spark, sf, "pages").where("html is not null")
+    response = F.concat(F.lit("Page:\n\nrevised "), F.col("page_id").cast("string"), F.lit(" a<b"))
+    return H.rebuild_html(p.select("page_id", "html", response.alias("cleaned")), ["page_id"], "cleaned", page_col="html")
+
+
 # ---------------------------------------------------------------- H9-H10 on documents
 _ALIGN_SQL = f"""{_JOBS},
 resp AS (SELECT job_id, {S.literal_revise('text', S.pairs_list('instruction'))} AS text FROM jobs),

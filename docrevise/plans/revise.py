@@ -23,6 +23,7 @@ from docrevise.operators import targets as T
 
 
 NO_DOCUMENT = "Processing failed: document not found"
+TOO_LARGE = f"Processing failed: {K.REJECT_TOO_LARGE}"
 
 
 def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: SparkSession | None = None,
@@ -37,14 +38,19 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
     for the model; with ``send_budget`` the model is called as
     ``fn(prompt, max_tokens)`` (C5).  Returns DataFrames: ``chunks`` (scored, ranked, revised),
     ``results`` (job_id, status, message, response, html, accepted_chunks,
-    changed_chunks; a credential error in any chunk fails the job with status
-    'error', and so does a missing document) and ``summary``.
+    changed_chunks, ranks: (chunk_no, score, rank) per chunk; a credential
+    error in any chunk fails the job with status 'error', and so does a missing
+    or too large document) and ``summary``.  Jobs with a column ``html`` (the
+    document's own layout page, H1-H3) give it to the small-document chunk and
+    get their plain responses put into its body, head and markup outside it
+    kept.
     """
     chunker = chunker or C.chunk_recursive
     missing = None
     if "found" in jobs.columns:
-        missing = jobs.where(~F.col("found")).select("job_id")
-        jobs = jobs.where("found")
+        large = F.col("too_large") if "too_large" in jobs.columns else F.lit(False)
+        missing = jobs.where(~F.col("found") | large).select("job_id", F.when(large, TOO_LARGE).otherwise(NO_DOCUMENT).alias("reason"))
+        jobs = jobs.where(F.col("found") & ~large)
     targets = T.target_sections(jobs, fields, verbs, sep)
     chunks = C.label_chunks(C.small_document_chunks(jobs, size, overlap, use_html=use_html, chunker=chunker))
     scored = P.score_chunks(jobs, chunks, targets, markers)
@@ -72,33 +78,35 @@ def revise(jobs: DataFrame, fn: Callable[[str], str] | None = None, *, spark: Sp
                              "error_class")
         work = work.withColumn("chunk_no", F.col("chunk_no").cast("long")).join(calls, ["job_id", "chunk_no"], "left")
     revised = R.change_flags(R.accept_responses(work))
-    text = R.reassemble(revised, order=order, text_col="revised").withColumnRenamed("text", "response")
-    # credential failures fail the whole job (other errors keep the original chunk)
-    failed = revised.groupBy("job_id").agg(
-        F.max_by("error", (F.col("error_class") == "credentials").cast("int")).alias("cred_error"),
-        F.bool_or(F.coalesce(F.col("error_class") == "credentials", F.lit(False))).alias("cred_failed"))
-    summary = R.change_summary(revised).join(failed, "job_id")
-    page = jobs.select("job_id", C.text_page(F.col("text")).alias("original_html"), "text")
-    res = text.join(page, "job_id").withColumn("cleaned", H.clean_response(F.col("response")))
+    # one aggregate per job: text, counts, ranks, and credential failures,
+    # which fail the whole job (other errors keep the original chunk)
+    credentials = F.col("error_class") == "credentials"
+    per_job = revised.groupBy("job_id").agg(
+        R.joined_text(order, "revised").alias("response"), *R.summary_columns(),
+        F.sort_array(F.collect_list(F.struct("chunk_no", "score", "rank"))).alias("ranks"),
+        F.max_by("error", credentials.cast("int")).alias("cred_error"),
+        F.bool_or(F.coalesce(credentials, F.lit(False))).alias("cred_failed"))
+    summary = per_job.drop("response", "ranks", "cred_error", "cred_failed").withColumn("no_changes_warning", ~F.col("any_changed"))
+    original = F.coalesce(F.col("html"), C.text_page(F.col("text"))) if "html" in jobs.columns else C.text_page(F.col("text"))
+    page = jobs.select("job_id", original.alias("original_html"), "text", *([F.col("html").alias("layout")] if "html" in jobs.columns else []))
+    res = per_job.join(page, "job_id").withColumn("cleaned", H.clean_response(F.col("response")))
     html = (F.when(H.is_html_response(F.col("cleaned")), H.wrap_html(F.col("cleaned")))
             .when(H.guard_short(F.col("cleaned"), F.col("text")), F.col("original_html")))
-    res = res.withColumn("html", html)
-    rebuilt = H.rebuild_html(res.where(F.col("html").isNull()), ["job_id"], "cleaned", sep="\n\n")
-    res = (res.join(rebuilt.withColumnRenamed("html", "rebuilt"), "job_id", "left")
-           .withColumn("html", F.coalesce(F.col("html"), F.col("rebuilt"), F.col("original_html")))
-           .join(summary, "job_id")
+    # a plain response replaces the body of the document's own page, or of our frame
+    rebuilt = H.rebuilt_page(F.col("cleaned"), F.col("layout") if "html" in jobs.columns else None)
+    res = (res.withColumn("html", F.coalesce(html, rebuilt, F.col("original_html")))
            .select("job_id", F.when(F.col("cred_failed"), "error").otherwise("completed").alias("status"),
                    F.when(F.col("cred_failed"), F.concat(F.lit("Processing failed: "), F.col("cred_error")))
                    .alias("message"),
                    F.when(~F.col("cred_failed"), F.col("response")).alias("response"),
                    F.when(~F.col("cred_failed"), F.col("html")).alias("html"),
-                   F.col("n_accepted").alias("accepted_chunks"), F.col("n_differs").alias("changed_chunks")))
+                   F.col("n_accepted").alias("accepted_chunks"), F.col("n_differs").alias("changed_chunks"), "ranks"))
     if missing is not None:  # no chunk, no call: these jobs end at once
         nothing = F.lit(None).cast("string")
         res = res.unionByName(missing.select(
-            "job_id", F.lit("error").alias("status"), F.lit(NO_DOCUMENT).alias("message"), nothing.alias("response"),
+            "job_id", F.lit("error").alias("status"), F.col("reason").alias("message"), nothing.alias("response"),
             nothing.alias("html"), F.lit(0).cast("long").alias("accepted_chunks"),
-            F.lit(0).cast("long").alias("changed_chunks")))
+            F.lit(0).cast("long").alias("changed_chunks")), allowMissingColumns=True)
     return {"chunks": revised, "results": res, "summary": summary, "job_log": job_log(res)}
 
 
@@ -117,7 +125,7 @@ def job_log(results: DataFrame, ts=None) -> DataFrame:
              ("processing", K.PROGRESS_RENDERED, "Page rendered")]
     steps = F.array(*[F.struct(F.lit(a).alias("status"), F.lit(b).alias("progress"), F.lit(c).alias("message"))
                       for a, b, c in marks])
-    reached = (F.when(F.col("message") == NO_DOCUMENT, 2).when(F.col("status") == "error", 4)
+    reached = (F.when(F.col("message").isin(NO_DOCUMENT, TOO_LARGE), 2).when(F.col("status") == "error", 4)
                .otherwise(len(marks)))
     steps = F.slice(steps, F.lit(1), reached)
     last = F.struct(F.col("status"), F.lit(K.PROGRESS_DONE).alias("progress"),

@@ -303,7 +303,7 @@ def _stall_fn(limit_sec: float, keep_sec: float):
                 remember(state, enq, True, status)
         else:
             cur = state.get if state.exists else None
-            rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
+            rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"], na_position="first")  # as in the batch form
             for ts, status in zip(rows["ts"], rows["status"]):
                 if cur is None:
                     cur = (ts, False, status)

@@ -171,3 +171,66 @@ def test_output_budget_reaches_the_call_and_jobs_overlap(spark):
     out = R.revise_chunks(df, model, concurrency=1, partitions=1, attempts=1, backoff=0.0, budget_col="max_tokens")
     got = {(r.job_id, r.chunk_no): r.body for r in out.collect()}
     assert got == {(f"j{i}", k): json.dumps({"generation": f"p{i}-{k}:{100 * i + k}"}) for i in range(6) for k in range(3)}
+
+
+def test_ledger_keeps_finished_calls(spark):
+    """A task that dies half-way has recorded its finished calls; the next run
+    makes only the missing ones, so every chunk is called once."""
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="docrevise-ledger-")
+    done = f"{d}/done"
+    os.mkdir(done)
+    df = spark.createDataFrame([(f"j{i}", k, f"p{i}-{k}") for i in range(6) for k in range(5)] + [(None, 0, "pn-0")],
+                               "job_id string, chunk_no long, prompt string")
+
+    def model(prompt, limit=17):
+        if limit and len(os.listdir(done)) >= limit:
+            os._exit(1)  # the executor's Python process is lost
+        with open(f"{done}/{prompt}-{os.urandom(4).hex()}", "w"):
+            pass
+        return json.dumps({"generation": prompt})
+
+    def run(fn):
+        return R.revise_chunks(df, fn, concurrency=1, partitions=1, jobs_at_once=1, backoff=0.0, ledger=f"{d}/ledger", buckets=4).collect()
+    try:
+        run(model)
+        raise AssertionError("the first run must fail")
+    except Exception as e:
+        assert "first run" not in str(e)
+    assert 0 < len(os.listdir(done)) < 31
+    out = run(lambda p: model(p, None))
+    assert len(out) == 31 and {(r.job_id, r.chunk_no): json.loads(r.body)["generation"] for r in out} == {
+        (f"j{i}", k): f"p{i}-{k}" for i in range(6) for k in range(5)} | {(None, 0): "pn-0"}
+    assert len(os.listdir(done)) == 31  # one call per chunk over both runs
+    assert {r.calls for r in run(lambda p: 1 / 0)} == {1}
+
+
+def test_layout_page_survives_revision(spark):
+    """A document's own page: head and markup outside the body stay; a document
+    above the limit ends as an error."""
+    from docrevise.operators import targets as T
+    from docrevise.plans.revise import TOO_LARGE, revise
+    page = '<!DOCTYPE html><html><head><style>.clause { color: red }</style></head><body class="x>y"><p id="elem_0_1">Old Name pays.</p></body></html>'
+    docs = spark.createDataFrame([(1, "Old Name pays. " * 30, page), (2, "short Old Name", None), (3, "y" * 5000, None)], "doc_id long, text string, html string")
+    reqs = spark.createDataFrame([(f"j{i}", i, "change from 'Old Name' to 'New Name'") for i in (1, 2, 3)], "job_id string, doc_id long, instruction string")
+    jobs = T.prepare_jobs(reqs, docs, max_bytes=4000)
+    out = {r.job_id: r for r in revise(jobs, size=200, overlap=0)["results"].collect()}
+    assert out["j1"].html.startswith(page[:page.index("<p id")]) and out["j1"].html.endswith("</body></html>")
+    assert "New Name pays." in out["j1"].html and "Old Name" not in out["j1"].html and len(out["j1"].ranks) == 3
+    assert out["j2"].status == "completed" and (out["j3"].status, out["j3"].message) == ("error", TOO_LARGE)
+    small = revise(jobs, size=5000, overlap=0)["results"].where("job_id = 'j1'").first()
+    assert small.response == "Old Name pays. ".replace("Old", "New") * 30 or small.html.count("New Name") >= 1
+
+
+def test_stored_jobs_give_the_same_results(spark, sf):
+    from docrevise.plans import fixtures as FX
+    from docrevise.operators import targets as T
+    docs = table(spark, sf, "documents")
+    jobs = T.prepare_jobs(FX.corpus_requests(docs), docs)
+    stored = T.store_jobs(jobs, "stored_jobs_test", buckets=4)
+    key = lambda j: sorted(tuple(r) for r in T.target_candidates(j, FX.CORPUS_FIELDS).select("job_id", "k1", "k3", "target").collect())
+    assert key(stored) == key(jobs)
+    joined = stored.join(stored.groupBy("job_id").count(), "job_id")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE stored_jobs_test")

@@ -175,3 +175,50 @@ def test_stall_rows_behind_the_timer_do_not_fail(spark):
     q.awaitTermination()
     got = [(r.job_id, r.finished_at) for r in spark.read.parquet(f"{d}/out").collect()]
     assert got.count(("A", None)) == 1 and {j for j, _ in got} == {"A"}
+
+
+def test_rows_without_a_time(spark):
+    """Untimed rows end neither stream; state and counts are those of J1 and
+    J2, alerts those of the batch form."""
+    import datetime as dt
+    d = scratch()
+    m = lambda mins: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=mins)
+    rows = [("A", 1, m(0), "queued", 0, ""), ("A", 9, None, "error", 0, "late"), ("B", 2, None, "queued", 0, None), ("B", 3, None, "processing", None, ""),
+            ("C", 4, m(1), "queued", 0, ""), ("C", None, m(1), "completed", 100, ""), (None, 5, m(2), "queued", 0, ""), ("D", 6, m(400), "queued", 0, ""),
+            ("E", None, None, "queued", 0, ""), ("A", 7, m(3), "processing", 40, "")]
+    schema = "job_id string, seq bigint, ts timestamp, status string, progress int, message string"
+    log = spark.createDataFrame(rows, schema)
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("overwrite").parquet(f"{d}/log/part{i}")
+    ST.state_stream(spark, f"{d}/log/*", f"{d}/sink", f"{d}/ck", max_files=1).awaitTermination()
+    cols = ("status", "n_jobs", "total_jobs", "queue_length")
+    state = J.latest_state(log)
+    assert sorted(map(tuple, ST.latest_counts(spark, f"{d}/sink").select(*cols).collect())) == sorted(
+        map(tuple, J.status_counts(state).select(*cols).collect()))
+    ST.stall_stream(spark, f"{d}/log/*", f"{d}/out", f"{d}/ck2").awaitTermination()
+    got = {(r.job_id, r.enqueued_at) for r in spark.read.parquet(f"{d}/out").collect()}
+    assert got == {(r.job_id, r.enqueued_at) for r in ST.stall_alerts_batch(log).collect()} and got
+    assert ST.untimed_rows(log).count() == 4
+
+
+def test_revise_stream_intake_and_log(spark):
+    """Requests are checked and get ids; only named documents are read; the
+    job log feeds ST2."""
+    d = scratch()
+    docs = ST.store_documents(spark.createDataFrame([(i, f"Old Name {i} pays every month.") for i in range(50)], "doc_id bigint, text string"),
+                              "stream_documents_test", buckets=4)
+    reqs = [("a", 1, "change 'Old Name' to 'New Name'"), (None, 2, "change 'Old' to 'New'"), ("c", 3, ""), ("d", None, "x"), ("e", 999, "change 'a' to 'b'")]
+    batch = spark.createDataFrame(reqs, ST.REQUEST_SCHEMA)
+    batch.coalesce(1).write.parquet(f"{d}/req")
+    few = ST.documents_of(batch, docs)
+    assert {r.doc_id for r in few.collect()} == {1, 2, 3} and "doc_id" in few._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert {r.doc_id for r in ST.documents_of(batch, docs, max_ids=1).collect()} == {1, 2, 3}
+    ST.revise_stream(spark, f"{d}/req", docs, f"{d}/out", f"{d}/ck", log_dir=f"{d}/log").awaitTermination()
+    out = spark.read.parquet(f"{d}/out").collect()
+    by = {r.job_id: (r.status, r.message, r.response) for r in out}
+    assert len(out) == 5 and None not in by and by["a"][0] == "completed" and "New Name 1 pays" in by["a"][2]
+    assert by["c"][:2] == ("rejected", "No instruction provided") and by["d"][0] == "rejected" and by["e"][0] == "error"
+    ST.state_stream(spark, f"{d}/log", f"{d}/sink", f"{d}/ck2").awaitTermination()
+    counts = {r.status: r.n_jobs for r in ST.latest_counts(spark, f"{d}/sink").collect()}
+    assert counts == {"completed": 2, "error": 1}
+    spark.sql("DROP TABLE stream_documents_test")

@@ -235,10 +235,35 @@ def _csel():
             F.col("end").cast("long").alias("end")]
 
 
-@register("c1_recursive_chunks")
+def _c1_sql(size: int, overlap: int) -> str:
+    """C1's contract as a recursive statement: one step per chunk."""
+    zone = max(1, min(size // 2, size - overlap - 1)) if size - overlap > 1 else 1
+    seps = [s for s in K.CHUNK_SEPARATORS if s]
+    sep = {s: FX.sql_str(s) for s in seps}
+
+    def end(s: str) -> str:
+        lo = f"({s} + {size - zone})"
+        tail = f"substring(text, {lo} + 1, {zone})"
+        last = [f"CASE WHEN contains({tail}, {sep[x]}) THEN {lo} + length({tail}) - strpos(reverse({tail}), reverse({sep[x]})) + 1 END" for x in seps]
+        return f"CASE WHEN {s} + {size} >= n THEN n ELSE coalesce({', '.join(last)}, {s} + {size}) END"
+
+    lo = f"greatest(e - {overlap}, s + 1)"
+    zone_text = f"substring(text, {lo} + 1, e - {lo})"
+    begin = [f"CASE WHEN strpos({zone_text}, {sep[x]}) > 0 AND {lo} + strpos({zone_text}, {sep[x]}) - 1 + {len(x)} < e "
+             f"THEN {lo} + strpos({zone_text}, {sep[x]}) - 1 + {len(x)} END" for x in seps]
+    following = f"CASE WHEN e >= n THEN n ELSE coalesce({', '.join(begin)}, e) END"
+    return f"""WITH RECURSIVE jobs AS ({FX.sql_jobs(FX.sql_str(FX.FLAGSHIP_INSTRUCTION))}),
+w AS (SELECT job_id, text, n, CAST(0 AS BIGINT) AS chunk_no, CAST(0 AS BIGINT) AS s, CAST({end('0')} AS BIGINT) AS e FROM jobs
+      UNION ALL
+      SELECT job_id, text, n, chunk_no + 1, CAST(f AS BIGINT), CAST({end('f')} AS BIGINT)
+      FROM (SELECT *, {following} AS f FROM w) WHERE f < n)
+SELECT job_id, chunk_no, s AS start, e AS "end", e - s AS n_chars FROM w"""
+
+
+@register("c1_recursive_chunks", _c1_sql(SIZE, OVERLAP))
 def c1_recursive_chunks(spark, sf):
-    """Separator-aware overlapping chunks (own contract, checked by
-    property tests; no SQL oracle)."""
+    """Separator-aware overlapping chunks (own contract, also checked by
+    property tests)."""
     ch = C.chunk_recursive(flagship_jobs(spark, sf), SIZE, OVERLAP)
     return ch.select(*_csel(), F.length("text").cast("long").alias("n_chars"))
 

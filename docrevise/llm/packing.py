@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrevise.llm.common import col, stored, text_or_empty
-from docrevise.llm.token_files import SLICE_BYTES, Encoder, _slices, vocabulary
+from docrevise.llm.token_files import SHARD_BYTES, SLICE_BYTES, Encoder, _slices, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
@@ -53,8 +53,11 @@ DIVISIONS = 24
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, piece, start, length, ids_crc32`` per piece (``ids_crc32`` of
     the piece's ids as little-endian 32-bit integers)."""
-    spec = vocabulary(docs.sparkSession, tokenizer)
+    sc, spec = docs.sparkSession.sparkContext, vocabulary(docs.sparkSession, tokenizer)
     src = docs.select(col(id_col).alias("id"), text_or_empty(col(text)).alias("text"))
+    # an encoder knows more pieces the longer it runs: small input splits are read together
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    src = src.coalesce(max(sc.defaultParallelism, -(-size // SHARD_BYTES), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None

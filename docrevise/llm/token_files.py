@@ -174,7 +174,7 @@ class Encoder:
         key = pc.if_else(odd, pa.scalar("x", pa.large_string()), key)  # not used
         plain = pc.match_substring_regex(key, _PLAIN).to_numpy(zero_copy_only=False)
         odd = odd.to_numpy(zero_copy_only=False)
-        return self._assemble(codes, key.to_pylist(), lead.to_numpy(zero_copy_only=False), plain, starts), np.add.reduceat(odd[codes], starts) > 0
+        return self._assemble(codes, key.to_numpy(zero_copy_only=False).tolist(), lead.to_numpy(zero_copy_only=False), plain, starts), np.add.reduceat(odd[codes], starts) > 0
 
     def _assemble(self, codes: np.ndarray, keys: list[str], lead: np.ndarray, plain: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         flat, first, size = self._pieces(keys, plain, np.bincount(codes, minlength=len(keys)))

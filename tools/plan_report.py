@@ -19,7 +19,7 @@ PATTERNS = {
     "exchange": r"Exchange hashpartitioning\(([^)]*)\)",
     "smj": r"SortMergeJoin",
     "bhj": r"BroadcastHashJoin",
-    "python": r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas",
+    "python": r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas",
     "cartesian": r"CartesianProduct|BroadcastNestedLoopJoin",
     "scan": r"ReadSchema: (struct<[^>]*>)",
 }

@@ -78,6 +78,15 @@ def test_drop_contained_both_orders(spark):
     assert [(x.job_id, x.target) for x in r] == [("job-1", "abc"), ("job-2", "xabcx"), ("job-3", "ab"), ("job-3", "cd")]
 
 
+def test_entity_windows_have_a_row_per_hit(spark):
+    """Every hit is a row, also where several stand in one paragraph."""
+    j = jobs(spark, [(1, "p1\n\nABC Corp and abc corp\n\nABC Corp")], "Change 'ABC Corp' to 'XYZ Co'")
+    r = T.entity_windows(j).orderBy("k1", "k3").collect()
+    assert [(x.k1, x.k2, x.k3, x.target) for x in r] == [(0, 0, 0, "ABC Corp and abc corp"), (0, 0, 1, "ABC Corp and abc corp"), (0, 0, 2, "ABC Corp")]
+    from docrevise.plans import catalog
+    assert "GROUP BY job_id, k1, ws, we" not in catalog.REGISTRY["t8_entity_paragraphs"].sql
+
+
 def test_entity_paragraphs_and_partial(spark):
     j = jobs(spark, [(1, "p1\n\nthe ABC Corp here\n\np3")], "Change 'ABC Corp' to 'XYZ Co'")
     assert [x.target for x in T.entity_paragraphs(j).collect()] == ["the ABC Corp here"]

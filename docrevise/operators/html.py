@@ -359,14 +359,20 @@ def paragraph_styles(df: DataFrame, key: list[str], text_col: str = "text", sep:
     ``self``: signature, heading (upper, ends ':', or <= 8 words starting
     with an upper-case letter), normal; blank = spacer."""
     x = df.select(*key, F.posexplode(F.split(F.col(text_col), sep, -1)).alias("p_ord", "raw"))
-    p = py_strip(F.col("raw"))
-    words = py_split(F.col("raw"))
+    # each step reads the columns of the one before it: a paragraph is stripped and lower-cased once
+    x = x.select(*key, "p_ord", py_strip(F.col("raw")).alias("p"))
+    x = x.select(*key, "p_ord", "p", F.lower("p").alias("low"), F.upper("p").alias("up"))
+    p, low = F.col("p"), F.col("low")
+    upper = (F.col("up") == p) & (low != p)
+    few_words = F.size(F.split(p, f"{WS}+", 9)) <= 8  # no more than nine parts are cut
     if variant == "hosted":
-        style = F.when(F.length(p) == 0, "spacer").when(is_upper(p) & (F.size(words) <= 8), "heading").otherwise("normal")
+        style = F.when(F.length(p) == 0, "spacer").when(upper & few_words, "heading").otherwise("normal")
     else:
-        first_upper = is_upper(F.call_function("substring", F.element_at(words, 1), F.lit(1), F.lit(1)))
-        heading = is_upper(p) | F.endswith(p, F.lit(":")) | ((F.size(words) <= 8) & first_upper)
-        sig = F.exists(str_array(K.LINE_SIGNATURE_WORDS), lambda w: F.call_function("contains", F.lower(p), w))
+        first_upper = is_upper(F.call_function("substring", p, F.lit(1), F.lit(1)))
+        heading = upper | F.endswith(p, F.lit(":")) | (first_upper & few_words)
+        sig = F.lit(False)
+        for w in K.LINE_SIGNATURE_WORDS:
+            sig = sig | F.call_function("contains", low, F.lit(w))
         style = F.when(F.length(p) == 0, "spacer").when(sig, "signature").when(heading, "heading").otherwise("normal")
     return x.select(*key, "p_ord", style.alias("style"))
 

@@ -438,3 +438,11 @@ def test_small_document_bypass_variants(spark):
     selfh = C.small_document_chunks(j, 40, 10, use_html=False, chunker=C.chunk_fixed).collect()
     assert {r.text for r in selfh if r.job_id == "job-1"} == {"short <text>"}
     assert sorted((r.start, r.end) for r in selfh if r.job_id == "job-2") == [(0, 40), (30, 50)]
+
+
+def test_paragraphs_are_stripped_once(spark):
+    """One strip per paragraph, no pattern over all its characters."""
+    d = spark.createDataFrame([(1, "\u2003Title Line\x1f\n \nsigned BY me\none two three four five six seven eight nine")], "doc_id long, text string")
+    s = H.paragraph_styles(d, ["doc_id"], "text", "\n", "self")
+    assert [r.style for r in s.orderBy("p_ord").collect()] == ["heading", "spacer", "signature" if any(w in "signed by me" for w in H.K.LINE_SIGNATURE_WORDS) else "normal", "normal"]
+    assert "regexp_replace" not in s._jdf.queryExecution().optimizedPlan().toString()

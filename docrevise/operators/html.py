@@ -277,6 +277,17 @@ def _lines(df: DataFrame, key: str, text_col: str, idx: str, out: str) -> DataFr
     return x.select(key, idx, py_strip(F.col("raw")).alias(out)).where(F.length(out) > 0)
 
 
+def _changed_keys(orig: DataFrame, resp: DataFrame, key: str) -> DataFrame:
+    """The keys whose response may hold a line that their original lacks: the
+    texts differ and so do their sets of lines; keys of several rows all count."""
+    def lines(c: str) -> Column:
+        return F.transform(F.split(F.col(c), "\n", -1), py_strip)
+    one = orig.groupBy(key).agg(F.count(F.lit(1)).alias("_no"), F.first("text").alias("_o"))
+    other = resp.groupBy(key).agg(F.count(F.lit(1)).alias("_nm"), F.first("text").alias("_m"))
+    differs = F.when(F.col("_o") != F.col("_m"), F.size(F.array_except(lines("_m"), lines("_o"))) > 0)
+    return one.join(other, key).where((F.col("_no") > 1) | (F.col("_nm") > 1) | differs).select(key)
+
+
 def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: float = 0.3,
                 prefix: int = 10) -> DataFrame:
     """H9: (key, old, new) line replacements, response vs original.
@@ -287,8 +298,11 @@ def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: fl
     characters agree ignoring case.  A later response line wins for the same
     original line.  Lines are deduplicated by text first; the prefix test is
     an equi-join on (key, lower(prefix)) - one join for full prefixes and one
-    per shorter prefix length - never a pairing of all lines.
+    per shorter prefix length - never a pairing of all lines.  Texts are
+    compared whole first; only those with a new line are cut into rows.
     """
+    changed = _changed_keys(orig, resp, key).hint("shuffle_hash")
+    orig, resp = orig.join(changed, key, "left_semi"), resp.join(changed, key, "left_semi")
     o = (_lines(orig, key, "text", "i", "o").groupBy(key, "o").agg(F.min("i").alias("oi")))
     m = (_lines(resp, key, "text", "j", "m").groupBy(key, "m").agg(F.max("j").alias("mj")))
     m = m.join(o.select(key, F.col("o").alias("m")), [key, "m"], "left_anti")
@@ -303,7 +317,9 @@ def align_lines(orig: DataFrame, resp: DataFrame, key: str = "job_id", share: fl
         k = lambda tag, p: F.struct(F.lit(tag).alias("tag"), p.cast("int").alias("p"),
                                     F.lower(F.call_function("left", c, p)).alias("pk"))
         upto = F.least(n - 1, F.lit(prefix - 1)) if strict else F.least(n, F.lit(prefix - 1))
-        longs = F.when(upto >= 1, F.transform(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda p: k(long_tag, p)))
+        # a shorter line of p characters is a partner only if the lengths are near
+        near = F.filter(F.sequence(F.lit(1), F.greatest(upto, F.lit(1))), lambda p: n - p <= p * share)
+        longs = F.when((upto >= 1) & (n - prefix + 1 <= (prefix - 1) * share), F.transform(near, lambda p: k(long_tag, p)))
         return F.concat(
             F.when(n >= prefix, F.array(k("A", F.lit(prefix)))).otherwise(F.array().cast("array<struct<tag:string,p:int,pk:string>>")),
             F.when(n < prefix, F.array(k(short_tag, n))).otherwise(F.array().cast("array<struct<tag:string,p:int,pk:string>>")),

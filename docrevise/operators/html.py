@@ -360,11 +360,17 @@ def apply_to_page(pages: DataFrame, repl: DataFrame, key: str = "job_id", page_c
 def apply_replacements(docs: DataFrame, repl: DataFrame, key: str = "job_id") -> DataFrame:
     """H10 on plain text: replace every line whose stripped text equals a key
     by its new text; returns (key, text) with lines joined by newlines."""
+    # a text without replacements that is its key's only one leaves as it came
+    docs = docs.select(key, "text").where("text is not null")
+    several = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    cut = repl.select(key).union(several).where(F.col(key).isNotNull()).distinct().hint("shuffle_hash")
+    whole = docs.where(F.col(key).isNotNull()).join(cut, key, "left_anti")
+    docs = docs.join(cut, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
     x = docs.select(key, F.posexplode(F.split(F.col("text"), "\n", -1)).alias("i", "line"))
     x = x.withColumn("old", py_strip(F.col("line")))
     x = x.join(repl, [key, "old"], "left").withColumn("out", F.coalesce(F.col("new"), F.col("line")))
     g = x.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "out"))).alias("a"))
-    return g.select(key, F.array_join(F.transform("a", lambda e: e["out"]), "\n").alias("text"))
+    return g.select(key, F.array_join(F.transform("a", lambda e: e["out"]), "\n").alias("text")).unionByName(whole)
 
 
 # ---------------------------------------------------------------- H11 paragraph styles

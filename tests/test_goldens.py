@@ -440,6 +440,16 @@ def test_small_document_bypass_variants(spark):
     assert sorted((r.start, r.end) for r in selfh if r.job_id == "job-2") == [(0, 40), (30, 50)]
 
 
+def test_unchanged_texts_are_not_cut(spark):
+    """Only keys with a new line, or with several rows, are cut into lines."""
+    orig = spark.createDataFrame([("a", "x\ny"), ("b", "x\ny"), ("c", "x\ny"), ("d", "x"), ("d", "x"), (None, "x")], "job_id string, text string")
+    resp = spark.createDataFrame([("a", "x\ny"), ("b", "y\nx"), ("c", "x\nz"), ("d", "x"), (None, "z")], "job_id string, text string")
+    assert {r.job_id for r in H._changed_keys(orig, resp, "job_id").collect()} == {"c", "d"}
+    repl = spark.createDataFrame([("c", "y", "w")], "job_id string, old string, new string")
+    got = sorted((r.job_id or "", r.text) for r in H.apply_replacements(orig, repl).collect())
+    assert got == [("", "x"), ("a", "x\ny"), ("b", "x\ny"), ("c", "x\nw"), ("d", "x\nx")]
+
+
 def test_paragraphs_are_stripped_once(spark):
     """One strip per paragraph, no pattern over all its characters."""
     d = spark.createDataFrame([(1, "\u2003Title Line\x1f\n \nsigned BY me\none two three four five six seven eight nine")], "doc_id long, text string")

@@ -105,6 +105,7 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
 STATE_CHANGE = ("job_id string, old_status string, status string, progress int, message string, "
                 "updated_at timestamp, seq bigint")
 STATE_STORE = "status string, rank array<bigint>"
+_CHANGE_NAMES = [x.split()[0] for x in STATE_CHANGE.split(", ")]
 
 
 def _state_change_fn(key, pdfs, state):
@@ -115,28 +116,22 @@ def _state_change_fn(key, pdfs, state):
     import pandas as pd
 
     (job_id,) = key
-    old, best, new = None, None, None
+    old = best = new = None
     if state.exists:
         old, best = state.get[0], list(state.get[1])
     for pdf in pdfs:
-        for r in pdf.itertuples(index=False):
-            us = None if pd.isna(r.ts) else r.ts.value // 1000
-            seq = None if pd.isna(r.seq) else int(r.seq)
-            rank = [us is not None, us or 0, seq is not None, seq or 0]
-            if best is None or rank > best:
-                best, new = rank, r
+        # the rank comes as numbers; columns as plain lists, since a job has few rows in a batch
+        ranks = list(zip(*(pdf[c].tolist() for c in ("_timed", "_us", "_numbered", "_seq"))))
+        i = max(range(len(ranks)), key=ranks.__getitem__)
+        if best is None or list(ranks[i]) > best:
+            best, new = list(ranks[i]), [pdf[c].iat[i] for c in ("status", "progress", "message", "ts", "seq")]
     if new is None:
         return
-    status = None if pd.isna(new.status) else new.status
-    state.update((status, [int(x) for x in best]))
+    new = [None if pd.isna(x) else x for x in new]
+    status, progress, message, ts, seq = new
+    state.update((status, best))
     if old != status or not state.exists:
-        yield pd.DataFrame({
-            "job_id": pd.Series([job_id], dtype="object"), "old_status": pd.Series([old], dtype="object"),
-            "status": pd.Series([status], dtype="object"),
-            "progress": pd.Series([None if pd.isna(new.progress) else int(new.progress)], dtype="Int32"),
-            "message": pd.Series([new.message], dtype="object"), "updated_at": pd.Series([new.ts], dtype="datetime64[ns, UTC]"
-                                                                                          if getattr(new.ts, "tzinfo", None) else "datetime64[ns]"),
-            "seq": pd.Series([None if pd.isna(new.seq) else int(new.seq)], dtype="Int64")})
+        yield pd.DataFrame([[job_id, old, status, progress, message, ts, seq]], columns=_CHANGE_NAMES, dtype=object)
 
 
 def status_changes(job_log: DataFrame) -> DataFrame:
@@ -145,7 +140,10 @@ def status_changes(job_log: DataFrame) -> DataFrame:
     in J1)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return job_log.groupBy("job_id").applyInPandasWithState(
+    timed, numbered = F.col("ts").isNotNull(), F.col("seq").isNotNull()
+    ranked = job_log.select("*", timed.cast("long").alias("_timed"), F.coalesce(F.unix_micros("ts"), F.lit(0)).cast("long").alias("_us"),
+                            numbered.cast("long").alias("_numbered"), F.coalesce("seq", F.lit(0)).cast("long").alias("_seq"))
+    return ranked.groupBy("job_id").applyInPandasWithState(
         _state_change_fn, STATE_CHANGE, STATE_STORE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -187,6 +185,8 @@ def state_stream(spark: SparkSession, job_log_dir: str, sink_dir: str, checkpoin
         if path_complete(spark, target):
             return
         batch.write.mode("overwrite").parquet(f"{base}/changes/batch_id={batch_id}")
+        # read back: each use of the batch itself would run the state operator again
+        batch = spark.read.schema(STATE_CHANGE).parquet(f"{base}/changes/batch_id={batch_id}")
         delta = (batch.select(F.col("status").alias("s"), F.lit(1).alias("d"))
                  .unionByName(batch.where(F.col("old_status").isNotNull())
                               .select(F.col("old_status").alias("s"), F.lit(-1).alias("d"))))

@@ -222,3 +222,27 @@ def test_revise_stream_intake_and_log(spark):
     counts = {r.status: r.n_jobs for r in ST.latest_counts(spark, f"{d}/sink").collect()}
     assert counts == {"completed": 2, "error": 1}
     spark.sql("DROP TABLE stream_documents_test")
+
+
+def test_state_operator_runs_once_per_batch(spark, tmp_path):
+    """ST2: the counts come from the written changes, so no use of the batch
+    runs the state operator again."""
+    from pyspark.sql import functions as F
+
+    from docrevise.streaming import streams as ST
+    spark.range(40).selectExpr("concat('job-', id % 8) as job_id", "id as seq", "timestamp_seconds(id) as ts", "if(id > 30, 'completed', 'queued') as status",
+                               "cast(null as int) as progress", "cast(null as string) as message").coalesce(1).write.parquet(f"{tmp_path}/log")
+    runs = spark.sparkContext.accumulator(0)
+    real = ST._state_change_fn
+
+    def counted(key, pdfs, state):
+        runs.add(1)
+        yield from real(key, pdfs, state)
+    ST._state_change_fn = counted
+    try:
+        ST.state_stream(spark, f"{tmp_path}/log", f"{tmp_path}/sink", f"{tmp_path}/ckpt").awaitTermination()
+    finally:
+        ST._state_change_fn = real
+    got = {r.status: r.n_jobs for r in ST.latest_counts(spark, f"{tmp_path}/sink").select("status", F.col("n_jobs")).collect()}
+    assert got == {"completed": 8}
+    assert runs.value == 8

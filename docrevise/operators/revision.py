@@ -1,7 +1,7 @@
 """Chunk revision: R1-R11.
 
 Everything except the model call itself is built-in expressions.  The model
-call (R2) is a Python stage: ``mapInPandas`` over job-partitioned prompts,
+call (R2) is a Python stage: ``mapInArrow`` over job-partitioned prompts,
 at most ``concurrency`` calls per job at a time, retries (R3) inside the task.  Its
 output should be written before anything reads it twice
 (``persist_calls``), so that recomputation or a lost executor never repeats
@@ -17,8 +17,9 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,7 +136,7 @@ class _Ledger:
 def revise_chunks(prompts: DataFrame, fn: Callable[..., str], concurrency: int = K.MAX_CONCURRENT_CALLS,
                   attempts: int = K.CALL_ATTEMPTS, backoff: float = K.FIRST_BACKOFF_SEC,
                   partitions: int | None = None, jobs_at_once: int = 4, budget_col: str | None = None,
-                  ledger: str | None = None, buckets: int = 256) -> DataFrame:
+                  ledger: str | None = None, buckets: int = 256, at_once: int = 256) -> DataFrame:
     """R2: call ``fn(prompt) -> body`` once per (job_id, chunk_no); with
     ``budget_col``, ``fn(prompt, max_tokens)`` with that column's value (C5).
 
@@ -177,36 +178,35 @@ def revise_chunks(prompts: DataFrame, fn: Callable[..., str], concurrency: int =
                 book.put(job, chunk, out)
             return out
 
-        def one_job(grp):
-            book = books.get(grp["bucket"].iloc[0])
-            jobs = [None if pd.isna(j) else j for j in grp["job_id"]]
+        def one_job(rows):
+            book = books.get(rows[0][0])
             with ThreadPoolExecutor(max_workers=max(concurrency, 1)) as pool:
-                return list(pool.map(call, jobs, grp["chunk_no"].tolist(), grp["prompt"].tolist(), grp["budget"].tolist(), [book] * len(grp)))
+                return list(pool.map(lambda r: call(*r[1:], book), rows))
 
         try:
             with ThreadPoolExecutor(max_workers=max(jobs_at_once, 1)) as outer:
-                for pdf in batches:
+                # as plain values, ``at_once`` rows exist at a time, however many a batch has
+                for part in (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once)):
+                    rows = list(zip(*[c.to_pylist() for c in part.columns]))
                     if ledger:
-                        now = set(pdf["bucket"].tolist())
+                        now = {r[0] for r in rows}
                         for k in [k for k in books if k not in now]:
                             books.pop(k).close()
                         books.update({k: _Ledger(ledger, k) for k in now if k not in books})
                     # rows are sorted by job: the jobs' results in order are the rows' results
-                    groups = [grp for _, grp in pdf.groupby("job_id", sort=False, dropna=False)]
+                    groups = [list(g) for _, g in groupby(rows, key=lambda r: r[1])]
                     out = [r for res in outer.map(one_job, groups) for r in res]
-                    rows = [i for grp in groups for i in grp.index]
-                    pdf = pdf.loc[rows]
-                    yield pd.DataFrame({
-                        "job_id": pdf["job_id"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(),
-                        "body": [o[0] for o in out], "error": [o[1] for o in out],
-                        "error_class": [_py_error_class(o[1]) for o in out],
-                        "calls": [o[2] for o in out]})
+                    body, error, calls = zip(*out)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array(body, pa.string()),
+                        pa.array(error, pa.string()), pa.array(map(_py_error_class, error), pa.string()), pa.array(calls, pa.int32())],
+                        ["job_id", "chunk_no", "body", "error", "error_class", "calls"])
         finally:
             for book in books.values():
                 book.close()
 
     schema = "job_id string, chunk_no long, body string, error string, error_class string, calls int"
-    return keyed.mapInPandas(run, schema)
+    return keyed.mapInArrow(run, schema)
 
 
 def persist_calls(df: DataFrame, spark: SparkSession, name: str, reuse: bool = True) -> DataFrame:

@@ -234,3 +234,11 @@ def test_stored_jobs_give_the_same_results(spark, sf):
     joined = stored.join(stored.groupBy("job_id").count(), "job_id")
     assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE stored_jobs_test")
+
+
+def test_rows_of_a_batch_come_in_parts(spark):
+    """R2: a batch is worked on ``at_once`` rows at a time; all rows come out, in any split of a job."""
+    p = spark.createDataFrame([(f"job-{i % 3}", i, f"text {i}") for i in range(50)], "job_id string, chunk_no long, prompt string")
+    out = R.revise_chunks(p, lambda x: x.upper(), partitions=1, at_once=7)
+    assert sorted((r.chunk_no, r.job_id, r.body, r.calls) for r in out.collect()) == [(i, f"job-{i % 3}", f"TEXT {i}", 1) for i in range(50)]
+    assert "MapInArrow" in out._jdf.queryExecution().simpleString()

@@ -12,6 +12,7 @@ events are dropped from windowed / session aggregations.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,7 +70,8 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
     """ST1: continuous intake -> targets -> chunks -> revision -> results.
 
     Each micro-batch validates its requests (S5), reads the documents that
-    they name (``documents_of``), runs the batch plan (``plans.revise.revise``)
+    they name (``documents_of``), stores the joined jobs for as long as the
+    batch runs, runs the batch plan (``plans.revise.revise``)
     and writes ``sink_dir/batch_id=<id>`` in overwrite mode, so a replay after
     a failure replaces, never duplicates, its rows; a replay of a batch whose
     output is complete is skipped, and model calls persisted by an interrupted
@@ -87,12 +89,17 @@ def revise_stream(spark: SparkSession, requests_dir: str, docs: DataFrame, sink_
         target = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
         if not path_complete(spark, target):  # else a replay of a finished batch
             accepted, rejected = accepted_requests(batch)
-            jobs = T.prepare_jobs(accepted, documents_of(accepted, docs))
+            name = f"jobs_{uuid.uuid4().hex}"
             calls = f"{checkpoint.rstrip('/')}/model_calls/batch_id={batch_id}"  # owned by this stream
-            out = revise(jobs, fn, spark=spark, persist_name=calls, **revise_opts)["results"]
-            out = out.unionByName(rejected.select("job_id", F.lit("rejected").alias("status"), F.col("reason").alias("message")),
-                                  allowMissingColumns=True)
-            out.write.mode("overwrite").parquet(target)
+            try:
+                # the plan reads the jobs in many branches: the texts are joined and moved once
+                jobs = T.store_jobs(T.prepare_jobs(accepted, documents_of(accepted, docs)), name)
+                out = revise(jobs, fn, spark=spark, persist_name=calls, **revise_opts)["results"]
+                out = out.unionByName(rejected.select("job_id", F.lit("rejected").alias("status"), F.col("reason").alias("message")),
+                                      allowMissingColumns=True)
+                out.write.mode("overwrite").parquet(target)
+            finally:
+                T.drop_jobs(spark, name)
         if log_dir is not None:
             log = f"{log_dir.rstrip('/')}/batch_id={batch_id}"
             if not path_complete(spark, log):

@@ -8,10 +8,12 @@ import tempfile
 from pyspark.sql import functions as F
 
 from docrevise.operators import jobs as J
+from docrevise.operators import ranking as P
 from docrevise.operators import targets as T
 from docrevise.plans import fixtures as FX
 from docrevise.plans.registry import table
 from docrevise.plans.revise import revise
+from docrevise.session import checkpoint_path
 from docrevise.streaming import streams as ST
 
 
@@ -246,3 +248,53 @@ def test_state_operator_runs_once_per_batch(spark, tmp_path):
     got = {r.status: r.n_jobs for r in ST.latest_counts(spark, f"{tmp_path}/sink").select("status", F.col("n_jobs")).collect()}
     assert got == {"completed": 8}
     assert runs.value == 8
+
+
+def _requests():
+    rows = [(f"job-{i}", i, ["Change 'Old Name' to 'New Name'", "Update Vendor Name to 'Old Name'"][i % 2]) for i in range(12)]
+    docs = [(i, "\n".join(f"Old Name {i} pays in month {k} and the state {k % 3} agrees." for k in range(1 + 9 * i))) for i in range(12)]
+    return rows, docs
+
+
+def test_texts_stay_with_their_stored_job(spark):
+    """Stored jobs are dealt by job once: nothing but windows, targets and points is dealt again."""
+    rows, docs = _requests()
+    reqs, docs = spark.createDataFrame(rows, ST.REQUEST_SCHEMA), spark.createDataFrame(docs, "doc_id long, text string")
+    joined = T.prepare_jobs(reqs, docs)
+    stored = T.store_jobs(joined, "jobs_dealt_once")
+    try:
+        opts = dict(size=400, overlap=80, fields=["state"], sep="\n")
+        out = revise(stored, **opts)["results"]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+        key = lambda d: sorted((r.job_id, r.response, r.html, str(r.ranks)) for r in d.collect())
+        assert key(out) == key(revise(joined, **opts)["results"]) and len(key(out)) == 12
+    finally:
+        T.drop_jobs(spark, "jobs_dealt_once")
+
+
+def test_stream_stores_a_batch_once_and_drops_it(spark, monkeypatch):
+    d, stored, store = scratch(), [], T.store_jobs
+    rows, docs = _requests()
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], ST.REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{d}/req")
+    monkeypatch.setattr(T, "store_jobs", lambda jobs, name: stored.append(name) or store(jobs, name))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    ST.revise_stream(spark, f"{d}/req", docs, f"{d}/out", f"{d}/ck").awaitTermination()
+    assert spark.read.parquet(f"{d}/out").count() == 12 and len(set(stored)) == 2
+    assert not any(spark.catalog.tableExists(x) or os.path.exists(checkpoint_path(spark, x).removeprefix("file:")) for x in stored)
+
+
+def test_points_of_repeated_and_missing_job_ids(spark):
+    """Each job row counts its targets, up to its own length; chunks without a job id have no score."""
+    jobs = spark.createDataFrame([("a", 30), ("a", 10), ("b", 5), (None, 5)], "job_id string, n_chars long")
+    chunks = spark.createDataFrame([("a", 0, 0, "one two"), ("a", 0, 0, "two"), ("a", 1, 20, "six one"), ("b", 0, 0, "no"), (None, 0, 0, "one")],
+                                   "job_id string, chunk_no int, start long, text string")
+    targets = spark.createDataFrame([("a", "one", 1), ("a", "two", 2), (None, "one", 1)], "job_id string, target string, n long")
+    ts = P.score_targets(jobs, chunks, targets, contained=10, first_third=0, middle_third=0, group_chars=20)
+    # both rows of "a" reach its first 20 characters, one the next 20; the two chunks 0 add up
+    assert sorted((r.job_id, r.chunk_no, r.target_score, r.n_targets) for r in ts.where("job_id is not null").collect()) == [
+        ("a", 0, 100, 8), ("a", 1, 10, 2), ("b", 0, 0, 0)]
+    scored = P.score_chunks(jobs, chunks, targets, markers=["six"])
+    assert scored.columns == ["job_id", "chunk_no", "start", "text", "marker_score", "target_score", "n_targets", "score"]
+    assert sorted((r.job_id, r.chunk_no, r.text) for r in scored.collect()) == [("a", 0, "one two"), ("a", 0, "two"), ("a", 1, "six one"), ("b", 0, "no")]
